@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, mixture, qualityrules, tokencount, urlfilter
+from glossa.llm import decontaminate, mixture, pii, qualityrules, secrets, tokencount, urlfilter
 
 _MODULES = {
+    "op1_pii": pii,
     "op2_token_counts": tokencount,
     "op3_decontamination": decontaminate,
     "op4_source_mixing": mixture,
+    "op5_secrets": secrets,
     "op8_url_filter": urlfilter,
     "op10_quality_rules": qualityrules,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, mixture, pii, qualityrules, secrets, tokencount, urlfilter
+from glossa.llm import decontaminate, linededup, mixture, pii, qualityrules, secrets, tokencount, urlfilter
 
 _MODULES = {
     "op1_pii": pii,
@@ -11,6 +11,7 @@ _MODULES = {
     "op4_source_mixing": mixture,
     "op5_secrets": secrets,
     "op8_url_filter": urlfilter,
+    "op9_line_dedup": linededup,
     "op10_quality_rules": qualityrules,
 }
 

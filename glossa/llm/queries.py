@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard, linededup, mixture, pii, qualityrules, secrets, tokencount, urlfilter
+from glossa.llm import decontaminate, jaccard, linededup, mixture, pii, qualityrules, qualityscore, secrets, tokencount, urlfilter
 
 _MODULES = {
     "op1_pii": pii,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_decontamination": decontaminate,
     "op4_source_mixing": mixture,
     "op5_secrets": secrets,
+    "op6_quality_classifier": qualityscore,
     "op7_ngram_jaccard": jaccard,
     "op8_url_filter": urlfilter,
     "op9_line_dedup": linededup,

@@ -24,7 +24,11 @@ def decode(patterns: np.ndarray, voters: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """prior: share of good documents; emit[class, voter, vote]: how often a voter votes so for a class."""
+    """prior: share of good documents; emit[class, voter, vote]: how often a voter that votes votes so for a class.
+
+    Whether a voter abstains is taken to say nothing about the class, so abstaining has
+    probability one.
+    """
 
     prior: float
     emit: np.ndarray
@@ -44,25 +48,24 @@ class LabelModel:
         return right / np.maximum(cast, 1e-12)
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0, prior: float = 0.8) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0, doubt: float = 0.1) -> LabelModel:
     """votes: one row a pattern; counts: documents of each.  Voters are taken to be independent given the class.
 
-    Starts from each voter being right in four of five votes, which also says which
-    class is which; `smooth` documents are added to each cell, so no vote is impossible.
+    Bad texts are bad in different ways, and a voter sees one of them; so the start is
+    that any vote for bad is right but for `doubt`, which also says which class is
+    which.  `smooth` documents are added to each cell, so no vote is impossible.
     """
     n = votes.shape[1]
     shown = np.stack([(votes == v) for v in (ABSTAIN, BAD, GOOD)], axis=2).astype(float)
-    cast = (counts[:, None, None] * shown).sum(axis=0) / max(counts.sum(), 1)
-    start = np.empty((2, n, 3))
-    for c, (bad, good) in enumerate(((0.8, 0.2), (0.2, 0.8))):
-        start[c] = np.stack([cast[:, ABSTAIN], (1 - cast[:, ABSTAIN]) * bad, (1 - cast[:, ABSTAIN]) * good], axis=1) + 1e-6
-    model = LabelModel(prior, start / start.sum(axis=2, keepdims=True))
-    if not counts.sum():
-        return model
-    for _ in range(rounds):
-        good = model.posterior(votes)
+    good = np.where((votes == BAD).any(axis=1), doubt, 1 - doubt)
+    model = LabelModel(0.5, np.broadcast_to([1.0, 0.5, 0.5], (2, n, 3)))
+    for _ in range(rounds if counts.sum() else 0):
         weight = np.stack([(1 - good) * counts, good * counts])
-        emit = np.einsum("cp,pjv->cjv", weight, shown) + smooth * model.emit
+        emit = np.einsum("cp,pjv->cjv", weight, shown) + smooth / 2
+        emit[:, :, ABSTAIN] = 0
+        emit /= emit.sum(axis=2, keepdims=True)
+        emit[:, :, ABSTAIN] = 1
         share = (weight[1].sum() + smooth) / (counts.sum() + 2 * smooth)
-        model = LabelModel(float(np.clip(share, 0.01, 0.99)), emit / emit.sum(axis=2, keepdims=True))
+        model = LabelModel(float(np.clip(share, 0.01, 0.99)), emit)
+        good = model.posterior(votes)
     return model

@@ -32,8 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.llm.components import components
 from glossa.llm.scatter import bitmap_of, bucket_bits, dealt, gathered, maybe_in, packed, schema
@@ -359,7 +360,7 @@ def _links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least id that links lead to), sig (its node)."""
+    """One row a document: doc_id, n_shingles, component_id (the least id that links lead to), sig (its node), component (of nodes)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.select("text").where("text is not null")
@@ -395,9 +396,51 @@ def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int
     labels = written(labels, "labels")
     named = nodes.select("sig", "n", "least").join(labels.select(F.col("vertex").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     heads = named.groupBy("label").agg(F.min("least").alias("head"))
-    named = named.join(heads, "label").select("sig", "n", "head")
+    named = named.join(heads, "label").select("sig", "n", "head", "label")
     out = members.select("doc_id", "sig", "n").join(named, ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "sig")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "sig", F.col("label").alias("component"))
+
+
+def _with_nodes(columns: list[str], names: tuple[str, str], empty: bool):
+    """Adds each row's node; either the rows with empty sets, or the others, each id and node once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seen, keep = batch.column("doc_id").to_pylist(), set(), np.zeros(batch.num_rows, bool)
+            sig, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, key, first in shingle_sets(batch.column("text")):
+                at = slice(row, row + len(first) - 1)
+                sig[at], n[at] = _signatures(key, first).view(np.int64), np.diff(first)
+            for i, x in enumerate(zip(ids, sig.tolist(), n.tolist(), strict=True)):
+                if empty or x[2] == 0:
+                    keep[i] = empty and x[2] == 0
+                elif x not in seen:
+                    seen.add(x)
+                    keep[i] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig), pa.array(n)], [*columns, *names]).filter(pa.array(keep))
+
+    return run
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all their columns as they were: of each component the document with the least id.
+
+    An id that is null comes last; of rows alike in id and set, one stays.  Every
+    document without words is a group of its own.
+    """
+    names = ("_sig", "_n")
+    while set(names) & set(docs.columns):
+        names = (names[0] + "_", names[1] + "_")
+    found = join(docs, percent).where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("sig").alias("sig"), F.col("n_shingles").alias("n"))
+    # a component of texts without any id is told by its label
+    heads = found.groupBy("component").agg(F.min(place).alias("p")).select("p.id", "p.sig", "p.n")
+    wide = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())])
+    rows = docs.mapInArrow(_with_nodes(docs.columns, names, False), wide)
+    kept = rows.join(heads, rows["doc_id"].cast("long").eqNullSafe(heads["id"]) & (rows[names[0]] == heads["sig"]) & (rows[names[1]] == heads["n"]), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", *names).orderBy(F.lit(1)))
+    kept = kept.withColumn("_one" + names[0], one).where(F.col("_one" + names[0]) == 1).select(*docs.columns)
+    return kept.unionByName(docs.mapInArrow(_with_nodes(docs.columns, names, True), wide).select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -215,14 +215,15 @@ def report(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return rows.mapInArrow(_clean(nos, least, _report), REPORT)
 
 
-def clean(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """All rows with all their columns; texts lose their repeated runs."""
+def clean(docs: DataFrame, least: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
+    """All rows with all their columns; texts lose their repeated runs.  drop_emptied: rows that lose all words go."""
     rows, nos = _with_lists(docs)
 
     def emit(batch: pa.RecordBatch, texts: list, facts: np.ndarray) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
         columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+        out = pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+        return out.filter(pa.array((facts[2] == 0) | (facts[2] < facts[0]))) if drop_emptied else out
 
     return rows.mapInArrow(_clean(nos, least, emit), docs.schema)
 

@@ -14,7 +14,7 @@ without words takes nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import table, written
@@ -29,14 +29,18 @@ MAX_BROADCAST_SOURCES = 50_000
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words between white space) and h (60 bits of an MD5 over id and text)."""
+    return docs.select(*_sizes(docs))
+
+
+def _sizes(docs: DataFrame) -> list[Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    return docs.select(
+    return [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    ]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -86,6 +90,22 @@ def thresholds(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame
     return state.select("source", "need", F.col("prefix").alias("cut"), "before", "at")
 
 
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> tuple[DataFrame, int]:
+    """What each source takes (source_size, target, whole copies, need, cut, before, at), and the number of sources."""
+    by_source = written(targets(rows, weights, share, repeats), "targets")
+    n_sources = by_source.count()
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    budgets = by_source.select("source", "source_size", "target", whole.alias("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    cut = thresholds(rows, budgets.select("source", "need"), n_sources).withColumnRenamed("source", "_source")
+    return budgets.join(cut.drop("need"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), n_sources
+
+
+def _taken() -> Column:
+    nearer = 2 * (F.col("need") - F.col("before")) > F.col("at")
+    once_more = F.col("cut").isNotNull() & ((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & nearer))
+    return (F.col("size") * (F.col("whole") + F.when(once_more, 1).otherwise(0))).alias("taken")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target of its source, taken (words, repeats counted).
 
@@ -94,17 +114,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     is taken if that comes nearer to it.
     """
     rows = written(sized(docs), "sizes")
-    by_source = written(targets(rows, weights, share, repeats), "targets")
-    n_sources = by_source.count()
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budgets = by_source.select("source", "source_size", "target", whole.alias("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    cut = thresholds(rows, budgets.select("source", "need"), n_sources).withColumnRenamed("source", "_source")
-    per = budgets.join(cut.drop("need"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    nearer = 2 * (F.col("need") - F.col("before")) > F.col("at")
-    once_more = F.col("cut").isNotNull() & ((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & nearer))
-    return _beside(rows, per, n_sources).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.when(once_more, 1).otherwise(0))).alias("taken")
-    )
+    return _beside(rows, *_plan(rows, weights, share, repeats)).select("doc_id", "size", "source_size", "target", _taken())
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
+    """The documents that the mix takes, with all their columns and size, source_size, target and taken."""
+    new = ("size", "source_size", "target", "taken")
+    plan = _plan(written(sized(docs), "sizes"), weights, share, repeats)
+    own = F.struct(*(docs[c] for c in docs.columns if c.lower() not in new)).alias("_row")
+    rows = _beside(docs.select(own, *_sizes(docs)[1:]), *plan)
+    return rows.select("_row", *new[:3], _taken()).where("taken > 0").select("_row.*", *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spanish vowels with acute accents, and the same without.
 ACCENTED, PLAIN = "áéíóúÁÉÍÓÚ", "aeiouAEIOU"
@@ -26,13 +27,13 @@ def without_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks (SQL has no normal forms)."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import shared_folder, table
 
 LIMIT = 1024
+#: Words whose counts a worker remembers (about 100 bytes each).
+MAX_WORDS = 500_000
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -46,7 +48,51 @@ def counter(path: str):
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(texts: list[str]) -> list[int]:
+        return [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return _by_word(model, whole) or whole
+
+
+def _by_word(model, whole):
+    """Counts by the words that byte-level BPE works on, each distinct one encoded once; None for other tokenizers.
+
+    Words are found by the tokenizer's published pattern.  Texts beyond Latin letters,
+    where the two libraries' character tables could differ, are encoded whole.
+    """
+    import json
+
+    import public_tokenizers
+    import regex
+
+    spec = json.loads(model.to_str())
+    first = spec["pre_tokenizer"] or {}
+    plain = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+    if spec["model"]["type"] != "BPE" or spec["normalizer"] or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex") or not plain:
+        return None
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+    beyond_latin = regex.compile(r"[^\x00-\u024F]")
+    known: dict[str, int] = {}
+
+    def count(texts: list[str]) -> list[int]:
+        out = []
+        for text in texts:
+            if beyond_latin.search(text):
+                out += whole([text])
+                continue
+            parts = special.split(text)
+            words = [w for part in parts for w in find(part)]
+            new = list(set(words).difference(known))
+            if len(known) + len(new) > MAX_WORDS:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, whole(new), strict=True))
+            out.append(sum(map(known.__getitem__, words)) + len(parts) - 1)
+        return out
+
+    return count
 
 
 _COUNTERS: dict[str, object] = {}

@@ -29,7 +29,7 @@ def folder(path: Column) -> Column:
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """system, doc_id, content of the files of a folder."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return rows.select(folder(F.col(_PATH)).alias("system"), stem(F.col(_PATH)).alias("doc_id"), F.col("value").alias("content"))
 
 

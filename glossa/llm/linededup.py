@@ -2,12 +2,14 @@
 
 A text's lines are cut at line breaks, and long ones again after a sentence's end and
 after words that their own hash picks, so lines are short and cut alike wherever they
-stand.  A rolling hash over the hashes of two lines (within a line break's reach) picks
-the ends of chunks; a line break ends one too.  An insertion shifts no boundary beyond
-the next ones.  Chunks that occur more than once in the corpus are compared byte by
-byte (their words, joined by blanks), and all but the first occurrence, by doc_id and
-place, count as repeated.  Runs of repeated chunks that hold several lines and at least
-LEAST_WORDS words are removed from their texts.
+stand.  A rolling hash over the hashes of two lines picks the ends of chunks; so do the
+two ends of a line that was cut again.  Ends that would leave a chunk of one line are
+passed over, so only a short line between long ones is a chunk by itself.  Every rule
+looks at neighbouring lines alone: an insertion shifts no boundary beyond the next ones.
+Chunks of several lines that occur more than once in the corpus are compared byte by
+byte, and all but the first occurrence, by doc_id and place, count as repeated.  Runs of
+repeated chunks (a chunk of one line between two of them belongs to the run) with at
+least LEAST_WORDS words are removed from their texts.
 
 Three scans: hashes of all chunks, counted; the texts of the few that may be repeated,
 told by a bitmap of bounded size; and the removal.  Only texts of the second kind and
@@ -35,7 +37,7 @@ from glossa.llm.wordhash import Words, constants, find_words, mix, space_words
 
 LEAST_WORDS = 20
 #: One word in so many ends a line, one line in so many ends a chunk.
-WORDS_A_LINE, LINES_A_CHUNK = 8, 2
+WORDS_A_LINE, LINES_A_CHUNK = 8, 3
 
 REPORT = "doc_id long, n_words long, n_chunks long, n_removed_words long, n_removed_chunks long, text_sha256 string"
 
@@ -69,11 +71,19 @@ def cut(w: Words) -> Chunks:
         place = np.arange(n) - np.repeat(line_start, line_end - line_start)
         powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()), constants(1, 11)[0])]))
         line = mix(np.add.reduceat(w.hash * powers[place], line_start) + (line_end - line_start).astype(np.uint64))
-        opens = np.concatenate([[True], last[line_end[:-1] - 1]])
-        before = np.where(opens, np.uint64(0), np.concatenate([[np.uint64(0)], line[:-1]]))
+        closes = last[line_end - 1]
+        opens = np.concatenate([[True], closes[:-1]])
+        whole = opens & closes  # a physical line that was not cut
+        final = np.zeros(len(line), bool)  # the last line of its document
+        final[np.searchsorted(line_end, w.first[1:][np.diff(w.first) > 0])] = True
+        forced = closes & (final | ~whole | np.append(~whole[1:], True))
+        head = np.concatenate([[True], forced[:-1]])
         c1, c2 = constants(2, 13)
-        rolling = mix(line * c1 + before * c2)
-        chunk_end = np.flatnonzero((rolling % np.uint64(LINES_A_CHUNK) == 0) | last[line_end - 1]) + 1
+        rolling = mix(line * c1 + np.where(head, np.uint64(0), np.concatenate([[np.uint64(0)], line[:-1]])) * c2)
+        picked = (rolling % np.uint64(LINES_A_CHUNK) == 0) & ~forced
+        # not the second of two in a row, not after a first line, not before a last one
+        picked &= ~np.concatenate([[False], picked[:-1]]) & ~head & ~np.append(forced[1:], True)
+        chunk_end = np.flatnonzero(picked | forced) + 1
         chunk_start = np.concatenate([[0], chunk_end[:-1]])
         place = np.arange(len(line)) - np.repeat(chunk_start, chunk_end - chunk_start)
         powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()), constants(1, 17)[0])]))
@@ -92,7 +102,7 @@ def _numbers(c: Chunks, documents: int) -> np.ndarray:
 def _hashes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [cut(w).hash for w in find_words(batch.column("text"), space_words(), lower=False)]
+            found = [c.hash[c.lines > 1] for c in map(cut, find_words(batch.column("text"), space_words(), lower=False))]
             keys, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             out = packed(bits, keys, np.minimum(counts, 2).astype(np.uint8))
             if out:
@@ -117,9 +127,9 @@ def _occurrences(bitmap):
             ids, keys = batch.column("doc_id"), batch.column("key")
             for w in find_words(batch.column("text"), space_words(), lower=False):
                 c = cut(w)
-                at = np.flatnonzero(maybe_in(bitmap.value, c.hash)) if len(c.hash) else np.zeros(0, np.int64)
+                at = np.flatnonzero(maybe_in(bitmap.value, c.hash) & (c.lines > 1))
                 rows = pa.array(w.row + c.owner[at])
-                texts = [b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(c.first[j], c.first[j + 1])) for j in at.tolist()]
+                texts = [w.data[a:b].tobytes() for a, b in zip(w.start[c.first[at]].tolist(), w.end[c.first[at + 1] - 1].tolist(), strict=True)] if len(at) else []
                 no = _numbers(c, w.documents)[at] if len(at) else at
                 yield pa.RecordBatch.from_arrays([pa.array(c.hash[at].view(np.int64)), ids.take(rows), keys.take(rows), pa.array(no), pa.array(texts, pa.binary())], ["hash", "doc_id", "key", "no", "chunk"])
 
@@ -146,11 +156,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def removals(w: Words, c: Chunks, document: int, nos: list[int], least: int) -> list[tuple[int, int]]:
     """The runs of the document's repeated chunks that are long enough, as first chunk and end of the block's chunks."""
     base, marks = int(np.searchsorted(c.owner, document)), set(nos)
+    marks |= {no + 1 for no in marks if no + 2 in marks and c.lines[base + no + 1] == 1}
     out, run = [], None
     for no in [*sorted(marks), None]:
         if run and no != run[1]:
             a, b = base + run[0], base + run[1]
-            if c.lines[a:b].sum() > 1 and c.first[b] - c.first[a] >= least:
+            if c.first[b] - c.first[a] >= least:
                 out.append((a, b))
             run = None
         if no is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import table
-from glossa.llm.spans import apart, counted, hits, listed, replaced, tagged
+from glossa.llm.spans import apart, counted, hits, listed, once, replaced, tagged
 
 KINDS = ("assign", "access", "hex", "entropy")
 MARKS = tuple(f"[{k.upper()}]" for k in KINDS)
@@ -56,22 +56,29 @@ def most_entropy(s: Column, window: int = WINDOW) -> Column:
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(state: Column, i: Column) -> Column:
-        new = F.ascii(F.substring(s, i, F.lit(1)))
-        old = F.when(i > window, F.ascii(F.substring(s, i - window, F.lit(1)))).otherwise(F.lit(-1))
+    def slide(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            new = F.element_at(codes, i)
+            old = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
 
-        def moved(counts: Column) -> Column:
-            return F.transform(counts, lambda c, j: c + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0))
+            def moved(x: Column) -> Column:
+                return F.transform(state["counts"], lambda c, j: c + F.when(j == x["new"], 1).otherwise(0) - F.when(j == x["old"], 1).otherwise(0))
 
-        entering = F.element_at(state["counts"], new + 1)
-        leaving = F.when(old >= 0, F.element_at(state["counts"], old + 1)).otherwise(F.lit(0))
-        change = term(entering + 1) - term(entering) - F.when(old >= 0, term(leaving) - term(leaving - 1)).otherwise(0.0)
-        total = F.when(new == old, state["total"]).otherwise(state["total"] + change)
-        bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
-        return F.struct(moved(state["counts"]).alias("counts"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+            def state_after(x: Column) -> Column:
+                entering = F.element_at(state["counts"], x["new"] + 1)
+                leaving = F.when(x["old"] >= 0, F.element_at(state["counts"], F.greatest(x["old"], F.lit(0)) + 1)).otherwise(F.lit(0))
+                change = term(entering + 1) - term(entering) - F.when(x["old"] >= 0, term(leaving) - term(leaving - 1)).otherwise(0.0)
+                total = F.when(x["new"] == x["old"], state["total"]).otherwise(state["total"] + change)
+                bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
+                return F.struct(moved(x).alias("counts"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
-    return F.when(F.length(s) >= window, F.round(F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step)["best"], 9))
+            return once(F.struct(new.alias("new"), old.alias("old")), state_after)
+
+        start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step)["best"]
+
+    codes = F.transform(F.split(s, ""), F.ascii)
+    return F.when(F.length(s) >= window, F.round(once(codes, slide), 9))
 
 
 def entropy_hits(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:

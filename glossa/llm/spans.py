@@ -10,10 +10,17 @@ characters again: possessive quantifiers, and a look-behind or \\G before a run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once: a lambda's argument is, a plain expression is at each place where it stands."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def hits(text: Column, pattern: str | Column, gate: Column) -> Column:
     """array<struct<start, end, found>> of the leftmost non-overlapping matches; empty where the gate is false.
 
@@ -35,8 +42,7 @@ def hits(text: Column, pattern: str | Column, gate: Column) -> Column:
         starts = F.aggregate(s, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
         return F.zip_with(starts, s, lambda at, x: F.struct(at.alias("start"), (at + F.length(x["found"])).cast("int").alias("end"), x["found"].alias("found")))
 
-    # a lambda's argument is computed once, a plain expression at each place where it stands
-    return F.when(gate, F.element_at(F.transform(F.array(steps), placed), 1)).otherwise(none)
+    return F.when(gate, once(steps, placed)).otherwise(none)
 
 
 def tagged(kind: int, found: Column) -> Column:

@@ -8,8 +8,7 @@ passed over, so only a short line between long ones is a chunk by itself.  Every
 looks at neighbouring lines alone: an insertion shifts no boundary beyond the next ones.
 Chunks of several lines that occur more than once in the corpus are compared byte by
 byte, and all but the first occurrence, by doc_id and place, count as repeated.  Runs of
-repeated chunks (a chunk of one line between two of them belongs to the run) with at
-least LEAST_WORDS words are removed from their texts.
+repeated chunks with at least LEAST_WORDS words are removed from their texts.
 
 Three scans: hashes of all chunks, counted; the texts of the few that may be repeated,
 told by a bitmap of bounded size; and the removal.  Only texts of the second kind and
@@ -156,7 +155,6 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def removals(w: Words, c: Chunks, document: int, nos: list[int], least: int) -> list[tuple[int, int]]:
     """The runs of the document's repeated chunks that are long enough, as first chunk and end of the block's chunks."""
     base, marks = int(np.searchsorted(c.owner, document)), set(nos)
-    marks |= {no + 1 for no in marks if no + 2 in marks and c.lines[base + no + 1] == 1}
     out, run = [], None
     for no in [*sorted(marks), None]:
         if run and no != run[1]:

@@ -1,0 +1,121 @@
+"""The similarity join and its parts against loops over all pairs."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from glossa.llm import components, jaccard
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute(rows):
+    """Positions of rows with their set size and component, by union of all linked pairs."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if sets[i] and d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted((str(d), len(sets[i]), str(least.get(root(i)) if sets[i] else d)) for i, (d, _) in enumerate(rows))
+
+
+def corpus(seed, groups=6, size=8):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    passage = [rng.choice(vocabulary) for _ in range(12)]
+    texts = []
+    for _ in range(groups):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([5, 12, 40, 90]))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w + (passage if rng.random() < 0.4 else [])))
+    texts += [" ".join(passage), "one two", "One  two", "one two three", "", None, None]
+    ids = rng.sample(range(1000), len(texts))
+    return list(zip(ids, texts, strict=True)) + [(ids[0], texts[0]), (None, texts[1]), (None, "alone without id here now")]
+
+
+@pytest.mark.parametrize("seed, short, block", [(1, 64, 4096), (2, 2, 4096), (3, 2, 3)])
+def test_components_of_texts(make, seed, short, block):
+    """Also with lists of more than two nodes taken as long ones, in blocks of three."""
+    rows = corpus(seed)
+    got = jaccard.join(make(rows, ["sig", "n", "component_id"]), short=short, block=block).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_keep_one(make):
+    rows = corpus(4, groups=4)
+    docs = make(rows, ["sig"])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(d, n, c) for d, n, c in brute(rows)]
+    empty = sum(n == 0 for _, n, _ in want)
+    heads = {c for _, n, c in want if n}
+    got = [(str(r.doc_id), r.text) for r in kept.collect()]
+    assert sum(not shingles(t) for _, t in got) == empty
+    assert sorted(d for d, t in got if shingles(t)) == sorted(heads)
+
+
+def test_long_texts_and_ties(make):
+    rows = [(1, "a " * 30_000), (2, "a " * 20_000), (3, "x" * 100_000), (4, " ".join(map(str, range(20_000)))), (5, " ".join(map(str, range(1, 20_001))))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(make(rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (19_996, 4), 5: (19_996, 4)}
+
+
+def test_empty(make):
+    assert jaccard.join(make([])).count() == 0 and jaccard.keep_one(make([])).count() == 0
+    assert [r.component_id for r in jaccard.join(make([(5, None)])).collect()] == [5]
+
+
+def test_needed_is_the_threshold():
+    for a in range(1, 60):
+        for b in range(1, 60):
+            least = next((k for k in range(min(a, b) + 1) if 100 * k >= 80 * (a + b - k)), None)
+            if least is not None:
+                assert jaccard.needed(a, b) == least
+            else:
+                assert jaccard.needed(a, b) > min(a, b)
+
+
+def test_occur():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 600, rng.integers(1, 500)).astype(np.uint64)) for _ in range(2))
+        k = len(np.intersect1d(a, b))
+        assert jaccard.occur(a, b, k) and not jaccard.occur(a, b, k + 1)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: rng.integers(0, 400)], b[:20]]))
+        marks = jaccard._marks(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert np.bitwise_count(marks[0] ^ marks[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (1, 0)]
+    got = {r.vertex: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

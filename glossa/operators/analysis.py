@@ -103,3 +103,28 @@ def fill_missing(config: DataFrame, expected: DataFrame, fallback: DataFrame, on
     wanted = config.join(expected.select(on).distinct(), on, "left_semi")
     missing = expected.select(on).distinct().join(config.select(on).distinct(), on, "left_anti")
     return wanted.unionByName(fallback.join(missing, on, "left_semi"))
+
+
+def mean_by_run(scores: DataFrame, metrics: list[str], run: str = "run") -> DataFrame:
+    """Unweighted means over a run's tags."""
+    return scores.groupBy(run).agg(*(F.avg(m).alias(m) for m in metrics))
+
+
+def metric_pivot(scores: DataFrame, metric: str, runs: list[str], run: str = "run") -> DataFrame:
+    """One row a tag, one column a run; null where a run lacks the tag.  A tag that a run has twice raises an error."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a tag stands twice in a run")).cast("double")).otherwise(F.max(F.col(metric).cast("double")))
+    cells = scores.groupBy("tag", run).agg(once.alias("v"))
+    return cells.groupBy("tag").pivot(run, runs).agg(F.first("v"))
+
+
+def bin_pivot(rows: DataFrame, index: str, bins: list[str], value: str, how: str = "avg", scaled: bool = False) -> DataFrame:
+    """One row an index value, one column a bin: means or sums of a value, 0 where there is none, on a logarithmic scale if asked."""
+    agg = {"avg": F.avg, "sum": F.sum}[how](value)
+    out = rows.groupBy(index).pivot("bin", bins).agg(F.log1p(agg) if scaled else agg)
+    return out.na.fill(0)
+
+
+def raw_labels(tokens: DataFrame, labels: list[str], outside: str = "O") -> DataFrame:
+    """Labels without marks made chunks of one token: B- before all but the outside label, which becomes O."""
+    new = {c: F.when(F.col(c) == outside, F.lit("O")).otherwise(F.concat(F.lit("B-"), F.col(c))) for c in labels}
+    return tokens.withColumns(new)

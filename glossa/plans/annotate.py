@@ -123,3 +123,9 @@ def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str
     before = spark.read.schema(schema).parquet(done_path).count()
     annotate(todo, predict, columns, settings, **how).select(*columns, "tagged_text", "entities").write.mode("append").parquet(done_path)
     return spark.read.schema(schema).parquet(done_path).count() - before
+
+
+def grammar(tags: list[str]) -> str:
+    """A grammar for replies: text and tags of the given names, opened and closed alike."""
+    names = " | ".join(f'"{t}"' for t in tags)
+    return f'root ::= (text | entity)*\nentity ::= "<" name ">" text "</" name ">"\nname ::= {names}\ntext ::= [^<>]+\n'

@@ -495,3 +495,39 @@ def text_functions(spark, sf_dir):
 def filled_configuration(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return analysis.fill_missing(docs.where("doc_id % 2 = 0"), table(spark, sf_dir, "labels"), docs.withColumn("lang", F.lit("fallback"))).select("lang", "source")
+
+
+_RUNS = f"""{_STRICT}, c AS (SELECT tag, 'run1' AS run, {_COUNTS} FROM f GROUP BY tag), a AS (SELECT tag, run, {_SCORES} FROM c),
+f2 AS (SELECT doc_id, s, e, tag, max(g) AS g, max(y) AS y FROM (SELECT doc_id, s, e, tag, 1 AS g, 0 AS y FROM gold UNION ALL SELECT doc_id, s, e, tag, 0, 1 FROM sys WHERE ord % 3 <> 0 AND tag <> 'MISC') GROUP BY ALL),
+c2 AS (SELECT tag, 'run2' AS run, {_COUNTS} FROM f2 GROUP BY tag), r AS (SELECT * FROM a UNION ALL SELECT tag, run, {_SCORES} FROM c2)"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    one = ner_strict_by_tag(spark, sf_dir).withColumn("run", F.lit("run1"))
+    second = matching.strict(gold(spark, sf_dir), system(spark, sf_dir).where("ord % 3 <> 0 and tag <> 'MISC'"), ["start", "end", "tag"])
+    two = metrics.with_scores(second.groupBy("tag").agg(*matching.flag_counts()), 6).withColumn("run", F.lit("run2"))
+    return one.unionByName(two)
+
+
+@query(_RUNS + " SELECT run, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM r GROUP BY run")
+def mean_by_run(spark, sf_dir):
+    return analysis.mean_by_run(_runs(spark, sf_dir), ["precision", "recall", "f1"]).select("run", *_six("precision", "recall", "f1"))
+
+
+@query(_RUNS + " SELECT tag, max(CASE WHEN run = 'run1' THEN f1 END) AS run1, max(CASE WHEN run = 'run2' THEN f1 END) AS run2 FROM r GROUP BY tag")
+def f1_pivot(spark, sf_dir):
+    return analysis.metric_pivot(_runs(spark, sf_dir), "f1", ["run1", "run2"])
+
+
+@query("SELECT event_type, " + ", ".join(f"round(coalesce(avg(CASE WHEN user_id % 3 = {i} THEN value END), 0), 6) AS b{i}" for i in range(3)) + " FROM events GROUP BY event_type", spans=False)
+def bin_pivot(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("bin", F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
+    return analysis.bin_pivot(rows, "event_type", ["b0", "b1", "b2"], "value").select("event_type", *_six("b0", "b1", "b2"))
+
+
+@query(_BIO + _CHUNK.replace("g0.label AS gold, b.label AS pred", "CASE WHEN g0.label = 'O' THEN 'O' ELSE 'B-' || substring(g0.label, 3) END AS gold, CASE WHEN b.label = 'O' THEN 'O' ELSE 'B-' || substring(b.label, 3) END AS pred") + """, m AS (SELECT type, max((side = 'g')::INT) AS g, max((side = 'p')::INT) AS p FROM c GROUP BY doc_id, a, z, type)
+SELECT type, CAST(sum(g) AS BIGINT) AS n_gold, CAST(sum(p) AS BIGINT) AS n_found, CAST(sum(g * p) AS BIGINT) AS n_correct FROM m GROUP BY ROLLUP (type)""")
+def conll_raw_tags(spark, sf_dir):
+    bare = lambda c: F.when(F.col(c) == "O", F.col(c)).otherwise(F.substring(c, 3, 100)).alias(c)
+    rows = _labels(spark, sf_dir).select("doc_id", "pos", bare("gold"), bare("pred"))
+    return bio.chunk_scores(analysis.raw_labels(rows, ["gold", "pred"])).select("type", "n_gold", "n_found", "n_correct")

@@ -72,7 +72,7 @@ def merged_spans(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> Dat
     last span's end, so it can shrink over nested spans.
     """
     # a document's text meets its spans once, not once a span
-    grouped = spans.select(key, "start", "end").distinct().groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    grouped = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     text = texts.select(F.col(key), F.col("text"))
 
     def broken(x: Column, i: Column) -> Column:

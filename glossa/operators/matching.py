@@ -46,12 +46,14 @@ def merged(gold: DataFrame, system: DataFrame, texts: DataFrame, key: str = "doc
     """
     sets = strict(gold, system, ["start", "end"], [key])
     joined = strict(merged_spans(gold, texts, key), merged_spans(system, texts, key), ["start", "end"], [key])
-    both = sets.unionByName(joined).where("in_gold and in_sys").select(key, "start", "end").distinct()
-    rest = sets.where("in_gold <> in_sys")
-    inside = contained((F.col("start"), F.col("end")), (F.col("r_start"), F.col("r_end")))
-    held = interval_join(rest, both.select(key, F.col("start").alias("r_start"), F.col("end").alias("r_end")), [key], inside).select(key, "start", "end").distinct()
-    errors = rest.join(held, [key, "start", "end"], "left_anti").select(key, "start", "end", F.when(F.col("in_sys"), F.lit("fp")).otherwise(F.lit("fn")).alias("kind"))
-    return both.withColumn("kind", F.lit("tp")).unionByName(errors)
+    rows = sets.withColumn("own", F.lit(True)).unionByName(joined.where("in_gold and in_sys").withColumn("own", F.lit(False)))
+    alone = F.col("own") & (F.col("in_gold") != F.col("in_sys"))
+    rows = rows.groupBy(key, "start", "end").agg(F.max(F.col("in_gold") & F.col("in_sys")).alias("both"), F.max(alone & F.col("in_sys")).alias("fp"), F.max(alone & F.col("in_gold")).alias("fn"))
+    # a span is contained if one of the intersection that starts no later ends no earlier
+    before = Window.partitionBy(key).orderBy("start", F.desc("both")).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(F.max(F.when(F.col("both"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    kind = F.when(F.col("both"), F.lit("tp")).when(~F.col("held") & F.col("fp"), F.lit("fp")).when(~F.col("held") & F.col("fn"), F.lit("fn"))
+    return rows.withColumn("held", held).withColumn("kind", kind).where("kind is not null").select(key, "start", "end", "kind")
 
 
 def _nth(df: DataFrame, on: list[str], keys: list[str], order: str) -> DataFrame:
@@ -65,11 +67,19 @@ def exact_pairs(gold: DataFrame, system: DataFrame, on: list[str], keys: list[st
     return g.select(*columns, F.col(order).alias("gold_ord")).join(s.select(*columns, F.col(order).alias("sys_ord")), columns).drop("_nth")
 
 
+def paired(gold: DataFrame, system: DataFrame, on: list[str], keys: list[str] = KEYS, order: str = "ord") -> DataFrame:
+    """The rows of both sides (common columns) with `side` (gold, sys) and `matched`, as exact_pairs pairs them: one shuffle."""
+    columns = [c for c in gold.columns if c in system.columns]
+    rows = gold.select(*columns, F.lit("gold").alias("side")).unionByName(system.select(*columns, F.lit("sys").alias("side")))
+    nth = F.row_number().over(Window.partitionBy(*keys, *on, "side").orderBy(order))
+    equal = F.count(F.lit(1)).over(Window.partitionBy(*keys, *on, "_nth"))
+    return rows.withColumn("_nth", nth).withColumn("matched", equal == 2).drop("_nth")
+
+
 def left_over(gold: DataFrame, system: DataFrame, on: list[str], keys: list[str] = KEYS, order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """What exact_pairs leaves of both sides."""
-    pairs = exact_pairs(gold, system, on, keys, order)
-    g = gold.join(pairs.select(*keys, F.col("gold_ord").alias(order)), [*keys, order], "left_anti")
-    return g, system.join(pairs.select(*keys, F.col("sys_ord").alias(order)), [*keys, order], "left_anti")
+    """What exact_pairs leaves of both sides (their common columns)."""
+    rest = paired(gold, system, on, keys, order).where("not matched")
+    return rest.where("side = 'gold'").drop("side", "matched"), rest.where("side = 'sys'").drop("side", "matched")
 
 
 def inclusions(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS, by_tag: bool = True) -> DataFrame:
@@ -96,26 +106,24 @@ def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant,
     positive).  tp and fn count gold spans, fp system spans.
     """
     on = ["start", "end", "text", "tag"] if by_tag else ["start", "end", "text"]
-    exact = exact_pairs(gold, system, on, keys)
-    g, s = left_over(gold, system, on, keys)
-    pairs = inclusions(g, s, keys, by_tag)
+    both = paired(gold, system, on, keys)
+    rest = both.where("not matched")
+    pairs = inclusions(rest.where("side = 'gold'"), rest.where("side = 'sys'"), keys, by_tag)
     # the span's own text is enough to look at what its gold spans leave of it
     held = groupings(pairs, keys).join(system.select(*keys, F.col("ord").alias("sys_ord"), F.col("text").alias("sys_text")), [*keys, "sys_ord"])
     piece = lambda x: F.substring("sys_text", x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
     held = held.withColumn("extra", F.exists("uncovered", lambda x: significant(piece(x)))).drop("sys_text")
-    parts = [
-        gold.select(*keys, F.lit("gold").alias("what"), F.lit(1).alias("n")),
-        system.select(*keys, F.lit("sys"), F.lit(1)),
-        exact.select(*keys, F.lit("both"), F.lit(1)),
-        pairs.select(*keys, "gold_ord").distinct().select(*keys, F.lit("held_gold"), F.lit(1)),
-        held.select(*keys, F.lit("held_sys"), F.lit(1)),
-        held.where("extra").select(*keys, F.lit("extra"), F.lit(1)),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    n = {w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)) for w in ("gold", "sys", "both", "held_gold", "held_sys", "extra")}
-    counts = rows.groupBy(*keys).agg((n["both"] + n["held_gold"]).alias("tp"), (n["sys"] - n["both"] - n["held_sys"] + n["extra"]).alias("fp"), (n["gold"] - n["both"] - n["held_gold"]).alias("fn"))
+    names = ("gold", "sys", "both", "held_gold", "held_sys", "extra")
+
+    def tally(rows: DataFrame, **what: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(F.count_if(what[n]).alias(n) if n in what else F.lit(0).cast("long").alias(n) for n in names))
+
+    gold_side = F.col("side") == "gold"
+    parts = tally(both, gold=gold_side, sys=~gold_side, both=gold_side & F.col("matched"))
+    parts = parts.union(tally(pairs.select(*keys, "gold_ord").distinct(), held_gold=F.lit(True)))
+    parts = parts.union(tally(held, held_sys=F.lit(True), extra=F.col("extra")))
+    n = {w: F.sum(w) for w in names}
+    counts = parts.groupBy(*keys).agg((n["both"] + n["held_gold"]).alias("tp"), (n["sys"] - n["both"] - n["held_sys"] + n["extra"]).alias("fp"), (n["gold"] - n["both"] - n["held_gold"]).alias("fn"))
     return counts, held
 
 

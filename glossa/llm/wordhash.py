@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together: bounds the temporary arrays (about ten times this).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _GOLDEN = 0x9E3779B97F4A7C15

@@ -2,8 +2,9 @@
 
 A text's lines are cut at line breaks, and long ones again after a sentence's end and
 after words that their own hash picks, so lines are short and cut alike wherever they
-stand.  A rolling hash over the hashes of two lines picks the ends of chunks; so do the
-two ends of a line that was cut again.  Ends that would leave a chunk of one line are
+stand.  A rolling hash over the last words of two lines picks the ends of chunks: where
+it is less than before and not more than after, so a chunk has three lines or so; so do
+the two ends of a line that was cut again.  Ends that would leave a chunk of one line are
 passed over, so only a short line between long ones is a chunk by itself.  Every rule
 looks at neighbouring lines alone: an insertion shifts no boundary beyond the next ones.
 Chunks of several lines that occur more than once in the corpus are compared byte by
@@ -35,8 +36,8 @@ from glossa.llm.shared import table, written
 from glossa.llm.wordhash import Words, constants, find_words, mix, space_words
 
 LEAST_WORDS = 20
-#: One word in so many ends a line, one line in so many ends a chunk.
-WORDS_A_LINE, LINES_A_CHUNK = 8, 3
+#: One word in so many ends a line.
+WORDS_A_LINE = 2
 
 REPORT = "doc_id long, n_words long, n_chunks long, n_removed_words long, n_removed_chunks long, text_sha256 string"
 
@@ -78,10 +79,12 @@ def cut(w: Words) -> Chunks:
         forced = closes & (final | ~whole | np.append(~whole[1:], True))
         head = np.concatenate([[True], forced[:-1]])
         c1, c2 = constants(2, 13)
-        rolling = mix(line * c1 + np.where(head, np.uint64(0), np.concatenate([[np.uint64(0)], line[:-1]])) * c2)
-        picked = (rolling % np.uint64(LINES_A_CHUNK) == 0) & ~forced
-        # not the second of two in a row, not after a first line, not before a last one
-        picked &= ~np.concatenate([[False], picked[:-1]]) & ~head & ~np.append(forced[1:], True)
+        word = w.hash[line_end - 1]  # each line's last
+        rolling = mix(word * c1 + np.where(head, np.uint64(0), np.concatenate([[np.uint64(0)], word[:-1]])) * c2)
+        # less than the one before and no more than the next: never two in a row
+        picked = np.concatenate([[False], rolling[1:] < rolling[:-1]]) & np.append(rolling[:-1] <= rolling[1:], False)
+        # not a first line, not the one before a last
+        picked &= ~forced & ~head & ~np.append(forced[1:], True)
         chunk_end = np.flatnonzero(picked | forced) + 1
         chunk_start = np.concatenate([[0], chunk_end[:-1]])
         place = np.arange(len(line)) - np.repeat(chunk_start, chunk_end - chunk_start)
@@ -130,7 +133,7 @@ def _occurrences(bitmap):
                 rows = pa.array(w.row + c.owner[at])
                 texts = [w.data[a:b].tobytes() for a, b in zip(w.start[c.first[at]].tolist(), w.end[c.first[at + 1] - 1].tolist(), strict=True)] if len(at) else []
                 no = _numbers(c, w.documents)[at] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(c.hash[at].view(np.int64)), ids.take(rows), keys.take(rows), pa.array(no), pa.array(texts, pa.binary())], ["hash", "doc_id", "key", "no", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash[at].view(np.int64)), ids.take(rows), keys.take(rows), pa.array(no, pa.int32()), pa.array(texts, pa.binary())], ["hash", "doc_id", "key", "no", "chunk"])
 
     return run
 
@@ -143,12 +146,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     hashes = rows.select("text").mapInArrow(_hashes(bits), schema(1))
     twice = written(dealt(hashes, bits).mapInArrow(gathered((np.uint8,), _repeated), "hash long"), "chunks")
     bitmap = spark.sparkContext.broadcast(bitmap_of(twice, "hash"))
-    seen = rows.withColumn("key", F.xxhash64("text")).mapInArrow(_occurrences(bitmap), "hash long, doc_id long, key long, no long, chunk binary")
-    seen = written(seen.withColumn("check", F.xxhash64("chunk")), "occurrences")
+    seen = rows.withColumn("key", F.xxhash64("text")).mapInArrow(_occurrences(bitmap), "hash long, doc_id long, key long, no int, chunk binary")
+    seen = written(seen, "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"), F.col("no").alias("d"))
-    # equal bytes, not hashes, make a group; rows alike in id and text are one occurrence
-    groups = seen.groupBy("hash", "check", "chunk").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("hash", "check", "least")
-    later = seen.select("hash", "check", "doc_id", "key", "no").join(groups, ["hash", "check"]).where(place != F.col("least"))
+    # equal bytes, not hashes, make a group; rows alike in id and text are one occurrence, no later one
+    check = F.xxhash64("chunk").alias("check")
+    groups = seen.groupBy("hash", "chunk").agg(F.min(place).alias("least")).select("hash", check, "least")
+    later = seen.select("hash", check, "doc_id", "key", "no").join(groups, ["hash", "check"]).where(place != F.col("least"))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("no")).alias("nos"))
 
 

@@ -105,3 +105,30 @@ def test_an_insertion_shifts_few_boundaries():
 
 def test_empty(make):
     assert d.report(make([])).count() == 0 and d.clean(make([])).count() == 0
+
+
+def planted(rng, passage, join):
+    """Two texts with the passage between words of their own."""
+    return [join.join([prose(rng, 150), passage, prose(rng, 150)]) for _ in range(2)]
+
+
+def removed(texts):
+    """Words removed of the second of two texts, by what cut() and removals() say."""
+    seen = {c[0] for c in chunks(texts[0])}
+    w = next(find_words(pa.array(texts[1:]), space_words(), lower=False))
+    c = d.cut(w)
+    nos = [k for k, x in enumerate(chunks(texts[1])) if x[0] in seen]
+    return sum(int(c.first[b] - c.first[a]) for a, b in d.removals(w, c, 0, nos, d.LEAST_WORDS))
+
+
+def test_passages_amid_longer_lines_go():
+    rng = random.Random(11)
+    gone = [removed(planted(rng, prose(rng, n), " ")) / n for n in range(51, 61) for _ in range(10)]
+    assert sum(g == 0 for g in gone) <= 1 and sum(gone) / len(gone) > 0.7
+
+
+def test_a_passage_amid_a_longer_line_goes(make):
+    rng = random.Random(12)
+    rows = [(10 * n + k, t) for n in range(51, 61) for k, t in enumerate(planted(rng, prose(rng, n), " "))]
+    got = {r.doc_id: r.n_removed_words for r in d.report(make(rows)).collect()}
+    assert all(got[10 * n] == 0 for n in range(51, 61)) and sum(got[10 * n + 1] >= d.LEAST_WORDS for n in range(51, 61)) >= 9

@@ -1,15 +1,16 @@
 """Line dedup by content-defined chunks.
 
-A text's lines are cut at line breaks, and long ones again after a sentence's end and
-after words that their own hash picks, so lines are short and cut alike wherever they
-stand.  A rolling hash over the last words of two lines picks the ends of chunks: where
-it is less than before and not more than after, so a chunk has three lines or so; so do
-the two ends of a line that was cut again.  Ends that would leave a chunk of one line are
-passed over, so only a short line between long ones is a chunk by itself.  Every rule
-looks at neighbouring lines alone: an insertion shifts no boundary beyond the next ones.
-Chunks of several lines that occur more than once in the corpus are compared byte by
-byte, and all but the first occurrence, by doc_id and place, count as repeated.  Runs of
-repeated chunks with at least LEAST_WORDS words are removed from their texts.
+A text's lines are cut at line breaks, and again after a sentence's end and after words
+that their own hash picks, or else after the first word, so lines are short and cut alike
+wherever they stand.  A rolling hash over the last words of two lines picks the ends of
+chunks: where it is less than before and not more than after, so a chunk has three lines
+or so; so do the two ends of a line that was cut again.  Ends that would leave a chunk of
+one line are passed over, so only a single word on a line between others is a chunk by
+itself.  Every rule looks at neighbouring lines alone: an insertion shifts no boundary
+beyond the next ones.  Chunks that occur more than once in the corpus are compared byte
+by byte, and all but the first occurrence, by doc_id and place, count as repeated.  Runs
+of repeated chunks with at least LEAST_WORDS words, so of several lines, are removed from
+their texts.
 
 Three scans: hashes of all chunks, counted; the texts of the few that may be repeated,
 told by a bitmap of bounded size; and the removal.  Only texts of the second kind and
@@ -65,6 +66,10 @@ def cut(w: Words) -> Chunks:
     last[:-1] = broken[w.start[1:]] > broken[w.end[:-1]]
     last[w.first[1:][np.diff(w.first) > 0] - 1] = True
     ends = np.isin(w.data[w.end - 1], np.frombuffer(b".!?", np.uint8)) | (w.hash % np.uint64(WORDS_A_LINE) == 0) | last
+    physical_end = np.flatnonzero(last) + 1
+    physical_start = np.concatenate([[0], physical_end[:-1]])
+    # a physical line that nothing cuts is cut after its first word
+    ends[physical_start[np.add.reduceat(ends, physical_start, dtype=np.int64) == 1]] = True
     line_end = np.flatnonzero(ends) + 1
     line_start = np.concatenate([[0], line_end[:-1]])
     with np.errstate(over="ignore"):
@@ -104,7 +109,7 @@ def _numbers(c: Chunks, documents: int) -> np.ndarray:
 def _hashes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [c.hash[c.lines > 1] for c in map(cut, find_words(batch.column("text"), space_words(), lower=False))]
+            found = [c.hash for c in map(cut, find_words(batch.column("text"), space_words(), lower=False))]
             keys, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             out = packed(bits, keys, np.minimum(counts, 2).astype(np.uint8))
             if out:
@@ -129,7 +134,7 @@ def _occurrences(bitmap):
             ids, keys = batch.column("doc_id"), batch.column("key")
             for w in find_words(batch.column("text"), space_words(), lower=False):
                 c = cut(w)
-                at = np.flatnonzero(maybe_in(bitmap.value, c.hash) & (c.lines > 1))
+                at = np.flatnonzero(maybe_in(bitmap.value, c.hash))
                 rows = pa.array(w.row + c.owner[at])
                 texts = [w.data[a:b].tobytes() for a, b in zip(w.start[c.first[at]].tolist(), w.end[c.first[at + 1] - 1].tolist(), strict=True)] if len(at) else []
                 no = _numbers(c, w.documents)[at] if len(at) else at

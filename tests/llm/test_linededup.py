@@ -132,3 +132,21 @@ def test_a_passage_amid_a_longer_line_goes(make):
     rows = [(10 * n + k, t) for n in range(51, 61) for k, t in enumerate(planted(rng, prose(rng, n), " "))]
     got = {r.doc_id: r.n_removed_words for r in d.report(make(rows)).collect()}
     assert all(got[10 * n] == 0 for n in range(51, 61)) and sum(got[10 * n + 1] >= d.LEAST_WORDS for n in range(51, 61)) >= 9
+
+
+def test_blocks_of_short_lines_go_whole(make):
+    rng = random.Random(13)
+    rows, sizes = [], {}
+    for n in range(8):
+        lines = [prose(rng, k) for k in (8, 8, 3, 8, 1, 8, 8, 2, 8, 8)]
+        sizes[10 * n + 1] = sum(len(x.split()) for x in lines)
+        rows += [(10 * n + k, t) for k, t in enumerate(planted(rng, "\n".join(lines), "\n"))]
+    got = {r.doc_id: r.n_removed_words for r in d.report(make(rows)).collect()}
+    assert {i: got[i] for i in sizes} == sizes
+
+
+def test_a_lone_short_line_that_stands_once_stays(make):
+    rng = random.Random(14)
+    a, b = prose(rng, 60), prose(rng, 60)
+    texts = [r.text for r in d.clean(make([(1, f"{a}\n{b}"), (2, f"{a}\nonce\n{b}"), (3, f"{a}\njust once\n{b}")])).orderBy("doc_id").collect()]
+    assert [t.split() for t in texts[1:]] == [["once"], ["just", "once"]]

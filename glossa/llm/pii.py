@@ -3,17 +3,20 @@
 Personal data (e-mail and IP addresses, card and phone numbers) are the protected
 entities.  Over the whole corpus it is counted in how many different contexts (the words
 within REACH words of an entity, in its line) a term stands beside an entity, c(t, e),
-and how often the term occurs at all, c(t).  What remains unknown of e once t is read is
+and how often the term occurs at all, c(t), in the same measure.  What remains unknown of e once t is read is
 IC(e) - PMI(t; e) = log2(c(t) / c(t, e)) bits.  Terms that leave at most REMOVE_BITS are
 removed, terms that leave at most GENERALISE_BITS are generalised, wherever they occur:
 they would lead back to an entity that is masked.  Contexts that are copies of each
-other count once, and a term needs LEAST_CONTEXTS of them.
+other count once, for c(t, e) and c(t) alike, and a term needs LEAST_CONTEXTS of them.
+In documents with entities c(t) has a term once for each different context and for each
+different line where it stands beside no entity; in those without any it counts each
+occurrence.
 
 The terms met beside entities in enough contexts, and those found to disclose, are sent
 to every task while they are at most MAX_BROADCAST_TERMS; more are joined by shuffles.
 
 Defined cases: a null text is empty and has no spans; repeated rows are returned each,
-and count as often as they occur for c(t); an empty table gives an empty result.
+and count as often as they occur for c(t) if they have no entity; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from glossa.llm.spans import apart, counted, hits, listed, replaced, tagged
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REMOVED]", "[TERM]")
 REACH = 12
-LEAST_CONTEXTS = 3
+LEAST_CONTEXTS = 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 MAX_BROADCAST_TERMS = 20_000
 
@@ -55,39 +58,65 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """entity and term of each different context: one row each."""
-    found = base_hits(F.col("text"))
+def _words(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit(_TERM), F.lit(0))
+
+
+def _entities(text: Column) -> Column:
+    """Each entity in a text with its place."""
 
     def keyed(kind: str, matches: Column) -> Column:
         same = F.lower if kind in ("email", "ip") else lambda x: F.regexp_replace(x, "[^0-9]", "")
         return F.transform(matches, lambda m: F.struct(F.concat(F.lit(kind + ":"), same(m["found"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end")))
 
-    entities = [keyed(kind, x) for kind, x in zip(KINDS, found, strict=False)]
-    spans = _rows(docs).select("text", F.explode(F.concat(*entities)).alias("m")).select("text", "m.*")
+    return F.concat(*(keyed(kind, x) for kind, x in zip(KINDS, base_hits(text), strict=False)))
+
+
+def _beside(docs: DataFrame) -> DataFrame:
+    """A row for each entity of each document: the line (its hash), the place in it, the terms beside and the context."""
+    spans = _rows(docs).select("text", F.explode(_entities(F.col("text"))).alias("m")).select("text", "m.*")
     before = F.substring_index(F.substring("text", 1, F.col("start")), "\n", -1)
     after = F.substring_index(F.col("text").substr(F.col("end") + 1, F.length("text")), "\n", 1)
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(_TERM), F.lit(0))
-    left = F.reverse(F.slice(F.reverse(words(F.substring_index(before, " ", -2 * REACH))), 1, REACH))
-    right = F.slice(words(F.substring_index(after, " ", 2 * REACH)), 1, REACH)
-    beside = spans.select("entity", left.alias("left"), right.alias("right"))
-    beside = beside.select("entity", F.array_distinct(F.concat("left", "right")).alias("terms"), F.xxhash64("left", "right").alias("context"))
-    return beside.select("entity", "context", F.explode("terms").alias("term")).distinct()
+    left = F.reverse(F.slice(F.reverse(_words(F.substring_index(before, " ", -2 * REACH))), 1, REACH))
+    right = F.slice(_words(F.substring_index(after, " ", 2 * REACH)), 1, REACH)
+    line = F.xxhash64(F.concat(before, F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")), after))
+    beside = spans.select("entity", line.alias("line"), F.length(before).alias("place"), left.alias("left"), right.alias("right"))
+    return beside.select("entity", "line", "place", F.array_distinct(F.concat("left", "right")).alias("terms"), F.xxhash64("left", "right").alias("context"))
+
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """entity and term of each different context: one row each."""
+    return _beside(docs).select("entity", "context", F.explode("terms").alias("term")).distinct()
 
 
 def _join_terms(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return rows.join(F.broadcast(terms) if n_terms <= MAX_BROADCAST_TERMS else terms, "term")
 
 
+def _totals(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """term and total, c(t): occurrences in documents without entities, different contexts and other lines in those with any."""
+    once = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.transform(F.array_distinct(_words(x)), lambda t: F.struct(F.xxhash64(x).alias("line"), t.alias("term")))))
+    each = F.transform(_words(F.col("text")), lambda t: F.struct(F.lit(None).cast("long").alias("line"), t.alias("term")))
+    words = _rows(docs).select(F.explode(F.when(F.size(_entities(F.col("text"))) > 0, once).otherwise(each)).alias("w")).select("w.*")
+    # a term beside several entities of a line belongs to the context of the first
+    first = F.struct("place", "entity", "context")
+    beside = _join_terms(_beside(docs).select("line", first.alias("first"), F.explode("terms").alias("term")), terms, n_terms).groupBy("term", "line").agg(F.min("first").alias("first"))
+    words = _join_terms(words, terms, n_terms).groupBy("term", "line").agg(F.count(F.lit(1)).alias("n"))
+    both = words.select("term", "line", "n", F.lit(None).cast(beside.schema["first"].dataType).alias("first")).union(beside.select("term", "line", F.lit(0).cast("long"), "first"))
+    units = both.groupBy("term", "line").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    unit = F.when(F.col("first").isNotNull(), F.xxhash64("first.entity", "first.context")).otherwise(F.col("line"))
+    parts = units.groupBy("term", unit.alias("unit")).agg(F.sum("n").alias("n"))
+    return parts.groupBy("term").agg(F.sum(F.when(F.col("unit").isNull(), F.col("n")).otherwise(1)).alias("total"))
+
+
 def disclosing_terms(docs: DataFrame, least: int = LEAST_CONTEXTS, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
     """term and bits: the least that any entity keeps to itself once the term is read."""
     beside = contexts(docs).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
     near = written(beside.groupBy("term").agg(F.max("together").alias("together")), "terms")
     n = near.count()
-    words = _rows(docs).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0))).alias("term"))
     if not n:  # no term stands beside any entity often enough
         return near.select("term", F.lit(0.0).alias("bits"))
-    total = _join_terms(words, near.select("term"), n).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    total = _totals(docs, near.select("term"), n)
     bits = F.greatest(F.lit(0.0), F.log2(F.col("total") / F.col("together")))
     return _join_terms(near, total, n).select("term", bits.alias("bits")).where(F.col("bits") <= generalise)
 

@@ -120,6 +120,16 @@ def test_contexts_that_are_copies_count_once(make):
     assert pii.contexts(docs).count() == 1
 
 
+def test_a_disclosing_term_in_groups_of_copies(make):
+    """heron stands beside one address alone, in 3 lines, each copied 10 times with the line after it; egret in 2."""
+    rows = [(10 * k + i, f"{w} heron boss@x.org wrote\na line {w} follows") for k, w in enumerate(("alpha", "beta", "gamma")) for i in range(10)]
+    rows += [(100 + 10 * k + i, f"{w} egret clerk@x.org wrote\nthe egret again") for k, w in enumerate(("delta", "kappa")) for i in range(10)]
+    rows += [(200 + i, "mail ibis one@x.org or two@x.org " + "then " * i) for i in range(2)]
+    terms = {r.term: round(r.bits, 4) for r in pii.disclosing_terms(make(rows)).collect()}
+    assert terms["heron"] == 0 and terms["egret"] == round(math.log2(3 / 2), 4) and terms["ibis"] == 0
+    assert "alpha" not in terms and "delta" not in terms
+
+
 def test_places_are_code_points(spark):
     from glossa.llm.spans import hits
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.scatter import bitmap_of, bucket_bits, dealt, gathered, maybe_in, packed, schema
 from glossa.llm.shared import table, written
-from glossa.llm.wordhash import Words, constants, find_words, mix, space_words
+from glossa.llm.wordhash import Words, constants, find_words, hash_parts, mix, space_words
 
 LEAST_WORDS = 20
 #: One word in so many ends a line.
@@ -73,9 +73,7 @@ def cut(w: Words) -> Chunks:
     line_end = np.flatnonzero(ends) + 1
     line_start = np.concatenate([[0], line_end[:-1]])
     with np.errstate(over="ignore"):
-        place = np.arange(n) - np.repeat(line_start, line_end - line_start)
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()), constants(1, 11)[0])]))
-        line = mix(np.add.reduceat(w.hash * powers[place], line_start) + (line_end - line_start).astype(np.uint64))
+        line = hash_parts(w.hash, line_start, line_end - line_start)
         closes = last[line_end - 1]
         opens = np.concatenate([[True], closes[:-1]])
         whole = opens & closes  # a physical line that was not cut
@@ -92,9 +90,7 @@ def cut(w: Words) -> Chunks:
         picked &= ~forced & ~head & ~np.append(forced[1:], True)
         chunk_end = np.flatnonzero(picked | forced) + 1
         chunk_start = np.concatenate([[0], chunk_end[:-1]])
-        place = np.arange(len(line)) - np.repeat(chunk_start, chunk_end - chunk_start)
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()), constants(1, 17)[0])]))
-        chunk = mix(np.add.reduceat(line * powers[place], chunk_start) + (chunk_end - chunk_start).astype(np.uint64))
+        chunk = hash_parts(line, chunk_start, chunk_end - chunk_start)
     first = np.concatenate([line_start[chunk_start], [n]])
     owner = np.searchsorted(w.first, first[:-1], "right") - 1
     return Chunks(first, chunk_end - chunk_start, chunk, owner, opens[chunk_start])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import weaksup
 from glossa.llm.shared import table, written
-from glossa.llm.wordhash import find_words, hash_runs, hash_windows, mix, space_words
+from glossa.llm.wordhash import find_words, hash_runs, hash_windows, mix, same_bytes, space_words, word_numbers
 
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -51,16 +51,28 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
-def repeated(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: does its owner have it twice or more; is it a later one of those?"""
+def repeated(keys: np.ndarray, owner: np.ndarray, equal, exact) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: does its owner have the same thing twice or more; is it a later one of those?
+
+    Keys are hashes.  equal(i, j): are the things behind these keys the same; exact(i):
+    something hashable that tells the thing, for the rare keys whose hashes collide.
+    """
     with np.errstate(over="ignore"):
         both = keys ^ mix(owner.astype(np.uint64) + np.uint64(0x51ED270B))
     order = np.argsort(both, kind="stable")
     same = both[order][1:] == both[order][:-1]
+    i, j = order[:-1][same], order[1:][same]
+    wrong = ~((owner[i] == owner[j]) & equal(i, j)) if len(i) else np.zeros(0, bool)
     any_, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     later[order[1:]] = same
     any_[order[1:]] = same
     any_[order[:-1]] |= same
+    for hash_ in set(both[j[wrong]].tolist()):
+        first: dict = {}
+        for k in np.flatnonzero(both == np.uint64(hash_)).tolist():
+            before = first.setdefault((int(owner[k]), exact(k)), k)
+            later[k], any_[k] = before != k, before != k
+            any_[before] |= before != k
     return any_, later
 
 
@@ -83,7 +95,9 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         # windows of words that their text has twice
         h, owner = hash_windows(w.hash, REPEAT_WINDOW), w.owner()
         inside = np.flatnonzero(np.arange(len(h)) + REPEAT_WINDOW <= w.first[1:][owner[: len(h)]])
-        twice, _ = repeated(h[inside], owner[inside])
+        numbers = word_numbers(w)
+        own = lambda i: numbers[inside[i, None] + np.arange(REPEAT_WINDOW)]  # noqa: E731, B023
+        twice, _ = repeated(h[inside], owner[inside], lambda i, j: (own(i) == own(j)).all(axis=1), lambda i: own(np.array([i])).tobytes())  # noqa: B023
         cover = np.zeros(len(w.start) + 1, np.int64)
         np.add.at(cover, inside[twice], 1)
         np.add.at(cover, inside[twice] + REPEAT_WINDOW, -1)
@@ -101,7 +115,11 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         end = np.maximum(end, start)
         wordy = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
         start, end, line_owner = start[wordy], end[wordy], line_owner[wordy]
-        _, later = repeated(hash_runs(w.data, start, end), line_owner)
+        _, later = repeated(
+            hash_runs(w.data, start, end), line_owner,
+            lambda i, j: same_bytes(w.data, start[i], end[i], w.data, start[j], end[j]),  # noqa: B023
+            lambda i: w.data[start[i] : end[i]].tobytes(),  # noqa: B023
+        )
         out["n_dup_lines"][at] = np.bincount(line_owner[later], minlength=w.documents)
         more[at, 4] = np.bincount(line_owner, minlength=w.documents)
     return out, more

@@ -1,9 +1,12 @@
 """Words and their 64-bit hashes for Arrow batches of texts, in whole-array numpy.
 
 The texts of a batch are looked at as one run of UTF-8 bytes.  Word characters are
-told by a table of 256 entries, so multi-byte characters need no decoding.  A word's
-hash is a polynomial over a random 64-bit value per byte, read off a running sum, and
-mixed at the end; equal words have equal hashes on every machine and in every run.
+told by a table of 256 entries, so multi-byte characters need no decoding.  A word is
+hashed eight bytes at a time: each piece is mixed with a key of its place, and the sum of
+the mixed pieces with the length.  Mixing is not linear, so no pattern of repetition makes
+two words collide whatever the keys are, as it does for polynomials modulo 2^64.  Equal
+words have equal hashes on every machine and in every run.  What must not depend on luck
+compares bytes: word_numbers() gives equal numbers to equal words alone.
 """
 
 from __future__ import annotations
@@ -38,21 +41,8 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(steps) | np.uint64(1)
 
 
-_BYTE_VALUES = constants(256, 1)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses, modulo 2^64, for n places at least."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        n = max(n, BLOCK_BYTES)
-        with np.errstate(over="ignore"):
-            up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
-            up[0] = down[0] = 1
-            _POWERS[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[0]
+#: What is kept of eight bytes of which the first 0 to 8 belong to a word (little endian).
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lower_table() -> np.ndarray:
@@ -145,15 +135,73 @@ def find_words(column: pa.Array, is_word: np.ndarray, lower: bool = True) -> Ite
         yield Words(data, start, end, hash_runs(data, start, end), np.searchsorted(start, text), text, row)
 
 
+def hash_parts(parts: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each sequence parts[first[i] : first[i + 1]] of 64-bit numbers; the last sequence ends with parts, none is empty."""
+    place = np.arange(len(parts)) - np.repeat(first, np.diff(np.append(first, len(parts))))
+    with np.errstate(over="ignore"):
+        keyed = mix(parts ^ mix(place.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(1)))
+        return mix(np.add.reduceat(keyed, first) ^ mix(length.astype(np.uint64)))
+
+
 def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each of the runs."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    parts = np.maximum((length + 7) >> 3, 1)
+    first = np.cumsum(parts) - parts
+    at = 8 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    value = eights[np.repeat(start, parts) + at] & _KEPT[np.minimum(np.repeat(length, parts) - at, 8)]
+    return hash_parts(value, first, length)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Are data[start:end] and other[start2:end2] equal, for each of the runs?"""
+    length = end - start
+    same = length == end2 - start2
+    todo = np.flatnonzero(same & (length > 0))
+    total = np.cumsum(length[todo])
+    at = 0
+    while at < len(todo):  # bounds the temporary arrays
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+        own = todo[at:to]
+        n = length[own]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = data[np.repeat(start[own], n) + place] != other[np.repeat(start2[own], n) + place]
+        same[own] = ~np.logical_or.reduceat(differ, first)
+        at = to
+    return same
+
+
+class Numbers(dict):
+    """Words by number: (hash, tie) to bytes and number.  Equal numbers mean equal bytes."""
+
+    def of(self, word: bytes, hash_: int) -> int:
+        tie = 0
+        while True:
+            known = self.get((hash_, tie))
+            if known is None:
+                self[hash_, tie] = known = (word, len(self))
+            if known[0] == word:
+                return known[1]
+            tie += 1
+
+
+def word_numbers(w: Words, numbers: Numbers | None = None) -> np.ndarray:
+    """A number for each word of a block: equal for equal bytes, different for different ones, in all blocks that share `numbers`."""
+    numbers = Numbers() if numbers is None else numbers
+    if not len(w.hash):
+        return np.zeros(0, np.int64)
+    unique, one, group = np.unique(w.hash, return_index=True, return_inverse=True)
+    starts, ends = w.start[one], w.end[one]
+    known = np.array([numbers.of(w.data[a:b].tobytes(), h) for a, b, h in zip(starts.tolist(), ends.tolist(), unique.tolist(), strict=True)], np.int64)
+    out = known[group]
+    for i in np.flatnonzero(~same_bytes(w.data, w.start, w.end, w.data, starts[group], ends[group])).tolist():  # colliding words
+        out[i] = numbers.of(w.data[w.start[i] : w.end[i]].tobytes(), int(w.hash[i]))
+    return out
 
 
 def hash_windows(words: np.ndarray, size: int) -> np.ndarray:

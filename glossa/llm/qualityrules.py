@@ -95,9 +95,19 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         # windows of words that their text has twice
         h, owner = hash_windows(w.hash, REPEAT_WINDOW), w.owner()
         inside = np.flatnonzero(np.arange(len(h)) + REPEAT_WINDOW <= w.first[1:][owner[: len(h)]])
-        numbers = word_numbers(w)
-        own = lambda i: numbers[inside[i, None] + np.arange(REPEAT_WINDOW)]  # noqa: E731, B023
-        twice, _ = repeated(h[inside], owner[inside], lambda i, j: (own(i) == own(j)).all(axis=1), lambda i: own(np.array([i])).tobytes())  # noqa: B023
+
+        def windows(i: np.ndarray) -> np.ndarray:  # the words of windows, by place
+            return inside[i, None] + np.arange(REPEAT_WINDOW)  # noqa: B023
+
+        def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            own, places = np.unique(np.stack([windows(i), windows(j)]), return_inverse=True)
+            numbers = word_numbers(w, own=own)[places.reshape(2, len(i), REPEAT_WINDOW)]  # noqa: B023
+            return (numbers[0] == numbers[1]).all(axis=1)
+
+        def exact(i: int) -> tuple:
+            return tuple(w.data[w.start[k] : w.end[k]].tobytes() for k in windows(np.array([i]))[0].tolist())  # noqa: B023
+
+        twice, _ = repeated(h[inside], owner[inside], equal, exact)
         cover = np.zeros(len(w.start) + 1, np.int64)
         np.add.at(cover, inside[twice], 1)
         np.add.at(cover, inside[twice] + REPEAT_WINDOW, -1)

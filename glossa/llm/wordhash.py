@@ -190,17 +190,19 @@ class Numbers(dict):
             tie += 1
 
 
-def word_numbers(w: Words, numbers: Numbers | None = None) -> np.ndarray:
-    """A number for each word of a block: equal for equal bytes, different for different ones, in all blocks that share `numbers`."""
+def word_numbers(w: Words, numbers: Numbers | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """A number for each word of a block, or for those at the places `own`: equal for equal bytes, different for different ones, in all blocks that share `numbers`."""
     numbers = Numbers() if numbers is None else numbers
-    if not len(w.hash):
+    own = slice(None) if own is None else own
+    hash_, start, end = w.hash[own], w.start[own], w.end[own]
+    if not len(hash_):
         return np.zeros(0, np.int64)
-    unique, one, group = np.unique(w.hash, return_index=True, return_inverse=True)
-    starts, ends = w.start[one], w.end[one]
+    unique, one, group = np.unique(hash_, return_index=True, return_inverse=True)
+    starts, ends = start[one], end[one]
     known = np.array([numbers.of(w.data[a:b].tobytes(), h) for a, b, h in zip(starts.tolist(), ends.tolist(), unique.tolist(), strict=True)], np.int64)
     out = known[group]
-    for i in np.flatnonzero(~same_bytes(w.data, w.start, w.end, w.data, starts[group], ends[group])).tolist():  # colliding words
-        out[i] = numbers.of(w.data[w.start[i] : w.end[i]].tobytes(), int(w.hash[i]))
+    for i in np.flatnonzero(~same_bytes(w.data, start, end, w.data, starts[group], ends[group])).tolist():  # colliding words
+        out[i] = numbers.of(w.data[start[i] : end[i]].tobytes(), int(hash_[i]))
     return out
 
 

@@ -1,22 +1,25 @@
 """N-gram Jaccard join: all pairs of documents whose shingle sets overlap enough.
 
-T-occurrence search, with DivideSkip's division of the inverted lists, over a corpus:
-
-* Texts with equal sets are one node; a node is told by a 64-bit hash of its set and its size.
-* A node with n shingles needs T = ceil(0.8 n) of them in any partner.  Its T - 1 longest
-  lists are set aside, so a partner must stand on one of its n - T + 1 short lists at
-  least.  Only those are built: (shingle, node) entries go through one shuffle, where
-  sorting them merges the lists.  Lists are ordered by estimated length (shingles that are
-  frequent within partitions, counted over all of them, come last) and by hash.
-* Nodes that meet on a short list are candidates if their sizes and places leave room for
-  the required overlap, and if bitmaps of their sets (exact bounds on the difference) do.
+T-occurrence search with DivideSkip's division of the inverted lists, over a corpus:
+
+* Texts with equal sets are one node, told by 95 bits of hash and the set's size.
+* A node with n shingles needs T = ceil(0.8 n) of them in any partner.  Its L = T - 1
+  longest lists are set aside, so a partner must stand on T - L = 1 of its n - T + 1 short
+  lists at least.  (shingle, node) entries of short lists go through one shuffle, by
+  shingle.  Lists are ordered by estimated length (shingles that are frequent within
+  partitions, counted over all of them, come last) and by hash.
+* The short lists: each node's lists, less the entries whose sizes and places leave no
+  room for T, are merged with a heap; what comes out on T - L of them is a candidate, if
+  bitmaps of both sets (exact bounds on the difference) allow it.
 * A list of more than SHORT nodes is never expanded into pairs: the most alike nodes of it
-  are linked first (a spanning forest by bitmap distance), verified, and only pairs of
-  different components that the bitmaps allow are looked at after that.
-* Candidates are verified by probing the lists set aside: binary search of one node's
-  shingles in the other's sorted array, until the required overlap is reached or out of
-  reach.
-* Components come from alternating stars over written tables.
+  are linked first (a spanning forest by bitmap distance), verified, and after that only
+  nodes outside the list's largest component are compared with those of other components.
+  Lists that are known to be hot are dealt over many tasks from the start.
+* The long lists: candidates are dealt in portions of bounded size, each with the texts of
+  its nodes, once a node.  A portion's inverted lists are built, those set aside among them,
+  and for each candidate the lists of the smaller set are probed for the larger one by
+  binary search, until T is reached or out of reach.  Shingles found so are compared word
+  by word, as bytes.
 
 Every bound is exact: no link between different texts is lost, whatever the frequencies.
 The estimated lengths only order the lists.
@@ -28,18 +31,21 @@ of their text's node; the least id of a component counts those that are not null
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm.components import components
 from glossa.llm.scatter import bitmap_of, bucket_bits, dealt, gathered, maybe_in, packed, schema
 from glossa.llm.shared import table, written
-from glossa.llm.wordhash import find_words, hash_windows, mix, space_words
+from glossa.llm.skew import join_skewed
+from glossa.llm.wordhash import Numbers, Words, find_words, hash_windows, mix, space_words, word_numbers
 
 SHINGLE = 5
 PERCENT = 80
@@ -49,7 +55,11 @@ SHORT = 64
 MAX_FREQUENT = 1 << 19
 #: Nodes of a long list that one task compares with as many.
 BLOCK = 4096
+#: Bytes of texts that the candidates of one portion bring along, about.
+PORTION = 4 << 20
 MARK_WORDS = 16
+#: A node's n holds its size in the lower bits and a hash of its own in the upper ones.
+SIZE = (1 << 32) - 1
 
 _MARKS = [f"m{i}" for i in range(MARK_WORDS)]
 
@@ -59,23 +69,38 @@ def needed(na, nb, percent: int = PERCENT):
     return -(-(na + nb) * percent // (100 + percent))
 
 
+def shingles_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: distinct shingle hashes by document in ascending order, each one's first word, where each document's begin."""
+    count = np.diff(w.first)
+    h = hash_windows(w.hash, SHINGLE)
+    owner = w.owner()
+    inside = np.flatnonzero(np.arange(len(h)) + SHINGLE <= w.first[1:][owner[: len(h)]])
+    keys, places = [h[inside]], [inside]
+    for k in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
+        keys.append(hash_windows(w.hash[w.first[k] : w.first[k + 1]], int(count[k])))
+        places.append(w.first[k : k + 1])
+    key, place = np.concatenate(keys), np.concatenate(places)
+    who = owner[place]
+    order = np.lexsort((key, who))
+    key, who, place = key[order], who[order], place[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.zeros(0, bool)
+    key, who, place = key[new], who[new], place[new]
+    return key, place, np.searchsorted(who, np.arange(w.documents + 1))
+
+
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each block: number of its first document, distinct shingle hashes by document in ascending order, where each document's begin."""
     for w in find_words(column, space_words()):
-        count = np.diff(w.first)
-        h = hash_windows(w.hash, SHINGLE)
-        owner = w.owner()
-        inside = np.flatnonzero(np.arange(len(h)) + SHINGLE <= w.first[1:][owner[: len(h)]])
-        keys, owners = [h[inside]], [owner[inside]]
-        for k in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
-            keys.append(hash_windows(w.hash[w.first[k] : w.first[k + 1]], int(count[k])))
-            owners.append(np.full(1, k))
-        key, who = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((key, who))
-        key, who = key[order], who[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.zeros(0, bool)
-        key, who = key[new], who[new]
-        yield w.row, key, np.searchsorted(who, np.arange(w.documents + 1))
+        key, _, first = shingles_of(w)
+        yield w.row, key, first
+
+
+def _nodes_of(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's sig and n, and the size of its set."""
+    size = np.diff(first)
+    with np.errstate(over="ignore"):
+        second = _signatures(key ^ np.uint64(0x9FB21C651E98DF25), first) >> np.uint64(33)
+    return _signatures(key, first), np.where(size > 0, second.astype(np.int64) << 32 | size, 0), size
 
 
 def _signatures(key: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,13 +132,13 @@ def _nodes(bits: int):
             seen: set[int] = set()
             pool = []
             for row, key, first in shingle_sets(batch.column("text")):
-                sig, n = _signatures(key, first), np.diff(first)
+                sig, n, size = _nodes_of(key, first)
                 marks = [pa.array(x.view(np.int64)) for x in np.ascontiguousarray(_marks(key, first).T)]
                 ids = batch.column("doc_id").slice(row, len(n))
                 none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(sig.view(np.int64)), *marks, *none], ["doc_id", "n", "sig", *_MARKS, "bucket", "k", "c0"])
                 fresh = np.array([not (s in seen or seen.add(s)) for s in sig.tolist()], bool)
-                pool.append(key[np.repeat(fresh, n)])
+                pool.append(key[np.repeat(fresh, size)])
             key, count = np.unique(np.concatenate([*pool, np.zeros(0, np.uint64)]), return_counts=True)
             out = packed(bits, key[count > 1], count[count > 1].astype(np.uint32))
             if out:
@@ -147,28 +172,32 @@ def frequent_shingles(counts: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.n
     return key[order], rows["times"].to_numpy(np.int64)[order]
 
 
-def _entries(bits: int, frequent, percent: int):
-    """Each node's short lists: shingle, node, size, place in the node's order."""
+def _entries(bits: int, frequent, block: int, percent: int):
+    """Each node's short lists: shingle, node, place in the node's order, and the part of the list if it is known to be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
         for batch in batches:
             seen: set[int] = set()
-            parts = []
+            entries = []
             for _, key, first in shingle_sets(batch.column("text")):
-                n, sig = np.diff(first), _signatures(key, first)
+                sig, n, size = _nodes_of(key, first)
                 fresh = np.array([not (s in seen or seen.add(s)) for s in sig.tolist()], bool)
-                owner = np.repeat(np.arange(len(n)), n)
+                owner = np.repeat(np.arange(len(n)), size)
                 rank = np.zeros(len(key), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     rank = np.where(known[at] == key, times[at], 0)
                 order = np.lexsort((rank, owner)) if rank.any() else np.arange(len(key))
                 place = np.arange(len(key)) - first[:-1][owner]
-                short = (place < (n - needed_alone(n, percent) + 1)[owner]) & fresh[owner]
-                parts.append((key[order][short], sig[owner][short], n[owner][short].astype(np.uint32), place[short].astype(np.uint32)))
-            if parts:
-                out = packed(bits, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                short = (place < (size - needed_alone(size, percent) + 1)[owner]) & fresh[owner]
+                key, rank, owner = key[order][short], rank[order][short], owner[short]
+                parts = 1 + rank // block
+                part = np.where(parts > 1, 1 + (mix(sig[owner]) % parts.astype(np.uint64)).astype(np.int64), 0)
+                entries.append((key, sig[owner], n[owner], place[short].astype(np.uint32), part.astype(np.uint64)))
+            if entries:
+                key, *columns, part = (np.concatenate(x) for x in zip(*entries, strict=True))
+                out = packed(bits, key, *columns, part, spread=part)
                 if out:
                     yield out
 
@@ -186,37 +215,57 @@ def fits(na, nb, pa_, pb, percent: int = PERCENT):
     return (100 * na >= percent * nb) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
 
 
+def heap_merged(lists: list[list[int]], least: int = 1) -> list[int]:
+    """What stands on `least` of the ascending lists or more."""
+    if len(lists) == 1:
+        return lists[0] if least == 1 else []
+    return [x for x, same in groupby(heapq.merge(*lists)) if least == 1 or sum(1 for _ in same) >= least]
+
+
 def _meetings(short: int, block: int, percent: int):
     """Pairs of nodes on short lists (token is null: a, na, b, nb) and the nodes of long ones (token, a, na, block)."""
 
-    def run(bucket: int, key: np.ndarray, sig: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((sig, key))
-        key, sig, n, place = key[order], sig[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])  # a node's entry may come from several batches
-        key, sig, n, place = key[new], sig[new], n[new], place[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    def run(bucket: int, key: np.ndarray, sig: np.ndarray, n: np.ndarray, place: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((n, sig, part, key))
+        key, sig, n, place, part = key[order], sig[order], n[order], place[order].astype(np.int64), part[order].astype(np.int64)
+        list_ = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        new = list_ | np.concatenate([[True], (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])])  # a node's entry may come from several batches
+        key, sig, n, place, part, list_ = key[new], sig[new], n[new], place[new], part[new], list_[new]
+        start = np.flatnonzero(list_)
         length = np.diff(np.append(start, len(key)))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.unique(length[(length > 1) & (length <= short)]).tolist():
+        long_ = (length > short) | (part[start] > 0)
+        size = n & SIZE
+        found = [np.zeros((3, 0), np.int64)]  # list, smaller and larger set: entries
+        for k in np.unique(length[(length > 1) & ~long_]).tolist():
             i, j = np.triu_indices(k, 1)
-            lists = start[length == k]
+            lists = start[(length == k) & ~long_]
             for at in range(0, len(lists), max(1, (1 << 20) // len(i))):
                 base = lists[at : at + max(1, (1 << 20) // len(i)), None]
                 x, y = (base + i).ravel(), (base + j).ravel()
-                x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
-                ok = fits(n[x], n[y], place[x], place[y], percent)
-                a.append(x[ok])
-                b.append(y[ok])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            sa, sb = sig[a], sig[b]
-            order = np.lexsort((sb, sa))
-            order = order[np.concatenate([[True], (sa[order][1:] != sa[order][:-1]) | (sb[order][1:] != sb[order][:-1])])]
-            a, b = a[order], b[order]
+                x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+                ok = fits(size[x], size[y], place[x], place[y], percent)
+                found.append(np.stack([np.repeat(base[:, 0], len(i))[ok], x[ok], y[ok]]))
+        at, x, y = np.concatenate(found, axis=1)
+        if len(x):
+            # nodes by number; one that is met on several lists has an entry on each
+            _, one, number = np.unique(np.stack([sig.view(np.int64), n]), axis=1, return_index=True, return_inverse=True)
+            x, y = number.ravel()[x], number.ravel()[y]
+            order = np.lexsort((y, at, x))
+            at, x, y = at[order], x[order], y[order]
+            a, b = [], []
+            query = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            cuts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (at[1:] != at[:-1])]))
+            cuts, others = np.append(cuts, len(x)).tolist(), y.tolist()
+            own = np.append(np.searchsorted(cuts, query), len(cuts) - 1).tolist()
+            for q, s, e in zip(x[query].tolist(), own[:-1], own[1:], strict=True):
+                met = heap_merged([others[cuts[i] : cuts[i + 1]] for i in range(s, e)])
+                a += [q] * len(met)
+                b += met
+            a, b = one[a], one[b]
             yield _meeting(pa.nulls(len(a), pa.int64()), sig[a], n[a], sig[b], n[b], np.zeros(len(a), np.int64))
-        for s, k in zip(start[length > short].tolist(), length[length > short].tolist(), strict=True):
+        for s, k in zip(start[long_].tolist(), length[long_].tolist(), strict=True):
             at = np.arange(s, s + k)
-            yield _meeting(pa.array(key[at].view(np.int64)), sig[at], n[at], sig[at], n[at], np.arange(k) // block)
+            yield _meeting(pa.array(key[at].view(np.int64)), sig[at], n[at], sig[at], n[at], part[at] if part[s] else np.arange(k) // block)
 
     return run
 
@@ -237,10 +286,10 @@ def _allowed(na, nb, percent: int):
 def _forest(percent: int):
     """Of each block of a long list: pairs that span what the bitmaps allow, the most alike first (Prim's method)."""
 
-    def pairs(sig: np.ndarray, n: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int]]:
-        left = np.ones(len(sig), bool)
-        best, parent = np.full(len(sig), np.iinfo(np.int64).max), np.full(len(sig), -1)
-        for _ in range(len(sig)):
+    def pairs(n: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int]]:
+        left = np.ones(len(n), bool)
+        best, parent = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
+        for _ in range(len(n)):
             open_ = np.flatnonzero(left)
             i = int(open_[np.argmin(best[open_])])
             left[i] = False
@@ -250,18 +299,17 @@ def _forest(percent: int):
             closer = left & (d <= _allowed(n, n[i], percent)) & (d < best)
             best[closer], parent[closer] = d[closer], i
 
-    return _by_block(lambda x: pairs(x["sig"], x["n"], x["marks"]))
+    return _by_block(lambda x: pairs(x["n"], x["marks"]))
 
 
 def _across(percent: int):
-    """Of each two blocks of a long list: pairs of different components that the bitmaps allow."""
+    """Of a block of a list's scattered nodes (side 0) and a block of all its nodes (side 1): pairs of different components that the bitmaps allow."""
 
     def pairs(x: dict) -> Iterator[tuple[int, int]]:
-        sig, n, marks, label, side = (x[k] for k in ("sig", "n", "marks", "label", "side"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left.tolist():
-            j = right[(right > i) | (side[i] == 0)]
-            j = j[(label[j] != label[i]) & (sig[j] != sig[i])]
+        n, marks, label, side, v = (x[k] for k in ("n", "marks", "label", "side", "v"))
+        right = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            j = right[(label[right] != label[i]) & (~x["scattered"][right] | (v[right] > v[i]))]  # two scattered nodes meet twice
             d = np.bitwise_count(marks[j] ^ marks[i]).sum(axis=1)
             for k in j[d <= _allowed(n[j], n[i], percent)].tolist():
                 yield i, k
@@ -270,97 +318,149 @@ def _across(percent: int):
 
 
 def _by_block(pairs):
-    """For applyInArrow-like use over rows of token and block: collects each block (at most two times BLOCK rows), yields its pairs."""
+    """For applyInArrow over rows of a block or two (about BLOCK rows each): yields its pairs."""
 
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        x = {c: batch.column(c).to_numpy() for c in batch.column_names if c in ("n", "label", "side")}
-        x["sig"] = batch.column("a").to_numpy().view(np.uint64)
+        x = {c: batch.column(c).to_numpy() for c in batch.column_names if c in ("n", "v", "label", "side", "scattered")}
+        node, x["n"] = x["n"], x["n"] & SIZE
         x["marks"] = np.stack([batch.column(m).to_numpy() for m in _MARKS], axis=1).view(np.uint64)
-        found = np.array(list(pairs(x)), np.int64).reshape(-1, 2)
-        n, sig = x["n"], x["sig"].view(np.int64)
-        i, j = found.T
-        return pa.table({"a": pa.array(sig[i]), "na": pa.array(n[i]), "b": pa.array(sig[j]), "nb": pa.array(n[j])})
+        sig = batch.column("a").to_numpy()
+        i, j = np.array(list(pairs(x)), np.int64).reshape(-1, 2).T
+        return pa.table({c: pa.array(y) for c, y in zip(_PAIR_NAMES, (sig[i], node[i], x["v"][i], sig[j], node[j], x["v"][j]), strict=True)})
 
     return run
 
 
-_PAIR = "a long, na long, b long, nb long"
+_PAIR_NAMES = ("a", "na", "va", "b", "nb", "vb")
+_PAIR = ", ".join(f"{c} long" for c in _PAIR_NAMES)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the smaller set first."""
-    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pick = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
-    return pairs.select(*pick).distinct()
+def _size(n: str) -> Column:
+    return F.col(n).bitwiseAND(F.lit(SIZE).cast("long"))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow the overlap."""
-    x = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), *(F.col(m).alias("a" + m) for m in _MARKS))
-    y = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), *(F.col(m).alias("b" + m) for m in _MARKS))
+def _alike(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes that met (a, na, b, nb) whose bitmaps allow the overlap, each once, with the nodes' numbers."""
+    x = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), *(F.col(m).alias("a" + m) for m in _MARKS))
+    y = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), *(F.col(m).alias("b" + m) for m in _MARKS))
     differ = F.bit_count(F.col("am0").bitwiseXOR(F.col("bm0")))
     for m in _MARKS[1:]:
         differ = differ + F.bit_count(F.col("a" + m).bitwiseXOR(F.col("b" + m)))
-    total = (F.col("na") + F.col("nb")) * percent
+    total = (_size("na") + _size("nb")) * percent
     need = (total + F.lit(99 + percent) - F.pmod(total + F.lit(99 + percent), F.lit(100 + percent))) / F.lit(100 + percent)
-    return pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "na", "b", "nb")
+    return met.distinct().join(x, ["a", "na"]).join(y, ["b", "nb"]).where(differ <= _size("na") + _size("nb") - 2 * need).select(*_PAIR_NAMES)
 
 
-def _sets(bitmap):
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the smaller set first."""
+    first = (_size("na") < _size("nb")) | ((_size("na") == _size("nb")) & (F.col("va") < F.col("vb")))
+    swap = dict(zip(_PAIR_NAMES, _PAIR_NAMES[3:] + _PAIR_NAMES[:3], strict=True))
+    return pairs.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in swap.items())).distinct()
+
+
+def _texts_of(bitmap):
+    """sig, n and text of the nodes that may be in the bitmap, each once a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, key, first in shingle_sets(batch.column("text")):
-                sig, n = _signatures(key, first), np.diff(first)
-                at = [k for k in np.flatnonzero(maybe_in(bitmap.value, sig) & (n > 0)).tolist() if not (int(sig[k]) in seen or seen.add(int(sig[k])))]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(n[at]), pa.array([key[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())], ["sig", "n", "set"])
+            for row, key, first in shingle_sets(batch.column("text")):
+                sig, n, size = _nodes_of(key, first)
+                at = [k for k in np.flatnonzero(maybe_in(bitmap.value, sig) & (size > 0)).tolist() if not (int(sig[k]) in seen or seen.add(int(sig[k])))]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(n[at]), batch.column("text").take(pa.array([row + k for k in at], pa.int64()))], ["sig", "n", "text"])
 
     return run
 
 
-def occur(query: np.ndarray, other: np.ndarray, need: int) -> bool:
-    """Do `need` of the query's shingles occur in the other's sorted array?  Probes by binary search, a part at a time."""
-    got = 0
-    for at in range(0, len(query), 256):
-        part = query[at : at + 256]
-        if got + len(query) - at < need:
-            return False
-        i = np.searchsorted(other, part)
-        got += int((other[np.minimum(i, len(other) - 1)] == part).sum())
-        if got >= need:
-            return True
-    return got >= need
+class Portion:
+    """Inverted lists over the shingles of some texts: for each shingle the numbers of its texts, in ascending order."""
+
+    def __init__(self, texts: pa.Array):
+        numbers, keys, grams, sizes = Numbers(), [np.zeros(0, np.uint64)], [np.zeros((0, SHINGLE), np.int32)], []
+        for w in find_words(texts, space_words()):
+            key, place, first = shingles_of(w)
+            words = np.append(word_numbers(w, numbers), np.full(SHINGLE, -1)).astype(np.int32)
+            end = w.first[1:][np.repeat(np.arange(w.documents), np.diff(first))]
+            at = place[:, None] + np.arange(SHINGLE)
+            keys.append(key)
+            grams.append(np.where(at < end[:, None], words[at], -1))
+            sizes.append(np.diff(first))
+        self.size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.grams = np.concatenate(grams)
+        _, token = np.unique(np.concatenate(keys), return_inverse=True)
+        self.token, self.count = token, max(1, len(self.size))
+        postings = token * self.count + np.repeat(np.arange(len(self.size)), self.size)
+        self.entry = np.argsort(postings)
+        self.postings = postings[self.entry]
+
+    def linked(self, a: int, b: int, percent: int) -> bool:
+        """Does b stand on as many of a's lists as both sets need?  Probes by binary search, compares the words of what is found."""
+        need, got = needed(int(self.size[a]), int(self.size[b]), percent), 0
+        end = int(self.first[a + 1])
+        for at in range(int(self.first[a]), end, 256):
+            if got + end - at < need:
+                return False
+            own = np.arange(at, min(at + 256, end))
+            probe = self.token[own] * self.count + b
+            i = np.minimum(np.searchsorted(self.postings, probe), len(self.postings) - 1)
+            hit = self.postings[i] == probe
+            got += int((self.grams[own[hit]] == self.grams[self.entry[i[hit]]]).all(axis=1).sum())
+            if got >= need:
+                return True
+        return got >= need
 
 
 def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("x"), batch.column("y")
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                ok.append(occur(x, y, needed(len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    """Of a portion's pairs and its nodes' texts: the linked pairs."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        portion = Portion(texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string()))
+        number = {v: i for i, v in enumerate(texts.column("v").to_pylist())}
+        va, vb = pairs.column("va").to_pylist(), pairs.column("vb").to_pylist()
+        ok = [portion.linked(number[x], number[y], percent) for x, y in zip(va, vb, strict=True)]
+        return pairs.select(["va", "vb"]).rename_columns(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the overlap, by their sets, which are computed again for their nodes alone."""
+def _links(texts: DataFrame, pairs: DataFrame, percent: int, portion: int = PORTION) -> DataFrame:
+    """The pairs that reach the overlap (a and b: numbers of nodes), verified in portions with the texts of their nodes."""
     spark = texts.sparkSession
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(nodes.distinct(), "sig"))
-    sets = texts.mapInArrow(_sets(bitmap), "sig long, n long, set binary")
+    bytes_ = 8 * (_size("na") + _size("nb"))
+    total = pairs.agg(F.sum(bytes_)).first()[0]
+    if not total:
+        return pairs.select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    # pairs of one node stand together, as far as they make up one portion
+    load = pairs.groupBy("va").agg((F.lit(1) + F.floor(F.sum(bytes_) / portion)).cast("long").alias("parts"))
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // portion) + 1)
+    block = F.pmod(F.xxhash64("va", F.pmod(F.xxhash64("vb"), F.col("parts"))), F.lit(many))
+    pairs = written(pairs.join(load, "va").select(*_PAIR_NAMES, block.alias("block")), "portions")
+    needed_ = pairs.select(F.col("block").alias("portion"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("va").alias("v")).union(pairs.select("block", "b", "nb", "vb")).distinct()
+    bitmap = spark.sparkContext.broadcast(bitmap_of(needed_.select("sig").distinct(), "sig"))
+    found = texts.mapInArrow(_texts_of(bitmap), "sig long, n long, text string")
     # equal nodes have equal sets: any copy will do
-    sets = sets.groupBy("sig", "n").agg(F.first("set").alias("set"))
-    x = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("set").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("set").alias("y"))
-    both = pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify(percent), "a long, b long"), "verified")
+    found = found.groupBy("sig", "n").agg(F.first("text").alias("text"))
+    found = needed_.join(found, ["sig", "n"]).select("portion", "v", "text")
+    links = pairs.select("block", "va", "vb").groupBy("block").cogroup(found.groupBy("portion")).applyInArrow(_verify(percent), "a long, b long")
+    return written(links, "verified")
+
+
+def _scattered(marked: DataFrame, block: int) -> DataFrame:
+    """Rows of lists whose nodes are in several components, in pairs of blocks: nodes outside the largest one (side 0) with all (side 1)."""
+    by_label = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
+    lists = by_label.groupBy("token").agg(F.sum("k").alias("all"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.max("k").alias("k"))
+    rows = marked.drop("block").join(lists.where(F.col("k") < F.col("all")), "token").withColumn("scattered", F.col("label") != F.col("largest"))
+    parts = F.ceil((F.col("all") - F.col("k")) / block), F.ceil(F.col("all") / block)
+    place = [F.pmod(F.xxhash64("v", F.lit(i)), n) for i, n in enumerate(parts)]
+    each = [F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for n in parts]
+    left = rows.where("scattered").select("*", F.lit(0).alias("side"), place[0].alias("p"), each[1].alias("q"))
+    return left.union(rows.select("*", F.lit(1).alias("side"), each[0].alias("p"), place[1].alias("q")))
 
 
 def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least id that links lead to), sig (its node), component (of nodes)."""
+    """One row a document: doc_id, n_shingles, component_id (the least id that links lead to), sig and n (its node), component (of nodes)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.select("text").where("text is not null")
@@ -370,35 +470,33 @@ def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int
     counts = written(dealt(first.where("bucket is not null").select("bucket", "k", "c0"), bits).mapInArrow(gathered((np.uint32,), _frequent), "shingle long, times long"), "frequent")
     frequent = spark.sparkContext.broadcast(frequent_shingles(counts))
     nodes = members.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), *(F.max(m).alias(m) for m in _MARKS))
-    nodes = written(nodes, "distinct")
+    nodes = written(nodes.withColumn("v", F.monotonically_increasing_id()), "distinct")  # a number for each node, once written
 
-    entries = texts.mapInArrow(_entries(bits, frequent, percent), schema(3))
-    met = written(dealt(entries, bits).mapInArrow(gathered((np.uint64, np.uint32, np.uint32), _meetings(short, block, percent)), _MEETING), "met")
-    pairs = met.where("token is null").select("a", "na", "b", "nb")
+    entries = texts.mapInArrow(_entries(bits, frequent, block, percent), schema(4))
+    met = written(dealt(entries, bits).mapInArrow(gathered((np.uint64, np.int64, np.uint32, np.uint64), _meetings(short, block, percent)), _MEETING), "met")
+    pairs = _alike(met.where("token is null").select("a", "na", "b", "nb"), nodes, percent)
     long_ = met.where("token is not null").select("token", "a", F.col("na").alias("n"), "block")
-    marked = long_.join(nodes.select(F.col("sig").alias("a"), "n", *_MARKS), ["a", "n"])
-    if long_.limit(1).count():
+    hot = bool(long_.limit(1).count())
+    if hot:
+        marked = written(long_.join(nodes.select(F.col("sig").alias("a"), "n", "v", *_MARKS), ["a", "n"]), "lists")
         pairs = pairs.union(marked.groupBy("token", "block").applyInArrow(_forest(percent), _PAIR))
-    alike = written(_alike(_ordered(pairs), nodes, percent), "alike")
+    alike = written(_ordered(pairs), "alike")
     links = _links(texts, alike, percent)
     labels = components(links)
-    if long_.limit(1).count():
+    if hot:
         labels = written(labels, "labels")
-        marked = marked.join(labels.select(F.col("vertex").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        last = marked.groupBy("token").agg(F.max("block").alias("last"))
-        # a block's rows go to each pair of blocks that it is one of: side 2 is a block with itself
-        many = marked.join(last, "token").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        many = many.select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-        rest = many.groupBy("token", "p", "q").applyInArrow(_across(percent), _PAIR)
-        rest = written(_ordered(rest).join(alike, ["a", "na", "b", "nb"], "left_anti"), "rest")
+        marked = marked.join(labels.select(F.col("vertex").alias("v"), "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+        rest = _scattered(marked, block).groupBy("token", "p", "q").applyInArrow(_across(percent), _PAIR)
+        rest = written(_ordered(rest).join(alike, list(_PAIR_NAMES), "left_anti"), "rest")
         if rest.limit(1).count():
             labels = components(links.union(_links(texts, rest, percent)))
     labels = written(labels, "labels")
-    named = nodes.select("sig", "n", "least").join(labels.select(F.col("vertex").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = nodes.select("sig", "n", "v", "least").join(labels.withColumnRenamed("vertex", "v"), "v", "left")
+    named = written(named.select("sig", "n", "least", F.coalesce("label", "v").alias("label")), "named")
     heads = named.groupBy("label").agg(F.min("least").alias("head"))
-    named = named.join(heads, "label").select("sig", "n", "head", "label")
-    out = members.select("doc_id", "sig", "n").join(named, ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "sig", F.col("label").alias("component"))
+    named = join_skewed(named, heads, ["label"]).select("sig", "n", "head", "label")
+    out = join_skewed(members.select("doc_id", "sig", "n"), named, ["sig", "n"], "left")
+    return out.select("doc_id", _size("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"), "sig", "n", F.col("label").alias("component"))
 
 
 def _with_nodes(columns: list[str], names: tuple[str, str], empty: bool):
@@ -410,7 +508,8 @@ def _with_nodes(columns: list[str], names: tuple[str, str], empty: bool):
             sig, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, key, first in shingle_sets(batch.column("text")):
                 at = slice(row, row + len(first) - 1)
-                sig[at], n[at] = _signatures(key, first).view(np.int64), np.diff(first)
+                s, n[at], _ = _nodes_of(key, first)
+                sig[at] = s.view(np.int64)
             for i, x in enumerate(zip(ids, sig.tolist(), n.tolist(), strict=True)):
                 if empty or x[2] == 0:
                     keep[i] = empty and x[2] == 0
@@ -432,7 +531,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     while set(names) & set(docs.columns):
         names = (names[0] + "_", names[1] + "_")
     found = join(docs, percent).where("n_shingles > 0")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("sig").alias("sig"), F.col("n_shingles").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("sig").alias("sig"), F.col("n").alias("n"))
     # a component of texts without any id is told by its label
     heads = found.groupBy("component").agg(F.min(place).alias("p")).select("p.id", "p.sig", "p.n")
     wide = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())])

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.wordhash import mix
+
 #: Bits of a bitmap that is sent to every task: 16 MB at most.
 MAX_BITMAP_BITS = 1 << 27
 
@@ -25,12 +27,17 @@ def bucket_bits(df: DataFrame, per_partition: int = 4) -> int:
     return max(1, min(24, int(np.ceil(np.log2(n)))))
 
 
-def packed(bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
-    """A row for each bucket that has keys: bucket, and the keys and columns as bytes, in key order."""
+def packed(bits: int, keys: np.ndarray, *columns: np.ndarray, spread: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """A row for each bucket that has keys: bucket, and the keys and columns as bytes.
+
+    spread: keys with the same number other than 0 there go to a bucket of their own, so a
+    hot key's rows can be dealt over many.
+    """
     if not len(keys):
         return None
-    order = np.argsort(keys)
-    bucket = (keys[order] >> np.uint64(64 - bits)).astype(np.int64)
+    where = keys if spread is None else np.where(spread > 0, mix(keys ^ mix(spread)), keys)
+    order = np.argsort(where)
+    bucket = (where[order] >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(cuts[1:], len(keys))
     arrays = [pa.array(bucket[cuts], pa.int64())]

@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from glossa.llm import components, jaccard
+from glossa.llm import components, jaccard, skew
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,12 +98,32 @@ def test_needed_is_the_threshold():
                 assert jaccard.needed(a, b) > min(a, b)
 
 
-def test_occur():
-    rng = np.random.default_rng(0)
+def test_heap_merge():
+    rng = random.Random(0)
     for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 600, rng.integers(1, 500)).astype(np.uint64)) for _ in range(2))
-        k = len(np.intersect1d(a, b))
-        assert jaccard.occur(a, b, k) and not jaccard.occur(a, b, k + 1)
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 20))) for _ in range(rng.randrange(1, 6))]
+        for least in (1, 2, 3):
+            assert jaccard.heap_merged(lists, least) == sorted({x for l in lists for x in l if sum(x in m for m in lists) >= least})
+
+
+def test_probes_of_a_portion():
+    rng = random.Random(1)
+    texts = [t for _, t in corpus(5) if t]
+    texts += [" ".join(t.split()[:3]) for t in texts[:10]] + [t.upper() for t in texts[:5]]
+    portion = jaccard.Portion(pa.array(texts))
+    sets = [shingles(t) for t in texts]
+    for _ in range(3000):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        k = len(sets[i] & sets[j])
+        assert portion.linked(i, j, 80) == (100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k))
+
+
+def test_probes_compare_words(monkeypatch):
+    """Two sets whose shingle hashes are equal throughout are not linked for it."""
+    monkeypatch.setattr(jaccard, "hash_windows", lambda words, size: np.arange(max(0, len(words) - size + 1), dtype=np.uint64))
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    portion = jaccard.Portion(pa.array([*texts, texts[0]]))
+    assert not portion.linked(0, 1, 80) and portion.linked(0, 2, 80)
 
 
 def test_bitmaps_bound_the_difference():
@@ -114,8 +135,22 @@ def test_bitmaps_bound_the_difference():
         assert np.bitwise_count(marks[0] ^ marks[1]).sum() <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components(spark, monkeypatch, small):
+    """Also with hubs told apart."""
+    monkeypatch.setattr(components, "SMALL", small)
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (1, 0)]
     got = {r.vertex: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_join_skewed(spark, most):
+    big = spark.createDataFrame([(k, i) for k, n in ((1, 20), (2, 3), (3, 1), (4, 1)) for i in range(n)], "k long, i long")
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "d")], "k long, x string")
+    names = {1: "a", 2: "b", 3: "c"}
+    for how in ("inner", "left"):
+        got = sorted((r.k, r.i, r.x or "") for r in skew.join_skewed(big, small, ["k"], how, most).collect())
+        assert got == sorted((r.k, r.i, names.get(r.k, "")) for r in big.collect() if how == "left" or r.k in names)
+        assert skew.join_skewed(big.limit(0), small, ["k"], how, most).count() == 0

@@ -120,7 +120,7 @@ def test_probes_of_a_portion():
 
 def test_probes_compare_words(monkeypatch):
     """Two sets whose shingle hashes are equal throughout are not linked for it."""
-    monkeypatch.setattr(jaccard, "hash_windows", lambda words, size: np.arange(max(0, len(words) - size + 1), dtype=np.uint64))
+    monkeypatch.setattr(jaccard, "hash_windows", lambda words, size: np.arange(max(0, len(words) - size + 1), dtype=np.uint64) % np.uint64(20))
     texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
     portion = jaccard.Portion(pa.array([*texts, texts[0]]))
     assert not portion.linked(0, 1, 80) and portion.linked(0, 2, 80)

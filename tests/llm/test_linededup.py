@@ -1,6 +1,8 @@
 """Line dedup against a loop over all chunks, and on planted passages."""
 
+import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -150,3 +152,95 @@ def test_a_lone_short_line_that_stands_once_stays(make):
     a, b = prose(rng, 60), prose(rng, 60)
     texts = [r.text for r in d.clean(make([(1, f"{a}\n{b}"), (2, f"{a}\nonce\n{b}"), (3, f"{a}\njust once\n{b}")])).orderBy("doc_id").collect()]
     assert [t.split() for t in texts[1:]] == [["once"], ["just", "once"]]
+
+
+# The rules once more, in plain Python over single words, without the module's code.
+
+ALL = (1 << 64) - 1
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def mix_one(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    pieces = [word[i : i + 8] for i in range(0, len(word), 8)]
+    total = sum(mix_one(int.from_bytes(p, "little") ^ mix_one((i * GOLDEN + 1) & ALL)) for i, p in enumerate(pieces)) & ALL
+    return mix_one(total ^ mix_one(len(word)))
+
+
+def plain_chunks(text):
+    """(first byte, end byte, words, begins a physical line) of each chunk."""
+    raw = text.encode()
+    lines = []  # lists of words (start, end) and whether the line begins and ends a physical line
+    for m in re.finditer(rb"[^\n]+", raw):
+        words = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", m.group())]
+        if not words:
+            continue
+        cuts = [k for k, (a, b) in enumerate(words[:-1]) if raw[b - 1 : b] in (b".", b"!", b"?") or word_hash(raw[a:b]) % d.WORDS_A_LINE == 0]
+        if not cuts and len(words) > 1:
+            cuts = [0]
+        ends = [k + 1 for k in cuts] + [len(words)]
+        lines += [(words[a:b], a == 0, b == len(words)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    lone = [opens and closes for _, opens, closes in lines]  # one word alone on its line
+    forced = [closes and (i + 1 == len(lines) or not lone[i] or not lone[i + 1]) for i, (_, _, closes) in enumerate(lines)]
+    c1, c2 = (mix_one((i + (13 << 20)) * GOLDEN & ALL) | 1 for i in (1, 2))
+    last = [word_hash(raw[w[-1][0] : w[-1][1]]) for w, _, _ in lines]
+    head = [i == 0 or forced[i - 1] for i in range(len(lines))]
+    roll = [mix_one((last[i] * c1 + (0 if head[i] else last[i - 1]) * c2) & ALL) for i in range(len(lines))]
+    out, own = [], []
+    for i, (words, opens, _) in enumerate(lines):
+        own += [(words, opens)]
+        inner = not forced[i] and not head[i] and not forced[i + 1]
+        if forced[i] or inner and roll[i] < roll[i - 1] and roll[i] <= roll[i + 1]:
+            out.append((own[0][0][0][0], own[-1][0][-1][1], sum(len(w) for w, _ in own), own[0][1]))
+            own = []
+    return out
+
+
+def plain_report(rows):
+    """(id, words, chunks, removed words, removed chunks, digest) of each row."""
+    order = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0))
+    texts, seen, later = {}, {}, defaultdict(set)
+    for row in order:
+        texts[row] = plain_chunks(row[1] or "")
+        for k, (a, b, *_) in enumerate(texts[row]):
+            if seen.setdefault((row[1] or "").encode()[a:b], (row, k)) != (row, k):
+                later[row].add(k)
+    out = []
+    for row in rows:
+        raw, chunks_, marks = (row[1] or "").encode(), texts[row], later[row]
+        kept, at, words, gone, k = [], 0, 0, 0, 0
+        while k < len(chunks_):
+            e = k
+            while e in marks:
+                e += 1
+            n = sum(c[2] for c in chunks_[k:e])
+            if e > k and n >= d.LEAST_WORDS:
+                words, gone = words + n, gone + e - k
+                if chunks_[k][3]:  # with what parts it from the next word
+                    kept.append(raw[at : chunks_[k][0]])
+                    at = chunks_[e][0] if e < len(chunks_) else len(raw)
+                else:  # from the end of the word before
+                    kept.append(raw[at : chunks_[k - 1][1]])
+                    at = chunks_[e - 1][1]
+            k = max(e, k + 1)
+        sha = hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()
+        out.append((str(row[0]), sum(c[2] for c in chunks_), len(chunks_), words, gone, sha))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, most", [(21, 1000), (22, 1), (23, 40)])
+def test_against_the_rules(make, monkeypatch, seed, most):
+    """Also without hot chunks, and with many of them."""
+    monkeypatch.setattr(d.repeated_chunks, "__defaults__", (most,))
+    _, rows = corpus(seed)
+    rows = [(i, t.replace("c1", "é") if i and i % 5 == 0 else t) for i, t in rows]
+    rows += [(None, None), (None, rows[2][1]), (None, rows[2][1]), (200, None), (201, ""), (202, "  \n "), (203, "x" * 9_000), (204, "x" * 9_000), (205, "same words. " * 400), (206, "a\nb\nc\n" * 30)]
+    got = d.report(make(rows, ["nos", "key", "id"])).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_chunks, r.n_removed_words, r.n_removed_chunks, r.text_sha256) for r in got) == plain_report(rows)

@@ -3,20 +3,24 @@
 Personal data (e-mail and IP addresses, card and phone numbers) are the protected
 entities.  Over the whole corpus it is counted in how many different contexts (the words
 within REACH words of an entity, in its line) a term stands beside an entity, c(t, e),
-and how often the term occurs at all, c(t), in the same measure.  What remains unknown of e once t is read is
-IC(e) - PMI(t; e) = log2(c(t) / c(t, e)) bits.  Terms that leave at most REMOVE_BITS are
-removed, terms that leave at most GENERALISE_BITS are generalised, wherever they occur:
-they would lead back to an entity that is masked.  Contexts that are copies of each
-other count once, for c(t, e) and c(t) alike, and a term needs LEAST_CONTEXTS of them.
-In documents with entities c(t) has a term once for each different context and for each
-different line where it stands beside no entity; in those without any it counts each
-occurrence.
+and in how many contexts the term occurs at all, c(t).  What remains unknown of e once t
+is read is IC(e) - PMI(t; e) = log2(c(t) / c(t, e)) bits.  Terms that leave at most
+REMOVE_BITS are removed, terms that leave at most GENERALISE_BITS are generalised,
+wherever they occur: they would lead back to an entity that is masked.  Contexts that are
+copies of each other count once, for c(t, e) and c(t) alike, and a term needs
+LEAST_CONTEXTS of them.  A line in which a term stands beside no entity is a context of its
+own, whatever the document, and counts once however often it is repeated; so repeating
+every document changes nothing.
+
+A generalised term is replaced by a broader one: of the terms that stand in at least
+BROADER of the term's different lines, and in more lines than it, the one with the fewest
+(of equals the first in order); by [TERM] where there is none that may be shown.
 
 The terms met beside entities in enough contexts, and those found to disclose, are sent
 to every task while they are at most MAX_BROADCAST_TERMS; more are joined by shuffles.
 
-Defined cases: a null text is empty and has no spans; repeated rows are returned each,
-and count as often as they occur for c(t) if they have no entity; an empty table gives an empty result.
+Defined cases: a null text is empty and has no spans; repeated rows are returned each and
+count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ REACH = 12
 LEAST_CONTEXTS = 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 MAX_BROADCAST_TERMS = 20_000
+BROADER = 0.8
+#: One line in so many is enough to tell that a common term discloses nothing.
+SLICES = 64
 
 _TERM = r"\p{L}{3,}+"
 
@@ -86,76 +93,123 @@ def _beside(docs: DataFrame) -> DataFrame:
 
 def contexts(docs: DataFrame) -> DataFrame:
     """entity and term of each different context: one row each."""
-    return _beside(docs).select("entity", "context", F.explode("terms").alias("term")).distinct()
+    return _contexts(_beside(docs))
+
+
+def _contexts(beside: DataFrame) -> DataFrame:
+    return beside.select("entity", "context", F.explode("terms").alias("term")).distinct()
 
 
 def _join_terms(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return rows.join(F.broadcast(terms) if n_terms <= MAX_BROADCAST_TERMS else terms, "term")
 
 
-def _totals(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """term and total, c(t): occurrences in documents without entities, different contexts and other lines in those with any."""
-    once = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.transform(F.array_distinct(_words(x)), lambda t: F.struct(F.xxhash64(x).alias("line"), t.alias("term")))))
-    each = F.transform(_words(F.col("text")), lambda t: F.struct(F.lit(None).cast("long").alias("line"), t.alias("term")))
-    words = _rows(docs).select(F.explode(F.when(F.size(_entities(F.col("text"))) > 0, once).otherwise(each)).alias("w")).select("w.*")
+def _lines(docs: DataFrame, slices: int = 1) -> DataFrame:
+    """Each line of the texts that has a term, and its hash; of `slices` parts of all different lines one."""
+    lines = _rows(docs).select(F.explode(F.split("text", "\n")).alias("text")).select("text", F.xxhash64("text").alias("line"))
+    return lines.where(F.pmod("line", F.lit(slices)) == 0) if slices > 1 else lines
+
+
+def _totals(docs: DataFrame, beside: DataFrame, terms: DataFrame, n_terms: int, slices: int = 1) -> DataFrame:
+    """term and total: c(t), or what one of `slices` parts of all lines holds of it."""
+    words = _lines(docs, slices).select("line", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    words = _join_terms(words, terms, n_terms).select("term", "line")
     # a term beside several entities of a line belongs to the context of the first
     first = F.struct("place", "entity", "context")
-    beside = _join_terms(_beside(docs).select("line", first.alias("first"), F.explode("terms").alias("term")), terms, n_terms).groupBy("term", "line").agg(F.min("first").alias("first"))
-    words = _join_terms(words, terms, n_terms).groupBy("term", "line").agg(F.count(F.lit(1)).alias("n"))
-    both = words.select("term", "line", "n", F.lit(None).cast(beside.schema["first"].dataType).alias("first")).union(beside.select("term", "line", F.lit(0).cast("long"), "first"))
-    units = both.groupBy("term", "line").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    beside = beside.select("line", first.alias("first"), F.explode("terms").alias("term")).where(F.pmod("line", F.lit(slices)) == 0)
+    beside = _join_terms(beside, terms, n_terms).select("term", "line", "first")
+    both = words.withColumn("first", F.lit(None).cast(beside.schema["first"].dataType)).unionByName(beside)
+    units = both.groupBy("term", "line").agg(F.min("first").alias("first"))
     unit = F.when(F.col("first").isNotNull(), F.xxhash64("first.entity", "first.context")).otherwise(F.col("line"))
-    parts = units.groupBy("term", unit.alias("unit")).agg(F.sum("n").alias("n"))
-    return parts.groupBy("term").agg(F.sum(F.when(F.col("unit").isNull(), F.col("n")).otherwise(1)).alias("total"))
+    return units.select("term", unit.alias("unit")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("total"))
 
 
 def disclosing_terms(docs: DataFrame, least: int = LEAST_CONTEXTS, remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
     """term and bits: the least that any entity keeps to itself once the term is read."""
-    beside = contexts(docs).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
+    own = written(_beside(docs), "beside")
+    beside = _contexts(own).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
     near = written(beside.groupBy("term").agg(F.max("together").alias("together")), "terms")
     n = near.count()
     if not n:  # no term stands beside any entity often enough
         return near.select("term", F.lit(0.0).alias("bits"))
-    total = _totals(docs, near.select("term"), n)
     bits = F.greatest(F.lit(0.0), F.log2(F.col("total") / F.col("together")))
-    return _join_terms(near, total, n).select("term", bits.alias("bits")).where(F.col("bits") <= generalise)
+    # a part of the lines bounds c(t) from below, and leaves few terms for all of them
+    some = _totals(docs, own, near.select("term"), n, SLICES)
+    near = written(near.join(some, "term", "left").withColumn("total", F.coalesce("total", F.lit(1))).where(bits <= generalise).select("term", "together"), "rare")
+    n = near.count()
+    if not n:
+        return near.select("term", F.lit(0.0).alias("bits"))
+    return _join_terms(near, _totals(docs, own, near.select("term"), n), n).select("term", bits.alias("bits")).where(F.col("bits") <= generalise)
 
 
-def find(docs: DataFrame, remove: float = REMOVE_BITS, most_in_plan: int = MAX_BROADCAST_TERMS, **limits) -> DataFrame:
-    """doc_id, text, base and spans: sorted arrays of struct<start, kind, end>, kind counting KINDS."""
-    terms = written(disclosing_terms(docs, remove=remove, **limits), "disclosing")
+def broader_terms(docs: DataFrame, terms: DataFrame, share: float = BROADER) -> DataFrame:
+    """term and broader, of the disclosing terms that have one that does not disclose."""
+    n = terms.count()
+    lines = _lines(docs).select("line", F.array_distinct(_words(F.col("text"))).alias("words"))
+    own = lines.select("line", "words", F.explode("words").alias("term"))
+    own = written(_join_terms(own, terms.select("term"), n).groupBy("term", "line").agg(F.first("words").alias("words")), "lines")
+    size = own.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
+    beside = own.select("term", F.explode("words").alias("broader")).groupBy("term", "broader").agg(F.count(F.lit(1)).alias("together"))
+    met = beside.join(size, "term").where(F.col("together") >= share * F.col("size"))
+    met = written(met.join(terms.select(F.col("term").alias("broader")), "broader", "left_anti").select("term", "broader", "size"), "met")
+    known = met.select(F.col("broader").alias("term")).distinct()
+    each = lines.select("line", F.explode("words").alias("term"))
+    lines_of = _join_terms(each, known, known.count()).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("lines")).withColumnRenamed("term", "broader")
+    found = met.join(lines_of, "broader").where(F.col("lines") > F.col("size"))
+    return found.groupBy("term").agg(F.min(F.struct("lines", "broader")).alias("b")).select("term", F.col("b.broader").alias("broader"))
+
+
+def find(docs: DataFrame, remove: float = REMOVE_BITS, most_in_plan: int = MAX_BROADCAST_TERMS, terms: DataFrame | None = None, **limits) -> DataFrame:
+    """doc_id, text, base and spans: sorted arrays of struct<start, kind, end>, kind counting KINDS; names: broader terms, by term.
+
+    terms: what to look for (term, bits, broader), if it is known.
+    """
+    terms = written(disclosing_terms(docs, remove=remove, **limits), "disclosing") if terms is None else terms
+    if "broader" not in terms.columns:
+        terms = terms.withColumn("broader", F.lit(None).cast("string"))
     n = terms.count()
     rows = _rows(docs)
-    none = F.array().cast("array<string>")
+    none, unnamed = F.array().cast("array<string>"), F.array().cast("array<struct<term:string,broader:string>>")
     surface = F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))
     if not n:
-        rows = rows.withColumn("gone", none).withColumn("vague", none)
+        rows = rows.select("*", none.alias("gone"), none.alias("vague"), unnamed.alias("names"))
     elif n <= most_in_plan:
-        small = terms.collect()  # at most MAX_BROADCAST_TERMS
-
-        def own(pick) -> Column:
-            known = F.array(*(F.lit(t.term) for t in small if pick(t.bits))).cast("array<string>")
-            here = F.array_intersect(F.transform(surface, F.lower), known)
-            return F.when(F.size(here) > 0, F.filter(surface, lambda w: F.array_contains(here, F.lower(w)))).otherwise(none)
-
-        rows = rows.withColumn("gone", own(lambda b: b <= remove)).withColumn("vague", own(lambda b: b > remove))
+        small = terms.collect()  # at most MAX_BROADCAST_TERMS, looked up in hash sets
+        gone = [t.term for t in small if t.bits <= remove]
+        rows = rows.withColumn("here", F.filter(surface, lambda w: F.lower(w).isin([t.term for t in small])))
+        rows = rows.withColumn("gone", F.filter("here", lambda w: F.lower(w).isin(gone)) if gone else none)
+        named = [F.struct(F.lit(t.term).alias("term"), F.lit(t.broader).alias("broader")) for t in small if t.broader]
+        names = F.array(*named) if named else unnamed
+        rows = rows.select("doc_id", "text", "gone", F.array_except("here", "gone").alias("vague"), names.alias("names"))
     else:
         key = F.struct("doc_id", F.sha2("text", 256))
         met = rows.select(key.alias("key"), F.explode(surface).alias("word")).withColumn("term", F.lower("word")).join(terms, "term")
-        met = met.groupBy("key").agg(*(F.collect_set(F.when(pick, F.col("word"))).alias(c) for c, pick in (("gone", F.col("bits") <= remove), ("vague", F.col("bits") > remove))))
-        rows = rows.withColumn("key", key).join(met, "key", "left").select("doc_id", "text", F.coalesce("gone", none).alias("gone"), F.coalesce("vague", none).alias("vague"))
+        sets = [F.collect_set(F.when(pick, F.col("word"))).alias(c) for c, pick in (("gone", F.col("bits") <= remove), ("vague", F.col("bits") > remove))]
+        met = met.groupBy("key").agg(*sets, F.collect_set(F.when(F.col("broader").isNotNull(), F.struct("term", "broader"))).alias("names"))
+        rows = rows.withColumn("key", key).join(met, "key", "left").select("doc_id", "text", *(F.coalesce(c, e).alias(c) for c, e in (("gone", none), ("vague", none), ("names", unnamed))))
     text = F.col("text")
     base = F.array_sort(F.concat(*(tagged(k, x) for k, x in enumerate(base_hits(text)))))
     rows = rows.withColumn("base", base)
     for k, name in ((4, "gone"), (5, "vague")):
         pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_sort(name), "|"), F.lit(r")(?!\p{L})"))
         rows = rows.withColumn(name, apart(tagged(k, hits(text, pattern, F.size(name) > 0)), F.col("base")) if n else F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", "gone", "vague")).alias("spans"))
+    return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", "gone", "vague")).alias("spans"), "names")
+
+
+def sanitise(docs: DataFrame, share: float = BROADER, **limits) -> DataFrame:
+    """doc_id and the text with personal data masked, disclosing terms removed or replaced by broader ones."""
+    terms = written(disclosing_terms(docs, **{k: v for k, v in limits.items() if k != "most_in_plan"}), "disclosing")
+    if terms.limit(1).count():
+        terms = written(terms.join(broader_terms(docs, terms, share), "term", "left"), "broader")
+    found = find(docs, terms=terms, **limits)
 
+    def mark(x: Column) -> Column:
+        word = F.lower(F.col("text").substr(x["start"] + 1, x["end"] - x["start"]))
+        name = F.element_at(F.filter("names", lambda y: y["term"] == word), 1)["broader"]
+        fixed = F.element_at(F.array(*map(F.lit, MARKS)), x["kind"] + 1)
+        return F.when((x["kind"] == 5) & name.isNotNull(), F.concat(F.lit("["), name, F.lit("]"))).otherwise(fixed)
 
-def sanitise(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id and the text with personal data masked, disclosing terms removed or generalised."""
-    return find(docs, **limits).select("doc_id", replaced(F.col("text"), F.col("spans"), F.array(*map(F.lit, MARKS))).alias("text"))
+    return found.select("doc_id", replaced(F.col("text"), F.col("spans"), mark).alias("text"))
 
 
 def report(docs: DataFrame, **limits) -> DataFrame:

@@ -107,7 +107,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """doc_id and the text with secrets masked."""
-    return find(docs).select("doc_id", replaced(F.col("text"), F.col("spans"), F.array(*map(F.lit, MARKS))).alias("text"))
+    return find(docs).select("doc_id", replaced(F.col("text"), F.col("spans"), lambda x: F.element_at(F.array(*map(F.lit, MARKS)), x["kind"] + 1)).alias("text"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -65,11 +65,11 @@ def apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda x: ~F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
 
 
-def replaced(text: Column, spans: Column, marks: Column) -> Column:
-    """The text with each sorted span replaced by its kind's mark; of overlapping spans the first stays whole."""
+def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with each sorted span replaced by its mark; of overlapping spans the first stays whole."""
 
     def step(done: Column, x: Column) -> Column:
-        new = F.struct(x["end"].alias("at"), F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.element_at(marks, x["kind"] + 1)).alias("out"))
+        new = F.struct(x["end"].alias("at"), F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), mark(x)).alias("out"))
         rest = F.struct(F.greatest(done["at"], x["end"]).alias("at"), done["out"].alias("out"))
         return F.when(x["start"] >= done["at"], new).otherwise(rest)
 

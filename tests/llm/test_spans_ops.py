@@ -93,14 +93,14 @@ def test_masks(make):
 
 def _corpus():
     rows = [(i, f"word{chr(97 + i)} falcon boss@x.org said {' '.join(['the'] * (i + 1))}") for i in range(4)]
-    rows += [(10 + i, f"the {'river' if i < 2 else 'lake'} the end") for i in range(8)]
-    rows += [(20 + i, f"owl {w} call +1 (555) 010-9999") for i, w in enumerate(("alpha", "beta", "gamma"))] + [(30 + i, "an owl again") for i in range(6)]
+    rows += [(50 + i, f"the {'river' if i < 2 else 'lake'} the end {i}") for i in range(20)]
+    rows += [(20 + i, f"owl {w} call +1 (555) 010-9999") for i, w in enumerate(("alpha", "beta", "gamma"))] + [(30 + i, f"an owl again {i}") for i in range(6)]
     return rows + [(40, "Falcon alone"), (41, "falconry")]
 
 
 @pytest.mark.parametrize("most", [pii.MAX_BROADCAST_TERMS, 0])
 def test_disclosing_terms(make, most):
-    """falcon stands beside one address in 4 of 5 occurrences, owl beside a number in 3 of 9."""
+    """falcon stands beside one address in 4 of 5 contexts, owl beside a number in 3 of 9."""
     docs = make(_corpus())
     terms = {r.term: round(r.bits, 4) for r in pii.disclosing_terms(docs).collect()}
     assert terms["falcon"] == round(math.log2(5 / 4), 4) and terms["owl"] == round(math.log2(9 / 3), 4)
@@ -135,3 +135,84 @@ def test_places_are_code_points(spark):
 
     df = spark.createDataFrame([("😀é12x345",)], "t string")
     assert [(h.start, h.end, h.found) for h in df.select(hits(F.col("t"), "[0-9]++", F.lit(True)).alias("h")).first().h] == [(2, 4, "12"), (5, 8, "345")]
+
+
+def plain_terms(rows):
+    """term: bits, by going over all lines and entities one by one."""
+    same = {0: str.lower, 1: str.lower}
+    together, contexts = {}, {}
+    for _, text in rows:
+        for line in (text or "").split("\n"):
+            beside = {}
+            for start, kind, end in personal(line):
+                entity = (kind, same.get(kind, lambda x: re.sub("[^0-9]", "", x))(line[start:end]))
+                words = lambda x: re.findall(r"[^\W\d_]{3,}", x.lower())
+                before, after = line[:start].split(" ")[-2 * pii.REACH :], line[end:].split(" ")[: 2 * pii.REACH]
+                left, right = words(" ".join(before))[-pii.REACH :], words(" ".join(after))[: pii.REACH]
+                for term in {*left, *right}:
+                    together.setdefault((term, entity), set()).add((*left, "|", *right))
+                    here = (start, entity, (*left, "|", *right))
+                    beside[term] = min(beside.get(term, here), here)
+            for term in set(re.findall(r"[^\W\d_]{3,}", line.lower())):
+                contexts.setdefault(term, set()).add(beside[term][1:] if term in beside else line)
+    out = {}
+    for (term, _), c in together.items():
+        if len(c) >= pii.LEAST_CONTEXTS:
+            bits = max(0.0, math.log2(len(contexts[term]) / len(c)))
+            out[term] = min(out.get(term, bits), bits)
+    return {t: b for t, b in out.items() if b <= pii.GENERALISE_BITS}
+
+
+def plain_spans(text, terms):
+    base = personal(text)
+    out = [(s, k, e) for s, k, e in base]
+    for m in re.finditer(r"[^\W\d_]+", text):
+        bits = terms.get(m[0].lower())
+        if bits is not None and not any(a < m.end() and m.start() < e for a, _, e in base):
+            out.append((m.start(), 4 if bits <= pii.REMOVE_BITS else 5, m.end()))
+    return sorted(out)
+
+
+def method_corpus(seed):
+    rng = random.Random(seed)
+    people = [(f"name{c}", f"box{c}@mail.org" if i % 2 else f"+1 555 010 {1000 + i}") for i, c in enumerate("abcdefgh")]
+    people = [(n.replace("name", "Falk"), e) for n, e in people]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            name, entity = rng.choice(people)
+            filler = [rng.choice(["river", "stone", "the", "old", "Ünder", "walks", "house"]) for _ in range(rng.randrange(2, 20))]
+            parts = [*filler, *([name] if rng.random() < 0.6 else []), *([entity] if rng.random() < 0.5 else [])]
+            rng.shuffle(parts)
+            lines.append(" ".join(parts))
+        rows.append((i, "\n".join(lines)))
+    return [*rows, (60, None), (61, ""), (62, "falka Falkab falkA x_falkb")]
+
+
+@pytest.mark.parametrize("most", [pii.MAX_BROADCAST_TERMS, 0])
+def test_method_spans_against_plain_counting(make, most):
+    rows = method_corpus(3)
+    want = plain_terms(rows)
+    assert len(want) > 3 and any(b > pii.REMOVE_BITS for b in want.values()) and any(b <= pii.REMOVE_BITS for b in want.values())
+    docs = make(rows, ["term", "bits", "names"])
+    assert {r.term: round(r.bits, 9) for r in pii.disclosing_terms(docs).collect()} == {t: round(b, 9) for t, b in want.items()}
+    got = {r.doc_id: pii_list(r.spans) for r in pii.find(docs, most_in_plan=most).collect()}
+    assert got == {i: listed(plain_spans(t or "", want), pii.KINDS) for i, t in rows}
+
+
+def test_repeating_every_document_changes_no_term(make):
+    rows = method_corpus(4)
+    want = {t: round(b, 9) for t, b in plain_terms(rows).items()}
+    docs = make([(1000 * k + i, t) for k in range(10) for i, t in rows])
+    assert {r.term: round(r.bits, 9) for r in pii.disclosing_terms(docs).collect()} == want != {}
+
+
+@pytest.mark.parametrize("most", [pii.MAX_BROADCAST_TERMS, 0])
+def test_generalised_terms_get_broader_ones(make, most):
+    """egret stands in 5 lines, 2 beside the address; bird in all of them and four others, animal in more."""
+    rows = [(1, "the egret bird animal boss@x.org wrote"), (2, "that egret bird animal boss@x.org called")]
+    rows += [(3 + i, f"one egret bird animal {w}") for i, w in enumerate(("flew", "slept", "ate"))]
+    rows += [(10, "some bird animal"), (11, "other bird animal"), (14, "blue bird animal"), (15, "red bird animal"), (12, "an animal"), (13, "animal farm")]
+    got = {r.doc_id: r.text for r in pii.sanitise(make(rows), most_in_plan=most).collect()}
+    assert got[3] == "one [bird] bird animal flew" and got[10] == "some bird animal"

@@ -3,10 +3,11 @@
 Heuristic labellers, each looking at one trait of a text, vote good or bad or abstain.
 Expectation-maximisation over the votes of all documents (counted by pattern, at most
 3^labellers of them) estimates how right each is, and gives every pattern a posterior
-probability of good quality.  A linear scorer over hashed features (byte trigrams and
-the votes) is trained to those posteriors on a bounded sample of the documents,
-SAMPLE_ROWS at most, picked by hash; all documents are then scored with it, each task
-with its own copy of the weights.  Nothing is shuffled but pattern counts.
+probability of good quality.  A linear scorer over hashed features of the text (byte
+trigrams, and whether a word is like the one before or like an earlier one, by its
+length) is trained to those posteriors on a bounded sample of the documents, the
+SAMPLE_ROWS ones with the least hashes; it never sees a vote.  All documents are then scored with it, each task
+with its own copy of the weights.  Only pattern counts and the sample are shuffled.
 
 Defined cases: a null or empty text has score 0 and is rejected; repeated documents are
 judged each alone; an empty table gives an empty result.
@@ -25,15 +26,17 @@ from pyspark.sql import functions as F
 from glossa.llm import weaksup
 from glossa.llm.qualityrules import statistics
 from glossa.llm.shared import table, written
-from glossa.llm.wordhash import blocks, find_words, space_words
+from glossa.llm.wordhash import blocks, find_words, mix, space_words
 
 LABELLERS = ("symbols", "marks", "upper_case", "letters", "repeated_words", "repeated_windows", "word_length", "duplicate_lines")
 #: Documents on which the scorer is trained, at most: a parameter of score().
 SAMPLE_ROWS = 3000
 BUCKETS = 4096
-FEATURES = BUCKETS + 2 * len(LABELLERS)
+#: Hashed features of words: kinds of repetition by length of the word.
+WORD_BUCKETS = 64
+FEATURES = BUCKETS + WORD_BUCKETS
 THRESHOLD = 0.5
-LEAST_TRIGRAMS = 100
+LEAST_TRIGRAMS, LEAST_WORDS = 100, 20
 
 
 def votes_of(column: pa.Array) -> np.ndarray:
@@ -65,9 +68,24 @@ def votes_of(column: pa.Array) -> np.ndarray:
     ], axis=1)
 
 
-def features(column: pa.Array, votes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _word_features(column: pa.Array) -> np.ndarray:
+    """Shares of a text's words by hashed kind: new, like an earlier one of the text, like the one before; and by length."""
+    out = np.zeros((len(column), WORD_BUCKETS), np.float32)
+    for w in find_words(column, space_words(), lower=False):
+        n, owner = w.documents, w.owner()
+        order = np.lexsort((np.arange(len(owner)), w.hash, owner))
+        seen = np.zeros(len(owner), np.uint64)
+        seen[order[1:]] = (w.hash[order[1:]] == w.hash[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        seen[1:] += ((w.hash[1:] == w.hash[:-1]) & (owner[1:] == owner[:-1])).astype(np.uint64)
+        kind = mix(np.stack([seen, seen << np.uint64(8) | np.minimum(w.end - w.start, 20).astype(np.uint64) + np.uint64(1 << 16)])) % np.uint64(WORD_BUCKETS)
+        counts = sum(np.bincount(owner * WORD_BUCKETS + k.astype(np.int64), minlength=n * WORD_BUCKETS) for k in kind).reshape(n, WORD_BUCKETS)
+        out[w.row : w.row + n] = counts / np.maximum(np.diff(w.first), LEAST_WORDS)[:, None]
+    return out
+
+
+def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """For each block: number of its first document, and a row of features for each of its documents."""
-    cast = np.concatenate([votes == weaksup.BAD, votes == weaksup.GOOD], axis=1).astype(np.float32)
+    words = np.sqrt(_word_features(column))
     for data, text, row in blocks(column):
         n = len(text) - 1
         code = data[:-2].astype(np.uint32) << 16 | data[1:-1].astype(np.uint32) << 8 | data[2:] if len(data) > 2 else np.zeros(0, np.uint32)
@@ -79,7 +97,7 @@ def features(column: pa.Array, votes: np.ndarray) -> Iterator[tuple[int, np.ndar
             rows = min(256, n - at)
             counts = np.bincount((owner[own] - at)[inside[own]] * BUCKETS + bucket[own][inside[own]], minlength=rows * BUCKETS).reshape(rows, BUCKETS).astype(np.float32)
             counts /= np.maximum(counts.sum(axis=1, keepdims=True), LEAST_TRIGRAMS)  # short texts say less
-            yield row + at, np.concatenate([np.sqrt(counts), cast[row + at : row + at + rows]], axis=1)
+            yield row + at, np.concatenate([np.sqrt(counts), words[row + at : row + at + rows]], axis=1)
 
 
 @dataclass
@@ -112,9 +130,10 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes = votes_of(batch.column("text"))
-        for row, x in features(batch.column("text"), votes):
-            yield pa.RecordBatch.from_arrays([pa.array(weaksup.encode(votes[row : row + len(x)])), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["votes", "x"])
+        votes = weaksup.encode(votes_of(batch.column("text")))
+        for row, x in features(batch.column("text")):
+            at = slice(row, row + len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("h")[at], pa.array(votes[at]), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["h", "votes", "x"])
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
@@ -126,16 +145,17 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     counts = np.array([r["count"] for r in counted], float)
     model = weaksup.fit(weaksup.decode(patterns, len(LABELLERS)), counts)
     posterior = dict(zip(patterns.tolist(), model.posterior(weaksup.decode(patterns, len(LABELLERS))).tolist(), strict=True))
-    # equal texts with equal ids share a hash, so a hot hash is left out as a whole rather than exceed the bound
-    below = int((1 << 40) * min(1.0, 0.9 * sample_rows / max(counts.sum(), 1)))
-    picked = rows.where(F.col("h") < below).dropDuplicates(["h"]).select("text").mapInArrow(_featured, "votes long, x binary").limit(sample_rows).collect()
+    # rows alike in id and text share a hash and count once; of the rest some more than needed are looked at, and the least hashes taken
+    below = int((1 << 40) * min(1.0, 1.5 * sample_rows / max(counts.sum(), 1)))
+    near = rows.where(F.col("h") < below).dropDuplicates(["h"]).select("h", "text").mapInArrow(_featured, "h long, votes long, x binary")
+    picked = near.orderBy("h").limit(sample_rows).collect()
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in picked]) if picked else np.zeros((0, FEATURES), np.float32)
     return train(x, np.array([posterior[r.votes] for r in picked], np.float32))
 
 
 def _scores(scorer: Scorer, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
-    for row, x in features(column, votes_of(column)):
+    for row, x in features(column):
         out[row : row + len(x)] = scorer(x)
     out[np.array(column.fill_null("").to_numpy(zero_copy_only=False) == "", bool)] = 0.0
     return out

@@ -96,6 +96,58 @@ def test_scorer(make):
     assert qualityscore.score(make([])).count() == 0 and qualityscore.keep_good(make([])).count() == 0
 
 
-def test_sample_is_bounded(make):
-    docs = make([(i, f"text {i} the end") for i in range(300)])
-    assert qualityscore.learn(docs, sample_rows=20).weights.shape == (qualityscore.FEATURES,)
+def test_sample_is_bounded_and_the_same_again(make):
+    rows = [(i, f"text {i} the end") for i in range(300)]
+    a, b = (qualityscore.learn(make(r), sample_rows=20) for r in (rows, rows[::-1] + rows[:5]))
+    assert a.weights.shape == (qualityscore.FEATURES,)
+    assert np.allclose(a.weights, b.weights, atol=1e-3) and len(a.weights) == len(next(qualityscore.features(pa.array(["x"])))[1][0])
+
+
+def plain_votes(text):
+    """The labellers' votes by plain counting."""
+    n_words, word_chars, n_symbols, n_dup, n_repeat = brute(text)
+    words, raw = re.findall(r"[^\x20\x09-\x0D]+", text), text.encode()
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC0 for c in raw)
+    upper = sum(65 <= c <= 90 for c in raw)
+    marks = sum(c in b"!?|~^=_\\@" for c in raw)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    doubles = sum(a == b for a, b in zip(words, words[1:], strict=False))
+
+    def say(value, bad, good, least=1):
+        return weaksup.ABSTAIN if n_words < least else weaksup.BAD if value > bad else weaksup.GOOD if value < good else weaksup.ABSTAIN
+
+    w = max(n_words, 1)
+    return [
+        say(n_symbols / w, 0.1, 0.02), say(marks / w, 0.15, 0.03), say(upper / max(letters, 1), 0.3, 0.15, 3), say(1 - letters / max(len(raw), 1), 0.4, 0.25, 5),
+        say(doubles / w, 0.2, 0.05, 5), say(n_repeat / w, 0.5, 0.1, 20), say(abs(word_chars / w - 6), 4.5, 3.0, 5), say(n_dup / max(lines, 1), 0.5, 0.1, 3),
+    ]
+
+
+def test_votes_against_plain_counting():
+    texts = [*random_texts(200, 6), *(t or "" for _, t in EDGES if t is None or len(t) < 50_000), "SHOUT LOUD!! NOW!! " * 9, "same same same same same", "wörter über alles in der Welt und anderswo " * 3]
+    assert qualityscore.votes_of(pa.array(texts)).tolist() == [plain_votes(t) for t in texts]
+
+
+def test_posteriors_against_bayes():
+    """Each pattern's posterior follows from the prior and the emissions, which follow from the posteriors."""
+    rng = np.random.default_rng(3)
+    votes, counts = weaksup.decode(np.arange(3**4), 4), rng.integers(1, 50, 3**4).astype(float)
+    model = weaksup.fit(votes, counts, rounds=400)
+    got = model.posterior(votes)
+    for p in range(len(votes)):
+        both = [model.prior if c else 1 - model.prior for c in (0, 1)]
+        for j, v in enumerate(votes[p]):
+            both = [x * (1 if v == weaksup.ABSTAIN else model.emit[c, j, v]) for c, x in enumerate(both)]
+        assert abs(got[p] - both[1] / sum(both)) < 1e-9
+    for j in range(4):  # the fit has settled
+        for c, weight in ((0, (1 - got) * counts), (1, got * counts)):
+            bad, good = (weight[votes[:, j] == v].sum() + 0.5 for v in (weaksup.BAD, weaksup.GOOD))
+            assert abs(model.emit[c, j, weaksup.BAD] - bad / (bad + good)) < 0.02
+
+
+def test_very_long_and_repeated_texts(make):
+    rows = [(1, "the quick river ran on and on to the wide sea " * 20_000), (1, "the quick river ran on and on to the wide sea " * 20_000), (2, "x" * 500_000), (3, None), (None, "the river ran to the sea and the boats wait")]
+    docs = make(rows, ["score", "kept", "h"])
+    got = qualityscore.score(docs).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1 and [r.score for r in got if r.doc_id == 3] == [0.0]
+    assert qualityscore.keep_good(docs).columns == docs.columns

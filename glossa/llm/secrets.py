@@ -1,11 +1,13 @@
 """Secret scans with SQL functions alone: patterns, and entropy in sliding windows.
 
 Candidate strings are runs of at least WINDOW characters of a key alphabet with a digit
-among them.  A window of WINDOW characters slides over each; the counts of its
-characters are kept as it moves (one leaves, one enters), and with them the sum of
-c * log2(c), so H = log2(WINDOW) - sum / WINDOW.  A candidate is a secret if a window
-reaches the threshold of its character class and nothing on the allow list fits it.
-Every document is judged alone: there is no shuffle.
+among them, or with a small letter and a capital that is not the first.  A window of WINDOW characters slides over each;
+the counts of its characters, one for each different character of the candidate, are kept
+as it moves (one leaves, one enters), and with them the sum of c * log2(c), so
+H = log2(WINDOW) - sum / WINDOW.  A candidate is a secret if a window reaches the
+threshold of its character class and nothing on the allow list fits the whole of it.
+Other runs, of letters of one case but for the first, are words of some language rather
+than keys, and no candidates.  Every document is judged alone: there is no shuffle.
 
 Defined cases: a null text is empty and has no spans; repeated rows are returned each;
 an empty table gives an empty result.
@@ -21,20 +23,23 @@ from glossa.llm.spans import apart, counted, hits, listed, once, replaced, tagge
 
 KINDS = ("assign", "access", "hex", "entropy")
 MARKS = tuple(f"[{k.upper()}]" for k in KINDS)
-WINDOW = 20
+WINDOW = 16
 #: Character class: what a candidate of it looks like, and the bits a character from which a window is random.
 CLASSES = (
-    ("hex", r"^[0-9a-fA-F]+$", 3.0),
-    ("letters and digits", r"^[0-9A-Za-z]+$", 3.7),
-    ("base64", r"^[0-9A-Za-z+/=_-]+$", 3.8),
+    ("hex", r"^[0-9a-fA-F]+$", 2.9),
+    ("letters", r"^[A-Za-z]+$", 3.6),
+    ("letters and digits", r"^[0-9A-Za-z]+$", 3.5),
+    ("base64", r"^[0-9A-Za-z+/=_-]+$", 3.6),
 )
-#: Candidates that are no secrets: numbers, UUIDs, dates and versions, words joined by marks, alphabets in order, samples.
+#: Candidates that are no secrets, each to fit as a whole: numbers, UUIDs, words and short numbers joined by marks or by
+#: capitals, and alphabets in order or samples with no more than a few other characters.
 ALLOWED = (
     r"^[0-9=+/_-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]{0,15}([-_/+=][A-Za-z]{1,15}|[-_/+=][0-9]{1,4})+$",
-    r"(?i)0123456789|abcdefgh|qwertyui",
-    r"(?i)example|sample|placeholder|x{6}",
+    r"^[A-Z]?[a-z]+([A-Z][a-z]{2,})*[A-Z]?[0-9]{0,4}$",
+    r"(?i)^.{0,4}(0123456789|abcdefgh|qwertyui).{0,12}$",
+    r"(?i)^.{0,8}(example|sample|placeholder|x{6}).{0,12}$",
 )
 _KEY = r"[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 
@@ -56,39 +61,44 @@ def most_entropy(s: Column, window: int = WINDOW) -> Column:
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def slide(codes: Column) -> Column:
+    def slide(x: Column) -> Column:
+        codes, kinds = x["codes"], x["kinds"]
+
         def step(state: Column, i: Column) -> Column:
             new = F.element_at(codes, i)
-            old = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-
-            def moved(x: Column) -> Column:
-                return F.transform(state["counts"], lambda c, j: c + F.when(j == x["new"], 1).otherwise(0) - F.when(j == x["old"], 1).otherwise(0))
+            old = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
 
-            def state_after(x: Column) -> Column:
-                entering = F.element_at(state["counts"], x["new"] + 1)
-                leaving = F.when(x["old"] >= 0, F.element_at(state["counts"], F.greatest(x["old"], F.lit(0)) + 1)).otherwise(F.lit(0))
-                change = term(entering + 1) - term(entering) - F.when(x["old"] >= 0, term(leaving) - term(leaving - 1)).otherwise(0.0)
-                total = F.when(x["new"] == x["old"], state["total"]).otherwise(state["total"] + change)
+            def state_after(m: Column) -> Column:
+                entering = F.element_at(state["counts"], m["new"])
+                leaving = F.when(m["old"] > 0, F.element_at(state["counts"], F.greatest(m["old"], F.lit(1)))).otherwise(F.lit(0))
+                change = term(entering + 1) - term(entering) - F.when(m["old"] > 0, term(leaving) - term(leaving - 1)).otherwise(0.0)
+                total = F.when(m["new"] == m["old"], state["total"]).otherwise(state["total"] + change)
                 bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
-                return F.struct(moved(x).alias("counts"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
+                counts = F.transform(state["counts"], lambda c, j: c + F.when(j + 1 == m["new"], 1).otherwise(0) - F.when(j + 1 == m["old"], 1).otherwise(0))
+                return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["best"], bits).alias("best"))
 
             return once(F.struct(new.alias("new"), old.alias("old")), state_after)
 
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
+        start = F.struct(F.array_repeat(F.lit(0), kinds).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step)["best"]
 
-    codes = F.transform(F.split(s, ""), F.ascii)
-    return F.when(F.length(s) >= window, F.round(once(codes, slide), 9))
+    def numbered(chars: Column) -> Column:
+        """Each character as its number among the different ones."""
+        own = F.array_distinct(chars)
+        return F.struct(F.transform(chars, lambda c: F.array_position(own, c).cast("int")).alias("codes"), F.size(own).alias("kinds"))
+
+    return F.when(F.length(s) >= window, F.round(once(once(F.split(s, ""), numbered), slide), 9))
 
 
 def entropy_hits(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:
     run = r"[A-Za-z0-9+/_=-]"
-    found = hits(text, rf"(?<!{run})(?=[A-Za-z+/_=-]*+[0-9]){run}{{{window},}}+", F.rlike(text, F.lit(rf"{run}{{{window}}}")))
+    begin = rf"(?<!{run})(?=[0-9]|{run}[a-z+/_=-]*+[0-9A-Z])"
+    found = hits(text, rf"{begin}{run}{{{window},}}+", F.rlike(text, F.lit(rf"{begin}{run}{{{window}}}")))
 
     def secret(x: Column) -> Column:
         s = x["found"]
         needed = F.coalesce(*(F.when(F.rlike(s, F.lit(p)), F.lit(bits)) for _, p, bits in classes))
-        fine = F.lit(False)
+        fine = ~F.rlike(s, F.lit("[0-9a-z]"))
         for p in allowed:
             fine = fine | F.rlike(s, F.lit(p))
         return F.when(fine, F.lit(False)).otherwise(most_entropy(s, window) >= needed)

@@ -40,9 +40,11 @@ def entropy_spans(text, base):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
         s = m[0]
-        if len(s) < secrets.WINDOW or not re.search("[0-9]", s) or any(re.search(p, s) for p in secrets.ALLOWED):
+        n = secrets.WINDOW
+        candidate = re.search("[0-9]", s) or re.search("[a-z]", s) and re.search(".[A-Z]", s)
+        if len(s) < n or not candidate or any(re.search(p, s) for p in secrets.ALLOWED):
             continue
-        best = max(-sum(c / 20 * math.log2(c / 20) for c in map(s[i : i + 20].count, set(s[i : i + 20]))) for i in range(len(s) - 19))
+        best = max(-sum(c / n * math.log2(c / n) for c in map(s[i : i + n].count, set(s[i : i + n]))) for i in range(len(s) - n + 1))
         if round(best, 9) >= next(b for _, p, b in secrets.CLASSES if re.search(p, s)) and not any(a < m.end() and m.start() < e for a, _, e in base):
             out.append((m.start(), 3, m.end()))
     return out
@@ -82,6 +84,20 @@ def test_entropy(make):
     assert any("entropy" in s for s in got.values())
 
 
+def test_entropy_finds_what_patterns_miss(make):
+    """Random keys planted in prose: of letters alone, of 16 to 24 characters, with a sample word inside; and what only looks like one."""
+    rng = random.Random(17)
+    both, all_ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choices(both, k=24)) for _ in range(40)] + ["".join(rng.choices(all_, k=rng.randrange(18, 33))) for _ in range(40)]
+    keys += ["".join(rng.choices(all_, k=20)) + "/sample/" + "".join(rng.choices(all_, k=20)) for _ in range(10)]
+    fine = ["getElementByIdentifier", "Donaudampfschifffahrt", "INTERNATIONALISATION", "user_name_of_the_account", "2024-01-31-2024-02-28", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaa1", "exampleKey12345678", "Rindfleischetikettierung2024", "/usr/local/share/doc"]
+    rows = [(i, f"the key is {k} and so on") for i, k in enumerate([*keys, *fine])]
+    got = {r.doc_id: r.spans for r in secrets.report(make(rows)).collect()}
+    assert sum("entropy:" in got[i] for i in range(len(keys))) >= 0.95 * len(keys)
+    assert [fine[i] for i in range(len(fine)) if got[len(keys) + i]] == []
+    assert all(not secret(rows[i][1]) for i in range(len(keys)))
+
+
 def test_empty_tables(make):
     assert pii.report(make([])).count() == 0 and secrets.report(make([])).count() == 0
 

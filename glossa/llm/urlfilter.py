@@ -1,15 +1,21 @@
 """URL filters: rules indexed by their rarest literal token.
 
-A rule names a host and a path, or carries a regular expression over host and path.
-Every rule is filed under one of its literal tokens (a run of ASCII letters and digits),
-the one that the fewest rules have.  A URL's own tokens fetch candidate rules from that
-index, and only the candidates' expressions run.  Rules without a token are candidates
-for every URL.  No row moves: there is no shuffle.  The rules travel with the tasks; a
-list of more than MAX_RULES is refused, since it would no longer be small.
+A rule names a host and a path, or carries a regular expression over host and path; lists
+in the published syntax of ad filters (`||host^`, `@@`, `*`, `^`, `|`, `/expression/`) can
+be read.  Every rule is filed under one of its literal tokens (a run of ASCII letters and
+digits), the one that the fewest rules have.  A URL's own tokens fetch candidate rules
+from that index, and only the candidates' expressions run.  Rules without a token are
+candidates for every URL.
+
+Up to MAX_RULES rules the index travels with the tasks and no row moves.  Longer lists are
+an index table: URL tokens are joined to it by a shuffle (those that many URLs have, where
+they are), and rules without a token are tried in portions.  The results are the same.
 
 Defined cases: a null URL or one without `://` has an empty host and path and no rule;
 repeated URLs are judged each alone; of rules that fit, the longest host and path wins,
-then the first in the list; an empty table gives an empty result.
+then allow over block for read filters, then the first in the list; an empty table gives
+an empty result; filters with options or for page elements are not rules of URLs and are
+left out.  Only A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -21,9 +27,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossa.llm.shared import table
+from glossa.llm.shared import table, written
+from glossa.llm.skew import join_skewed
 
+#: Rules that travel with every task (about 1 kB each); longer lists are joined.
 MAX_RULES = 200_000
 
 LIST_RULES = (
@@ -76,10 +85,36 @@ def pattern_rule(verdict: str, pattern: str) -> Rule:
     return Rule(verdict, f"(?s:.*?)(?:{pattern})", tuple(needs), 0, None)
 
 
+def read_filter(line: str) -> Rule | None:
+    """A rule from a line in the syntax of ad filters; None for comments, element filters and filters with options."""
+    line = line.strip()
+    if not line or line.startswith(("!", "[")) or re.search(r"#[@?$]?#", line):
+        return None
+    verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+    first = 1 if verdict == "allow" else 0  # exceptions win
+    if len(body) > 2 and body[0] == body[-1] == "/":
+        return Rule(verdict, f"(?s:.*?)(?:{body[1:-1]})", (), first, None)
+    if "$" in body:
+        return None
+    body = body.translate(_LOWER)
+    start, body = ("||", body[2:]) if body.startswith("||") else ("|", body[1:]) if body.startswith("|") else ("", body)
+    if start == "|":
+        body = re.sub(r"^[a-z]*://", "", body)  # what is judged has no scheme
+    body, end = (body[:-1], r"\Z") if body.endswith("|") else (body, "")
+    expression = "".join({"*": "(?s:.*)", "^": r"(?:[^a-z0-9_.%-]|\Z)"}.get(c, re.escape(c)) for c in body)
+    before = {"||": r"(?:[^/]*\.)?", "|": "", "": "(?s:.*?)"}[start]
+    # tokens that stand whole in every URL that fits
+    whole = re.finditer(r"[a-z0-9]+", body)
+    needs = [m[0] for m in whole if (m.start() > 0 and body[m.start() - 1] != "*" or m.start() == 0 and start) and (m.end() < len(body) and body[m.end()] != "*" or m.end() == len(body) and end)]
+    return Rule(verdict, before + expression + end, tuple((w,) for w in needs), first, None)
+
+
+def read_filters(lines: list[str]) -> list[Rule]:
+    return [r for r in map(read_filter, lines) if r]
+
+
 class RuleIndex:
     def __init__(self, rules: list[Rule]):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to every task")
         self.rules, self.compiled = rules, [re.compile(r.pattern) for r in rules]
         counts = Counter(w for r in rules for need in r.needs for w in need)
         self.by_token, self.always = defaultdict(list), []
@@ -97,7 +132,7 @@ class RuleIndex:
         return sorted(found)
 
     def judge(self, host: str, path: str) -> Rule | None:
-        lowered = (host + path).lower()
+        lowered = (host + path).translate(_LOWER)
         fitting = [self.rules[i] for i in self.candidates(lowered) if self.compiled[i].match(host + path if self.rules[i].name else lowered)]
         return max(fitting, key=lambda r: r.length, default=None)
 
@@ -118,9 +153,54 @@ def default_rules() -> list[Rule]:
     return [host_rule(*r) for r in LIST_RULES] + [pattern_rule("block", p) for p in PATTERNS]
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def _joined(pages: DataFrame, index: RuleIndex, most: int) -> DataFrame:
+    """filter_urls for a list of more than `most` rules: the index is a table."""
+    spark, filed = pages.sparkSession, sorted({(w, i) for w, own in index.by_token.items() for i in own})
+    portions = [[(i, index.rules[i]) for i in index.always[at : at + most]] for at in range(0, len(index.always), most)]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [split_url(u) for u in batch.column("url").to_pylist()]
+            words = [sorted(set(words_of((h + p).translate(_LOWER)))) for h, p in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([h for h, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string()), pa.array(words, pa.list_(pa.string()))], ["page_id", "host", "path", "words"])
+
+    def tried(rules_of):
+        """no and best, the rule that fits best, of each row for which one fits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    whole = row["host"] + row["path"]
+                    fit = [(r["length"], -r["number"], r["verdict"], r["name"]) for r in rules_of(row) if re.match(r["pattern"], whole if r["name"] else whole.translate(_LOWER))]
+                    if fit:
+                        length, number, verdict, name = max(fit, key=lambda f: f[:2])
+                        out.append({"no": row["no"], "length": length, "number": number, "verdict": verdict, "name": name})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("no", pa.int64()), ("length", pa.int64()), ("number", pa.int64()), ("verdict", pa.string()), ("name", pa.string())]))
+
+        return run
+
+    fields, found = "number long, verdict string, pattern string, length long, name string", "no long, length long, number long, verdict string, name string"
+    fielded = lambda i, r: {"number": i, "verdict": r.verdict, "pattern": r.pattern, "length": r.length, "name": r.name}
+    rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url").mapInArrow(split, "page_id long, host string, path string, words array<string>")
+    rows = written(rows.withColumn("no", F.monotonically_increasing_id()), "urls")
+    table_ = spark.createDataFrame([(w, *fielded(i, index.rules[i]).values()) for w, i in filed], f"word string, {fields}")
+    table_ = written(table_.groupBy("word").agg(F.collect_list(F.struct("number", "verdict", "pattern", "length", "name")).alias("rules")), "rules")
+    words = written(rows.select("no", F.explode("words").alias("word")), "words")
+    met = join_skewed(words, table_, ["word"]).drop("word").join(rows.select("no", "host", "path"), "no")
+    fits = met.mapInArrow(tried(lambda row: row["rules"]), found)
+    for portion in portions:
+        own = [fielded(i, r) for i, r in portion]
+        fits = fits.unionByName(rows.select("no", "host", "path").mapInArrow(tried(lambda row, own=own: own), found))
+    best = fits.groupBy("no").agg(F.max(F.struct("length", "number", "verdict", "name")).alias("b"))
+    return rows.join(best, "no", "left").select("page_id", "host", "path", F.col("b.name").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, most: int = MAX_RULES) -> DataFrame:
     """page_id, host, path, the listed rule that fits (else null) and the verdict (allow where nothing fits)."""
     index = RuleIndex(default_rules() if rules is None else rules)
+    if len(index.rules) > most:
+        return _joined(pages, index, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +236,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN {" OR ".join(f"regexp_matches(lower(host || path), '{p}')" for p in PATTERNS)} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN {" OR ".join(f"regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p}')" for p in PATTERNS)} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """

@@ -1,3 +1,4 @@
+import random
 import re
 
 from glossa.llm import urlfilter as u
@@ -39,3 +40,56 @@ def test_index_misses_nothing():
 
 def test_empty(spark):
     assert u.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+FILTERS = """! a comment
+[Adblock Plus 2.0]
+||ads.example.org^
+||tracker.net/pixel*/img^
+@@||ads.example.org/ok/
+/banner/*/top.
+|start.example/
+.swf|
+/[a-z]+[0-9]{4}x/
+example.com##.box
+||other.org^$third-party""".split("\n")
+
+
+def test_read_filters():
+    rules = u.read_filters(FILTERS)
+    assert len(rules) == 7
+    index = u.RuleIndex(rules)
+    said = lambda host, path: getattr(index.judge(host, path), "verdict", None)
+    assert said("ads.example.org", "/x") == said("sub.ads.example.org", "") == "block"
+    assert said("ads.example.org", "/ok/1") == "allow" and said("badads.example.org", "/x") is None
+    assert said("tracker.net", "/pixel99/img") == "block" and said("tracker.net", "/pixel/imgs") is None
+    assert said("a.b", "/banner/1/top.png") == "block" and said("a.b", "/banner/top.png") is None
+    assert said("start.example", "/") == "block" and said("www.start.example", "/") is None
+    assert said("a.b", "/movie.SWF") == "block" and said("a.b", "/movie.swf2") is None
+    assert said("a.b", "/abc1234x") == "block" and said("other.org", "/") is None
+
+
+def test_index_is_complete():
+    """Every rule that fits is among the candidates."""
+    rng = random.Random(2)
+    rules = u.default_rules() + u.read_filters(FILTERS)
+    index, parts = u.RuleIndex(rules), ["ads", "example", "org", "com", "net", ".", "/", "-", "_", "banner", "1", "top", "pixel", "img", "en", "www", "tracker", "X", "login", "ad", "swf", "abc1234x"]
+    for _ in range(3000):
+        host, path = "".join(rng.choices(parts, k=4)).replace("/", "").lower(), "/" + "".join(rng.choices(parts, k=6))
+        lowered = (host + path).lower()
+        fitting = {i for i, r in enumerate(rules) if re.match(r.pattern, host + path if r.name else lowered)}
+        assert fitting <= set(index.candidates(lowered))
+
+
+def test_a_long_list_is_joined(spark):
+    rng = random.Random(3)
+    rules = u.default_rules() + u.read_filters(FILTERS) + [u.host_rule("block", f"h{i}.org", "/") for i in range(30)]
+    hosts = ["www.example.com", "a.net", "h3.org", "x.h7.org", "ads.example.org", "tracker.net", "plain.io", "start.example"]
+    rows = [(i % 50, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'es/', 'ok/', 'login', 'pixel1/img', 'abc1234x', ''])}") for i in range(200)] + [(None, None), (None, "no scheme"), (1, "http://H3.org/"), (1, "http://H3.org/")]
+    pages = spark.createDataFrame([(*r, "no") for r in rows], "page_id long, url string, no string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(key, u.filter_urls(pages, rules).collect()))
+    assert len(want) == len(rows)
+    for most in (2, 20):
+        assert sorted(map(key, u.filter_urls(pages, rules, most=most).collect())) == want
+    assert u.filter_urls(pages.limit(0), rules, most=2).count() == 0

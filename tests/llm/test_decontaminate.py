@@ -42,25 +42,31 @@ def sample(seed):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("limit", [d.MAX_WINDOWS, 5])
-def test_report(spark, make, seed, limit, monkeypatch):
+@pytest.mark.parametrize("limit, hashes", [(d.MAX_WINDOWS, d.MAX_HASHES), (5, d.MAX_HASHES), (5, 6)])
+def test_report(spark, make, seed, limit, hashes):
+    """Also with the n-grams as a table, and with their hashes in portions."""
     docs, items = sample(seed)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = d.find_overlaps(make(docs, ["hit", "items"]), bench, limit=limit).mapInArrow(d._report, d.REPORT)
+    found = d.report(make(docs, ["hit", "items", "key"]), bench, limit=limit, hashes=hashes)
     assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in found.collect()) == brute(docs, items)
 
 
-def test_removal(spark, make):
+@pytest.mark.parametrize("limit", [d.MAX_WINDOWS, 3])
+def test_removal(spark, make, limit):
     passage = " ".join(f"w{i}" for i in range(12))
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    docs = make([(1, f"Before, {passage.upper()}! After"), (2, "clean text"), (3, None)], ["hit"])
-    cut = {r.doc_id: (r.text, r.changed) for r in d.remove_spans(docs, bench).collect()}
-    assert cut == {1: ("Before, ! After", True), 2: ("clean text", False), 3: (None, False)}
-    kept = d.remove_documents(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+    long_ = "clean " * 30_000
+    docs = make([(1, f"Before, {passage.upper()}! After"), (2, "clean text"), (3, None), (3, None), (4, ""), (5, long_), (6, long_ + passage), (2, "clean text"), (None, passage), (None, "other"), (7, passage), (7, "clean")], ["hit", "key"])
+    cut = sorted((str(r.doc_id), r.text, r.changed) for r in d.remove_spans(docs, bench, limit=limit).collect() if r.text is not None)
+    want = [("1", "Before, ! After", True), ("2", "clean text", False), ("4", "", False), ("5", long_, False), ("6", long_, True), ("2", "clean text", False), ("None", "", True), ("None", "other", False), ("7", "", True), ("7", "clean", False)]
+    assert cut == sorted(want)
+    kept = d.remove_documents(docs, bench, limit=limit)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("2", "clean text"), ("3", ""), ("3", ""), ("4", ""), ("5", long_), ("2", "clean text"), ("None", "other"), ("7", "clean")])
 
 
 def test_empty(spark, make):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in d.report(make([(1, "a b")]), bench).collect()] == [False]
+    assert d.report(make([(1, "a b")]), bench, limit=-1).count() == 1
     assert d.report(make([]), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0

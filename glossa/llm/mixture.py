@@ -118,12 +118,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
-    """The documents that the mix takes, with all their columns and size, source_size, target and taken."""
-    new = ("size", "source_size", "target", "taken")
+    """The documents that the mix takes, with all their columns as they were, and size, source_size, target and taken; a name of these that a document's column has gets a _ more."""
+    own_names = {c.lower() for c in docs.columns}
+    new = {}
+    for c in ("size", "source_size", "target", "taken"):
+        new[c] = c
+        while new[c] in own_names:
+            new[c] += "_"
     plan = _plan(written(sized(docs), "sizes"), weights, share, repeats)
-    own = F.struct(*(docs[c] for c in docs.columns if c.lower() not in new)).alias("_row")
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
     rows = _beside(docs.select(own, *_sizes(docs)[1:]), *plan)
-    return rows.select("_row", *new[:3], _taken()).where("taken > 0").select("_row.*", *new)
+    rows = rows.select("_row", "size", "source_size", "target", _taken()).where("taken > 0")
+    return rows.select("_row.*", *(F.col(c).alias(n) for c, n in new.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ length) is trained to those posteriors on a bounded sample of the documents, the
 SAMPLE_ROWS ones with the least hashes; it never sees a vote.  All documents are then scored with it, each task
 with its own copy of the weights.  Only pattern counts and the sample are shuffled.
 
-Defined cases: a null or empty text has score 0 and is rejected; repeated documents are
+Defined cases: a null or empty text, or one without words, has score 0 and is rejected; repeated documents are
 judged each alone; an empty table gives an empty result.
 """
 
@@ -156,8 +156,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
 def _scores(scorer: Scorer, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     for row, x in features(column):
-        out[row : row + len(x)] = scorer(x)
-    out[np.array(column.fill_null("").to_numpy(zero_copy_only=False) == "", bool)] = 0.0
+        out[row : row + len(x)] = np.where(x[:, BUCKETS:].any(axis=1), scorer(x), 0.0)
     return out
 
 

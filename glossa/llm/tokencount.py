@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import shared_folder, table
+from glossa.llm.shared import shared_folder, table, written
+from glossa.llm.skew import join_skewed
 
 LIMIT = 1024
 #: Words whose counts a worker remembers (about 100 bytes each).
@@ -135,9 +136,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     misses = misses.mapInArrow(_distinct_in_batch, "digest binary, text string")
     misses.repartition("digest").mapInArrow(_encode(path, version), CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    # a text that many documents share does not make one task's work
+    digests = written(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    return join_skewed(digests, counts, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,18 @@ def test_larger_budgets_hold_smaller_ones(make):
 def test_mixed_documents(make):
     docs = make(ROWS, ["target", "h"])
     out = mixture.mixed(docs)
-    assert [c for c in docs.columns if c != "target"] + ["size", "source_size", "target", "taken"] == out.columns
+    assert [*docs.columns, "size", "source_size", "target_", "taken"] == out.columns
     want = mixture.mix(docs).agg(F.sum("taken")).first()[0]
     assert out.agg(F.sum("taken")).first()[0] == want and out.where("taken <= 0").count() == 0
 
 
+def test_a_document_s_own_columns_stay(make):
+    docs = make([(i, "w " * 9, "s") for i in range(9)], ["Size", "taken", "taken_"]).withColumn("Size", F.lit("XL")).withColumn("taken", F.lit("yes"))
+    got = mixture.mixed(docs).collect()
+    assert got and got[0].__fields__[-4:] == ["size_", "source_size", "target", "taken__"]
+    assert {(r.Size, r.taken, r.taken_, r.size_) for r in got} == {("XL", "yes", None, 9)}
+
+
 def test_empty(make):
     assert mixture.mix(make([])).count() == 0
     assert [(r.size, r.taken) for r in mixture.mix(make([(1, None), (2, "")])).collect()] == [(0, 0)] * 2

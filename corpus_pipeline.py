@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame.  run() writes each stage's
 result to the shared folder and reads it for the next.  All stages but the last return
 the columns of documents; the last adds what the mix takes of each document.
+
+Defined cases, for every stage: nulls in any column are let through as they are, but a
+document without words is rejected by the first stage; an empty table gives an empty one;
+columns of any other name stay, and names that a stage adds give way to them.
 """
 
 from __future__ import annotations
@@ -15,23 +19,23 @@ from glossa.llm.shared import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, among them those without words; rows alike are judged alike."""
     return qualityscore.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; so do documents that consist of nothing else."""
+    """Repeated passages go, but for their first place; so do documents that consist of nothing else.  Rows alike in id and text are one place."""
     cleaned = linededup.clean(docs, drop_emptied=True)
     return cleaned.select(*(F.when(F.col("text").isNull(), F.col(c)).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies the document with the least id stays, a null id last; of rows alike in id and words one."""
     return jaccard.keep_one(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a benchmark item go."""
+    """Documents with a window of a benchmark item go; null and empty items find nothing."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

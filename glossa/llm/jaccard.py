@@ -192,8 +192,9 @@ def _entries(bits: int, frequent, block: int, percent: int):
                 place = np.arange(len(key)) - first[:-1][owner]
                 short = (place < (size - needed_alone(size, percent) + 1)[owner]) & fresh[owner]
                 key, rank, owner = key[order][short], rank[order][short], owner[short]
-                parts = 1 + rank // block
-                part = np.where(parts > 1, 1 + (mix(sig[owner]) % parts.astype(np.uint64)).astype(np.int64), 0)
+                parts = 1 + rank // max(2, block // 4)
+                # dealt anew for each token: nodes of one group meet others of it on each of their hot lists
+                part = np.where(parts > 1, 1 + (mix(sig[owner] ^ key) % parts.astype(np.uint64)).astype(np.int64), 0)
                 entries.append((key, sig[owner], n[owner], place[short].astype(np.uint32), part.astype(np.uint64)))
             if entries:
                 key, *columns, part = (np.concatenate(x) for x in zip(*entries, strict=True))
@@ -265,6 +266,7 @@ def _meetings(short: int, block: int, percent: int):
             yield _meeting(pa.nulls(len(a), pa.int64()), sig[a], n[a], sig[b], n[b], np.zeros(len(a), np.int64))
         for s, k in zip(start[long_].tolist(), length[long_].tolist(), strict=True):
             at = np.arange(s, s + k)
+            at = at[np.argsort(mix(sig[at] ^ key[at]))]
             yield _meeting(pa.array(key[at].view(np.int64)), sig[at], n[at], sig[at], n[at], part[at] if part[s] else np.arange(k) // block)
 
     return run

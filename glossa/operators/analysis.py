@@ -33,10 +33,11 @@ def text_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "\r\n?", "\n"))
 
 
-def compare_lengths(a: DataFrame, b: DataFrame, on: str = "doc_id") -> DataFrame:
-    """on, length_1, length_2, diff of texts that both runs have."""
-    x = a.select(on, text_length(F.col("text")).alias("length_1"))
-    y = b.select(on, text_length(F.col("text")).alias("length_2"))
+def compare_lengths(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+    """on (doc_id without), length_1, length_2, diff of texts that both runs have."""
+    on = list(on or ("doc_id",))
+    x = a.select(*on, text_length(F.col("text")).alias("length_1"))
+    y = b.select(*on, text_length(F.col("text")).alias("length_2"))
     return x.join(y, on).withColumn("diff", F.col("length_1") - F.col("length_2"))
 
 
@@ -46,8 +47,8 @@ def length_summary(lengths: DataFrame) -> DataFrame:
     return lengths.agg(n.alias("n"), *(c.alias(k) for k, c in counts.items()), *(ratio(100.0 * c, n).alias(f"{k}_pct") for k, c in counts.items()), F.avg("diff").alias("mean_diff"))
 
 
-def top_differences(lengths: DataFrame, k: int = 5, on: str = "doc_id") -> DataFrame:
-    return lengths.orderBy(F.desc(F.abs("diff")), on).limit(k)
+def top_differences(lengths: DataFrame, k: int = 5, *on: str) -> DataFrame:
+    return lengths.orderBy(F.desc(F.abs("diff")), *(on or ("doc_id",))).limit(k)
 
 
 def frequent_errors(errors: DataFrame, k: int = 15) -> DataFrame:

@@ -69,23 +69,43 @@ def chunk_flags(tokens: DataFrame, label: str) -> DataFrame:
     return tokens.select("*", starts.alias(f"{label}_starts"), ends.alias(f"{label}_ends"), kind.alias(f"{label}_type"))
 
 
+def _with_islands(tokens: DataFrame, label: str) -> DataFrame:
+    """Adds {label}_island, the number of chunks begun so far, null where none is open, and {label}_type."""
+    flags = chunk_flags(tokens, label)
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.col(f"{label}_starts")
+    # the start row itself may end an earlier chunk; only later ends close this one
+    rows = flags.withColumn("_i", F.sum(starts.cast("int")).over(upto)).withColumn("_n", F.sum((F.col(f"{label}_ends") & ~starts).cast("int")).over(upto))
+    rows = rows.withColumn("_at", F.last(F.when(starts, F.col("_n")), ignorenulls=True).over(upto))
+    island = F.when((F.col("_i") > 0) & (F.col("_n") == F.col("_at")), F.col("_i"))
+    return rows.withColumn(f"{label}_island", island).drop("_i", "_n", "_at", f"{label}_starts", f"{label}_ends")
+
+
+def _chunks(tokens: DataFrame, labels: list[str]) -> DataFrame:
+    """doc_id, side (a label column), first, last, type of each chunk: one shuffle and one sort, whatever the number of label columns."""
+    rows = tokens.select("doc_id", "pos", *labels)
+    for label in labels:
+        rows = _with_islands(rows, label)
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_island").alias("island"), F.col(f"{x}_type").alias("type")) for x in labels))
+    rows = rows.select("doc_id", "pos", F.explode(sides).alias("x")).select("doc_id", "pos", "x.*").where("island is not null")
+    return rows.groupBy("doc_id", "side", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("type", "pos").alias("type")).drop("island")
+
+
 def chunks(tokens: DataFrame, label: str) -> DataFrame:
     """doc_id, first, last, type of each chunk."""
-    flags = chunk_flags(tokens.select("doc_id", "pos", label), label)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = flags.withColumn("island", F.sum(F.col(f"{label}_starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("doc_id", "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # the start row itself may end an earlier chunk; only later ends close this one
-    closed = F.sum((F.col(f"{label}_ends") & ~F.col(f"{label}_starts")).cast("int")).over(own)
-    rows = rows.where("island > 0").withColumn("closed", closed).where("closed = 0")
-    return rows.groupBy("doc_id", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by(f"{label}_type", "pos").alias("type")).drop("island")
+    return _chunks(tokens, [label]).drop("side")
+
+
+def token_accuracy(tokens: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """n_tokens and accuracy: percent of tokens whose whole labels are equal."""
+    same = F.avg((F.col(gold) == F.col(pred)).cast("double"))
+    return tokens.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(100 * F.coalesce(same, F.lit(0.0)), 2).alias("accuracy"))
 
 
 def chunk_scores(tokens: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """type (null for all), n_gold, n_found, n_correct and percentages: precision, recall, f1, of whole chunks."""
-    a, b = (chunks(tokens, x) for x in (gold, pred))
-    rows = a.withColumn("g", F.lit(1)).withColumn("p", F.lit(0)).union(b.withColumn("g", F.lit(0)).withColumn("p", F.lit(1)))
-    rows = rows.groupBy("doc_id", "first", "last", "type").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    rows = _chunks(tokens, [gold, pred]).groupBy("doc_id", "first", "last", "type")
+    rows = rows.agg(F.max((F.col("side") == gold).cast("int")).alias("g"), F.max((F.col("side") == pred).cast("int")).alias("p"))
     counts = rows.rollup("type").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_found"), F.sum(F.col("g") * F.col("p")).alias("n_correct"))
     p = precision(F.col("n_correct"), F.col("n_found") - F.col("n_correct"))
     r = recall(F.col("n_correct"), F.col("n_gold") - F.col("n_correct"))

@@ -7,7 +7,14 @@ not compared span by span.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import sys
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Positions in a bin.
@@ -65,24 +72,44 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], on: Column
     return left.join(pairs.select(*left.columns, *mine), left.columns, "left")
 
 
-def merged_spans(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spans joined over gaps without a letter or digit: key, start, end.
+def merged_spans(spans: DataFrame, texts: DataFrame, key: str = "doc_id", side: str | None = None) -> DataFrame:
+    """Spans joined over gaps without a letter or digit: key, start, end (and side, if spans have several to be joined apart).
 
     Only the gap to the span before counts, also if that one ends later; the end is the
     last span's end, so it can shrink over nested spans.
     """
-    # a document's text meets its spans once, not once a span
-    grouped = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-    text = texts.select(F.col(key), F.col("text"))
-
-    def broken(x: Column, i: Column) -> Column:
-        before = F.element_at("s", F.when(i > 0, i).otherwise(F.lit(1)).cast("int"))["end"]
-        gap = F.substring("text", before.cast("int") + 1, F.greatest(F.lit(0), x["start"] - before).cast("int"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"), F.when(i == 0, 1).otherwise(F.rlike(gap, F.lit(r"[\p{L}\p{N}]")).cast("int")).alias("new"))
-
-    rows = grouped.join(text, key).select(key, F.explode(F.transform("s", broken)).alias("x")).select(key, "x.*")
-    rows = rows.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max_by("end", "i").alias("end")).drop("island")
+    # a document's text meets its spans once, not once a span or a side
+    rank = F.col(side).cast("long") if side else F.lit(0).cast("long")
+    one = F.struct(rank.alias("side"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    grouped = spans.groupBy(key).agg(F.array_sort(F.collect_set(one)).alias("s")).join(texts.select(key, "text"), key)
+    kind = dict(grouped.dtypes)[key]
+    rows = grouped.select(key, "text", *(F.col(f"s.{c}").alias(c) for c in ("side", "start", "end"))).mapInArrow(_islands, f"key {kind}, side long, start long, end long")
+    return rows.select(F.col("key").alias(key), "start", "end", *([F.col("side").alias(side)] if side else []))
+
+
+@functools.cache
+def _alphanumeric() -> np.ndarray:
+    """True for the code points of letters and digits (categories L and N)."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(sys.maxunicode + 1)])
+
+
+def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins each document's sorted spans; gaps are looked up in running counts of letters and digits, so a text is walked once."""
+    for batch in batches:
+        out = []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            side, start, end = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))
+            if text is None or not len(start):
+                continue
+            before = np.concatenate([[0], np.cumsum(_alphanumeric()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)])])
+            at, to = (np.clip(x, 0, len(before) - 1) for x in (end[:-1], start[1:]))
+            new = np.concatenate([[True], (side[1:] != side[:-1]) | (before[to] > before[at])])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(start)) - 1
+            # places are sorted, so an island's first start is its least
+            out.append((np.full(len(first), i), side[first], start[first], end[last]))
+        at, *columns = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns)], ["key", "side", "start", "end"])
 
 
 def uncovered(length: Column, covered: Column) -> Column:

@@ -45,8 +45,9 @@ def merged(gold: DataFrame, system: DataFrame, texts: DataFrame, key: str = "doc
     an error unless a span of the intersection contains it.
     """
     sets = strict(gold, system, ["start", "end"], [key])
-    joined = strict(merged_spans(gold, texts, key), merged_spans(system, texts, key), ["start", "end"], [key])
-    rows = sets.withColumn("own", F.lit(True)).unionByName(joined.where("in_gold and in_sys").withColumn("own", F.lit(False)))
+    both = sets.select(key, "start", "end", F.explode(F.array_compact(F.array(F.when(F.col("in_gold"), 0), F.when(F.col("in_sys"), 1)))).alias("side"))
+    joined = merged_spans(both, texts, key, "side").groupBy(key, "start", "end").agg(F.count_distinct("side").alias("n")).where("n = 2")
+    rows = sets.withColumn("own", F.lit(True)).unionByName(joined.select(key, "start", "end", F.lit(True).alias("in_gold"), F.lit(True).alias("in_sys"), F.lit(False).alias("own")))
     alone = F.col("own") & (F.col("in_gold") != F.col("in_sys"))
     rows = rows.groupBy(key, "start", "end").agg(F.max(F.col("in_gold") & F.col("in_sys")).alias("both"), F.max(alone & F.col("in_sys")).alias("fp"), F.max(alone & F.col("in_gold")).alias("fn"))
     # a span is contained if one of the intersection that starts no later ends no earlier
@@ -83,18 +84,20 @@ def left_over(gold: DataFrame, system: DataFrame, on: list[str], keys: list[str]
 
 
 def inclusions(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS, by_tag: bool = True) -> DataFrame:
-    """System spans that contain gold spans: one row a pair (sys_* and gold_* columns).  A gold span may serve several."""
+    """System spans that contain gold spans: one row a pair (sys_* and gold_* columns; sys_text if there is one).  A gold span may serve several."""
     inside = contained((F.col("r_start"), F.col("r_end")), (F.col("start"), F.col("end")))
     same = inside & (F.col("tag") == F.col("gold_tag")) if by_tag else inside
     right = gold.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("tag").alias("gold_tag"), F.col("ord").alias("gold_ord"))
-    found = interval_join(system.select(*keys, "start", "end", "tag", "ord"), right, keys, same)
-    return found.select(*keys, F.col("ord").alias("sys_ord"), F.col("start").alias("sys_start"), F.col("end").alias("sys_end"), F.col("tag").alias("sys_tag"), "gold_ord", F.col("r_start").alias("gold_start"), F.col("r_end").alias("gold_end"))
+    more = [c for c in ("text",) if c in system.columns]
+    found = interval_join(system.select(*keys, "start", "end", "tag", "ord", *more), right, keys, same)
+    return found.select(*keys, *(F.col(c).alias(f"sys_{c}") for c in more), F.col("ord").alias("sys_ord"), F.col("start").alias("sys_start"), F.col("end").alias("sys_end"), F.col("tag").alias("sys_tag"), "gold_ord", F.col("r_start").alias("gold_start"), F.col("r_end").alias("gold_end"))
 
 
 def groupings(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row a system span with gold spans inside: their number, and what they leave of it (places from its start)."""
     part = F.struct((F.col("gold_start") - F.col("sys_start")).cast("long").alias("start"), (F.col("gold_end") - F.col("sys_start")).cast("long").alias("end"))
-    held = pairs.groupBy(*keys, "sys_ord", "sys_start", "sys_end", "sys_tag").agg(F.count(F.lit(1)).alias("n_gold"), F.collect_list(part).alias("parts"))
+    more = [F.first(c).alias(c) for c in ("sys_text",) if c in pairs.columns]
+    held = pairs.groupBy(*keys, "sys_ord", "sys_start", "sys_end", "sys_tag").agg(F.count(F.lit(1)).alias("n_gold"), F.collect_list(part).alias("parts"), *more)
     return held.withColumn("uncovered", uncovered(F.col("sys_end") - F.col("sys_start"), F.col("parts"))).drop("parts")
 
 
@@ -110,7 +113,7 @@ def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant,
     rest = both.where("not matched")
     pairs = inclusions(rest.where("side = 'gold'"), rest.where("side = 'sys'"), keys, by_tag)
     # the span's own text is enough to look at what its gold spans leave of it
-    held = groupings(pairs, keys).join(system.select(*keys, F.col("ord").alias("sys_ord"), F.col("text").alias("sys_text")), [*keys, "sys_ord"])
+    held = groupings(pairs, keys)
     piece = lambda x: F.substring("sys_text", x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
     held = held.withColumn("extra", F.exists("uncovered", lambda x: significant(piece(x)))).drop("sys_text")
     names = ("gold", "sys", "both", "held_gold", "held_sys", "extra")
@@ -132,15 +135,15 @@ def analyzer(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS) -> Data
 
     Not one to one: repeated system spans each count as tp.
     """
-    def same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        other = b.select(*(F.col(k).alias("_" + k) for k in keys), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("tag").alias("_tag")).distinct()
-        on = F.col("start").eqNullSafe(F.col("_start")) & F.col("end").eqNullSafe(F.col("_end")) & F.col("tag").eqNullSafe(F.col("_tag"))
-        for k in keys:
-            on = on & (F.col(k) == F.col("_" + k))
-        return a.join(other, on, how).select(*keys, "tag", "start", "end")
-
-    tp, fp, fn = same(system, gold, "left_semi"), same(system, gold, "left_anti"), same(gold, system, "left_anti")
-    return tp.withColumn("kind", F.lit("tp")).union(fp.withColumn("kind", F.lit("fp"))).union(fn.withColumn("kind", F.lit("fn")))
+    on = [*keys, "start", "end", "tag"]
+    rows = gold.select(*on, F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(system.select(*on, F.lit(0).alias("g"), F.lit(1).alias("s")))
+    n = rows.groupBy(*on).agg(F.sum("g").alias("g"), F.sum("s").alias("s"))  # groups take null for equal to null
+    met = (F.col("g") > 0) & (F.col("s") > 0)
+    for k in keys:  # but a null key has no partner
+        met = met & F.col(k).isNotNull()
+    kinds = F.array(F.struct(F.lit("tp").alias("kind"), F.when(met, F.col("s")).otherwise(0).alias("n")), F.struct(F.lit("fp").alias("kind"), F.when(~met, F.col("s")).otherwise(0).alias("n")), F.struct(F.lit("fn").alias("kind"), F.when(~met, F.col("g")).otherwise(0).alias("n")))
+    out = n.select(*on, F.explode(kinds).alias("k")).where("k.n > 0").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("k.n").cast("int"))))
+    return out.select(*keys, "tag", "start", "end", "k.kind")
 
 
 def best_overlap(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS, tolerance: int = 0) -> DataFrame:

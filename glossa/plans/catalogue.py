@@ -263,13 +263,13 @@ def compare_runs(spark, sf_dir):
     return out.select("tag", *(c if not c.endswith("_diff") else F.round(c, 6).alias(c) for c in out.columns if c != "tag"))
 
 
-_TURNS = """WITH x AS (SELECT conv_id, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS length_1 FROM conversations WHERE turn = 0), y AS (SELECT conv_id, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS length_2 FROM conversations WHERE turn = 1),
-l AS (SELECT *, length_1 - length_2 AS diff FROM x JOIN y USING (conv_id))"""
+_TURNS = """WITH x AS (SELECT conv_id, turn, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS length_1 FROM conversations WHERE turn % 2 = 0), y AS (SELECT conv_id, turn - 1 AS turn, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS length_2 FROM conversations WHERE turn % 2 = 1),
+l AS (SELECT *, length_1 - length_2 AS diff FROM x JOIN y USING (conv_id, turn))"""
 
 
 def _turn_lengths(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return analysis.compare_lengths(turns.where("turn = 0"), turns.where("turn = 1"), "conv_id")
+    return analysis.compare_lengths(turns.where("turn % 2 = 0"), turns.where("turn % 2 = 1").withColumn("turn", F.col("turn") - 1), "conv_id", "turn")
 
 
 @query(_TURNS + """ SELECT count(*) AS n, count(*) FILTER (WHERE diff > 0) AS longer_1, count(*) FILTER (WHERE diff < 0) AS longer_2, count(*) FILTER (WHERE diff = 0) AS equal,
@@ -278,9 +278,9 @@ def length_compare(spark, sf_dir):
     return analysis.length_summary(_turn_lengths(spark, sf_dir)).select("n", "longer_1", "longer_2", "equal", *_six("longer_1_pct", "longer_2_pct", "equal_pct", "mean_diff"))
 
 
-@query(_TURNS + " SELECT conv_id, CAST(length_1 AS INTEGER) AS length_1, CAST(length_2 AS INTEGER) AS length_2, CAST(diff AS INTEGER) AS diff FROM l ORDER BY abs(diff) DESC, conv_id LIMIT 5", spans=False)
+@query(_TURNS + " SELECT conv_id, turn, CAST(length_1 AS INTEGER) AS length_1, CAST(length_2 AS INTEGER) AS length_2, CAST(diff AS INTEGER) AS diff FROM l ORDER BY abs(diff) DESC, conv_id, turn LIMIT 5", spans=False)
 def top5_length_diff(spark, sf_dir):
-    return analysis.top_differences(_turn_lengths(spark, sf_dir), 5, "conv_id")
+    return analysis.top_differences(_turn_lengths(spark, sf_dir), 5, "conv_id", "turn")
 
 
 _FP = """WITH e AS (SELECT tag, trim(replace(strip_accents(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g')), 'ß', '')) AS norm FROM sys y WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = y.doc_id AND g.s = y.s AND g.e = y.e AND g.tag = y.tag))"""
@@ -335,9 +335,9 @@ c AS (SELECT doc_id, side, min(pos) AS a, max(pos) AS z, arg_min(substring(x, 3)
 
 
 def _labels(spark, sf_dir) -> DataFrame:
-    rows = _bio(spark, sf_dir, system(spark, sf_dir)).select("doc_id", "pos", F.col("label").alias("pred"))
-    gold_rows = tokens(spark, sf_dir).select("doc_id", "pos", F.when(F.col("pos") % 7 < 2, F.concat(F.lit("B-"), derived._tag())).otherwise(F.lit("O")).alias("gold"))
-    return rows.join(gold_rows, ["doc_id", "pos"])
+    gold_label = F.when(F.col("pos") % 7 < 2, F.concat(F.lit("B-"), derived._tag())).otherwise(F.lit("O"))
+    rows = tokens(spark, sf_dir).select("doc_id", "pos", "start", "end", gold_label.alias("gold"))
+    return bio.labels_of(rows, system(spark, sf_dir)).select("doc_id", "pos", "gold", F.col("label").alias("pred"))
 
 
 @query(_BIO + _CHUNK + """ SELECT doc_id, CAST(a AS INTEGER) AS "first", CAST(z AS INTEGER) AS "last", type FROM c WHERE side = 'p'""")
@@ -363,8 +363,7 @@ def aligned_accuracy(spark, sf_dir):
 
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM documents", spans=False)
 def value_occurrences(spark, sf_dir):
-    rows = inline.rows_from(table(spark, sf_dir, "documents"), ["text"], ["doc_id"], lambda t: [(len(inline.first_occurrences(t, "the", len(t))),)], "n long")
-    return rows
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit("the")), F.lit(0)).cast("long").alias("n"))
 
 
 @query()
@@ -463,17 +462,17 @@ def resume_pending(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LOCATION' WHEN 1 THEN 'PROFESSION' WHEN 2 THEN 'NAME' ELSE 'WARNING' END AS category, CASE WHEN upper(lang) IN ('PER', 'LOC', 'ORG', 'MISC') THEN upper(lang) ELSE 'OTROS' END AS entity_type,
-  translate(left(text, 60), 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU') AS plain FROM documents""", spans=False)
+  translate(text, 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU') AS plain FROM documents""", spans=False)
 def category_map(spark, sf_dir):
     kinds = F.element_at(F.array(*map(F.lit, ("HOSPITAL", "PROFESIÓN", "NOMBRE_SUJETO_ASISTENCIA", "XYZ"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", category_of(kinds).alias("category"), entity_type_of(F.upper("lang")).alias("entity_type"), text.without_accents(F.left("text", F.lit(60))).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", category_of(kinds).alias("category"), entity_type_of(F.upper("lang")).alias("entity_type"), text.without_accents(F.col("text")).alias("plain"))
 
 
-@query("""WITH a AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, source FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH a AS (SELECT lang, source FROM documents), b AS (SELECT lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT 'both' AS kind, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', * FROM (SELECT * FROM a UNION SELECT * FROM b)""", spans=False)
 def set_operations(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    a, b = (docs.where(F.col("doc_id") % k == 0).select("lang", "source") for k in (2, 3))
+    a, b = (df.select("lang", "source") for df in (docs, docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")))
     parts = {"both": a.intersect(b), "first": a.subtract(b), "either": a.union(b).distinct()}
     out = [df.select(F.lit(k).alias("kind"), "lang", "source") for k, df in parts.items()]
     return out[0].union(out[1]).union(out[2])

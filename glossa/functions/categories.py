@@ -15,7 +15,7 @@ CATEGORIES = {
     "AGE": ("EDAD_SUJETO_ASISTENCIA",),
     "DATE": ("FECHAS",),
     "CONTACT": ("NUMERO_TELEFONO", "NUMERO_FAX", "CORREO_ELECTRONICO", "URL_WEB"),
-    "ID": ("ID_ASEGURAMIENTO", "ID_CONTACTO_ASISTENCIAL", "NUMERO_BENEF_PLAN_SALUD", "ID_TITULACION_PERSONAL_SANITARIO", "ID_EMPLEO_PERSONAL_SANITARIO", "IDENTIF_VEHICULOS_NRSERIE_PLACAS", "IDENTIF_DISPOSITIVOS_NRSERIE", "IDENTIF_BIOMETRICOS", "ID_SUJETO_ASISTENCIA", "OTRO_NUMERO_IDENTIF"),
+    "ID": ("ID_ASEGURAMIENTO", "ID_CONTACTO_ASISTENCIAL", "NUMERO_BENEF_PLAN_SALUD", "IDENTIF_VEHICULOS_NRSERIE_PLACAS", "IDENTIF_DISPOSITIVOS_NRSERIE", "IDENTIF_BIOMETRICOS", "ID_SUJETO_ASISTENCIA", "ID_TITULACION_PERSONAL_SANITARIO", "ID_EMPLEO_PERSONAL_SANITARIO", "OTRO_NUMERO_IDENTIF"),
     "OTHER": ("SEXO_SUJETO_ASISTENCIA", "FAMILIARES_SUJETO_ASISTENCIA", "OTROS_SUJETO_ASISTENCIA", "DIREC_PROT_INTERNET"),
 }
 #: The element names that official scoring reads.

@@ -172,31 +172,16 @@ def parse_reply(reply: str) -> dict | None:
     return None
 
 
-def json_kind(reply: str) -> str:
-    """How a reply holds JSON: `delimiters` (a json fence), `no_delimiters` (a plain fence), `raw`, or `malformed`."""
-    def fine(text: str) -> bool:
-        try:
-            json.loads(text)
-        except ValueError:
-            return False
-        return True
-
-    fenced = re.search(r"```json\s*(.*?)\s*```", reply, re.DOTALL)
-    plain = None if fenced else re.search(r"```\s*(.*?)\s*```", reply, re.DOTALL)
-    if fenced and fine(fenced[1]):
-        return "delimiters"
-    if plain and fine(plain[1]):
-        return "no_delimiters"
-    return "raw" if fine(reply.strip()) else "malformed"
-
-
 def json_kind_column(reply: Column) -> Column:
-    """json_kind with SQL functions; an object with a repeated name is malformed here.
+    """How a reply holds JSON: `delimiters` (a json fence), `no_delimiters` (a plain fence), `raw`, or `malformed`.
+
+    An object with a repeated name is malformed.
 
     The parser stops after a first value; only one whole value parses both as the sole
     item of an array and as the value of an object.
     """
     ok = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull() & (F.trim(x) != "")
+    # fixed values: the fences
     fence, plain = r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
     has_fence = F.rlike(reply, F.lit(fence))
     return (

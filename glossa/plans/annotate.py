@@ -9,7 +9,7 @@ from __future__ import annotations
 import configparser
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,9 +111,14 @@ def pending(docs: DataFrame, done: DataFrame, keys: list[str], most: int | None
     return left.orderBy(*keys).limit(most) if most else left
 
 
-def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str, prompt: str, keys: list[str], settings: Settings, **how) -> int:
-    """Annotates what the table at done_path lacks for this model and prompt, and appends it; returns how many."""
-    spark = docs.sparkSession
+def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str, prompt: str, keys: list[str], settings: Settings, constrained: Predict | None = None, **how) -> int:
+    """Annotates what the table at done_path lacks for this model and prompt, and appends it; returns how many.
+
+    The prompt's policy sets the context, and whether the model is asked under a grammar (`constrained`, if given).
+    """
+    spark, own = docs.sparkSession, policy(prompt, settings)
+    settings = replace(settings, context=own["context"])
+    predict = constrained if constrained and own["grammar"] else predict
     named = docs.withColumn("model", F.lit(model)).withColumn("prompt", F.lit(prompt))
     columns = ["model", "prompt", *keys]
     kinds = dict(named.dtypes)

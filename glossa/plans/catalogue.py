@@ -178,7 +178,9 @@ def twophase_relaxed(spark, sf_dir):
 
 
 _MISSED = """WITH m AS (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sys y WHERE y.doc_id = g.doc_id AND y.s = g.s AND y.e = g.e AND y.tag = g.tag)),
-o AS (SELECT m.doc_id, m.ord, y.ord AS sys_ord, 100.0e0 * (least(m.e, y.e) - greatest(m.s, y.s)) / (m.e - m.s) AS percent FROM m JOIN sys y ON m.doc_id = y.doc_id AND greatest(m.s, y.s) < least(m.e, y.e)),
+mb AS (SELECT *, unnest(range(s // 256, e // 256 + 1)) AS bin FROM m), yb AS (SELECT *, unnest(range(s // 256, e // 256 + 1)) AS bin FROM sys),
+o AS (SELECT m.doc_id, m.ord, y.ord AS sys_ord, 100.0e0 * (least(m.e, y.e) - greatest(m.s, y.s)) / (m.e - m.s) AS percent FROM mb m JOIN yb y ON m.doc_id = y.doc_id AND m.bin = y.bin
+  WHERE greatest(m.s, y.s) < least(m.e, y.e) AND m.bin = greatest(m.s, y.s) // 256),
 z AS (SELECT m.doc_id, m.ord, coalesce(max(percent), 0) AS percent, arg_max(o.sys_ord, struct_pack(a := percent, b := -o.sys_ord)) AS sys_ord FROM m LEFT JOIN o ON m.doc_id = o.doc_id AND m.ord = o.ord GROUP BY m.doc_id, m.ord)"""
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.categories import ELEMENTS
+from glossa.functions.inline import parse_reply, rows_from
 
 _PATH = "_metadata.file_path"
 SPANS = "system string, doc_id string, ord int, category string, type string, start int, end int, start_raw string, end_raw string, text string, comment string, error string"
@@ -139,13 +140,18 @@ def bio_tokens(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("f", checked).select("doc_id", pos.alias("pos"), F.element_at("f", 1).alias("token"), F.element_at("f", 2).alias("label"))
 
 
-REPLY = "struct<tagged_text:string, entities:map<string,array<string>>>"
+def replies(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, tagged_text, entities of stored replies, JSON or Python literals; missing keys are empty, files with neither key are left out."""
 
+    def make(content: str) -> list[tuple]:
+        found = parse_reply(content) or {}
+        tagged, entities = found.get("tagged_text"), found.get("entities")
+        if tagged is None and entities is None:
+            return []
+        lists = {str(k): [str(x) for x in (v if isinstance(v, list | tuple | set) else [v])] for k, v in entities.items() if v is not None} if isinstance(entities, dict) else {}
+        return [("" if tagged is None else str(tagged), lists)]
 
-def replies(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, tagged_text, entities of stored replies (JSON, single quotes allowed); missing keys are empty, damaged files are left out."""
-    rows = whole_files(spark, path, "*.txt").withColumn("r", F.from_json("content", REPLY)).where("r.tagged_text is not null or r.entities is not null")
-    return rows.select("system", "doc_id", F.coalesce("r.tagged_text", F.lit("")).alias("tagged_text"), F.coalesce("r.entities", F.create_map().cast("map<string,array<string>>")).alias("entities"))
+    return rows_from(whole_files(spark, path, "*.txt").select("system", "doc_id", "content"), ["content"], ["system", "doc_id"], make, "tagged_text string, entities map<string,array<string>>")
 
 
 def plain_texts(spark: SparkSession, path: str) -> DataFrame:

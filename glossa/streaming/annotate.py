@@ -23,8 +23,3 @@ def watch(spark: SparkSession, folder: str, done_path: str, checkpoint: str, pre
         annotate_batch(batch, done_path, predict, model, prompt, ["doc_id"], settings, **how)
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def watch_events(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Log events counted by type in windows of event time; late ones are waited for."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.operators import bio
 from glossa.plans import annotate, evaluate
 from glossa.sources import readers, writers
 from glossa.streaming.annotate import watch
@@ -77,10 +78,11 @@ def test_array_tokens(spark):
 def test_replies_and_texts(spark, folder):
     (folder / "a.txt").write_text("{'tagged_text': 'x', 'entities': {'PER': ['Ana', 'Ana']}}")
     (folder / "b.txt").write_text("no reply")
+    (folder / "c.txt").write_text("{'tagged_text': None, 'entities': {'ORG': ('Oca', 1), 'LOC': 'Vigo', 'X': None}, 'ok': True}")
     rows = readers.replies(spark, str(folder))
-    assert [(r.doc_id, r.tagged_text, r.entities) for r in rows.collect()] == [("a", "x", {"PER": ["Ana", "Ana"]})]
-    assert tuple(readers.entity_values(rows, ["doc_id"]).first()) == ("a", "PER", "Ana", 2)
-    assert {r.doc_id for r in readers.plain_texts(spark, str(folder)).collect()} == {"a", "b"}
+    assert sorted((r.doc_id, r.tagged_text, r.entities) for r in rows.collect()) == [("a", "x", {"PER": ["Ana", "Ana"]}), ("c", "", {"ORG": ["Oca", "1"], "LOC": ["Vigo"]})]
+    assert tuple(readers.entity_values(rows.where("doc_id = 'a'"), ["doc_id"]).first()) == ("a", "PER", "Ana", 2)
+    assert {r.doc_id for r in readers.plain_texts(spark, str(folder)).collect()} == {"a", "b", "c"}
 
 
 LOG = """2025-01-01 10:00:00,000 - INFO - Procesando archivo: a.xml
@@ -137,6 +139,32 @@ def test_resumed_runs(spark, tmp_path, shout):
     assert [run(2), run(None), run(None)] == [2, 3, 0]
 
 
+def test_policy_of_a_batch(spark, tmp_path):
+    """The context of the prompt decides what is cut in chunks, and the grammar which of the two models is asked."""
+    docs = spark.createDataFrame([(1, "\n".join(["word " * 40] * 60))], "doc_id int, text string")
+    settings = annotate.Settings(prompts=["prompt1", "prompt5"])
+    free, bound = (lambda prompts, name=n: [str({"texto_anotado": name, "entidades": {}})] * len(prompts) for n in ("free", "bound"))
+    got = {}
+    for prompt in settings.prompts:
+        annotate.annotate_batch(docs, str(tmp_path / prompt), free, "m", prompt, ["doc_id"], settings, constrained=bound, wait=0)
+        got[prompt] = spark.read.parquet(str(tmp_path / prompt)).where("doc_id = 1").first().tagged_text.split("\n\n")
+    assert set(got["prompt1"]) == {"free"} and set(got["prompt5"]) == {"bound"}
+    assert len(got["prompt1"]) > len(got["prompt5"]) > 1
+
+
+def test_reports(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 3, 1, 0, 0.75, 1.0, 0.857142)], "doc_id string, tp long, fp long, fn long, precision double, recall double, f1 double")
+    assert writers.score_report(scores).first().value == "Report (a):\ntp: 3  fp: 1  fn: 0\nPrecision: 0.7500\nRecall: 1.0000\nF1: 0.8571\n"
+    writers.write_csv(scores, str(tmp_path / "scores"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "scores")).first()
+    assert (back.doc_id, back.tp, back.f1) == ("a", "3", "0.857142")
+
+
+def test_token_accuracy(spark):
+    rows = spark.createDataFrame([(1, 0, "B-PER", "B-PER"), (1, 1, "I-PER", "O"), (1, 2, "O", "O"), (1, 3, "B-LOC", "B-LOC")], "doc_id int, pos int, gold string, pred string")
+    assert tuple(bio.token_accuracy(rows).first()) == (4, 75.0) and tuple(bio.token_accuracy(rows.limit(0)).first()) == (0, 0.0)
+
+
 def test_stream(spark, tmp_path, shout):
     src = tmp_path / "in"
     src.mkdir()

@@ -103,7 +103,6 @@ def test_compliance(spark):
 def test_json_kinds(spark):
     replies = ['```json\n{"a": 1}\n```', '```\n{"a": 1}\n```', ' {"a": 1} ', "{a}", '"k": 1}', "", "1,2", "```json\n{a}\n```"]
     want = ["delimiters", "no_delimiters", "raw", "malformed", "malformed", "malformed", "malformed", "malformed"]
-    assert [inline.json_kind(r) for r in replies] == want
     assert column(spark, replies, inline.json_kind_column) == want
 
 

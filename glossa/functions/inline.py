@@ -7,6 +7,8 @@ over batches of whole documents; a document is one row, so nothing is grouped.
 from __future__ import annotations
 
 import ast
+import bisect
+import functools
 import json
 import re
 import unicodedata
@@ -31,6 +33,7 @@ COMPLIANT = (
     re.compile(r"(?<!<)<\*(?!\*)([A-Z_]+)\*>.*?(?<!<)<\*/\1\*>", re.DOTALL),
 )
 _OPENINGS = re.compile(r"<+")
+_TAG = re.compile(r"<[^>]*>")
 
 
 def tag_candidates(text: str, legacy: bool = False) -> list[tuple[int, int, str, str]]:
@@ -45,7 +48,7 @@ def tag_candidates(text: str, legacy: bool = False) -> list[tuple[int, int, str,
 
 def untagged(text: str) -> str:
     """The text without what stands between a `<` and the next `>`; a `<` without one stays."""
-    return re.sub(r"<[^>]*>", "", text)
+    return _TAG.sub("", text)
 
 
 def occurrences(text: str, value: str) -> list[int]:
@@ -66,6 +69,48 @@ def first_occurrences(text: str, value: str, count: int) -> list[int]:
     return out
 
 
+class _Taken:
+    """Disjoint, non-empty spans, kept in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.starts, start)
+        return (i == 0 or self.ends[i - 1] <= start) and (i == len(self.starts) or self.starts[i] >= end)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def expected_places(tagged: str, starts: list[int]) -> list[int]:
+    """For each place of a `<`: the length of what stands before it, without tags.
+
+    A tag that is open at a place takes nothing from the text before it.
+    """
+    ends, gone = [0], [0]
+    for m in _TAG.finditer(tagged):
+        ends.append(m.end())
+        gone.append(gone[-1] + m.end() - m.start())
+    return [at - gone[bisect.bisect_right(ends, at) - 1] for at in starts]
+
+
+def _outwards(places: list[int], expected: int) -> Iterator[int]:
+    """Sorted places by their distance from the expected one, the smaller first of two that are equally near."""
+    right = bisect.bisect_left(places, expected)
+    left = right - 1
+    while left >= 0 or right < len(places):
+        if right == len(places) or (left >= 0 and expected - places[left] <= places[right] - expected):
+            yield places[left]
+            left -= 1
+        else:
+            yield places[right]
+            right += 1
+
+
 def align(original: str, tagged: str, legacy: bool = False) -> list[tuple[int, int, str, str]]:
     """Inline tags as spans of the original: start, end, tag, value.
 
@@ -73,14 +118,12 @@ def align(original: str, tagged: str, legacy: bool = False) -> list[tuple[int, i
     (of equally near ones the first) and blocks it for those that follow; without a free
     one the tag is left out.
     """
-    taken: list[tuple[int, int]] = []
-    out = []
-    for start, _, tag, value in tag_candidates(tagged, legacy):
-        expected = len(untagged(tagged[:start]))
-        free = [p for p in occurrences(original, value) if not any(max(p, a) < min(p + len(value), b) for a, b in taken)]
-        if free:
-            at = min(free, key=lambda p: (abs(p - expected), p))
-            taken.append((at, at + len(value)))
+    found, taken, out = tag_candidates(tagged, legacy), _Taken(), []
+    places = functools.cache(functools.partial(occurrences, original))
+    for (_, _, tag, value), expected in zip(found, expected_places(tagged, [c[0] for c in found]), strict=True):
+        at = next((p for p in _outwards(places(value), expected) if taken.free(p, p + len(value))), None)
+        if at is not None:
+            taken.add(at, at + len(value))
             out.append((at, at + len(value), tag, value))
     return out
 
@@ -106,10 +149,12 @@ def loose_matches(text: str, value: str) -> list[tuple[int, int]]:
 
 def longest_free(spans: list[tuple]) -> list[tuple]:
     """Longest first, in their order if equally long, those that touch no accepted one; returned in text order."""
-    accepted: list[tuple] = []
+    accepted, taken = [], _Taken()
     for s in sorted(spans, key=lambda s: s[0] - s[1]):
-        if not any(max(s[0], a[0]) < min(s[1], a[1]) for a in accepted):
+        if s[1] <= s[0] or taken.free(s[0], s[1]):
             accepted.append(s)
+            if s[0] < s[1]:
+                taken.add(s[0], s[1])
     return sorted(accepted, key=lambda s: s[:2])
 
 
@@ -126,31 +171,56 @@ def inline_to_bio(text: str) -> list[tuple[str, str]]:
 def compliance(text: str, pattern: int = 1) -> tuple[int, list[tuple[int, str]]]:
     """Well-formed tags, and the runs of `<` outside of all of them with 20 characters around (line breaks as blanks)."""
     valid = [m.span() for m in COMPLIANT[pattern - 1].finditer(text)]
-    wrong = [m for m in _OPENINGS.finditer(text) if not any(a <= m.start() and m.end() <= b for a, b in valid)]
+    starts = [a for a, _ in valid]
+    # well-formed tags are disjoint: only the last that starts before a run can hold it
+    held = lambda m: (i := bisect.bisect_right(starts, m.start())) > 0 and m.end() <= valid[i - 1][1]
+    wrong = [m for m in _OPENINGS.finditer(text) if not held(m)]
     return len(valid), [(m.start(), text[max(0, m.start() - 20) : m.end() + 20].replace("\n", " ")) for m in wrong]
 
 
+#: The pattern that a prompt asks for, by its number; others ask for the first.
+PATTERNS = {8: 2, 9: 3, 10: 4, 11: 2}
+
+
+def pattern_of(prompt: Column) -> Column:
+    """The compliance pattern of a prompt, by the number of its place."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in PATTERNS.items() for x in pair))[prompt.cast("int")], F.lit(1))
+
+
 def pack_lines(text: str, length: Callable[[str], int], limit: int, template: str = "{texto_clinico}") -> list[tuple[str, bool]]:
     """Lines joined while the prompt around them is shorter than the limit: chunks, and whether each is over it.
 
     Blank lines are skipped.  A line that overflows opens the next chunk unchecked.
+    Characters are added up; other lengths are taken of the whole prompt, since tokens do not add up.
     """
-    out: list[str] = []
+    slots = template.count("{texto_clinico}")
+    around = len(template) - slots * len("{texto_clinico}")
+    whole = lambda chunk: length(template.replace("{texto_clinico}", chunk))
+    out: list[tuple[str, bool]] = []
     held: list[str] = []
-    size = lambda lines: length(template.replace("{texto_clinico}", "\n".join(lines)))
+    chars = 0
+
+    def close() -> None:
+        chunk = "\n".join(held)
+        out.append((chunk, whole(chunk) >= limit))
+
     for line in text.split("\n"):
         if not line.strip():
             continue
-        if size([*held, line]) < limit:
+        more = chars + len(line) + (1 if held else 0)
+        size = around + slots * more if length is len else whole("\n".join([*held, line]))
+        if size < limit:
             held.append(line)
-        elif held:
-            out.append("\n".join(held))
-            held = [line]
+            chars = more
+            continue
+        if held:
+            close()
+            held, chars = [line], len(line)
         else:
-            out.append(line)
+            out.append((line, whole(line) >= limit))
     if held:
-        out.append("\n".join(held))
-    return [(c, size([c]) >= limit) for c in out]
+        close()
+    return out
 
 
 def safe_limit(context: int, margin: float = 0.1) -> int:
@@ -236,6 +306,34 @@ def bio_tokens(df: DataFrame, keys: list[str], tagged: str = "tagged_text") -> D
     return rows_from(df, [tagged], keys, lambda t: [(i, w, x) for i, (w, x) in enumerate(inline_to_bio(t))], "pos int, token string, label string")
 
 
+def legacy_bio(text: str, labels: tuple[str, ...] = ("PER", "LOC", "ORG", "MISC")) -> list[tuple[str, str]]:
+    """Tokens and labels of `<TAG>...</TAG>` as an older reader had them, kept for comparison with its output.
+
+    A word that is glued to an opening tag is lost, and the span runs on to the next word
+    that ends with the closing tag (or to the end of the text), so a tag around a single
+    word takes in the words after it.  `inline_to_bio` has neither fault.
+    """
+    opening = re.compile("|".join(f"<{x}>" for x in labels))
+    # a tag within a word stays as a marker
+    marked = functools.partial(re.sub, f"<(/?)({'|'.join(labels)})>", lambda m: f"[{m[2]}_{'END' if m[1] else 'START'}]")
+    out: list[tuple[str, str]] = []
+    label, first = None, False
+    for word in text.split():
+        if label is None:
+            m = opening.match(word)
+            if m:
+                label, first = m[0][1:-1], True
+            else:
+                out.append((marked(word), "O"))
+            continue
+        closing = f"</{label}>"
+        out.append((marked(word.replace(closing, "") if word.endswith(closing) else word), ("B-" if first else "I-") + label))
+        first = False
+        if word.endswith(closing):
+            label = None
+    return out
+
+
 def compliance_counts(df: DataFrame, keys: list[str], text: str = "text", pattern: int = 1) -> DataFrame:
     """keys, correct, wrong, contexts a document."""
     return rows_from(df, [text], keys, lambda t: [(n, len(w), [c for _, c in w]) for n, w in [compliance(t, pattern)]], "correct long, wrong long, contexts array<string>")

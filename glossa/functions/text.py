@@ -59,8 +59,8 @@ def no_alphanumeric(text: Column) -> Column:
 
 
 def is_int(text: Column) -> Column:
-    """Would Python's int() take it?  Blanks around, a sign, and single underscores between digits are fine."""
-    return F.rlike(F.trim(text), F.lit(r"^[+-]?[0-9]+(_[0-9]+)*$"))
+    """Would Python's int() take it?  White space around, a sign, and single underscores between digits are fine."""
+    return F.rlike(text, F.lit(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"))
 
 
 def last_part(path: Column) -> Column:

@@ -125,6 +125,17 @@ def bin_pivot(rows: DataFrame, index: str, bins: list[str], value: str, how: str
     return out.na.fill(0)
 
 
+def positive(rows: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is above zero: what a logarithmic chart can show."""
+    return rows.where(F.col(value) > 0)
+
+
+def listed(counts: DataFrame, name: str, k: int | None = None, n: str = "n") -> DataFrame:
+    """Counts in descending order, equal ones by name; the first k if asked."""
+    out = counts.orderBy(F.desc(n), name)
+    return out.limit(k) if k else out
+
+
 def raw_labels(tokens: DataFrame, labels: list[str], outside: str = "O") -> DataFrame:
     """Labels without marks made chunks of one token: B- before all but the outside label, which becomes O."""
     new = {c: F.when(F.col(c) == outside, F.lit("O")).otherwise(F.concat(F.lit("B-"), F.col(c))) for c in labels}

@@ -121,6 +121,23 @@ def aligned_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, ["doc_id", "pos"], "full_outer").select("doc_id", "pos", F.when(same, F.col("gl")).otherwise(F.lit("O")).alias("gold"), F.when(same, F.col("pl")).otherwise(F.lit("O")).alias("pred"))
 
 
+def paired_lines(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Lines of both sides by their order (key, pos, token, gold, pred), and the files that fail (key, n_gold, n_pred, error).
+
+    A predicted file fails if there is no gold file of its name, or if the numbers of
+    lines differ; its lines are not paired.  Gold files without a prediction are ignored.
+    """
+    g = gold.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold"))
+    p = pred.groupBy(key).agg(F.count(F.lit(1)).alias("n_pred"))
+    sizes = p.join(g, key, "left")
+    error = F.when(F.col("n_gold").isNull(), "no gold").when(F.col("n_gold") != F.col("n_pred"), "line count")
+    sizes = sizes.withColumn("error", error)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1
+    # one shuffle: both sides and the sizes are dealt by the file
+    rows = gold.select(key, nth.alias("pos"), "token", F.col("label").alias("gold")).join(pred.select(key, nth.alias("pos"), F.col("label").alias("pred")), [key, "pos"])
+    return rows.join(sizes.where("error is null").select(key), key, "left_semi"), sizes.where("error is not null")
+
+
 def aligned_accuracy(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of equal labels, O included: micro precision, recall and F over all labels alike."""
     return pairs.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((F.col("gold") == F.col("pred")).cast("double")), F.lit(0.0)).alias("accuracy"))

@@ -7,6 +7,7 @@ tasks, a batch at a time.  Nothing here talks to a network.
 from __future__ import annotations
 
 import configparser
+import functools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.inline import chunked, parse_reply, safe_limit
+from glossa.functions.inline import SPAN_ROWS, _numbered, aligned_spans, chunked, loose_spans, parse_reply, place_entities, rows_from, safe_limit
+from glossa.functions.text import clean_answer, labelled_line
+from glossa.sources.writers import span_xml
 
 Predict = Callable[[list[str]], list[str]]
 
@@ -130,6 +133,72 @@ def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str
     return spark.read.schema(schema).parquet(done_path).count() - before
 
 
+def known_model(model: str, contexts: dict[str, int]) -> int:
+    """The context of a model; one that is not listed raises an error before anything runs."""
+    if model not in contexts:
+        raise ValueError(f"unknown model {model}; known are {', '.join(sorted(contexts))}")
+    return contexts[model]
+
+
+def token_length(path: str) -> Callable[[str], int]:
+    """A length for `chunked` and `annotate`: tokens by the tokenizer of a .json file, read once a worker process."""
+
+    def length(text: str) -> int:
+        return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+    return length
+
+
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+#: The labels of a name reply's lines, and the types of what they name.
+NAME_LINES = {"NOMBRE_PACIENTE": "NOMBRE_SUJETO_ASISTENCIA", "APELLIDOS_PACIENTE": "NOMBRE_SUJETO_ASISTENCIA", "MEDICO": "NOMBRE_PERSONAL_SANITARIO"}
+
+
+def name_spans(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ord, start, end, tag, text: all places, whatever case and accents, of the names in labelled replies.
+
+    replies has text and reply.  Names are cleaned, places do not overlap (longer ones
+    win), and a null reply names nothing.
+    """
+    named = replies.select(*keys, "text", *(clean_answer(labelled_line(F.coalesce("reply", F.lit("")), x)).alias(f"_{x}") for x in NAME_LINES))
+    return loose_spans(named, keys, {f"_{x}": kind for x, kind in NAME_LINES.items()})
+
+
+def tag_names(docs: DataFrame, predict: Predict, key: str = "doc_id", template: str = SLOT) -> DataFrame:
+    """key, xml: documents asked for three names each, the names placed and written as span XML."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(reply=predict([template.replace(SLOT, t or "") for t in f["text"]]))
+
+    # asked once: the spans and the texts of the XML come from one pass over the replies
+    asked = docs.select(key, "text").mapInPandas(run, f"`{key}` {kind}, text string, reply string")
+    spans = name_spans(asked, [key]).withColumn("type", F.col("tag")).withColumn("category", F.lit("NAME"))
+    return span_xml(docs, spans, key)
+
+
+def reply_spans(replies: DataFrame, texts: DataFrame, keys: list[str] = ["system", "doc_id"]) -> DataFrame:  # noqa: B006
+    """mode, keys, ord, start, end, tag, text of stored replies in both ways at once.
+
+    Mode `entities` places the listed values at their first occurrences, mode `tagged`
+    the inline tags at the nearest free ones.  Replies whose document has no text are
+    left out.
+    """
+    rows = replies.join(texts.select("doc_id", "text"), "doc_id")
+    values = rows.withColumn("names", F.map_keys("entities")).withColumn("lists", F.map_values("entities"))
+    make = lambda text, names, lists: _numbered(place_entities(text, {n: [str(v) for v in found] for n, found in zip(names, lists, strict=True)}))
+    listed = rows_from(values.where("entities is not null"), ["text", "names", "lists"], keys, make, SPAN_ROWS)
+    tagged = aligned_spans(rows.select(*keys, "text", "tagged_text"), keys)
+    return listed.select(F.lit("entities").alias("mode"), "*").unionByName(tagged.select(F.lit("tagged").alias("mode"), "*"))
+
+
 def grammar(tags: list[str]) -> str:
     """A grammar for replies: text and tags of the given names, opened and closed alike."""
     names = " | ".join(f'"{t}"' for t in tags)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +12,7 @@ from glossa.operators.intervals import merged_spans
 from glossa.plans import derived
 from glossa.plans.annotate import pending
 from glossa.plans.derived import gold, system, table, tokens
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, spans: bool = True):
-    """Registers a query under its function's name; spans: the SQL builds on the derived spans."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (derived.SQL + "," + sql.strip()[4:]) if spans and sql.strip().startswith("WITH") else (derived.SQL + sql) if spans else sql
-        return f
-
-    return add
+from glossa.plans.registry import QUERIES, SQL, query  # noqa: F401
 
 
 def _six(*columns: str) -> list[Column]:
@@ -368,14 +352,24 @@ def value_occurrences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit("the")), F.lit(0)).cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, text, regexp_replace(lower(strip_accents(text)), '(there|the|el)', chr(1) || '\1' || chr(1), 'g') AS m FROM documents),
+p AS (SELECT doc_id, text, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS i FROM f),
+s AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS ord, CAST(e - length(piece) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CASE piece WHEN 'the' THEN 'SHORT' WHEN 'there' THEN 'LONG' ELSE 'ACCENT' END AS tag,
+  substring(text, CAST(e - length(piece) + 1 AS BIGINT), length(piece)) AS text FROM s WHERE i % 2 = 0""", spans=False)
 def overlap_free_longest(spark, sf_dir):
     """Occurrences of a few words, whatever case and accents, without overlaps; sequential by nature."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("the").alias("a"), F.lit("there").alias("b"), F.lit("él").alias("c"))
     return inline.loose_spans(docs, ["doc_id"], {"a": "SHORT", "b": "LONG", "c": "ACCENT"})
 
 
-@query()
+#: Pieces of texts between and within the marked words: those with an even number are words.
+_VERBS = r"""WITH f AS (SELECT doc_id, text, regexp_replace(text, '([A-Za-z]{6,}ing)\b', chr(1) || '\1' || chr(1), 'g') AS m FROM documents),
+p AS (SELECT doc_id, text, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS i FROM f)"""
+
+
+@query(_VERBS + """, s AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p)
+SELECT doc_id, CAST(i // 2 AS INTEGER) AS ord, CAST(e - length(piece) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", 'VERB' AS tag, piece AS text FROM s WHERE i % 2 = 0""", spans=False)
 def inline_alignment(spark, sf_dir):
     """Tags put around words, taken off again, and placed in the original text."""
     marked = F.regexp_replace("text", r"([A-Za-z]{6,}ing)\b", "<VERB>$1</VERB>")
@@ -383,7 +377,8 @@ def inline_alignment(spark, sf_dir):
     return inline.aligned_spans(docs, ["doc_id"])
 
 
-@query()
+@query(_VERBS + r""", t AS (SELECT doc_id, i, unnest(string_split_regex(piece, '\s+')) AS token, generate_subscripts(string_split_regex(piece, '\s+'), 1) AS j FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS pos, token, CASE i % 2 WHEN 0 THEN 'B-VERB' ELSE 'O' END AS label FROM t WHERE token <> ''""", spans=False)
 def inline_bio(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("tagged_text", F.regexp_replace("text", r"([A-Za-z]{6,}ing)\b", "<VERB>$1</VERB>"))
     return inline.bio_tokens(docs, ["doc_id"])
@@ -407,7 +402,12 @@ def json_kind(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", inline.json_kind_column(wrapped).alias("kind"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT doc_id, line, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM l0 WHERE NOT regexp_matches(line, '^\s*$')),
+r AS (SELECT doc_id, i, 0 AS part, n AS size FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN r.size + 1 + l.n < 1843 THEN part ELSE part + 1 END, CASE WHEN r.size + 1 + l.n < 1843 THEN r.size + 1 + l.n ELSE l.n END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+c AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY i) AS chunk FROM r JOIN l USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, CAST(part AS INTEGER) AS part, chunk, length(chunk) >= 1843 AS oversize FROM c""", spans=False)
 def chunk_documents(spark, sf_dir):
     """Lines packed to a budget of 1843 characters."""
     return inline.chunked(table(spark, sf_dir, "documents"), ["doc_id"], inline.safe_limit(2048))
@@ -532,3 +532,6 @@ def conll_raw_tags(spark, sf_dir):
     bare = lambda c: F.when(F.col(c) == "O", F.col(c)).otherwise(F.substring(c, 3, 100)).alias(c)
     rows = _labels(spark, sf_dir).select("doc_id", "pos", bare("gold"), bare("pred"))
     return bio.chunk_scores(analysis.raw_labels(rows, ["gold", "pred"])).select("type", "n_gold", "n_found", "n_correct")
+
+
+from glossa.plans import surface  # noqa: E402, F401  (registers the queries that build on these)

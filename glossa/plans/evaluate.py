@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import sentence_marks, significant
 from glossa.operators import matching, metrics
+from glossa.sources.writers import score_report
 
 SUBTRACKS = ("ner", "spans", "merged")
 
@@ -58,6 +59,59 @@ def relaxed(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_tags:
     return metrics.with_scores(counts)
 
 
+def grid(gold: DataFrame, configs: DataFrame, fallback: DataFrame, texts: DataFrame, subtracks: tuple[str, ...] = SUBTRACKS) -> DataFrame:
+    """system, config, subtrack and micro scores of many configurations.
+
+    configs has system, config and span columns.  Where a configuration lacks a gold
+    document, the spans of `fallback` (no system, no config) stand in; documents
+    that are not in the gold set are left out.  One plan serves all configurations.
+    """
+    runs = configs.select("system", "config").distinct()
+    docs = gold.select("doc_id").distinct()
+    own = configs.select("system", "config", "doc_id").distinct()
+    # what is asked for is every document in every run; the runs are folders, so few
+    missing = fallback.join(docs, "doc_id", "left_semi").crossJoin(runs).join(own, ["system", "config", "doc_id"], "left_anti")
+    rows = configs.join(docs, "doc_id", "left_semi").unionByName(missing.select(*configs.columns))
+    rows = rows.withColumn("system", F.struct("system", "config"))
+    scored = [official_micro(official(gold, rows, x, texts)).withColumn("subtrack", F.lit(x)) for x in subtracks]
+    out = scored[0]
+    for more in scored[1:]:
+        out = out.unionByName(more)
+    return out.select("system.*", *(c for c in out.columns if c != "system"))
+
+
+def error_report(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_tags: bool = False) -> DataFrame:
+    """system, doc_id, value: a document's scores, exact matches, inclusions, and errors, as text.
+
+    Sections without lines are left out; lines stand in the order of the spans.
+    """
+    keys = ["system", "doc_id"]
+    g, s = _per_system(gold, systems)
+    on = ["start", "end", "text"] + ([] if ignore_tags else ["tag"])
+    by_tag = not ignore_tags
+    both = matching.paired(g, s, on, keys)
+    rest = both.where("not matched")
+    left_g, left_s = rest.where("side = 'gold'"), rest.where("side = 'sys'")
+    pairs = matching.inclusions(left_g, left_s, keys, by_tag)
+    held_s = pairs.select(*keys, F.col("sys_ord").alias("ord")).distinct()
+    held_g = pairs.select(*keys, F.col("gold_ord").alias("ord")).distinct()
+    span = F.format_string("[%d-%d] '%s' (%s)", "start", "end", F.coalesce("text", F.lit("")), F.coalesce("tag", F.lit("")))
+    exact = both.where("matched and side = 'gold'").select(*keys, F.lit(1).alias("part"), "ord", span.alias("line"))
+    inside = pairs.groupBy(*keys, "sys_ord", "sys_start", "sys_end", "sys_text").agg(F.count(F.lit(1)).alias("n"))
+    inside = inside.select(*keys, F.lit(2).alias("part"), F.col("sys_ord").alias("ord"), F.format_string("[%d-%d] '%s' holds %d", "sys_start", "sys_end", "sys_text", "n").alias("line"))
+    false = left_s.join(held_s, [*keys, "ord"], "left_anti").select(*keys, F.lit(3).alias("part"), "ord", span.alias("line"))
+    lost = left_g.join(held_g, [*keys, "ord"], "left_anti")
+    share = F.when(F.col("percent") > 0, F.format_string(" - %.1f%% covered", "percent")).otherwise(F.lit(" - not covered"))
+    lost = lost.join(matching.best_missed(lost, s, keys, by_tag).select(*keys, "ord", "percent"), [*keys, "ord"]).select(*keys, F.lit(4).alias("part"), "ord", F.concat(span, share).alias("line"))
+    lines = exact.union(inside).union(false).union(lost)
+    section = lines.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: F.concat(F.lit("  "), x["line"])), "\n").alias("body"))
+    title = F.element_at(F.array(*map(F.lit, ("Exact matches", "Inclusions", "False positives", "False negatives"))), F.col("part"))
+    section = section.select(*keys, "part", F.concat(title, F.lit(" ("), F.col("n").cast("string"), F.lit("):\n"), "body").alias("body"))
+    parts = section.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "\n").alias("body"))
+    head = score_report(relaxed(gold, systems, texts, ignore_tags), more=["system"])
+    return head.join(parts, keys, "left").select(*keys, F.concat("value", F.coalesce("body", F.lit(""))).alias("value"))
+
+
 def both_tag_modes(gold: DataFrame, systems: DataFrame, texts: DataFrame) -> DataFrame:
     """relaxed() with and without tags: ignore_tags tells which."""
     return relaxed(gold, systems, texts).withColumn("ignore_tags", F.lit(False)).unionByName(relaxed(gold, systems, texts, True).withColumn("ignore_tags", F.lit(True)))

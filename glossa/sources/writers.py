@@ -49,10 +49,20 @@ def reply_json(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.to_json(F.struct("tagged_text", "entities"), {"pretty": "true"}).alias("value"))
 
 
-def score_report(scores: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, value: a document's counts and scores as text."""
+def score_report(scores: DataFrame, key: str = "doc_id", more: list[str] | None = None) -> DataFrame:
+    """more, key, value: a document's counts and scores as text."""
     line = F.format_string("Report (%s):\ntp: %d  fp: %d  fn: %d\nPrecision: %.4f\nRecall: %.4f\nF1: %.4f\n", F.col(key).cast("string"), "tp", "fp", "fn", "precision", "recall", "f1")
-    return scores.select(key, line.alias("value"))
+    return scores.select(*(more or []), key, line.alias("value"))
+
+
+def metrics_report(totals: DataFrame, histogram: DataFrame, n_documents: int, by: str = "system") -> DataFrame:
+    """by, value: a system's totals (with scores) and how much of each missed span is covered (by, bin, n, share) as text."""
+    line = F.format_string("%8s: %4d (%5.1f%%)", "bin", "n", "share")
+    # the bin 0% first, then by the first number
+    place = F.when(F.col("bin") == "0%", F.lit(-1)).otherwise(F.split("bin", "-")[0].try_cast("int"))
+    bins = histogram.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line")))), lambda x: x["line"]), "\n").alias("bins"))
+    head = F.format_string(f"Metrics (%s), {n_documents} documents:\nPrecision: %.4f\nRecall:    %.4f\nF1-score:  %.4f\nTP: %d\nFP: %d\nFN: %d\n", F.col(by).cast("string"), "precision", "recall", "f1", "tp", "fp", "fn")
+    return totals.join(bins, by, "left").select(by, F.concat(head, F.coalesce("bins", F.lit("no missed spans")), F.lit("\n")).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

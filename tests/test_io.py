@@ -1,5 +1,7 @@
 """Readers, writers and annotation runs on small files."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,55 @@ def test_evaluations(spark):
     assert pairs.where("system = 's2' and kind = 'TP'").agg(F.sum("n")).first()[0] == 4
     with pytest.raises(ValueError):
         evaluate.official(g, s, "other")
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([(1, "Ana Gil vio a RUIZ; ANA."), (2, None)], "doc_id int, text string")
+    reply = "NOMBRE_PACIENTE: Ana\nAPELLIDOS_PACIENTE: Gil.\nMEDICO: Dr. Ruiz\n"
+    out = {r.doc_id: r.xml for r in annotate.tag_names(docs, lambda prompts: [reply] * len(prompts)).collect()}
+    assert [x in out[1] for x in ('id="T1" start="0" end="3"', 'start="4" end="7"', 'start="14" end="18" text="RUIZ" TYPE="NOMBRE_PERSONAL_SANITARIO"', 'start="20" end="23"')] == [True] * 4
+    assert "<NAME" not in out[2]
+
+
+def test_reply_modes(spark):
+    texts = spark.createDataFrame([(1, "Ana y Ana Gil")], "doc_id int, text string")
+    kinds = "system string, doc_id int, tagged_text string, entities map<string,array<string>>"
+    replies = spark.createDataFrame([("s", 1, "Ana y Ana <A>Gil</A>", {"B": ["Ana", "Ana"]}), ("t", 1, None, None), ("s", 9, "<A>Gil</A>", {})], kinds)
+    got = sorted((r["mode"], r.system, r.doc_id, r.start, r.end, r.tag) for r in annotate.reply_spans(replies, texts).collect())
+    assert got == [("entities", "s", 1, 0, 3, "B"), ("entities", "s", 1, 6, 9, "B"), ("tagged", "s", 1, 10, 13, "A")]
+
+
+def test_models_and_token_lengths():
+    assert annotate.known_model("m", {"m": 10}) == 10
+    with pytest.raises(ValueError):
+        annotate.known_model("x", {"m": 10})
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if os.path.exists(path):
+        length = annotate.token_length(path)
+        assert length("") == 0 and 0 < length("a few words here") < len("a few words here")
+
+
+def test_grid_and_error_report(spark):
+    text = "Ana Gil de 34 años, Madrid"
+    columns = "doc_id string, ord int, category string, type string, tag string, start long, end long, text string"
+    rows = lambda doc, spans, *k: [(*k, doc, i, t, t, t, a, b, text[a:b]) for i, (t, a, b) in enumerate(spans)]
+    spans = [("NAME", 0, 3), ("NAME", 4, 7), ("AGE", 11, 18), ("LOC", 20, 26)]
+    gold = spark.createDataFrame(rows("d", spans) + rows("e", spans), columns)
+    found = [("NAME", 0, 7), ("AGE", 11, 13), ("LOC", 20, 26), ("LOC", 20, 26)]
+    system = spark.createDataFrame(rows("d", found, "s", "p1"), "system string, config string, " + columns)
+    texts = spark.createDataFrame([("d", text), ("e", text)], "doc_id string, text string")
+    # the document that the configuration lacks comes from the fallback
+    grid = {r.subtrack: (r.tp, r.fp, r.fn) for r in evaluate.grid(gold, system, gold.where("start > 0"), texts).collect()}
+    assert grid["ner"] == (4, 2, 4) and grid["spans"] == (4, 2, 4) and set(grid) == set(evaluate.SUBTRACKS)
+    report = evaluate.error_report(gold.where("doc_id = 'd'"), system.drop("config"), texts).first().value
+    assert report.startswith("Report (d):\ntp: 3  fp: 2  fn: 1\n")
+    tail = ["Exact matches (1):", "  [20-26] 'Madrid' (LOC)", "Inclusions (1):", "  [0-7] 'Ana Gil' holds 2", "False positives (2):", "  [11-13] '34' (AGE)", "  [20-26] 'Madrid' (LOC)", "False negatives (1):", "  [11-18] '34 años' (AGE) - 28.6% covered"]
+    assert report.split("\n")[-len(tail) :] == tail
+
+
+def test_metrics_report(spark):
+    totals = spark.createDataFrame([("s", 1, 0, 1, 1.0, 0.5, 0.6667), ("t", 1, 0, 0, 1.0, 1.0, 1.0)], "system string, tp long, fp long, fn long, precision double, recall double, f1 double")
+    bins = spark.createDataFrame([("s", "10-20%", 1, 100.0), ("s", "0%", 0, 0.0)], "system string, bin string, n long, share double")
+    out = {r.system: r.value for r in writers.metrics_report(totals, bins, 3).collect()}
+    assert out["s"].endswith("TP: 1\nFP: 0\nFN: 1\n      0%:    0 (  0.0%)\n  10-20%:    1 (100.0%)\n") and "3 documents" in out["s"]
+    assert out["t"].endswith("no missed spans\n")

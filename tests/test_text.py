@@ -156,3 +156,59 @@ def test_fill_missing(spark):
     make = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id int")
     out = analysis.fill_missing(make(1, 9).withColumn("s", F.lit("a")), make(1, 2), make(1, 2, 3).withColumn("s", F.lit("b")))
     assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_places_of_many_tags():
+    """As brute force has it: all free occurrences, by distance from the text before the tag without its tags."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        original = "".join(rng.choice("ab c") for _ in range(rng.randint(0, 25)))
+        tagged = "".join(rng.choice(["a", " ", "<", ">", "<T>a</T>", "<T>ab</T>", "<*T*>a<*/T*>", "<<<T>>>b<<</T>>>"]) for _ in range(rng.randint(0, 12)))
+        taken, want = set(), []
+        for start, _, tag, value in inline.tag_candidates(tagged):
+            at = len(inline.untagged(tagged[:start]))
+            places = [p for p in inline.occurrences(original, value) if not taken & set(range(p, p + len(value)))]
+            if places:
+                p = min(places, key=lambda p: (abs(p - at), p))
+                taken |= set(range(p, p + len(value)))
+                want.append((p, p + len(value), tag, value))
+        assert inline.align(original, tagged) == want
+        lines = tagged.replace(" ", "\n")
+        assert inline.pack_lines(lines, len, 9, "x{texto_clinico}") == inline.pack_lines(lines, lambda s: len(s), 9, "x{texto_clinico}")
+
+
+def test_legacy_bio():
+    assert inline.legacy_bio("oh <PER>Ana Gil</PER> y <LOC>x y</LOC>") == [("oh", "O"), ("Gil", "B-PER"), ("y", "O"), ("y", "B-LOC")]
+    assert inline.legacy_bio("<PER>Ana</PER> ve <LOC>Roma</LOC>") == [("ve", "B-PER"), ("[LOC_START]Roma[LOC_END]", "I-PER")]
+    assert inline.legacy_bio("") == [] and inline.legacy_bio("<TAG>x</TAG>") == [("<TAG>x</TAG>", "O")]
+
+
+def test_patterns_and_numbers(spark):
+    assert column(spark, [1, 8, 9, 10, 11, 12], inline.pattern_of, "int") == [1, 2, 3, 4, 2, 1]
+    assert column(spark, [" 7 ", "+7", "1_0", "1__0", "", "7\n"], text.is_int) == [True, True, True, False, False, True]
+
+
+def test_paired_lines(spark):
+    rows = lambda spans: spark.createDataFrame([(d, p, t, "O") for d, ts in spans.items() for p, t in enumerate(ts)], "doc_id string, pos int, token string, label string")
+    pairs, failed = bio.paired_lines(rows({"a": "xy", "b": "xyz", "c": "x"}), rows({"a": "xy", "b": "xy", "d": "x"}))
+    assert sorted((r.doc_id, r.pos) for r in pairs.collect()) == [("a", 0), ("a", 1)]
+    assert {r.doc_id: r.error for r in failed.collect()} == {"b": "line count", "d": "no gold"}
+
+
+def test_listed(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 2), ("c", 0)], "name string, n int")
+    assert [r.name for r in analysis.listed(rows, "name", 2).collect()] == ["a", "b"] and analysis.positive(rows, "n").count() == 2
+
+
+def test_table_functions(spark):
+    from glossa.functions import tables
+
+    names = tables.register(spark)
+    assert {"tag_spans", "packed_lines", "without_marks"} <= set(names)
+    spark.createDataFrame([(1, "Ana y Ana", "<PER>Ana</PER> y <PER>Ana</PER>"), (2, None, None)], "id int, text string, tagged string").createOrReplaceTempView("tagged_texts")
+    rows = spark.sql("select id, t.* from tagged_texts, lateral tag_spans(text, tagged) t order by ord").collect()
+    assert [(r.id, r.start, r.end) for r in rows] == [(1, 0, 3), (1, 6, 9)]
+    assert [r.chunk for r in spark.sql("select t.chunk from tagged_texts, lateral packed_lines(text, 5) t").collect()] == ["Ana y Ana"]
+    assert [tuple(r) for r in spark.sql("select t.* from tagged_texts, lateral loose_matches(text, 'ANA') t order by start").collect()] == [(0, 3, "Ana"), (6, 9, "Ana")]
+    assert spark.sql("select * from stray_openings('a < b', 1)").first().start == 2
+    assert [r.label for r in spark.sql("select * from inline_bio('<PER>Ana</PER> y')").collect()] == ["B-PER", "O"]

@@ -1,12 +1,23 @@
-"""python -m glossa official FORMAT SUBTRACK GOLD SYSTEM... | relaxed FORMAT GOLD SYSTEM... : scores of annotation folders."""
+"""Scores and reports of annotation folders: python -m glossa COMMAND ...
+
+official FORMAT SUBTRACK GOLD SYSTEM...   scores by the official definitions
+relaxed FORMAT GOLD SYSTEM...             scores of exact matches and inclusions
+tags FORMAT GOLD SYSTEM...                scores by tag, with leaks
+errors FORMAT GOLD SYSTEM...              a report a document
+compare FORMAT GOLD RUN1 RUN2             both runs' scores by tag, and the differences
+chunks GOLD PREDICTED                     chunk scores of folders of BIO files
+logs FOLDER                               failed replies by model and prompt
+"""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.operators import analysis, bio
 from glossa.plans import evaluate
 from glossa.session import tuned
 from glossa.sources import readers
@@ -28,7 +39,27 @@ def read(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFram
     return spans.select("system", "doc_id", "ord", "category", "type", "tag", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text"), texts
 
 
+def compared(gold: DataFrame, systems: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
+    """tag, and precision, recall, f1 of both runs with second minus first."""
+    tags, _ = evaluate.analysed(gold, systems, texts)
+    runs = [tags.where(F.col("system") == n) for n in names]
+    return analysis.compare_runs(*runs, ["precision", "recall", "f1"])
+
+
+def chunk_scores(spark: SparkSession, gold: str, predicted: str) -> DataFrame:
+    """Chunk scores of files with as many lines as their gold files; the others are printed."""
+    pairs, failed = bio.paired_lines(readers.bio_tokens(spark, gold), readers.bio_tokens(spark, predicted))
+    for r in failed.orderBy("doc_id").toLocalIterator():
+        print(f"{r.doc_id}: {r.error}")
+    return bio.chunk_scores(pairs)
+
+
 def scores(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if args.command == "chunks":
+        return chunk_scores(spark, args.gold, args.predicted)
+    if args.command == "logs":
+        logs = readers.whole_files(spark, args.folder).select(F.col("doc_id").alias("run"), "content")
+        return analysis.failure_stats(readers.blocks_of(logs))
     gold, texts = read(spark, args.gold, args.format)
     gold = gold.drop("system")
     systems = read(spark, args.systems[0], args.format)[0]
@@ -38,6 +69,15 @@ def scores(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         sentences = readers.sentence_counts(spark, args.sentences) if args.sentences else None
         by_document = evaluate.official(gold, systems, args.subtrack, texts, sentences)
         return by_document if args.verbose else evaluate.official_micro(by_document)
+    if args.command == "tags":
+        return evaluate.analysed(gold, systems, texts)[0]
+    if args.command == "errors":
+        return evaluate.error_report(gold, systems, texts, args.ignore_tags)
+    if args.command == "compare":
+        names = [os.path.basename(os.path.normpath(x)) for x in args.systems]
+        if len(set(names)) != 2:
+            raise SystemExit("two runs with different folder names are compared")
+        return compared(gold, systems, texts, names)
     by_document = evaluate.relaxed(gold, systems, texts, args.ignore_tags)
     return by_document if args.verbose else evaluate.official_micro(by_document)
 
@@ -45,17 +85,22 @@ def scores(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="glossa")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("official", "relaxed"):
+    for name in ("official", "relaxed", "tags", "errors", "compare"):
         p = commands.add_parser(name)
         p.add_argument("format", choices=FORMATS)
         if name == "official":
             p.add_argument("subtrack", choices=evaluate.SUBTRACKS)
             p.add_argument("--sentences", help="folder with a file a document, one line a sentence")
-        else:
+        elif name in ("relaxed", "errors"):
             p.add_argument("--ignore-tags", action="store_true")
         p.add_argument("gold")
         p.add_argument("systems", nargs="+")
-        p.add_argument("-v", "--verbose", action="store_true", help="a row a document")
+        if name in ("official", "relaxed"):
+            p.add_argument("-v", "--verbose", action="store_true", help="a row a document")
+    p = commands.add_parser("chunks")
+    p.add_argument("gold")
+    p.add_argument("predicted")
+    commands.add_parser("logs").add_argument("folder")
     return top
 
 
@@ -63,7 +108,11 @@ def main() -> None:
     args = parser().parse_args()
     spark = tuned(SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate())
     out = scores(spark, args)
-    out.orderBy(*(c for c in ("system", "doc_id") if c in out.columns)).show(1 << 20, False)
+    if args.command == "errors":
+        for r in out.orderBy("system", "doc_id").toLocalIterator():
+            print(r.value)
+        return
+    out.orderBy(*(c for c in ("system", "doc_id", "tag", "type", "model", "prompt") if c in out.columns)).show(1 << 20, False)
 
 
 if __name__ == "__main__":

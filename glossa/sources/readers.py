@@ -106,9 +106,12 @@ def brat_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_sentences: lines of each file."""
-    rows = spark.read.option("pathGlobFilter", "*.ann").text(path)
-    return rows.select(stem(F.col(_PATH)).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+    """doc_id, n_sentences: lines of each file, 0 of an empty one."""
+    read = spark.read.option("pathGlobFilter", "*.ann").text(path)
+    # scans skip files without content; the driver's listing, which every scan needs, has their names
+    names = spark.createDataFrame([(name,) for name in read.inputFiles()], "path string")
+    lines = read.select(stem(F.col(_PATH)).alias("doc_id"), F.lit(1).alias("n"))
+    return lines.union(names.select(stem(F.col("path")), F.lit(0))).groupBy("doc_id").agg(F.sum("n").alias("n_sentences"))
 
 
 def conll_tokens(spark: SparkSession, path: str) -> DataFrame:

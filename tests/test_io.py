@@ -55,7 +55,8 @@ def test_brat(spark, folder):
     (folder / "d.ann").write_text("T1\tNAME 0 3\tAna\nT1\tTAG 5\n#1\tnote\nT2\tTAG 0 5;7 9\tx\n")
     rows = readers.brat_spans(spark, str(folder)).orderBy("ord").collect()
     assert [(r.tag, r.start, r.end, r.error is None) for r in rows] == [("NAME", 0, 3, True), ("TAG", 0, None, False)]
-    assert readers.sentence_counts(spark, str(folder)).first().n_sentences == 4
+    (folder / "e.ann").write_text("")
+    assert {r.doc_id: r.n_sentences for r in readers.sentence_counts(spark, str(folder)).collect()} == {"d": 4, "e": 0}
 
 
 def test_columns_and_bio(spark, folder, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontaminate, jaccard, linededup, mixture, pii, qualityrules, qualityscore, secrets, tokencount, urlfilter
+from glossa.llm import decontaminate, filteraudit, jaccard, linededup, mixture, pii, qualityrules, qualityscore, secrets, tokencount, toxicity, urlfilter, whitening
 
 _MODULES = {
     "op1_pii": pii,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_url_filter": urlfilter,
     "op9_line_dedup": linededup,
     "op10_quality_rules": qualityrules,
+    "op11_filter_audit": filteraudit,
+    "op12_toxicity": toxicity,
+    "op13_whitening": whitening,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}

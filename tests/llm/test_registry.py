@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         duck.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df, got = queries.QUERIES[name](spark, DATA), duck.sql(queries.SQL[name])
     columns = sorted(df.columns)
@@ -25,4 +25,4 @@ def test_query(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from glossa.functions.inline import SPAN_ROWS, _numbered, aligned_spans, chunked, loose_spans, parse_reply, place_entities, rows_from, safe_limit
+from glossa.functions.inline import SPAN_ROWS, _numbered, aligned_spans, loose_spans, pack_lines, parse_reply, place_entities, rows_from, safe_limit
 from glossa.functions.text import clean_answer, labelled_line
+from glossa.plans.ledger import Ledger, prompt_digest
+from glossa.sources import files
 from glossa.sources.writers import span_xml
 
 Predict = Callable[[list[str]], list[str]]
@@ -65,47 +67,79 @@ def policy(prompt: str, settings: Settings) -> dict:
     return {"grammar": prompt != "prompt1", "context": 8192 if long_ else settings.context}
 
 
+def _answers(chunks: list[str], predict: Predict, template: str, attempts: int, wait: float, sleep: Callable[[float], None]) -> list[tuple[str, dict[str, list[str]], bool]]:
+    """tagged text, entities by tag, and whether a reply did parse, of each chunk."""
+    parsed: list[dict | None] = [None] * len(chunks)
+    for attempt in range(attempts):
+        todo = [i for i, p in enumerate(parsed) if p is None]
+        if not todo:
+            break
+        if attempt:
+            sleep(wait * 2 ** (attempt - 1))
+        for i, reply in zip(todo, predict([template.replace(SLOT, chunks[i]) for i in todo]), strict=True):
+            parsed[i] = parse_reply(reply or "")
+
+    def values(p: dict) -> dict[str, list[str]]:
+        return {str(k): [str(x) for x in (v if isinstance(v, list | tuple | set) else [v])] for k, v in (p.get("entidades") or {}).items()}
+
+    return [(c, {}, False) if p is None else (str(p.get("texto_anotado", c)), values(p), True) for c, p in zip(chunks, parsed, strict=True)]
+
+
 def ask(chunks: DataFrame, predict: Predict, template: str = SLOT, attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Adds tagged_text, entities, answered to chunks with a column chunk.
+    """Adds tagged_text, entities, answered to chunks with a column chunk; a null chunk is not asked.
 
     A reply that does not parse is asked for again after 2, then 4 seconds; after the
-    last attempt the chunk stands as it is, without entities.
+    last attempt the chunk stands as it is, without entities.  The model is asked when
+    the result is computed, so each time; a Ledger keeps replies.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", tagged_text string, entities map<string,array<string>>, answered boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parsed: list[dict | None] = [None] * len(f)
-            for attempt in range(attempts):
-                todo = [i for i, p in enumerate(parsed) if p is None]
-                if not todo:
-                    break
-                if attempt:
-                    sleep(wait * 2 ** (attempt - 1))
-                for i, reply in zip(todo, predict([template.replace(SLOT, f["chunk"].iloc[i]) for i in todo]), strict=True):
-                    parsed[i] = parse_reply(reply or "")
-            texts = [c if p is None else str(p.get("texto_anotado", "")) for c, p in zip(f["chunk"], parsed, strict=True)]
-            found = [{} if p is None else {str(k): [str(x) for x in (v if isinstance(v, list | tuple | set) else [v])] for k, v in (p.get("entidades") or {}).items()} for p in parsed]
-            yield f.assign(tagged_text=texts, entities=found, answered=[p is not None for p in parsed])
+            real = f["chunk"].notna()
+            found = iter(_answers(f["chunk"][real].tolist(), predict, template, attempts, wait, sleep))
+            rows = [next(found) if r else (None, {}, False) for r in real]
+            yield f.assign(tagged_text=[r[0] for r in rows], entities=[r[1] for r in rows], answered=[r[2] for r in rows])
 
     return chunks.mapInPandas(run, schema)
 
 
 def merge_parts(answers: DataFrame, keys: list[str], multiplicity: bool = False) -> DataFrame:
-    """keys, tagged_text (parts joined by blank lines in order), entities (distinct values by tag, or all if multiplicity)."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "tagged_text"))), lambda x: x["tagged_text"]), "\n\n")
-    texts = answers.groupBy(*keys).agg(text.alias("tagged_text"))
-    values = answers.select(*keys, F.explode("entities").alias("tag", "values")).select(*keys, "tag", F.explode("values").alias("value"))
-    gather = F.collect_list("value") if multiplicity else F.collect_set("value")
-    by_tag = values.groupBy(*keys, "tag").agg(F.array_sort(gather).alias("values"))
-    maps = by_tag.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "values")))).alias("entities"))
-    none = F.create_map().cast("map<string,array<string>>")
-    return texts.join(maps, keys, "left").withColumn("entities", F.coalesce("entities", none))
+    """keys, tagged_text (parts joined by blank lines in order), entities (distinct values by tag, or all if multiplicity).
+
+    One aggregation, so what answers is made of is computed once.  Null texts are left out, null maps are empty.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("part", "tagged_text", F.map_entries("entities").alias("named"))))
+    rows = answers.groupBy(*keys).agg(parts.alias("_parts"))
+    named = F.flatten(F.transform("_parts", lambda p: F.coalesce(p["named"], F.array().cast("array<struct<key:string,value:array<string>>>"))))
+    rows = rows.select(*keys, F.array_join(F.transform("_parts", lambda p: p["tagged_text"]), "\n\n").alias("tagged_text"), named.alias("_named"))
+    tags = F.array_sort(F.array_distinct(F.transform("_named", lambda e: e["key"])))
+    values = lambda tag: F.flatten(F.transform(F.filter("_named", lambda e: e["key"] == tag), lambda e: F.coalesce(e["value"], F.array().cast("array<string>"))))
+    gather = lambda tag: F.array_sort(values(tag) if multiplicity else F.array_distinct(values(tag)))
+    return rows.select(*keys, "tagged_text", F.map_from_arrays(tags, F.transform(tags, gather)).alias("entities"))
+
+
+def parts_of(text: str, length: Callable[[str], int], limit: int, template: str = SLOT) -> list[tuple[str | None, bool]]:
+    """What is asked of a text: the text as it is if its prompt fits the limit, else its chunks of lines.
+
+    A text without a line that could be asked has one part that is null, so that it is not lost.
+    """
+    if length(template.replace(SLOT, text)) <= limit:
+        return [(text, False)]
+    return pack_lines(text, length, limit, template) or [(None, False)]
+
+
+def asked_parts(docs: DataFrame, keys: list[str], limit: int, template: str = SLOT, length: Callable[[str], int] = len) -> DataFrame:
+    """keys, part, chunk, oversize of every document."""
+    return rows_from(docs, ["text"], keys, lambda t: [(i, c, over) for i, (c, over) in enumerate(parts_of(t, length, limit, template))], "part int, chunk string, oversize boolean")
 
 
 def annotate(docs: DataFrame, predict: Predict, keys: list[str], settings: Settings, template: str = SLOT, length: Callable[[str], int] = len, **how) -> DataFrame:
-    """keys, tagged_text, entities of each document, whole if its prompt fits the limit, else by chunks of lines."""
-    return merge_parts(ask(chunked(docs, keys, settings.limit, length, template), predict, template, settings.attempts, **how), keys)
+    """keys, tagged_text, entities of each document, whole if its prompt fits the limit, else by chunks of lines.
+
+    The model is asked once a part whenever the result is computed.
+    """
+    return merge_parts(ask(asked_parts(docs, keys, settings.limit, template, length), predict, template, settings.attempts, **how), keys)
 
 
 def pending(docs: DataFrame, done: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
@@ -114,23 +148,49 @@ def pending(docs: DataFrame, done: DataFrame, keys: list[str], most: int | None
     return left.orderBy(*keys).limit(most) if most else left
 
 
-def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str, prompt: str, keys: list[str], settings: Settings, constrained: Predict | None = None, **how) -> int:
+def filed_as(prompt: str, settings: Settings) -> str:
+    """The name under which a prompt's results are filed: a run with a context of its own has the context in it, so both can stand side by side."""
+    context = policy(prompt, settings)["context"]
+    return prompt if context == settings.context else f"{prompt}_context{context}"
+
+
+def finished(docs: DataFrame, done_path: str, keys: list[str], model: str, prompt: str) -> DataFrame:
+    """What the table at done_path holds for a model and a filed prompt: keys, tagged_text, entities, run.  Other models' and prompts' files are not read."""
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", tagged_text string, entities map<string,array<string>>, model string, prompt string, run string"
+    if not files.exists(spark, done_path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(done_path).where((F.col("model") == model) & (F.col("prompt") == prompt))
+
+
+def annotate_batch(docs: DataFrame, done_path: str, predict: Predict, model: str, prompt: str, keys: list[str], settings: Settings, constrained: Predict | None = None, ledger_path: str | None = None, template: str = SLOT, length: Callable[[str], int] = len, **how) -> int:
     """Annotates what the table at done_path lacks for this model and prompt, and appends it; returns how many.
 
-    The prompt's policy sets the context, and whether the model is asked under a grammar (`constrained`, if given).
+    The prompt's policy sets the context, under which name results are filed, and whether
+    the model is asked under a grammar (`constrained`, if given).  Replies go to a ledger
+    first (by default beside the table), so no chunk is asked for twice, whatever fails.
     """
-    spark, own = docs.sparkSession, policy(prompt, settings)
+    todo = pending(docs, finished(docs, done_path, keys, model, filed_as(prompt, settings)), keys, settings.max_files)
+    return write_batch(todo, done_path, predict, Ledger(ledger_path or done_path.rstrip("/") + "_replies", model, filed_as(prompt, settings)), prompt, keys, settings, constrained, template, length, **how)
+
+
+def write_batch(todo: DataFrame, done_path: str, predict: Predict, ledger: Ledger, prompt: str, keys: list[str], settings: Settings, constrained: Predict | None = None, template: str = SLOT, length: Callable[[str], int] = len, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Annotates the documents and writes them as the ledger's job to the table at done_path; what that job wrote before gives way.  Returns how many."""
+    spark, own = todo.sparkSession, policy(prompt, settings)
     settings = replace(settings, context=own["context"])
-    predict = constrained if constrained and own["grammar"] else predict
-    named = docs.withColumn("model", F.lit(model)).withColumn("prompt", F.lit(prompt))
-    columns = ["model", "prompt", *keys]
-    kinds = dict(named.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tagged_text string, entities map<string,array<string>>"
-    spark.createDataFrame([], schema).write.mode("append").parquet(done_path)
-    todo = pending(named, spark.read.schema(schema).parquet(done_path), columns, settings.max_files)
-    before = spark.read.schema(schema).parquet(done_path).count()
-    annotate(todo, predict, columns, settings, **how).select(*columns, "tagged_text", "entities").write.mode("append").parquet(done_path)
-    return spark.read.schema(schema).parquet(done_path).count() - before
+    model = constrained if constrained and own["grammar"] else predict
+    # chunks are cut once; the table also holds on to which documents are meant
+    held = f"{ledger.path}/_parts-{ledger.job}"
+    asked_parts(todo, keys, settings.limit, template, length).withColumn("digest", prompt_digest(template, SLOT, F.col("chunk"))).write.mode("overwrite").parquet(held)
+    parts = spark.read.parquet(held)
+    ledger.fill(parts.select("digest", "chunk"), lambda chunks: _answers(chunks, model, template, settings.attempts, wait, sleep))
+    merged = merge_parts(parts.join(ledger.replies(spark), "digest", "left"), keys)
+    filed = merged.select(*keys, "tagged_text", "entities", F.lit(ledger.model).alias("model"), F.lit(ledger.prompt).alias("prompt"), F.lit(ledger.job).alias("run"))
+    seen = Observation()
+    filed = filed.observe(seen, F.count(F.lit(1)).alias("n"))
+    filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "prompt", "run").parquet(done_path)
+    files.remove(spark, held)
+    return seen.get["n"]
 
 
 def known_model(model: str, contexts: dict[str, int]) -> int:
@@ -141,7 +201,7 @@ def known_model(model: str, contexts: dict[str, int]) -> int:
 
 
 def token_length(path: str) -> Callable[[str], int]:
-    """A length for `chunked` and `annotate`: tokens by the tokenizer of a .json file, read once a worker process."""
+    """A length for `asked_parts` and `annotate`: tokens by the tokenizer of a .json file, read once a worker process."""
 
     def length(text: str) -> int:
         return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)

@@ -1,7 +1,8 @@
 """Readers of annotation formats.  The document is a file's stem, the system its folder.
 
-Small files are read whole, one row a file, so documents keep their order and a damaged
-file spoils nothing but its own row: such rows have an `error` and no spans.
+Files of one document are read whole, one row a file, so documents keep their order and a
+damaged file spoils nothing but its own row: such rows have an `error` and no spans.  Logs
+and column files, which can be large, are read in splits (see lines.py).
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.categories import ELEMENTS
-from glossa.functions.inline import parse_reply, rows_from
+from glossa.functions.inline import json_kind_column, parse_reply, rows_from
+from glossa.functions.text import last_part
+from glossa.sources.lines import SPLIT, bare, file_lines, numbered
 
 _PATH = "_metadata.file_path"
 SPANS = "system string, doc_id string, ord int, category string, type string, start int, end int, start_raw string, end_raw string, text string, comment string, error string"
@@ -115,14 +118,12 @@ def sentence_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conll_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """file, doc_no, pos, token, pos_tag, label of column files; a blank line or -DOCSTART- ends a document."""
-    lines = whole_files(spark, path).select(F.col("doc_id").alias("file"), F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
+    """file, doc_no, pos, token, pos_tag, label of column files of any size; a blank line or -DOCSTART- ends a document."""
+    lines = file_lines(spark, path).withColumn("line", bare(F.col("line")))
     ends = (F.trim("line") == "") | F.startswith("line", F.lit("-DOCSTART-"))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("part", F.sum(ends.cast("int")).over(w)).withColumn("f", F.split(F.trim("line"), r"\s+")).where(~ends & (F.size("f") > 2))
-    doc = F.dense_rank().over(Window.partitionBy("file").orderBy("part"))
-    pos = F.row_number().over(Window.partitionBy("file", "part").orderBy("line_no")) - 1
-    return rows.select("file", doc.alias("doc_no"), pos.alias("pos"), F.element_at("f", 1).alias("token"), F.element_at("f", 2).alias("pos_tag"), F.element_at("f", 3).alias("label"))
+    fields = F.split(F.trim("line"), r"\s+")
+    rows = numbered(lines, ends, ~ends & (F.size(fields) > 2)).where(~ends).withColumn("f", fields).where(F.size("f") > 2)
+    return rows.select(stem(F.col("path")).alias("file"), F.col("group_no").alias("doc_no"), "pos", F.element_at("f", 1).alias("token"), F.element_at("f", 2).alias("pos_tag"), F.element_at("f", 3).alias("label"))
 
 
 def array_tokens(df: DataFrame, split: str = "test") -> DataFrame:
@@ -135,12 +136,13 @@ def array_tokens(df: DataFrame, split: str = "test") -> DataFrame:
 
 
 def bio_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, pos, token, label of files with two fields a line; another number of fields raises an error."""
-    lines = whole_files(spark, path, "*.bio").select("doc_id", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """doc_id, pos, token, label of files, of any size, with two fields a line; another number of fields raises an error."""
+    lines = file_lines(spark, path, "*.bio").withColumn("line", bare(F.col("line")))
+    there = F.trim("line") != ""
     f = F.split(F.trim("line"), r"\s+")
     checked = F.when(F.size(f) == 2, f).otherwise(F.raise_error(F.concat(F.lit("not two fields: "), F.col("line"))).cast("array<string>"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
-    return lines.withColumn("f", checked).select("doc_id", pos.alias("pos"), F.element_at("f", 1).alias("token"), F.element_at("f", 2).alias("label"))
+    rows = numbered(lines, valid=there).where(there).withColumn("f", checked)
+    return rows.select(stem(F.col("path")).alias("doc_id"), "pos", F.element_at("f", 1).alias("token"), F.element_at("f", 2).alias("label"))
 
 
 def replies(spark: SparkSession, path: str) -> DataFrame:
@@ -175,24 +177,43 @@ BLOCK = STAMP + r" - INFO - Procesando archivo:"
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """run, line_no, ts, level, message."""
-    lines = whole_files(spark, path).select(F.col("doc_id").alias("run"), F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
+    """run, line_no, ts, level, message of logs of any size."""
+    lines = numbered(file_lines(spark, path).withColumn("line", bare(F.col("line"))))
     part = lambda i: F.regexp_extract("line", rf"^({STAMP}) - (\w+) - (.*)$", i)
-    return lines.where(F.rlike("line", F.lit(f"^{STAMP} - "))).select("run", "line_no", F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), part(2).alias("level"), part(3).alias("message"))
+    rows = lines.where(F.rlike("line", F.lit(f"^{STAMP} - ")))
+    return rows.select(stem(F.col("path")).alias("run"), "line_no", F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), part(2).alias("level"), part(3).alias("message"))
 
 
-def blocks_of(logs: DataFrame) -> DataFrame:
-    """run, pos, model, prompt, file, reply, has_error, error_kind of the blocks of logs with run and content."""
-    from glossa.functions.inline import json_kind_column
-    from glossa.functions.text import last_part
+#: The names of a block without a prompt's folder, and without a file.
+NO_PROMPT, NO_FILE = "prompt_desconocido", "asffd"
+
 
-    parts = logs.select("run", F.posexplode(F.split("content", BLOCK)).alias("pos", "block")).where("pos > 0 and trim(block) <> ''")
+def _read_blocks(parts: DataFrame) -> DataFrame:
+    """What blocks (run, pos, block) say."""
     find = lambda pattern: F.nullif(F.regexp_extract("block", pattern, 1), F.lit(""))
     reply = F.coalesce(find(rf"(?s)Respuesta cruda del modelo:\s*\n(.*?)(?=\n{STAMP} - INFO - Resumen final de entidades encontradas:|\z)"), F.lit(""))
-    rows = parts.select("run", "pos", find(r"Modelo:\s(\S+)").alias("model"), F.coalesce(last_part(find(r"Directorio de salida:\s(\S+)")), F.lit("prompt_desconocido")).alias("prompt"), F.coalesce(F.trim(find(r"(?m)^(.*?\.xml)")), F.lit("asffd")).alias("file"), F.trim(reply).alias("reply"), F.contains("block", F.lit("Error parseando JSON")).alias("has_error"))
+    rows = parts.where("pos > 0 and trim(block) <> ''").select(
+        "run", "pos", find(r"Modelo:\s(\S+)").alias("model"), F.coalesce(last_part(find(r"Directorio de salida:\s(\S+)")), F.lit(NO_PROMPT)).alias("prompt"),
+        F.coalesce(F.trim(find(r"(?m)^(.*?\.xml)")), F.lit(NO_FILE)).alias("file"), F.trim(reply).alias("reply"), F.contains("block", F.lit("Error parseando JSON")).alias("has_error"),
+    )
     return rows.withColumn("error_kind", F.when(F.col("has_error"), json_kind_column(F.col("reply"))))
 
 
+def blocks_of(logs: DataFrame) -> DataFrame:
+    """run, pos, model, prompt, file, reply, has_error, error_kind of the blocks of logs with run and content."""
+    return _read_blocks(logs.select("run", F.posexplode(F.split("content", BLOCK)).alias("pos", "block")))
+
+
+def log_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """blocks_of for logs of any size: a log may lie in many splits, and only a block's own lines meet in one task."""
+    # what follows a block's beginning, wherever it stands in a line, belongs to it
+    pieces = file_lines(spark, path).select(*SPLIT, F.posexplode(F.split("line", BLOCK)).alias("at", "line"))
+    rows = numbered(pieces, F.col("at") > 0).where("part > 0")
+    # pieces of one line are parts of different blocks, so only whole lines are joined
+    blocks = rows.groupBy("path", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("block"))
+    return _read_blocks(blocks.select(stem(F.col("path")).alias("run"), F.col("part").cast("int").alias("pos"), "block"))
+
+
 def report_numbers(text: Column) -> Column:
     """precision, recall, f1 and a map of overlap bins (the 0% one included) from a printed report."""
     number = lambda name: F.regexp_extract(text, rf"(?i){name}[^\d\n]*([\d.]+(?:[eE][+-]?\d+)?)", 1).try_cast("double")

@@ -1,8 +1,7 @@
 """Joins of spans by place, and folds over the spans of a document.
 
-Places are 0-based code points, ends exclusive.  Theta joins run as equi-joins on the
-document and a bin of positions, with the predicate as a residual, so a long document is
-not compared span by span.
+Places are 0-based code points, ends exclusive.  Joins by place sweep over both sides of
+a document (sweep.py), so a long document is not compared span by span.
 """
 
 from __future__ import annotations
@@ -17,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions in a bin.
-BIN = 256
-
+from glossa.operators.sweep import met_pairs
 
 def contained(inner: tuple[Column, Column], outer: tuple[Column, Column]) -> Column:
     """Closed: outer.start <= inner.start and inner.end <= outer.end."""
@@ -49,23 +46,13 @@ def overlap_percent(a: tuple[Column, Column], b: tuple[Column, Column]) -> Colum
     return F.coalesce(F.try_divide(100.0 * overlap_length(a, b), (a[1] - a[0]).cast("double")), F.lit(0.0))
 
 
-def bins(start: Column, end: Column, slack: int = 0, width: int = BIN) -> Column:
-    """The bins that a span, widened by slack on both sides, touches."""
-    first = F.floor((start - slack) / width).cast("long")
-    last = F.floor((F.greatest(end, start) + slack) / width).cast("long")
-    return F.sequence(first, F.greatest(first, last))
-
-
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], on: Column, how: str = "inner", slack: int = 0, width: int = BIN) -> DataFrame:
-    """Pairs of rows with equal keys whose spans meet and that satisfy `on`.
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], on: Column, how: str = "inner", slack: int = 0) -> DataFrame:
+    """Pairs of rows with equal keys whose spans meet (or are `slack` apart at most) and that satisfy `on`.
 
     left has start and end, right has r_start and r_end; other columns are told apart by
-    name.  A pair meets in each bin that both touch; it is kept in the first of them.
+    name.  One pass over both sides of each document, after one shuffle.
     """
-    a = left.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"), slack, width)))
-    b = right.withColumn("_bin", F.explode(bins(F.col("r_start"), F.col("r_end"), 0, width)))
-    first = F.greatest(F.floor((F.col("start") - slack) / width), F.floor(F.col("r_start") / width)).cast("long")
-    pairs = a.join(b, [*keys, "_bin"]).where((F.col("_bin") == first) & on).drop("_bin")
+    pairs = met_pairs(left, right, keys, slack).where(on)
     if how == "inner":
         return pairs
     mine = [c for c in right.columns if c not in keys]

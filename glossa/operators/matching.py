@@ -6,12 +6,19 @@ They disagree on purpose: each is a definition of its own.  Frames have the key
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.intervals import contained, interval_join, merged_spans, near, overlap_length, overlap_percent, overlapping, uncovered
+from glossa.operators.intervals import contained, interval_join, merged_spans, uncovered
+from glossa.operators.sweep import best_of, codes, document_matches, kinds, meeting, numbers, swept
 
 KEYS = ["doc_id"]
+#: For spans of which it is known already that none has an equal one: the side tells all apart.
+NO_PHASE = ["_side"]
 
 
 def common(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
@@ -102,32 +109,32 @@ def groupings(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant, by_tag: bool = True, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Exact matches, then inclusions of what is left.
+    """Exact matches, then inclusions of what is left, in one pass over each document.
 
     Returns keys with tp, fp, fn a document, and the groupings with `extra` (text beside
     the gold spans that `significant`, a function of a column, accepts: one more false
     positive).  tp and fn count gold spans, fp system spans.
     """
-    on = ["start", "end", "text", "tag"] if by_tag else ["start", "end", "text"]
-    both = paired(gold, system, on, keys)
-    rest = both.where("not matched")
-    pairs = inclusions(rest.where("side = 'gold'"), rest.where("side = 'sys'"), keys, by_tag)
+    docs = document_matches(gold, system, keys, ["start", "end", "text", "tag"] if by_tag else ["start", "end", "text"], by_tag)
     # the span's own text is enough to look at what its gold spans leave of it
-    held = groupings(pairs, keys)
-    piece = lambda x: F.substring("sys_text", x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
-    held = held.withColumn("extra", F.exists("uncovered", lambda x: significant(piece(x)))).drop("sys_text")
-    names = ("gold", "sys", "both", "held_gold", "held_sys", "extra")
+    piece = lambda text, x: F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
+    extra = lambda h: F.coalesce(F.exists(h["uncovered"], lambda x: significant(piece(h["sys_text"], x))), F.lit(False))
+    n_held, n_extra = F.size("held"), F.size(F.filter("held", extra))
+    counts = docs.select(*keys, (F.col("n_both") + F.col("n_inside")).alias("tp"), (F.col("n_sys") - F.col("n_both") - n_held + n_extra).alias("fp"), (F.col("n_gold") - F.col("n_both") - F.col("n_inside")).alias("fn"))
+    held = docs.select(*keys, F.explode("held").alias("h"))
+    return counts, held.select(*keys, *(F.col(f"h.{c}") for c in ("sys_ord", "sys_start", "sys_end", "sys_tag", "n_gold", "uncovered")), extra(F.col("h")).alias("extra"))
+
 
-    def tally(rows: DataFrame, **what: Column) -> DataFrame:
-        return rows.groupBy(*keys).agg(*(F.count_if(what[n]).alias(n) if n in what else F.lit(0).cast("long").alias(n) for n in names))
+def lost_spans(gold: DataFrame, system: DataFrame, on: list[str], by_tag: bool = True, inclusion: bool = True, keys: list[str] = KEYS) -> DataFrame:
+    """Gold spans without an equal one (in `on`) and, if inclusion, within no system span left: their columns, percent and sys_ord as best_missed has them."""
+    docs = document_matches(gold, system, keys, on, by_tag, inclusion)
+    return docs.select(*keys, F.explode("lost").alias("l")).select(*keys, "l.*")
 
-    gold_side = F.col("side") == "gold"
-    parts = tally(both, gold=gold_side, sys=~gold_side, both=gold_side & F.col("matched"))
-    parts = parts.union(tally(pairs.select(*keys, "gold_ord").distinct(), held_gold=F.lit(True)))
-    parts = parts.union(tally(held, held_sys=F.lit(True), extra=F.col("extra")))
-    n = {w: F.sum(w) for w in names}
-    counts = parts.groupBy(*keys).agg((n["both"] + n["held_gold"]).alias("tp"), (n["sys"] - n["both"] - n["held_sys"] + n["extra"]).alias("fp"), (n["gold"] - n["both"] - n["held_gold"]).alias("fn"))
-    return counts, held
+
+def lost_overlaps(gold: DataFrame, system: DataFrame, on: list[str], by_tag: bool = True, inclusion: bool = True, keys: list[str] = KEYS) -> DataFrame:
+    """All system spans that share places with lost_spans: keys, ord, sys_ord, percent."""
+    docs = document_matches(gold, system, keys, on, by_tag, inclusion, overlaps=True)
+    return docs.select(*keys, F.explode("lost").alias("l")).select(*keys, F.col("l.ord").alias("ord"), F.explode("l.overlaps").alias("o")).select(*keys, "ord", "o.*")
 
 
 def analyzer(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -152,28 +159,41 @@ def best_overlap(gold: DataFrame, system: DataFrame, keys: list[str] = KEYS, tol
 
     Columns: keys, ord, gold_tag, pred_tag, kind (TP or CONFUSION).
     """
-    a, b = (F.col("start"), F.col("end")), (F.col("r_start"), F.col("r_end"))
-    touch = overlapping(a, b)
-    right = system.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("tag").alias("pred_tag"), F.col("ord").alias("sys_ord"))
-    pairs = interval_join(gold.select(*keys, "start", "end", F.col("tag").alias("gold_tag"), "ord"), right, keys, touch | near(a, b, tolerance), slack=tolerance)
-    exact = (a[0] == b[0]) & (a[1] == b[1]) & F.col("gold_tag").eqNullSafe(F.col("pred_tag"))
-    length = F.when(touch, overlap_length(a, b)).otherwise(F.lit(0))
-    best = Window.partitionBy(*keys, "ord").orderBy(F.desc(exact), F.desc(touch), F.desc(length), "sys_ord")
-    rows = pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return rows.select(*keys, "ord", "gold_tag", "pred_tag", F.when(exact, F.lit("TP")).otherwise(F.lit("CONFUSION")).alias("kind"))
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        side = table.column("_side").to_numpy()
+        g, s = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        order, start, end = numbers(table, "ord", "start", "end")
+        tag, picked = codes(table.column("tag")), []
+        for i, j in meeting((document[g], start[g], end[g]), (document[s], start[s], end[s]), tolerance):
+            i, j = g[i], s[j]
+            shared = np.minimum(end[i], end[j]) - np.maximum(start[i], start[j])
+            close = np.min([np.abs(x[i] - y[j]) for x in (start, end) for y in (start, end)], axis=0) <= tolerance
+            i, j, shared = (x[(shared > 0) | close] for x in (i, j, shared))
+            exact = (start[i] == start[j]) & (end[i] == end[j]) & (tag[i] == tag[j])
+            first = best_of(i, ~exact, -np.maximum(shared, 0), order[j])
+            picked.append((i[first], j[first], exact[first], shared[first]))
+        if not picked:
+            return
+        i, j, exact, shared = (np.concatenate(x) for x in zip(*picked, strict=True))
+        first = best_of(i, ~exact, -np.maximum(shared, 0), order[j])
+        i, j, exact = i[first], j[first], exact[first]
+        kind = pa.array(np.where(exact, "TP", "CONFUSION").tolist(), pa.string())
+        mine, other = pa.array(i), pa.array(j)
+        yield pa.table([*(table.column(k).take(mine) for k in keys), table.column("ord").take(mine), table.column("tag").take(mine), table.column("tag").take(other), kind], names=[*keys, "ord", "gold_tag", "pred_tag", "kind"])
+
+    tag = gold.schema["tag"].dataType.simpleString()
+    pick = lambda df: df.select(*keys, "ord", "start", "end", "tag").dropna(subset=keys)
+    return swept(pick(gold), pick(system), keys, work, ", ".join([*kinds(gold, [*keys, "ord"]), f"gold_tag {tag}", f"pred_tag {tag}", "kind string"]))
 
 
 def missed_overlaps(missed: DataFrame, system: DataFrame, keys: list[str] = KEYS, by_tag: bool = True) -> DataFrame:
     """All system spans that share places with missed gold spans: keys, ord, sys_ord, percent (of the gold span)."""
-    a, b = (F.col("start"), F.col("end")), (F.col("r_start"), F.col("r_end"))
-    right = system.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("tag").alias("pred_tag"), F.col("ord").alias("sys_ord"))
-    on = overlapping(a, b) & (F.col("tag") == F.col("pred_tag")) if by_tag else overlapping(a, b)
-    pairs = interval_join(missed.select(*keys, "start", "end", "tag", "ord"), right, keys, on)
-    return pairs.select(*keys, "ord", "sys_ord", overlap_percent(a, b).alias("percent"))
+    nothing = system.select(*keys, "ord", "start", "end", "tag")
+    return lost_overlaps(missed.select(*keys, "ord", "start", "end", "tag"), nothing, NO_PHASE, by_tag, False, keys)
 
 
 def best_missed(missed: DataFrame, system: DataFrame, keys: list[str] = KEYS, by_tag: bool = True) -> DataFrame:
     """For each missed gold span the largest share that one system span covers, first of equals; 0 and null without."""
-    pairs = missed_overlaps(missed, system, keys, by_tag)
-    best = pairs.groupBy(*keys, "ord").agg(F.max(F.struct(F.col("percent"), (-F.col("sys_ord")).alias("back"))).alias("b"))
-    return missed.select(*keys, "ord").join(best, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("b.percent", F.lit(0.0)).alias("percent"), (-F.col("b.back")).alias("sys_ord"))
+    nothing = system.select(*keys, "ord", "start", "end", "tag")
+    return lost_spans(missed.select(*keys, "ord", "start", "end", "tag"), nothing, NO_PHASE, by_tag, False, keys).select(*keys, "ord", "percent", "sys_ord")

@@ -161,32 +161,31 @@ def twophase_relaxed(spark, sf_dir):
     return metrics.with_scores(_two_phase(spark, sf_dir, False)[0], 6)
 
 
-_MISSED = """WITH m AS (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sys y WHERE y.doc_id = g.doc_id AND y.s = g.s AND y.e = g.e AND y.tag = g.tag)),
-mb AS (SELECT *, unnest(range(s // 256, e // 256 + 1)) AS bin FROM m), yb AS (SELECT *, unnest(range(s // 256, e // 256 + 1)) AS bin FROM sys),
+_MISSED = """WITH m AS MATERIALIZED (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sys y WHERE y.doc_id = g.doc_id AND y.s = g.s AND y.e = g.e AND y.tag = g.tag)),
+mb AS MATERIALIZED (SELECT doc_id, ord, s, e, unnest(range(s // 256, e // 256 + 1)) AS bin FROM m), yb AS MATERIALIZED (SELECT doc_id, ord, s, e, unnest(range(s // 256, e // 256 + 1)) AS bin FROM sys),
 o AS (SELECT m.doc_id, m.ord, y.ord AS sys_ord, 100.0e0 * (least(m.e, y.e) - greatest(m.s, y.s)) / (m.e - m.s) AS percent FROM mb m JOIN yb y ON m.doc_id = y.doc_id AND m.bin = y.bin
-  WHERE greatest(m.s, y.s) < least(m.e, y.e) AND m.bin = greatest(m.s, y.s) // 256),
+  WHERE greatest(m.s, y.s) < least(m.e, y.e) AND m.bin = greatest(m.s, y.s) // 256)"""
+_BEST_MISSED = _MISSED + """,
 z AS (SELECT m.doc_id, m.ord, coalesce(max(percent), 0) AS percent, arg_max(o.sys_ord, struct_pack(a := percent, b := -o.sys_ord)) AS sys_ord FROM m LEFT JOIN o ON m.doc_id = o.doc_id AND m.ord = o.ord GROUP BY m.doc_id, m.ord)"""
-
-
-def _missed(spark, sf_dir) -> DataFrame:
-    return matching.left_over(gold(spark, sf_dir), system(spark, sf_dir), ["start", "end", "tag"])[0]
+#: Missed: without a system span of equal place and tag; any system span may overlap them.
+_MISS = {"on": ["start", "end", "tag"], "by_tag": False, "inclusion": False}
 
 
 @query(_MISSED + " SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(sys_ord AS INTEGER) AS sys_ord, round(percent, 6) AS percent FROM o")
 def fn_overlap_pairs(spark, sf_dir):
-    return matching.missed_overlaps(_missed(spark, sf_dir), system(spark, sf_dir), by_tag=False).withColumn("percent", F.round("percent", 6))
+    return matching.lost_overlaps(gold(spark, sf_dir), system(spark, sf_dir), **_MISS).withColumn("percent", F.round("percent", 6))
 
 
-@query(_MISSED + " SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(sys_ord AS INTEGER) AS sys_ord, round(percent, 6) AS percent FROM z")
+@query(_BEST_MISSED + " SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(sys_ord AS INTEGER) AS sys_ord, round(percent, 6) AS percent FROM z")
 def fn_best_overlap(spark, sf_dir):
-    return matching.best_missed(_missed(spark, sf_dir), system(spark, sf_dir), by_tag=False).withColumn("percent", F.round("percent", 6))
+    return matching.lost_spans(gold(spark, sf_dir), system(spark, sf_dir), **_MISS).select("doc_id", "ord", "sys_ord", F.round("percent", 6).alias("percent"))
 
 
-@query(_MISSED + """, n AS (SELECT CASE WHEN percent = 0 THEN '0%' ELSE (CAST(least(floor(percent / 10), 9) AS INTEGER) * 10) || '-' || (CAST(least(floor(percent / 10), 9) AS INTEGER) * 10 + 10) || '%' END AS bin, count(*) AS n FROM z GROUP BY 1),
+@query(_BEST_MISSED + """, n AS (SELECT CASE WHEN percent = 0 THEN '0%' ELSE (CAST(least(floor(percent / 10), 9) AS INTEGER) * 10) || '-' || (CAST(least(floor(percent / 10), 9) AS INTEGER) * 10 + 10) || '%' END AS bin, count(*) AS n FROM z GROUP BY 1),
 k AS (SELECT '0%' AS bin UNION ALL SELECT (10 * i) || '-' || (10 * i + 10) || '%' FROM range(10) r(i))
 SELECT bin, coalesce(n, 0) AS n, round(coalesce(100.0e0 * coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (), 0), 0), 6) AS share FROM k LEFT JOIN n USING (bin)""")
 def fn_overlap_hist(spark, sf_dir):
-    rows = matching.best_missed(_missed(spark, sf_dir), system(spark, sf_dir), by_tag=False)
+    rows = matching.lost_spans(gold(spark, sf_dir), system(spark, sf_dir), **_MISS)
     return metrics.overlap_histogram(rows).withColumn("share", F.round("share", 6))
 
 

@@ -5,10 +5,16 @@ Token frames have doc_id, pos, token and label columns.  Windows run within docu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.metrics import precision, ratio, recall
+from glossa.operators.sweep import best_of, kinds, meeting, numbers, swept
 
 
 def with_offsets(tokens: DataFrame, base: int = 0) -> DataFrame:
@@ -35,13 +41,32 @@ def spans_of(tokens: DataFrame, label: str = "label", base: int = 0) -> DataFram
 
 def labels_of(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds label: B- or I- and the tag of the span that holds the token (the first to start), else O.  Needs start and end."""
-    from glossa.operators.intervals import contained, interval_join
-
-    right = spans.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "tag")
-    held = interval_join(tokens.select("doc_id", "pos", "start", "end"), right, ["doc_id"], contained((F.col("start"), F.col("end")), (F.col("r_start"), F.col("r_end"))))
-    first = held.groupBy("doc_id", "pos").agg(F.min(F.struct("r_start", "r_end", "tag")).alias("s"))
-    label = F.when(F.col("s").isNull(), F.lit("O")).otherwise(F.concat(F.when(F.col("s.r_start") == F.col("start"), F.lit("B-")).otherwise(F.lit("I-")), F.col("s.tag")))
-    return tokens.join(first, ["doc_id", "pos"], "left").withColumn("label", label).drop("s")
+    columns = tokens.columns
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        side = table.column("_side").to_numpy()
+        t, s = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        start, end, first, last = numbers(table, "start", "end", "_from", "_to")
+        tags = table.column("_tag").combine_chunks().dictionary_encode()
+        rank = np.argsort(np.argsort([x.encode() for x in tags.dictionary.to_pylist()])) if len(tags.dictionary) else np.zeros(1, np.int64)
+        tag = pc.fill_null(tags.indices, 0).to_numpy(zero_copy_only=False)
+        held = np.full(len(side), -1, np.int64)
+        for i, j in meeting((document[t], start[t], end[t]), (document[s], first[s], last[s])):
+            i, j = t[i], s[j]
+            inside = (first[j] <= start[i]) & (end[i] <= last[j])
+            i, j = i[inside], j[inside]
+            known = np.flatnonzero(held[i] >= 0)  # pairs come in pieces: the best so far takes part
+            i, j = np.append(i, i[known]), np.append(j, held[i[known]])
+            best = best_of(i, first[j], last[j], rank[tag[j]])
+            held[i[best]] = j[best]
+        own = held[t]
+        begins = np.where(own < 0, 0, np.where(first[own] == start[t], 1, 2))
+        mark = pa.array(["O", "B-", "I-"]).take(pa.array(begins))
+        label = pc.binary_join_element_wise(mark, pc.fill_null(table.column("_tag").combine_chunks().take(pa.array(own, mask=own < 0)), ""), "")
+        yield pa.table([*(table.column(c).take(pa.array(t)) for c in columns), label], names=[*columns, "label"])
+
+    right = spans.dropna(subset=["doc_id", "tag"]).select("doc_id", F.col("start").alias("_from"), F.col("end").alias("_to"), F.col("tag").alias("_tag"))
+    return swept(tokens, right, ["doc_id"], work, ", ".join([*kinds(tokens, columns), "label string"]))
 
 
 def _parts(label: Column) -> tuple[Column, Column]:

@@ -7,7 +7,12 @@ the end of the next token for others (1 modulo 14), and mistakes some tags (7 mo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,13 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each text with their places; a text is one row, so nothing has to meet."""
+    for batch in batches:
+        # lists of tokens, some of them empty, that single blanks part
+        lists = pc.split_pattern(pc.fill_null(batch.column("text"), ""), " ")
+        token, offsets = lists.flatten(), lists.offsets.to_numpy()
+        size = pc.utf8_length(token).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size + 1)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        before = np.concatenate([[0], ends])[offsets[:-1]]
+        start = ends - size - 1 - before[owner]
+        pos = np.arange(len(token)) - offsets[owner]
+        real = np.flatnonzero((size > 0) & pc.is_valid(batch.column("text")).to_numpy(zero_copy_only=False)[owner])
+        owner, start, pos, end = (x[real] for x in (owner, start, pos, start + size))
+        token = token.take(pa.array(real))
+        # the next token of the same text
+        last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
+        after = pa.array(np.minimum(np.arange(len(owner)) + 1, max(len(owner) - 1, 0)), mask=last)
+        columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(pos, pa.int32()), token, pa.array(start), pa.array(end)]
+        names = ["doc_id", "pos", "token", "start", "end"]
+        yield pa.RecordBatch.from_arrays([*columns, *(columns[names.index(c)].take(after) for c in ("start", "end", "token"))], [*names, "n_start", "n_end", "n_token"])
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, token, start, end of all non-empty tokens, with the next token's n_start, n_end, n_token."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    start = F.coalesce(F.sum(F.length("token") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    rows = docs.withColumn("start", start).withColumn("end", F.col("start") + F.length("token")).where("token <> ''")
-    return rows.select("*", *(F.lead(c).over(w).alias("n_" + c) for c in ("start", "end", "token")))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_placed, "doc_id long, pos int, token string, start long, end long, n_start long, n_end long, n_token string")
 
 
 def _tag() -> F.Column:

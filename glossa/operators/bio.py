@@ -10,11 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.metrics import precision, ratio, recall
-from glossa.operators.sweep import best_of, kinds, meeting, numbers, swept
+from glossa.operators.sweep import best_of, by_document, kinds, meeting, numbers, swept
 
 
 def with_offsets(tokens: DataFrame, base: int = 0) -> DataFrame:
@@ -69,51 +69,67 @@ def labels_of(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return swept(tokens, right, ["doc_id"], work, ", ".join([*kinds(tokens, columns), "label string"]))
 
 
-def _parts(label: Column) -> tuple[Column, Column]:
-    """Chunk mark and type: `X-TYPE` at the first hyphen; without one the type is empty."""
-    return F.substring_index(label, "-", 1), F.when(F.contains(label, F.lit("-")), F.substring(label, F.locate("-", label) + 1, 1 << 20)).otherwise(F.lit(""))
+#: Marks of chunk labels; what else stands before a hyphen counts as another mark.
+MARKS = "BIEO.[]"
+_OTHER = len(MARKS)
+#: Pairs of marks (before, now) between which a chunk ends, and at whose second one starts; a change of type does either, too.
+_ENDS = ["BB", "BO", "IB", "IO", "EE", "EI", "EO"]
+_STARTS = ["BB", "IB", "OB", "EE", "EI", "OE", "OI"]
 
 
-def chunk_flags(tokens: DataFrame, label: str) -> DataFrame:
-    """Adds {label}_starts and {label}_ends (does a chunk end before this token?), {label}_type.
+def _table(pairs: list[str]) -> np.ndarray:
+    out = np.zeros((_OTHER + 1, _OTHER + 1), bool)
+    for before, now in pairs:
+        out[MARKS.index(before), MARKS.index(now)] = True
+    return out
 
-    A chunk ends where the mark before was E, or before a B, S or O; a change of type ends
-    one too.  It starts with B or S, after an E or an O, and with a change of type; an E
-    followed by a B of the same type neither ends nor starts one a second time.
+
+def _series(column: pa.ChunkedArray, order: np.ndarray, first: np.ndarray, types: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token in order: does a chunk start, does one end before it, and the number of its type.
+
+    A label is `MARK-TYPE`, parted at its first hyphen; without one the type is empty.  A
+    null label is O, and so is what stands before a document (whose tokens `first` marks).
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    mark, kind = _parts(F.col(label))
-    before = F.coalesce(F.lag(label).over(w), F.lit("O"))
-    pm, pt = _parts(before)
-    open_before = ~pm.isin("O", ".")
-    open_now = ~mark.isin("O", ".")
-    ends = (pm.isin("B", "I") & mark.isin("B", "O")) | (pm == "E") & mark.isin("E", "I", "O") | pm.isin("]", "[")
-    ends = ends | (open_before & (pt != kind))
-    starts = (pm.isin("B", "I", "O") & (mark == "B")) | ((pm == "E") & mark.isin("E", "I")) | ((pm == "O") & mark.isin("E", "I")) | mark.isin("[", "]")
-    starts = starts | (open_now & (pt != kind))
-    return tokens.select("*", starts.alias(f"{label}_starts"), ends.alias(f"{label}_ends"), kind.alias(f"{label}_type"))
-
-
-def _with_islands(tokens: DataFrame, label: str) -> DataFrame:
-    """Adds {label}_island, the number of chunks begun so far, null where none is open, and {label}_type."""
-    flags = chunk_flags(tokens, label)
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.col(f"{label}_starts")
-    # the start row itself may end an earlier chunk; only later ends close this one
-    rows = flags.withColumn("_i", F.sum(starts.cast("int")).over(upto)).withColumn("_n", F.sum((F.col(f"{label}_ends") & ~starts).cast("int")).over(upto))
-    rows = rows.withColumn("_at", F.last(F.when(starts, F.col("_n")), ignorenulls=True).over(upto))
-    island = F.when((F.col("_i") > 0) & (F.col("_n") == F.col("_at")), F.col("_i"))
-    return rows.withColumn(f"{label}_island", island).drop("_i", "_n", "_at", f"{label}_starts", f"{label}_ends")
+    labels = pc.fill_null(column.combine_chunks(), "O").dictionary_encode()
+    parts = [x.partition("-") for x in labels.dictionary.to_pylist()]
+    marks = np.array([MARKS.index(m) if m and m in MARKS else _OTHER for m, _, _ in parts] or [0])
+    kinds_ = np.array([types.setdefault(t, len(types)) for _, _, t in parts] or [0])
+    at = labels.indices.to_numpy(zero_copy_only=False)[order]
+    mark, kind = marks[at], kinds_[at]
+    before = np.where(first, MARKS.index("O"), np.roll(mark, 1))
+    changed = np.where(first, types.setdefault("", len(types)), np.roll(kind, 1)) != kind
+    is_ = lambda m, some: np.isin(m, [MARKS.index(x) for x in some])
+    ends = _table(_ENDS)[before, mark] | is_(before, "[]") | (~is_(before, "O.") & changed)
+    starts = _table(_STARTS)[before, mark] | is_(mark, "[]") | (~is_(mark, "O.") & changed)
+    return starts, ends, kind
+
+
+def _in_order(table: pa.Table, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the tokens, each one's document, and whether it is its document's first."""
+    order = np.lexsort((table.column("pos").to_numpy(), document))
+    document = document[order]
+    return order, document, np.concatenate([[True], document[1:] != document[:-1]])
 
 
 def _chunks(tokens: DataFrame, labels: list[str]) -> DataFrame:
-    """doc_id, side (a label column), first, last, type of each chunk: one shuffle and one sort, whatever the number of label columns."""
-    rows = tokens.select("doc_id", "pos", *labels)
-    for label in labels:
-        rows = _with_islands(rows, label)
-    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_island").alias("island"), F.col(f"{x}_type").alias("type")) for x in labels))
-    rows = rows.select("doc_id", "pos", F.explode(sides).alias("x")).select("doc_id", "pos", "x.*").where("island is not null")
-    return rows.groupBy("doc_id", "side", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("type", "pos").alias("type")).drop("island")
+    """doc_id, side (a label column), first, last, type of each chunk: one shuffle, whatever the number of label columns."""
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        order, document, new = _in_order(table, document)
+        pos = table.column("pos").take(pa.array(order))
+        for label in labels:
+            types: dict[str, int] = {}
+            starts, ends, kind = _series(table.column(label), order, new, types)
+            at = np.flatnonzero(starts)
+            # a chunk lasts until something starts or ends, or the document does
+            stops = np.append(np.flatnonzero(starts | ends | new), len(order))
+            last = stops[np.searchsorted(stops, at, "right")] - 1
+            names = pa.array(list(types), pa.string())
+            docs = table.column("doc_id").take(pa.array(order[at]))
+            yield pa.table([docs, pa.array([label] * len(at), pa.string()), pos.take(pa.array(at)), pos.take(pa.array(last)), names.take(pa.array(kind[at]))], names=["doc_id", "side", "first", "last", "type"])
+
+    kind = tokens.schema["pos"].dataType.simpleString()
+    return by_document(tokens.select("doc_id", "pos", *labels), ["doc_id"], work, ", ".join([*kinds(tokens, ["doc_id"]), f"side string, first {kind}, last {kind}, type string"]))
 
 
 def chunks(tokens: DataFrame, label: str) -> DataFrame:
@@ -127,11 +143,38 @@ def token_accuracy(tokens: DataFrame, gold: str = "gold", pred: str = "pred") ->
     return tokens.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(100 * F.coalesce(same, F.lit(0.0)), 2).alias("accuracy"))
 
 
+def chunk_counts(tokens: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """type, n_gold, n_found, n_correct, to be added up: chunks that start in each series, and those that both have.
+
+    Both series are walked together.  Where a chunk of the same type starts in both, it is
+    open; the first token after which a chunk ends in either, or types differ, closes it,
+    and it is correct if both end there.  So also series are compared whose chunks start
+    before others end (marks [ and ]), which have no chunks to be joined by their places.
+    """
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        order, document, new = _in_order(table, document)
+        types: dict[str, int] = {}
+        g_starts, g_ends, g = _series(table.column(gold), order, new, types)
+        p_starts, p_ends, p = _series(table.column(pred), order, new, types)
+        opens = np.flatnonzero(g_starts & p_starts & (g == p))
+        # what closes: before a token; a document's end closes, too, and counts as the end of both
+        closes = np.flatnonzero((g_ends | p_ends | (g != p) | new)[1:]) + 1
+        right = (new | (g_ends & p_ends))[closes]
+        closes, right = np.append(closes, len(order)), np.append(right, True)
+        # tokens that open something before the same close open one chunk
+        last = np.unique(np.searchsorted(closes, opens, "right"))
+        last = last[right[last]]
+        n = len(types)
+        count = lambda x: np.bincount(x, minlength=n)
+        yield pa.table([pa.array(list(types), pa.string()), count(g[g_starts]), count(p[p_starts]), count(g[closes[last] - 1])], names=["type", "n_gold", "n_found", "n_correct"])
+
+    return by_document(tokens.select("doc_id", "pos", gold, pred), ["doc_id"], work, "type string, n_gold long, n_found long, n_correct long")
+
+
 def chunk_scores(tokens: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """type (null for all), n_gold, n_found, n_correct and percentages: precision, recall, f1, of whole chunks."""
-    rows = _chunks(tokens, [gold, pred]).groupBy("doc_id", "first", "last", "type")
-    rows = rows.agg(F.max((F.col("side") == gold).cast("int")).alias("g"), F.max((F.col("side") == pred).cast("int")).alias("p"))
-    counts = rows.rollup("type").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_found"), F.sum(F.col("g") * F.col("p")).alias("n_correct"))
+    counts = chunk_counts(tokens, gold, pred).where("n_gold + n_found > 0").rollup("type").agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_found", "n_correct")))
     p = precision(F.col("n_correct"), F.col("n_found") - F.col("n_correct"))
     r = recall(F.col("n_correct"), F.col("n_gold") - F.col("n_correct"))
     f = ratio(2 * p * r, p + r)

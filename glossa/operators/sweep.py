@@ -58,23 +58,23 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield whole(held)
 
 
-def swept(left: DataFrame, right: DataFrame, keys: list[str], work: Work, schema: str) -> DataFrame:
-    """work's tables for whole documents of both sides: one shuffle, and one sort.
-
-    work gets columns keys, _side (0 left, 1 right), and those of both sides by name,
-    null on the other side's rows; and each row's document.
-    """
-    columns = lambda df: [c for c in df.columns if c not in keys]
-    every = {**{c: left.schema[c].dataType for c in columns(left)}, **{c: right.schema[c].dataType for c in columns(right)}}
-    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in every.items()))
-    rows = side(left, 0).unionByName(side(right, 1)).repartition(*keys).sortWithinPartitions(*keys)
+def by_document(rows: DataFrame, keys: list[str], work: Work, schema: str) -> DataFrame:
+    """work's tables for whole documents, many at a time: one shuffle, and one sort by the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, document in _gathered(batches, keys):
             for out in work(table, document):
                 yield from out.combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def swept(left: DataFrame, right: DataFrame, keys: list[str], work: Work, schema: str) -> DataFrame:
+    """by_document for two sides: work gets columns keys, _side (0 left, 1 right), and those of both sides by name, null on the other side's rows."""
+    columns = lambda df: [c for c in df.columns if c not in keys]
+    every = {**{c: left.schema[c].dataType for c in columns(left)}, **{c: right.schema[c].dataType for c in columns(right)}}
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in every.items()))
+    return by_document(side(left, 0).unionByName(side(right, 1)), keys, work, schema)
 
 
 def kinds(df: DataFrame, columns: list[str]) -> list[str]:

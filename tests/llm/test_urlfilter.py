@@ -34,7 +34,7 @@ def test_index_misses_nothing():
     index = u.RuleIndex(rules)
     for url in filter(None, URLS):
         host, path = u.split_url(url)
-        fitting = [r for r in rules if re.match(r.pattern, host + path if r.name else (host + path).lower())]
+        fitting = [r for r in rules if re.match(r.pattern, host + path if r.exact else (host + path).lower())]
         assert index.judge(host, path) == max(fitting, key=lambda r: r.length, default=None), url
 
 
@@ -77,7 +77,7 @@ def test_index_is_complete():
     for _ in range(3000):
         host, path = "".join(rng.choices(parts, k=4)).replace("/", "").lower(), "/" + "".join(rng.choices(parts, k=6))
         lowered = (host + path).lower()
-        fitting = {i for i, r in enumerate(rules) if re.match(r.pattern, host + path if r.name else lowered)}
+        fitting = {i for i, r in enumerate(rules) if re.match(r.pattern, host + path if r.exact else lowered)}
         assert fitting <= set(index.candidates(lowered))
 
 
@@ -93,3 +93,76 @@ def test_a_long_list_is_joined(spark):
     for most in (2, 20):
         assert sorted(map(key, u.filter_urls(pages, rules, most=most).collect())) == want
     assert u.filter_urls(pages.limit(0), rules, most=2).count() == 0
+
+
+OPTIONS = """/BannerAd[0-9]+/
+||Other.org^$document,important
+@@||other.org/fine^
+/CaseAd[a-z]/$match-case
+||CamelCase.net/Path^$match-case,doc
+||third.org^$third-party
+||gone.org^$popup
+||gone.org^$popup,badfilter
+/unclosed(/
+adserv
+example.com##.box
+||net.org^$script,domain=x.org
+! nothing""".split("\n")
+
+
+def test_options_and_cases():
+    rules, reasons = u.read_list(OPTIONS)
+    assert reasons == {"options": 2, "badfilter": 2, "expression": 1, "element": 1, "comment": 1} and len(rules) == len(OPTIONS) - 7
+    index = u.RuleIndex(rules)
+    said = lambda host, path: getattr(index.judge(host, path), "verdict", None)
+    assert said("x.org", "/BannerAd12/") == said("x.org", "/myBANNERAD1") == said("x.org", "/bannerad1") == "block" and said("x.org", "/bannerad/") is None
+    assert said("other.org", "/fine/") == "block"  # important
+    assert said("x.org", "/CaseAdx") == "block" and said("x.org", "/casead" + "x") is None and said("x.org", "/CASEADX") is None
+    assert said("camelcase.net", "/Path") is None and said("CamelCase.net", "/Path/") == "block"
+    assert said("third.org", "/") is None and said("gone.org", "/") is None and said("x.org", "/myadserver/") == "block"
+
+
+def test_literals():
+    assert u.literals(r"/banner[0-9]+ad/") == [("banner",), ("ad",)]
+    assert u.literals(r"^(foo|ba(r|z)x+)?end") == [("end",)]
+    assert u.literals(r"(?:alpha|beta)tail{2}(opt)*") == [("alpha", "beta"), ("tai",), ("l",)]
+    assert u.literals(r"[a-z]+") == [] and u.literals(r"a|[0-9]") == []
+
+
+def test_many_expressions_leave_few_candidates(spark):
+    """100,000 expressions without a whole token: a URL tries a handful."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    words = [word() for _ in range(100_000)]
+    rules = u.read_filters([f"/{w}[0-9]+(x|y)/" for w in words])
+    assert len(rules) == 100_000 and all(r.needs for r in rules)
+    index = u.RuleIndex(rules)
+    assert not index.always and not index.compiled
+    for w in words[:50]:
+        url = f"x.org/{word()}/my{w}12x/{word()}.html"
+        assert len(index.candidates(url)) < 30 and index.judge("", url).verdict == "block" and index.judge("", url.replace("12x", "12z")) is None
+    pages = spark.createDataFrame([(i, f"https://h.org/{w.upper()}7y") for i, w in enumerate(words[:20])] + [(99, "https://h.org/none")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in u.filter_urls(pages, rules).collect()}
+    assert got == {**{i: "block" for i in range(20)}, 99: "allow"}
+
+
+def test_expressions_are_among_the_candidates():
+    rng = random.Random(12)
+    parts = ["foo", "bar", "[0-9]", "(?:a|bc)", "x?", "(?:one|two|)", "\\.", "ab{2}", "(?:end)+", "q*", "[^/]", "\\d+", "^", "longword", "(?=k)", "(red|blue)"]
+    lines = ["/" + "".join(rng.choices(parts, k=rng.randrange(1, 5))) + "/" for _ in range(300)]
+    rules, _ = u.read_list(lines)
+    index, pieces = u.RuleIndex(rules), ["foo", "bar", "7", "a", "bc", "x", "one", "two", ".", "abb", "end", "q", "longword", "kk", "red", "blue", "/", "Z"]
+    for _ in range(1000):
+        lowered = "".join(rng.choices(pieces, k=8)).lower()
+        assert {i for i, r in enumerate(rules) if re.match(r.pattern, lowered)} <= set(index.candidates(lowered)), lowered
+
+
+def test_long_lists_with_expressions_are_joined(spark):
+    rules = u.default_rules() + u.read_filters([*FILTERS, *OPTIONS])
+    urls = ["http://x.org/BannerAd12/", "http://x.org/CaseAdx", "http://x.org/caseadx", "http://a.b/myadserver", "http://other.org/fine/", None, "http://a.b/abc1234x", "x", "http://x.org/BannerAd12/"]
+    pages = spark.createDataFrame([(None if i == 3 else i, x, 1) for i, x in enumerate(urls)], "page_id long, url string, words int")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(key, u.filter_urls(pages, rules).collect()))
+    assert len(want) == len(urls) and sum("block" in w for w in want) == 6
+    for most in (2, 15):
+        assert sorted(map(key, u.filter_urls(pages, rules, most=most).collect())) == want

@@ -9,8 +9,10 @@ one line are passed over, so only a single word on a line between others is a ch
 itself.  Every rule looks at neighbouring lines alone: an insertion shifts no boundary
 beyond the next ones.  Chunks that occur more than once in the corpus are compared byte
 by byte, and all but the first occurrence, by doc_id and place, count as repeated.  Runs
-of repeated chunks with at least LEAST_WORDS words, so of several lines, are removed from
-their texts.
+of repeated chunks are removed from their texts if they hold several lines: LEAST_LINES
+whole physical lines (of LINE_WORDS words together, so that words on lines of their own do
+not go by chance), or LEAST_WORDS words, which count as several lines wherever line breaks
+stand.  A single physical line that is shorter than that stays, however often it is repeated.
 
 Three scans.  The first counts the hashes of all chunks, by bucket.  The second sends what
 may be repeated, told by a bitmap of bounded size, to the bucket of its hash, each text
@@ -41,8 +43,10 @@ from glossa.llm.shared import table, written
 from glossa.llm.skew import MOST_HOT
 from glossa.llm.wordhash import Words, constants, find_words, hash_parts, mix, same_bytes, space_words
 
-#: Words that a run of repeated chunks needs to be removed: shorter repetitions are formulas, and stay.
+#: Words that a run of repeated chunks needs to be removed, if it holds fewer than LEAST_LINES whole physical lines: shorter repetitions are formulas, and stay.
 LEAST_WORDS = 20
+#: Whole physical lines that count as several, and words that they have together.
+LEAST_LINES, LINE_WORDS = 2, 8
 #: One word in so many ends a line.
 WORDS_A_LINE = 2
 #: A hot chunk with a longer text is not told to all tasks.
@@ -61,13 +65,16 @@ class Chunks:
     owner: np.ndarray
     #: Does the chunk begin a physical line?
     head: np.ndarray
+    #: Physical lines that begin before each chunk (and the end of all); does the chunk end one?
+    begun: np.ndarray
+    closed: np.ndarray
 
 
 def cut(w: Words) -> Chunks:
     n = len(w.start)
     if not n:
         e = np.zeros(0, np.int64)
-        return Chunks(np.zeros(1, np.int64), e, e.astype(np.uint64), e, e.astype(bool))
+        return Chunks(np.zeros(1, np.int64), e, e.astype(np.uint64), e, e.astype(bool), np.zeros(1, np.int64), e.astype(bool))
     broken = np.zeros(len(w.data) + 1, np.int64)
     np.cumsum(w.data == 10, out=broken[1:])
     last = np.zeros(n, bool)  # the last word of a physical line
@@ -101,7 +108,8 @@ def cut(w: Words) -> Chunks:
         chunk = hash_parts(line, chunk_start, chunk_end - chunk_start)
     first = np.concatenate([line_start[chunk_start], [n]])
     owner = np.searchsorted(w.first, first[:-1], "right") - 1
-    return Chunks(first, chunk_end - chunk_start, chunk, owner, opens[chunk_start])
+    begun = np.concatenate([[0], np.cumsum(opens)])[np.append(chunk_start, len(line))]
+    return Chunks(first, chunk_end - chunk_start, chunk, owner, opens[chunk_start], begun, closes[chunk_end - 1])
 
 
 def _numbers(c: Chunks, documents: int) -> np.ndarray:
@@ -266,7 +274,8 @@ def removals(w: Words, c: Chunks, document: int, nos: list[int], least: int) ->
     for no in [*sorted(marks), None]:
         if run and no != run[1]:
             a, b = base + run[0], base + run[1]
-            if c.first[b] - c.first[a] >= least:
+            words, lines = c.first[b] - c.first[a], c.begun[b] - c.begun[a] - (not c.closed[b - 1])
+            if words >= least or (lines >= LEAST_LINES and words >= LINE_WORDS):
                 out.append((a, b))
             run = None
         if no is not None:

@@ -244,3 +244,24 @@ def test_against_the_rules(make, monkeypatch, seed, most):
     rows += [(None, None), (None, rows[2][1]), (None, rows[2][1]), (200, None), (201, ""), (202, "  \n "), (203, "x" * 9_000), (204, "x" * 9_000), (205, "same words. " * 400), (206, "a\nb\nc\n" * 30)]
     got = d.report(make(rows, ["nos", "key", "id"])).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_chunks, r.n_removed_words, r.n_removed_chunks, r.text_sha256) for r in got) == plain_report(rows)
+
+
+def lines_of(rng, *sizes):
+    return [prose(rng, n) for n in sizes]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_several_repeated_lines_go_and_a_single_one_stays(make, seed):
+    """Two lines of 8 and 7 words in six documents go from five of them; a line of 12 words stays, and so do two lines of three words."""
+    rng = random.Random(seed)
+    two, one, short = lines_of(rng, 8, 7), lines_of(rng, 12), lines_of(rng, 3, 3)
+    rows = []
+    for i in range(6):
+        rows.append((i, "\n".join([*lines_of(rng, 9, 14), *two, *lines_of(rng, 11, 6)])))
+        rows.append((10 + i, "\n".join([*lines_of(rng, 9, 14), *one, *lines_of(rng, 11, 6)])))
+        rows.append((20 + i, "\n".join([*lines_of(rng, 9, 14), *short, *lines_of(rng, 11, 6)])))
+    got = {r.doc_id: r.n_removed_words for r in d.report(make(rows)).collect()}
+    assert [got[i] for i in range(6)] == [0, 15, 15, 15, 15, 15]
+    assert all(got[i] == 0 for i in got if i >= 10)
+    texts = {r.doc_id: r.text for r in d.clean(make(rows)).collect()}
+    assert texts[1] == rows[3][1].replace("\n".join(two) + "\n", "")

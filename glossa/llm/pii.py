@@ -2,7 +2,7 @@
 
 Personal data (e-mail and IP addresses, card and phone numbers) are the protected
 entities.  Over the whole corpus it is counted in how many different contexts (the words
-within REACH words of an entity, in its line) a term stands beside an entity, c(t, e),
+within REACH words of an entity, in its line) a term (a run of letters and digits, of two or more) stands beside an entity, c(t, e),
 and in how many contexts the term occurs at all, c(t).  What remains unknown of e once t
 is read is IC(e) - PMI(t; e) = log2(c(t) / c(t, e)) bits.  Terms that leave at most
 REMOVE_BITS are removed, terms that leave at most GENERALISE_BITS are generalised,
@@ -41,7 +41,8 @@ BROADER = 0.8
 #: One line in so many is enough to tell that a common term discloses nothing.
 SLICES = 64
 
-_TERM = r"\p{L}{3,}+"
+#: Terms: runs of two letters or digits and more; a single one cannot tell whom a text is about.
+_TERM = r"[\p{L}\p{N}]{2,}+"
 
 
 def base_hits(text: Column) -> list[Column]:
@@ -191,7 +192,7 @@ def find(docs: DataFrame, remove: float = REMOVE_BITS, most_in_plan: int = MAX_B
     base = F.array_sort(F.concat(*(tagged(k, x) for k, x in enumerate(base_hits(text)))))
     rows = rows.withColumn("base", base)
     for k, name in ((4, "gone"), (5, "vague")):
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_sort(name), "|"), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(name), "|"), F.lit(r")(?![\p{L}\p{N}])"))
         rows = rows.withColumn(name, apart(tagged(k, hits(text, pattern, F.size(name) > 0)), F.col("base")) if n else F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", "gone", "vague")).alias("spans"), "names")
 

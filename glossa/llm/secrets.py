@@ -1,13 +1,14 @@
 """Secret scans with SQL functions alone: patterns, and entropy in sliding windows.
 
-Candidate strings are runs of at least WINDOW characters of a key alphabet with a digit
-among them, or with a small letter and a capital that is not the first.  A window of WINDOW characters slides over each;
+Candidate strings are runs of at least WINDOW characters of a key alphabet.  A window of WINDOW characters slides over each;
 the counts of its characters, one for each different character of the candidate, are kept
 as it moves (one leaves, one enters), and with them the sum of c * log2(c), so
 H = log2(WINDOW) - sum / WINDOW.  A candidate is a secret if a window reaches the
 threshold of its character class and nothing on the allow list fits the whole of it.
-Other runs, of letters of one case but for the first, are words of some language rather
-than keys, and no candidates.  Every document is judged alone: there is no shuffle.
+Candidates of letters of one case (but for the first) may be long words.  They are secrets only
+if their letters also are rarer than those of words: SURPRISE bits a letter and more, by a
+fixed table of how often letters are used.  Runs of capitals and marks alone are no
+secrets.  Every document is judged alone: there is no shuffle.
 
 Defined cases: a null text is empty and has no spans; repeated rows are returned each;
 an empty table gives an empty result.
@@ -25,7 +26,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 MARKS = tuple(f"[{k.upper()}]" for k in KINDS)
 WINDOW = 16
 #: Character class: what a candidate of it looks like, and the bits a character from which a window is random.
+ONE_CASE = r"^([A-Z]?[a-z]+|[A-Z]+)$"
 CLASSES = (
+    ("letters of one case", ONE_CASE, 3.1),
     ("hex", r"^[0-9a-fA-F]+$", 2.9),
     ("letters", r"^[A-Za-z]+$", 3.6),
     ("letters and digits", r"^[0-9A-Za-z]+$", 3.5),
@@ -41,6 +44,12 @@ ALLOWED = (
     r"(?i)^.{0,4}(0123456789|abcdefgh|qwertyui).{0,12}$",
     r"(?i)^.{0,8}(example|sample|placeholder|x{6}).{0,12}$",
 )
+#: Of these, what letters of one case may fit.
+SAMPLES = "|".join(ALLOWED[-2:]).replace("|(?i)", "|")
+# Half bits of surprise of the letters a to z, rounded, by the shares of letters in English prose.
+SURPRISES = "7CA96BB88FE9B87BF887ADBFBF"
+#: Bits of surprise a letter, in the mean, from which letters of one case are no word.
+SURPRISE = 4.6
 _KEY = r"[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 
 
@@ -90,17 +99,27 @@ def most_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(s) >= window, F.round(once(once(F.split(s, ""), numbered), slide), 9))
 
 
+def surprise(s: Column) -> Column:
+    """Mean bits of surprise of the letters of a string of letters."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    half_bits = F.filter(F.split(F.translate(F.lower(s), alphabet, SURPRISES), ""), lambda c: c != "")
+    total = F.aggregate(half_bits, F.lit(0).cast("bigint"), lambda done, c: done + F.conv(c, 16, 10).cast("bigint"))
+    return total / 2.0 / F.length(s)
+
+
 def entropy_hits(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:
     run = r"[A-Za-z0-9+/_=-]"
-    begin = rf"(?<!{run})(?=[0-9]|{run}[a-z+/_=-]*+[0-9A-Z])"
+    begin = rf"(?<!{run})"
     found = hits(text, rf"{begin}{run}{{{window},}}+", F.rlike(text, F.lit(rf"{begin}{run}{{{window}}}")))
 
     def secret(x: Column) -> Column:
         s = x["found"]
         needed = F.coalesce(*(F.when(F.rlike(s, F.lit(p)), F.lit(bits)) for _, p, bits in classes))
+        one_case = F.rlike(s, F.lit(ONE_CASE))
         fine = ~F.rlike(s, F.lit("[0-9a-z]"))
         for p in allowed:
             fine = fine | F.rlike(s, F.lit(p))
+        fine = F.when(one_case, F.rlike(s, F.lit(SAMPLES)) | (surprise(s) < SURPRISE)).otherwise(fine)
         return F.when(fine, F.lit(False)).otherwise(most_entropy(s, window) >= needed)
 
     return F.filter(found, secret)

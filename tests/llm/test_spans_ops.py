@@ -35,14 +35,19 @@ def secret(text):
     return sorted(out)
 
 
+def surprise(s):
+    return sum(int(secrets.SURPRISES[ord(c) - 97], 16) for c in s.lower()) / 2 / len(s)
+
+
 def entropy_spans(text, base):
     """Candidates, windows and classes by plain counting."""
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
         s = m[0]
         n = secrets.WINDOW
-        candidate = re.search("[0-9]", s) or re.search("[a-z]", s) and re.search(".[A-Z]", s)
-        if len(s) < n or not candidate or any(re.search(p, s) for p in secrets.ALLOWED):
+        one_case = re.search("^([A-Z]?[a-z]+|[A-Z]+)$", s)
+        known = re.search(secrets.SAMPLES, s) or surprise(s) < secrets.SURPRISE if one_case else not re.search("[0-9a-z]", s) or any(re.search(p, s) for p in secrets.ALLOWED)
+        if len(s) < n or known:
             continue
         best = max(-sum(c / n * math.log2(c / n) for c in map(s[i : i + n].count, set(s[i : i + n]))) for i in range(len(s) - n + 1))
         if round(best, 9) >= next(b for _, p, b in secrets.CLASSES if re.search(p, s)) and not any(a < m.end() and m.start() < e for a, _, e in base):
@@ -98,6 +103,19 @@ def test_entropy_finds_what_patterns_miss(make):
     assert all(not secret(rows[i][1]) for i in range(len(keys)))
 
 
+def test_keys_of_one_case(make):
+    """Random letters, all small or all capital, are found; long words of some language are not."""
+    rng = random.Random(23)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(a, k=24)) for a in (low, low.upper()) for _ in range(100)]
+    words = "Donaudampfschifffahrtsgesellschaft INTERNATIONALISATION antidisestablishmentarianism electroencephalograph Rechtsschutzversicherungsgesellschaften psychophysiologically desproporcionadamente anticonstitutionnellement Quadratkilometergrenze zwischenmenschlich abcdefghijklmnopqrst qwertyuiopasdfgh yyyyyyyyyyyyyyyyyyyyyyyy zqzqzqzqzqzqzqzqzqzqzq".split()
+    rows = [(i, f"see {k}.") for i, k in enumerate([*keys, *words])]
+    got = {r.doc_id: r.spans for r in secrets.report(make(rows)).collect()}
+    assert sum(got[i] == "entropy:4:28" for i in range(len(keys))) >= 0.95 * len(keys)
+    assert [w for i, w in enumerate(words, len(keys)) if got[i]] == []
+    assert secrets.report(make([(1, "x" * 100_000 + " " + "Aq" * 40_000)])).first().spans is not None
+
+
 def test_empty_tables(make):
     assert pii.report(make([])).count() == 0 and secrets.report(make([])).count() == 0
 
@@ -162,14 +180,14 @@ def plain_terms(rows):
             beside = {}
             for start, kind, end in personal(line):
                 entity = (kind, same.get(kind, lambda x: re.sub("[^0-9]", "", x))(line[start:end]))
-                words = lambda x: re.findall(r"[^\W\d_]{3,}", x.lower())
+                words = lambda x: re.findall(r"[^\W_]{2,}", x.lower())
                 before, after = line[:start].split(" ")[-2 * pii.REACH :], line[end:].split(" ")[: 2 * pii.REACH]
                 left, right = words(" ".join(before))[-pii.REACH :], words(" ".join(after))[: pii.REACH]
                 for term in {*left, *right}:
                     together.setdefault((term, entity), set()).add((*left, "|", *right))
                     here = (start, entity, (*left, "|", *right))
                     beside[term] = min(beside.get(term, here), here)
-            for term in set(re.findall(r"[^\W\d_]{3,}", line.lower())):
+            for term in set(re.findall(r"[^\W_]{2,}", line.lower())):
                 contexts.setdefault(term, set()).add(beside[term][1:] if term in beside else line)
     out = {}
     for (term, _), c in together.items():
@@ -182,7 +200,7 @@ def plain_terms(rows):
 def plain_spans(text, terms):
     base = personal(text)
     out = [(s, k, e) for s, k, e in base]
-    for m in re.finditer(r"[^\W\d_]+", text):
+    for m in re.finditer(r"[^\W_]+", text):
         bits = terms.get(m[0].lower())
         if bits is not None and not any(a < m.end() and m.start() < e for a, _, e in base):
             out.append((m.start(), 4 if bits <= pii.REMOVE_BITS else 5, m.end()))
@@ -217,6 +235,17 @@ def test_method_spans_against_plain_counting(make, most):
     assert got == {i: listed(plain_spans(t or "", want), pii.KINDS) for i, t in rows}
 
 
+def test_numbers_and_short_names_disclose(make):
+    """An account number beside one address in four of its five lines, and a name of two letters."""
+    rows = [(i, f"{w} account 4711 {w} of boss@x.org") for i, w in enumerate(("one", "two", "three", "four"))] + [(10, "account 4711 was closed")]
+    rows += [(20 + i, f"{w} met Bo who has +1 555 010 9999") for i, w in enumerate(("red", "blue", "green"))]
+    docs = make(rows)
+    terms = {r.term: round(r.bits, 4) for r in pii.disclosing_terms(docs).collect()}
+    assert terms["4711"] == round(math.log2(5 / 4), 4) and terms["bo"] == 0
+    spans = {r.doc_id: pii_list(r.spans) for r in pii.find(docs).collect()}
+    assert "removed:8:12" in spans[10] and "removed:8:10" in spans[20]
+
+
 def test_repeating_every_document_changes_no_term(make):
     rows = method_corpus(4)
     want = {t: round(b, 9) for t, b in plain_terms(rows).items()}

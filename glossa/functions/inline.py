@@ -11,9 +11,12 @@ import bisect
 import functools
 import json
 import re
+import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +54,43 @@ def untagged(text: str) -> str:
     return _TAG.sub("", text)
 
 
+#: From so many different values on, one automaton finds the places of all in one walk over the text.
+MANY_VALUES = 8
+
+
+def all_occurrences(text: str, values: Iterable[str]) -> dict[str, list[int]]:
+    """All places where each value begins, overlapping ones too; an empty value has none."""
+    out: dict[str, list[int]] = {v: [] for v in values}
+    wanted = [v for v in out if v]
+    if len(wanted) < MANY_VALUES:
+        for v in wanted:
+            at = text.find(v)
+            while at >= 0:
+                out[v].append(at)
+                at = text.find(v, at + 1)
+        return out
+    automaton = ahocorasick.Automaton()
+    for v in wanted:
+        automaton.add_word(v, (len(v), out[v]))
+    automaton.make_automaton()
+    for end, (length, places) in automaton.iter(text):
+        places.append(end - length + 1)
+    return out
+
+
 def occurrences(text: str, value: str) -> list[int]:
     """All places where the value begins, overlapping ones too."""
-    out, at = [], text.find(value) if value else -1
-    while at >= 0:
-        out.append(at)
-        at = text.find(value, at + 1)
+    return all_occurrences(text, [value])[value]
+
+
+def apart_from_left(places: list[int], length: int, count: int | None = None) -> list[int]:
+    """Of sorted places of something of a length those that do not overlap, from the left; the first `count`."""
+    out: list[int] = []
+    for p in places:
+        if count is not None and len(out) == count:
+            break
+        if not out or p >= out[-1] + length:
+            out.append(p)
     return out
 
 
@@ -119,9 +153,9 @@ def align(original: str, tagged: str, legacy: bool = False) -> list[tuple[int, i
     one the tag is left out.
     """
     found, taken, out = tag_candidates(tagged, legacy), _Taken(), []
-    places = functools.cache(functools.partial(occurrences, original))
+    places = all_occurrences(original, {c[3] for c in found})
     for (_, _, tag, value), expected in zip(found, expected_places(tagged, [c[0] for c in found]), strict=True):
-        at = next((p for p in _outwards(places(value), expected) if taken.free(p, p + len(value))), None)
+        at = next((p for p in _outwards(places[value], expected) if taken.free(p, p + len(value))), None)
         if at is not None:
             taken.add(at, at + len(value))
             out.append((at, at + len(value), tag, value))
@@ -130,10 +164,13 @@ def align(original: str, tagged: str, legacy: bool = False) -> list[tuple[int, i
 
 def place_entities(original: str, entities: dict[str, list[str]]) -> list[tuple[int, int, str, str]]:
     """Listed values as spans: the first occurrences of each, as many as it is listed."""
+    different = {v for values in entities.values() for v in values}
+    places = all_occurrences(original, different) if len(different) >= MANY_VALUES else None
     out = []
     for tag, values in entities.items():
-        for value in dict.fromkeys(values):
-            out += [(p, p + len(value), tag, value) for p in first_occurrences(original, value, values.count(value))]
+        for value, count in Counter(values).items():
+            found = first_occurrences(original, value, count) if places is None else apart_from_left(places[value], len(value), count)
+            out += [(p, p + len(value), tag, value) for p in found]
     return out
 
 
@@ -141,10 +178,33 @@ def fold_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
+@functools.cache
+def _one_case() -> dict[int, str]:
+    """For str.translate: one character for all that are equal whatever their case.
+
+    A character goes to the small form of its capital, where both are single characters.
+    """
+    out = {}
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        upper = c.upper() if len(c.upper()) == 1 else c
+        lower = upper.lower()[0]
+        if lower != c:
+            out[code] = lower
+    return out
+
+
 def loose_matches(text: str, value: str) -> list[tuple[int, int]]:
     """Occurrences whatever the case and the accents; places hold for composed text."""
-    value = fold_marks(value)
-    return [m.span() for m in re.finditer(re.escape(value), fold_marks(text), re.IGNORECASE)] if value else []
+    return all_loose_matches(text, [value])[0]
+
+
+def all_loose_matches(text: str, values: list[str]) -> list[list[tuple[int, int]]]:
+    """loose_matches of each value; the text is folded, and walked, once."""
+    whole = fold_marks(text).translate(_one_case())
+    folded = [fold_marks(v).translate(_one_case()) for v in values]
+    places = all_occurrences(whole, folded)
+    return [[(p, p + len(v)) for p in apart_from_left(places[v], len(v))] for v in folded]
 
 
 def longest_free(spans: list[tuple]) -> list[tuple]:
@@ -191,38 +251,59 @@ def pack_lines(text: str, length: Callable[[str], int], limit: int, template: st
     """Lines joined while the prompt around them is shorter than the limit: chunks, and whether each is over it.
 
     Blank lines are skipped.  A line that overflows opens the next chunk unchecked.
-    Characters are added up; other lengths are taken of the whole prompt, since tokens do not add up.
+    Characters are added up.  Other lengths do not add up, since tokens may reach over line
+    breaks: each line is measured once, the sums say where about a chunk ends, and whole
+    prompts are measured around that place alone.  This takes it that a prompt with more
+    lines is not shorter.
     """
+    lines = [x for x in text.split("\n") if x.strip()]
     slots = template.count("{texto_clinico}")
-    around = len(template) - slots * len("{texto_clinico}")
+    chars = length is len
     whole = lambda chunk: length(template.replace("{texto_clinico}", chunk))
+    around = len(template) - slots * len("{texto_clinico}") if chars else whole("")
+    about = [0]
+    for line in lines:
+        about.append(about[-1] + (len(line) + 1 if chars else max(1, length(line + "\n"))))
     out: list[tuple[str, bool]] = []
-    held: list[str] = []
-    chars = 0
-
-    def close() -> None:
-        chunk = "\n".join(held)
-        out.append((chunk, whole(chunk) >= limit))
-
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        more = chars + len(line) + (1 if held else 0)
-        size = around + slots * more if length is len else whole("\n".join([*held, line]))
-        if size < limit:
-            held.append(line)
-            chars = more
-            continue
-        if held:
-            close()
-            held, chars = [line], len(line)
+    at = 0
+    while at < len(lines):
+        # the end of the longest chunk whose prompt is short enough; the first line is taken whatever its length
+        if chars:
+            fits = lambda end, at=at: around + slots * (about[end] - about[at] - 1) < limit
         else:
-            out.append((line, whole(line) >= limit))
-    if held:
-        close()
+            fits = functools.cache(lambda end, at=at: whole("\n".join(lines[at:end])) < limit)
+        guess = bisect.bisect_left(about, about[at] + (limit - around) / max(slots, 1)) - 1
+        end = _last_that_fits(fits, at + 1, len(lines), min(max(guess, at + 1), len(lines)))
+        chunk = "\n".join(lines[at:end])
+        out.append((chunk, not fits(end)))
+        at = end
     return out
 
 
+def _last_that_fits(fits: Callable[[int], bool], low: int, high: int, guess: int) -> int:
+    """The last end in [low, high] that fits, all before it being thought to fit; low if none does.  Steps from the guess double until the end is passed, then halve."""
+    step = 1
+    if guess == low or fits(guess):
+        good, bad = guess, high + 1
+        while good < high and good + step < bad:
+            if not fits(good + step):
+                bad = good + step
+                break
+            good, step = good + step, min(2 * step, max(1, high - good - step))
+        bad = min(bad, high + 1)
+    else:
+        good, bad = low, guess
+        while bad - step > low:
+            if fits(bad - step):
+                good = bad - step
+                break
+            bad, step = bad - step, 2 * step
+    while bad - good > 1:
+        middle = (good + bad) // 2
+        good, bad = (middle, bad) if fits(middle) else (good, middle)
+    return good
+
+
 def safe_limit(context: int, margin: float = 0.1) -> int:
     return int(context * (1 - margin))
 
@@ -296,7 +377,8 @@ def loose_spans(df: DataFrame, keys: list[str], values: dict[str, str], text: st
     kinds = list(values.items())
 
     def make(t: str, *found: str) -> list[tuple]:
-        spans = [(a, b, kind, t[a:b]) for (_, kind), v in zip(kinds, found, strict=True) for a, b in loose_matches(t, v.strip())]
+        places = all_loose_matches(t, [v.strip() for v in found])
+        spans = [(a, b, kind, t[a:b]) for (_, kind), own in zip(kinds, places, strict=True) for a, b in own]
         return _numbered(longest_free(spans))
 
     return rows_from(df, [text, *values], keys, make, SPAN_ROWS)

@@ -108,14 +108,20 @@ def groupings(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return held.withColumn("uncovered", uncovered(F.col("sys_end") - F.col("sys_start"), F.col("parts"))).drop("parts")
 
 
-def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant, by_tag: bool = True, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant, by_tag: bool | None = True, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Exact matches, then inclusions of what is left, in one pass over each document.
 
     Returns keys with tp, fp, fn a document, and the groupings with `extra` (text beside
     the gold spans that `significant`, a function of a column, accepts: one more false
-    positive).  tp and fn count gold spans, fp system spans.
+    positive).  tp and fn count gold spans, fp system spans.  by_tag None: both ways at
+    once, told by a column ignore_tags.
     """
-    docs = document_matches(gold, system, keys, ["start", "end", "text", "tag"] if by_tag else ["start", "end", "text"], by_tag)
+    on = ["start", "end", "text", "tag"]
+    if by_tag is None:
+        docs = document_matches(gold, system, keys, on, modes=[(on, True), (on[:-1], False)]).withColumn("ignore_tags", F.col("mode") == 1)
+        keys = [*keys, "ignore_tags"]
+    else:
+        docs = document_matches(gold, system, keys, on if by_tag else on[:-1], by_tag)
     # the span's own text is enough to look at what its gold spans leave of it
     piece = lambda text, x: F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
     extra = lambda h: F.coalesce(F.exists(h["uncovered"], lambda x: significant(piece(h["sys_text"], x))), F.lit(False))

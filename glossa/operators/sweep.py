@@ -171,8 +171,8 @@ def _listed(owner: np.ndarray, documents: int, columns: dict[str, pa.Array]) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
-def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: list[str], by_tag: bool = True, inclusion: bool = True, overlaps: bool = False) -> DataFrame:
-    """One row a document, from one pass over its spans (ord, start, end, tag, and text if there):
+def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: list[str], by_tag: bool = True, inclusion: bool = True, overlaps: bool = False, modes: list[tuple[list[str], bool]] | None = None) -> DataFrame:
+    """One row a document (and mode, if there are several: pairs of on and by_tag), from one pass over its spans (ord, start, end, tag, and text if there):
 
     n_gold, n_sys; n_both: spans equal in `on`, one to one; n_inside: gold spans left that
     lie within a system span left; held: those system spans, with the number of gold
@@ -188,24 +188,30 @@ def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: li
     piece = "array<struct<start:bigint,end:bigint>>"
     held_kind = ",".join([*(f"sys_{n}:{t}" for n, t in sys_.items()), "n_gold:bigint", f"uncovered:{piece}"])
     lost_kind = ",".join([*(f"{n}:{t}" for n, t in own.items()), "percent:double", f"sys_ord:{sys_['ord']}", *([f"overlaps:array<struct<sys_ord:{sys_['ord']},percent:double>>"] if overlaps else [])])
-    schema = ", ".join([*kinds(gold, keys), "n_gold long", "n_sys long", "n_both long", "n_inside long", f"held array<struct<{held_kind}>>", f"lost array<struct<{lost_kind}>>"])
+    several = modes is not None
+    modes = modes or [(on, by_tag)]
+    schema = ", ".join([*kinds(gold, keys), *(["mode int"] if several else []), "n_gold long", "n_sys long", "n_both long", "n_inside long", f"held array<struct<{held_kind}>>", f"lost array<struct<{lost_kind}>>"])
 
     def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        for mode, (on, by_tag) in enumerate(modes):
+            yield matched(table, document, mode, on, by_tag)
+
+    def matched(table: pa.Table, document: np.ndarray, mode: int, on: list[str], by_tag: bool) -> pa.Table:
         n = int(document[-1]) + 1
         side = table.column("_side").to_numpy().astype(np.int64)
         order, start, end = numbers(table, "ord", "start", "end")
         tag = codes(table.column("tag"))
         values = {"start": start, "end": end, "tag": tag}
-        matched = matched_exactly(document, side, order, [values[c] if c in values else codes(table.column(c)) for c in on])
+        equal = matched_exactly(document, side, order, [values[c] if c in values else codes(table.column(c)) for c in on])
         count = lambda rows: np.bincount(document[rows], minlength=n)
         ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         group = document * (int(tag.max(initial=0)) + 2) + tag + 1 if by_tag else document
         usable = tag >= 0 if by_tag else np.ones(len(tag), bool)
-        left = np.flatnonzero((side == 0) & ~matched)
+        left = np.flatnonzero((side == 0) & ~equal)
         inside = np.zeros(len(side), bool)
         held_rows = np.zeros(0, np.int64)
         if inclusion:
-            g, s = left[usable[left]], np.flatnonzero((side == 1) & ~matched & usable)
+            g, s = left[usable[left]], np.flatnonzero((side == 1) & ~equal & usable)
             held_rows, n_gold, uncovered, found = _included((group[s], start[s], end[s], order[s]), (group[g], start[g], end[g]))
             held_rows = s[held_rows]
             inside[g[found]] = True
@@ -227,8 +233,9 @@ def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: li
             extra["overlaps"] = _listed(i, len(lost), {"sys_ord": flat(take("ord", all_sys[j])), "percent": pa.array(percent)})
         missed = _listed(document[lost], n, {**{c: flat(take(c, lost)) for c in own}, "percent": pa.array(share), "sys_ord": flat(table.column("ord").take(sys_ord)), **extra})
         first = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]]))
-        counts = [pa.array(count(rows)) for rows in (ours, theirs, ours[matched[ours]], np.flatnonzero(inside))]
-        yield pa.table([*(table.column(k).take(pa.array(first)) for k in keys), *counts, held, missed], names=[*keys, "n_gold", "n_sys", "n_both", "n_inside", "held", "lost"])
+        counts = [pa.array(count(rows)) for rows in (ours, theirs, ours[equal[ours]], np.flatnonzero(inside))]
+        told = [pa.array([mode] * n, pa.int32())] if several else []
+        return pa.table([*(table.column(k).take(pa.array(first)) for k in keys), *told, *counts, held, missed], names=[*keys, *(["mode"] if several else []), "n_gold", "n_sys", "n_both", "n_inside", "held", "lost"])
 
     pick = lambda df: df.select(*keys, *(c for c in names if c in df.columns))
     return swept(pick(gold), pick(system), keys, work, schema)

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import sentence_marks, significant
 from glossa.operators import matching, metrics
+from glossa.operators.official import SUBTRACKS, official_counts
 from glossa.sources.writers import score_report
 
-SUBTRACKS = ("ner", "spans", "merged")
-
 
 def _per_system(gold: DataFrame, systems: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The gold spans beside each system, and both sides restricted to common documents."""
@@ -28,19 +27,7 @@ def official(gold: DataFrame, systems: DataFrame, subtrack: str, texts: DataFram
 
     subtrack: ner (category, start, end, type), spans (start, end), merged (needs texts).
     """
-    if subtrack not in SUBTRACKS:
-        raise ValueError(f"subtrack is one of {', '.join(SUBTRACKS)}")
-    g, s = _per_system(gold, systems)
-    keys = ["system", "doc_id"]
-    if subtrack == "merged":
-        own = F.struct("system", "doc_id").alias("d")
-        t = s.select("system", "doc_id").distinct().join(texts, "doc_id").select(own, "text")
-        rows = matching.merged(g.select(own, "start", "end"), s.select(own, "start", "end"), t, "d")
-        counts = rows.groupBy("d").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn"))).select("d.*", "tp", "fp", "fn")
-    else:
-        on = ["category", "start", "end", "type"] if subtrack == "ner" else ["start", "end"]
-        counts = matching.strict(g, s, on, keys).groupBy(*keys).agg(*matching.flag_counts())
-    out = metrics.with_scores(counts)
+    out = metrics.with_scores(official_counts(gold, systems, (subtrack,), texts).drop("subtrack"))
     if sentences is not None:
         out = out.join(sentences, "doc_id", "left").withColumn("leak", metrics.leak(F.col("fn"), F.col("n_sentences")))
     return out
@@ -64,20 +51,11 @@ def grid(gold: DataFrame, configs: DataFrame, fallback: DataFrame, texts: DataFr
 
     configs has system, config and span columns.  Where a configuration lacks a gold
     document, the spans of `fallback` (no system, no config) stand in; documents
-    that are not in the gold set are left out.  One plan serves all configurations.
+    that are not in the gold set are left out.  One pass over each document serves all
+    configurations and subtracks.
     """
-    runs = configs.select("system", "config").distinct()
-    docs = gold.select("doc_id").distinct()
-    own = configs.select("system", "config", "doc_id").distinct()
-    # what is asked for is every document in every run; the runs are folders, so few
-    missing = fallback.join(docs, "doc_id", "left_semi").crossJoin(runs).join(own, ["system", "config", "doc_id"], "left_anti")
-    rows = configs.join(docs, "doc_id", "left_semi").unionByName(missing.select(*configs.columns))
-    rows = rows.withColumn("system", F.struct("system", "config"))
-    scored = [official_micro(official(gold, rows, x, texts)).withColumn("subtrack", F.lit(x)) for x in subtracks]
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out.select("system.*", *(c for c in out.columns if c != "system"))
+    by = ["system", "config", "subtrack"]
+    return metrics.micro(official_counts(gold, configs, subtracks, texts, ("system", "config"), fallback), by)
 
 
 def error_report(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_tags: bool = False) -> DataFrame:
@@ -113,8 +91,10 @@ def error_report(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_t
 
 
 def both_tag_modes(gold: DataFrame, systems: DataFrame, texts: DataFrame) -> DataFrame:
-    """relaxed() with and without tags: ignore_tags tells which."""
-    return relaxed(gold, systems, texts).withColumn("ignore_tags", F.lit(False)).unionByName(relaxed(gold, systems, texts, True).withColumn("ignore_tags", F.lit(True)))
+    """relaxed() with and without tags, from one pass over each document: ignore_tags tells which."""
+    g, s = _per_system(gold, systems)
+    counts, _ = matching.two_phase(g, s, texts, significant, None, ["system", "doc_id"])
+    return metrics.with_scores(counts)
 
 
 def missed(gold: DataFrame, systems: DataFrame, ignore_tags: bool = False) -> DataFrame:
@@ -122,10 +102,7 @@ def missed(gold: DataFrame, systems: DataFrame, ignore_tags: bool = False) -> Da
     keys = ["system", "doc_id"]
     on = ["start", "end", "text"] + ([] if ignore_tags else ["tag"])
     g, s = _per_system(gold, systems)
-    left_g, left_s = matching.left_over(g, s, on, keys)
-    held = matching.inclusions(left_g, left_s, keys, not ignore_tags).select(*keys, F.col("gold_ord").alias("ord")).distinct()
-    lost = left_g.join(held, [*keys, "ord"], "left_anti")
-    return matching.best_missed(lost, s, keys, not ignore_tags)
+    return matching.lost_spans(g, s, on, not ignore_tags, keys=keys).select(*keys, "ord", "percent", "sys_ord")
 
 
 def analysed(gold: DataFrame, systems: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,22 +17,36 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.functions.text import STOP_WORDS, read_stop_words
 from glossa.operators import analysis, bio
 from glossa.plans import evaluate
 from glossa.session import tuned
 from glossa.sources import readers
+from glossa.sources.writers import quarantine
 
 FORMATS = ("xml", "brat")
 
 
-def read(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFrame]:
+def sound(spans: DataFrame, path: str, folder: str | None) -> DataFrame:
+    """Rows without an error; the number of the others is printed, and with a folder they are kept there."""
+    if folder:
+        good, bad, _, n = quarantine(spans, folder)
+    else:
+        good, bad = spans.where("error is null"), spans.where("error is not null")
+        n = bad.count()
+    if n:
+        print(f"{path}: {n} damaged rows left out" + (f", kept in {folder}" if folder else ""))
+    return good.drop("error")
+
+
+def read(spark: SparkSession, path: str, form: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Spans (system, doc_id, ord, category, type, tag, start, end, text) and texts (doc_id, text) of a folder."""
     if form == "xml":
         texts = readers.xml_documents(spark, path)
-        spans = readers.official_spans(spark, path).where("error is null").withColumn("tag", F.coalesce("type", F.lit("UNKNOWN"))).drop("text")
+        spans = sound(readers.official_spans(spark, path), path, folder).withColumn("tag", F.coalesce("type", F.lit("UNKNOWN"))).drop("text")
     else:
         texts = readers.whole_files(spark, path, "*.txt").withColumnRenamed("content", "text")
-        spans = readers.brat_spans(spark, path).where("error is null").withColumn("category", F.col("tag")).withColumn("type", F.col("tag")).drop("text")
+        spans = sound(readers.brat_spans(spark, path), path, folder).withColumn("category", F.col("tag")).withColumn("type", F.col("tag")).drop("text")
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sliced = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
     spans = spans.join(texts, "doc_id", "left").withColumn("text", F.coalesce(sliced, F.lit("")))
@@ -58,13 +72,14 @@ def scores(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "chunks":
         return chunk_scores(spark, args.gold, args.predicted)
     if args.command == "logs":
-        logs = readers.whole_files(spark, args.folder).select(F.col("doc_id").alias("run"), "content")
-        return analysis.failure_stats(readers.blocks_of(logs))
-    gold, texts = read(spark, args.gold, args.format)
+        return analysis.failure_stats(readers.log_blocks(spark, args.folder))
+    # folders may have one name: the place in the command tells them apart
+    kept = [args.quarantine and f"{args.quarantine}/{i}-{os.path.basename(os.path.normpath(x))}" for i, x in enumerate([args.gold, *args.systems])]
+    gold, texts = read(spark, args.gold, args.format, kept[0])
     gold = gold.drop("system")
-    systems = read(spark, args.systems[0], args.format)[0]
-    for path in args.systems[1:]:
-        systems = systems.unionByName(read(spark, path, args.format)[0])
+    systems = read(spark, args.systems[0], args.format, kept[1])[0]
+    for path, folder in zip(args.systems[1:], kept[2:], strict=True):
+        systems = systems.unionByName(read(spark, path, args.format, folder)[0])
     if args.command == "official":
         sentences = readers.sentence_counts(spark, args.sentences) if args.sentences else None
         by_document = evaluate.official(gold, systems, args.subtrack, texts, sentences)
@@ -78,7 +93,8 @@ def scores(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         if len(set(names)) != 2:
             raise SystemExit("two runs with different folder names are compared")
         return compared(gold, systems, texts, names)
-    by_document = evaluate.relaxed(gold, systems, texts, args.ignore_tags)
+    words = read_stop_words(args.stop_words) if args.stop_words else STOP_WORDS
+    by_document = evaluate.relaxed(gold, systems, texts, args.ignore_tags, words)
     return by_document if args.verbose else evaluate.official_micro(by_document)
 
 
@@ -93,8 +109,11 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--sentences", help="folder with a file a document, one line a sentence")
         elif name in ("relaxed", "errors"):
             p.add_argument("--ignore-tags", action="store_true")
+            if name == "relaxed":
+                p.add_argument("--stop-words", help="file with one word a line")
         p.add_argument("gold")
         p.add_argument("systems", nargs="+")
+        p.add_argument("--quarantine", help="folder for what could not be read")
         if name in ("official", "relaxed"):
             p.add_argument("-v", "--verbose", action="store_true", help="a row a document")
     p = commands.add_parser("chunks")

@@ -323,15 +323,21 @@ def parse_reply(reply: str) -> dict | None:
     return None
 
 
-def json_kind_column(reply: Column) -> Column:
-    """How a reply holds JSON: `delimiters` (a json fence), `no_delimiters` (a plain fence), `raw`, or `malformed`.
+#: JSON as its standard has it: Spark's reader also takes other quotes, comments and leading zeros unless told not to.
+_STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowNumericLeadingZeros": "false", "allowComments": "false", "allowUnquotedControlChars": "false", "allowBackslashEscapingAnyCharacter": "false", "mode": "PERMISSIVE"}
 
-    An object with a repeated name is malformed.
 
-    The parser stops after a first value; only one whole value parses both as the sole
-    item of an array and as the value of an object.
-    """
-    ok = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull() & (F.trim(x) != "")
+def is_json(text: Column) -> Column:
+    """Is the text one JSON value?  A name may be repeated within an object."""
+    # the reader stops after a first value; only one whole value parses both as the sole item of an array and as the value of an object
+    item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    value = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", _STRICT)
+    return F.coalesce((F.size(item) == 1) & value.isNotNull() & (F.trim(text) != ""), F.lit(False))
+
+
+def json_kind_column(reply: Column) -> Column:
+    """How a reply holds JSON: `delimiters` (a json fence), `no_delimiters` (a plain fence), `raw`, or `malformed`."""
+    ok = is_json
     # fixed values: the fences
     fence, plain = r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
     has_fence = F.rlike(reply, F.lit(fence))

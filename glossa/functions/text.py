@@ -49,9 +49,15 @@ def content_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Co
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
 
 
-def significant(text: Column) -> Column:
+def significant(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Does anything remain once stop words and marks are gone?"""
-    return F.size(content_tokens(text)) > 0
+    return F.size(content_tokens(text, stop_words)) > 0
+
+
+def read_stop_words(path: str) -> tuple[str, ...]:
+    """The stop words of a list with one a line; what follows a # is no part of it."""
+    with open(path, encoding="utf-8") as lines:
+        return tuple(dict.fromkeys(w for w in (x.partition("#")[0].strip() for x in lines) if w))
 
 
 def no_alphanumeric(text: Column) -> Column:

@@ -181,6 +181,18 @@ def chunk_scores(tokens: DataFrame, gold: str = "gold", pred: str = "pred") -> D
     return counts.select("type", "n_gold", "n_found", "n_correct", *(F.round(100 * x, 2).alias(n) for x, n in ((p, "precision"), (r, "recall"), (f, "f1"))))
 
 
+def overall_and_last(scores: DataFrame) -> DataFrame:
+    """One row of chunk_scores: precision, recall and f1 of all chunks, and legacy_last_type with its three.
+
+    A reader of printed reports took the line that came last, so the scores of the type that
+    sorts last, for those of all; they stand beside them for comparison with its output.
+    """
+    names = ("precision", "recall", "f1")
+    overall = [F.max(F.when(F.col("type").isNull(), F.col(c))).alias(c) for c in names]
+    last = F.max(F.when(F.col("type").isNotNull(), F.struct("type", *names)))
+    return scores.agg(*overall, last.alias("last")).select(*names, F.col("last.type").alias("legacy_last_type"), *(F.col(f"last.{c}").alias(f"legacy_{c}") for c in names))
+
+
 def aligned_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Position by position: doc_id, pos, gold, pred.  Different tokens count as agreement on O, missing ones as O."""
     g = gold.select("doc_id", "pos", F.col("token").alias("gt"), F.col("label").alias("gl"))

@@ -263,3 +263,12 @@ def grammar(tags: list[str]) -> str:
     """A grammar for replies: text and tags of the given names, opened and closed alike."""
     names = " | ".join(f'"{t}"' for t in tags)
     return f'root ::= (text | entity)*\nentity ::= "<" name ">" text "</" name ">"\nname ::= {names}\ntext ::= [^<>]+\n'
+
+
+def under_grammar(model: Callable[[list[str], str], list[str]], tags: list[str]) -> Predict:
+    """A `constrained` for annotate_batch: a model that takes prompts and a grammar, bound to the grammar of the tags."""
+    return functools.partial(_with_grammar, model, grammar(tags))
+
+
+def _with_grammar(model: Callable[[list[str], str], list[str]], rules: str, prompts: list[str]) -> list[str]:
+    return model(prompts, rules)

@@ -6,10 +6,12 @@ every system in one plan, so many systems or runs are one query.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import sentence_marks, significant
+from glossa.functions.text import STOP_WORDS, sentence_marks, significant
 from glossa.operators import matching, metrics
 from glossa.operators.official import SUBTRACKS, official_counts
 from glossa.sources.writers import score_report
@@ -39,10 +41,14 @@ def official_micro(scores: DataFrame) -> DataFrame:
     return out.join(metrics.micro_leak(scores, ["system"]), "system") if "leak" in scores.columns else out
 
 
-def relaxed(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_tags: bool = False) -> DataFrame:
-    """The two-phase evaluation a system and document: tp, fp, fn and scores."""
+def relaxed(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_tags: bool = False, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """The two-phase evaluation a system and document: tp, fp, fn and scores.
+
+    stop_words: words that say nothing beside a gold span; a longer list than the own one
+    can be read from a file (read_stop_words).
+    """
     g, s = _per_system(gold, systems)
-    counts, _ = matching.two_phase(g, s, texts, significant, not ignore_tags, ["system", "doc_id"])
+    counts, _ = matching.two_phase(g, s, texts, partial(significant, stop_words=stop_words), not ignore_tags, ["system", "doc_id"])
     return metrics.with_scores(counts)
 
 

@@ -220,3 +220,12 @@ def report_numbers(text: Column) -> Column:
     pairs = F.regexp_extract_all(text, F.lit(r"((?:\d+-\d+|0)%):\s*(\d+)"), F.lit(0))
     bins = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, ":")[0], F.trim(F.split(p, ":")[1]).cast("long"))))
     return F.struct(number("precision").alias("precision"), number("recall").alias("recall"), number("f1").alias("f1"), bins.alias("bins"))
+
+
+def margin_reports(spark: SparkSession, path: str, glob: str = "metrics_*.txt") -> DataFrame:
+    """mode, margin, system, precision, recall, f1, bins of printed reports in folders mode/margin_X_YY, in order of mode and margin."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    part = lambda i: F.regexp_extract(F.col(_PATH), r"([^/]+)/margin_([0-9]+(?:[_.][0-9]+)?)/[^/]+$", i)
+    margin = F.replace(part(2), F.lit("_"), F.lit(".")).try_cast("double")
+    out = rows.select(part(1).alias("mode"), margin.alias("margin"), F.regexp_replace(stem(F.col(_PATH)), "^metrics_", "").alias("system"), report_numbers(F.col("value")).alias("n"))
+    return out.where("margin is not null").select("mode", "margin", "system", "n.*").orderBy("mode", "margin", "system")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glossa.functions.categories import category_of
@@ -55,14 +55,39 @@ def score_report(scores: DataFrame, key: str = "doc_id", more: list[str] | None
     return scores.select(*(more or []), key, line.alias("value"))
 
 
-def metrics_report(totals: DataFrame, histogram: DataFrame, n_documents: int, by: str = "system") -> DataFrame:
-    """by, value: a system's totals (with scores) and how much of each missed span is covered (by, bin, n, share) as text."""
+def metrics_report(totals: DataFrame, histogram: DataFrame, n_documents: int, by: str = "system", documents: DataFrame | None = None, ignore_tags: bool | None = None) -> DataFrame:
+    """by, value: a system's totals (with scores) and how much of each missed span is covered (by, bin, n, share) as text.
+
+    ignore_tags: the way of matching, stated in a line of its own; documents: by, doc_id and
+    scores of each, listed at the end in their order.
+    """
     line = F.format_string("%8s: %4d (%5.1f%%)", "bin", "n", "share")
     # the bin 0% first, then by the first number
     place = F.when(F.col("bin") == "0%", F.lit(-1)).otherwise(F.split("bin", "-")[0].try_cast("int"))
-    bins = histogram.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line")))), lambda x: x["line"]), "\n").alias("bins"))
-    head = F.format_string(f"Metrics (%s), {n_documents} documents:\nPrecision: %.4f\nRecall:    %.4f\nF1-score:  %.4f\nTP: %d\nFP: %d\nFN: %d\n", F.col(by).cast("string"), "precision", "recall", "f1", "tp", "fp", "fn")
-    return totals.join(bins, by, "left").select(by, F.concat(head, F.coalesce("bins", F.lit("no missed spans")), F.lit("\n")).alias("value"))
+    listed = lambda order, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("place"), line.alias("line")))), lambda x: x["line"]), "\n")
+    bins = histogram.groupBy(by).agg(listed(place, line).alias("bins"))
+    mode = "" if ignore_tags is None else f"Mode: {'tags ignored' if ignore_tags else 'tags considered'}\n"
+    head = F.format_string(f"Metrics (%s), {n_documents} documents:\n{mode}Precision: %.4f\nRecall:    %.4f\nF1-score:  %.4f\nTP: %d\nFP: %d\nFN: %d\n", F.col(by).cast("string"), "precision", "recall", "f1", "tp", "fp", "fn")
+    out = totals.join(bins, by, "left")
+    body = F.concat(head, F.coalesce("bins", F.lit("no missed spans")), F.lit("\n"))
+    if documents is None:
+        return out.select(by, body.alias("value"))
+    own = F.format_string("%-30s P=%.3f R=%.3f F1=%.3f", F.col("doc_id").cast("string"), "precision", "recall", "f1")
+    lines = documents.groupBy(by).agg(listed(F.col("doc_id").cast("string"), own).alias("lines"))
+    return out.join(lines, by, "left").select(by, F.concat(body, F.lit("\nBy document:\n"), F.coalesce("lines", F.lit("none")), F.lit("\n")).alias("value"))
+
+
+def quarantine(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Good and damaged rows (those with an error) as two tables below path, written in one pass; and how many of each."""
+    seen = Observation()
+    split = rows.withColumn("damaged", F.col("error").isNotNull()).observe(seen, F.count_if(~F.col("damaged")).alias("good"), F.count_if("damaged").alias("bad"))
+    split.write.mode("overwrite").partitionBy("damaged").parquet(path)
+    spark, n = rows.sparkSession, seen.get
+
+    def table(damaged: bool, n: int) -> DataFrame:
+        return spark.read.schema(rows.schema).parquet(f"{path}/damaged={str(damaged).lower()}") if n else spark.createDataFrame([], rows.schema)
+
+    return table(False, n["good"]), table(True, n["bad"]), n["good"], n["bad"]
 
 
 def write_csv(df: DataFrame, path: str) -> None:

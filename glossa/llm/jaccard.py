@@ -3,17 +3,20 @@
 T-occurrence search with DivideSkip's division of the inverted lists, over a corpus:
 
 * Texts with equal sets are one node, told by 95 bits of hash and the set's size.
-* A node with n shingles needs T = ceil(0.8 n) of them in any partner.  Its L = T - 1
-  longest lists are set aside, so a partner must stand on T - L = 1 of its n - T + 1 short
-  lists at least.  (shingle, node) entries of short lists go through one shuffle, by
-  shingle.  Lists are ordered by estimated length (shingles that are frequent within
-  partitions, counted over all of them, come last) and by hash.
-* The short lists: each node's lists, less the entries whose sizes and places leave no
-  room for T, are merged with a heap; what comes out on T - L of them is a candidate, if
-  bitmaps of both sets (exact bounds on the difference) allow it.
+* A node with n shingles needs T = ceil(0.8 n) of them in any partner.  Its L = T - MEETINGS
+  longest lists are set aside, so a partner must stand on T - L = MEETINGS of its other,
+  short lists at least (on fewer only if both sets need fewer).  (shingle, node) entries of
+  short lists go through one shuffle, by shingle.  Lists are ordered by estimated length
+  (shingles that are frequent within partitions, counted over all of them, come last) and
+  by hash, the same for all nodes.
+* The short lists: in each task a node's lists, less the entries whose sizes and places leave
+  no room for T, are merged with a heap that counts on how many of them a partner stands.
+  A node's lists lie in many tasks; the counts of all of them are added, and who comes to
+  T - L is a candidate, if bitmaps of both sets (exact bounds on the difference) allow it.
 * A list of more than SHORT nodes is never expanded into pairs: the most alike nodes of it
   are linked first (a spanning forest by bitmap distance), verified, and after that only
   nodes outside the list's largest component are compared with those of other components.
+  So who meets on one long list need not meet MEETINGS times.
   Lists that are known to be hot are dealt over many tasks from the start.
 * The long lists: candidates are dealt in portions of bounded size, each with the texts of
   its nodes, once a node.  A portion's inverted lists are built, those set aside among them,
@@ -49,8 +52,12 @@ from glossa.llm.wordhash import Numbers, Words, find_words, hash_windows, mix, s
 
 SHINGLE = 5
 PERCENT = 80
+#: T - L: on so many short lists of a node its partners must stand.
+MEETINGS = 2
 #: Nodes on a list that is expanded into pairs.
 SHORT = 64
+#: Portions that get one node's text from one row: more portions share copies of it.
+COPIES = 64
 #: Shingles whose estimated frequency orders them; the rest are ordered by hash.  Broadcast: 6 MB.
 MAX_FREQUENT = 1 << 19
 #: Nodes of a long list that one task compares with as many.
@@ -172,7 +179,7 @@ def frequent_shingles(counts: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.n
     return key[order], rows["times"].to_numpy(np.int64)[order]
 
 
-def _entries(bits: int, frequent, block: int, percent: int):
+def _entries(bits: int, frequent, block: int, percent: int, meetings: int):
     """Each node's short lists: shingle, node, place in the node's order, and the part of the list if it is known to be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def _entries(bits: int, frequent, block: int, percent: int):
                     rank = np.where(known[at] == key, times[at], 0)
                 order = np.lexsort((rank, owner)) if rank.any() else np.arange(len(key))
                 place = np.arange(len(key)) - first[:-1][owner]
-                short = (place < (size - needed_alone(size, percent) + 1)[owner]) & fresh[owner]
+                short = (place < (size - needed_alone(size, percent) + meetings)[owner]) & fresh[owner]
                 key, rank, owner = key[order][short], rank[order][short], owner[short]
                 parts = 1 + rank // max(2, block // 4)
                 # dealt anew for each token: nodes of one group meet others of it on each of their hot lists
@@ -210,21 +217,26 @@ def needed_alone(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def fits(na, nb, pa_, pb, percent: int = PERCENT):
-    """May sets of these sizes, na <= nb, that meet at these places of their orders reach the overlap?"""
+def fits(na, nb, pa_, pb, percent: int = PERCENT, meetings: int = 1):
+    """May sets of these sizes, na <= nb, that meet at these places of their orders, at most for the last of `meetings` times, reach the overlap?"""
     need = needed(na, nb, percent)
-    return (100 * na >= percent * nb) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
+    return (100 * na >= percent * nb) & (meetings + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
+
+
+def heap_counted(lists: list[list[int]]) -> list[tuple[int, int]]:
+    """What stands on the ascending lists, in ascending order, and on how many of them."""
+    if len(lists) == 1:
+        return [(x, 1) for x in lists[0]]
+    return [(x, sum(1 for _ in same)) for x, same in groupby(heapq.merge(*lists))]
 
 
 def heap_merged(lists: list[list[int]], least: int = 1) -> list[int]:
     """What stands on `least` of the ascending lists or more."""
-    if len(lists) == 1:
-        return lists[0] if least == 1 else []
-    return [x for x, same in groupby(heapq.merge(*lists)) if least == 1 or sum(1 for _ in same) >= least]
+    return [x for x, k in heap_counted(lists) if k >= least]
 
 
-def _meetings(short: int, block: int, percent: int):
-    """Pairs of nodes on short lists (token is null: a, na, b, nb) and the nodes of long ones (token, a, na, block)."""
+def _meetings(short: int, block: int, percent: int, meetings: int):
+    """Pairs of nodes on short lists (token is null: a, na, b, nb, and in `block` on how many of this bucket's lists) and the nodes of long ones (token, a, na, block)."""
 
     def run(bucket: int, key: np.ndarray, sig: np.ndarray, n: np.ndarray, place: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((n, sig, part, key))
@@ -244,7 +256,7 @@ def _meetings(short: int, block: int, percent: int):
                 base = lists[at : at + max(1, (1 << 20) // len(i)), None]
                 x, y = (base + i).ravel(), (base + j).ravel()
                 x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
-                ok = fits(size[x], size[y], place[x], place[y], percent)
+                ok = fits(size[x], size[y], place[x], place[y], percent, meetings)
                 found.append(np.stack([np.repeat(base[:, 0], len(i))[ok], x[ok], y[ok]]))
         at, x, y = np.concatenate(found, axis=1)
         if len(x):
@@ -253,17 +265,18 @@ def _meetings(short: int, block: int, percent: int):
             x, y = number.ravel()[x], number.ravel()[y]
             order = np.lexsort((y, at, x))
             at, x, y = at[order], x[order], y[order]
-            a, b = [], []
+            a, b, times = [], [], []
             query = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             cuts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (at[1:] != at[:-1])]))
             cuts, others = np.append(cuts, len(x)).tolist(), y.tolist()
             own = np.append(np.searchsorted(cuts, query), len(cuts) - 1).tolist()
             for q, s, e in zip(x[query].tolist(), own[:-1], own[1:], strict=True):
-                met = heap_merged([others[cuts[i] : cuts[i + 1]] for i in range(s, e)])
+                met = heap_counted([others[cuts[i] : cuts[i + 1]] for i in range(s, e)])
                 a += [q] * len(met)
-                b += met
+                b += [m for m, _ in met]
+                times += [k for _, k in met]
             a, b = one[a], one[b]
-            yield _meeting(pa.nulls(len(a), pa.int64()), sig[a], n[a], sig[b], n[b], np.zeros(len(a), np.int64))
+            yield _meeting(pa.nulls(len(a), pa.int64()), sig[a], n[a], sig[b], n[b], np.array(times, np.int64))
         for s, k in zip(start[long_].tolist(), length[long_].tolist(), strict=True):
             at = np.arange(s, s + k)
             at = at[np.argsort(mix(sig[at] ^ key[at]))]
@@ -341,16 +354,22 @@ def _size(n: str) -> Column:
     return F.col(n).bitwiseAND(F.lit(SIZE).cast("long"))
 
 
-def _alike(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes that met (a, na, b, nb) whose bitmaps allow the overlap, each once, with the nodes' numbers."""
+def _needed(na: Column, nb: Column, percent: int) -> Column:
+    """needed() of two columns."""
+    total = (na + nb) * percent + F.lit(99 + percent)
+    return ((total - F.pmod(total, F.lit(100 + percent))) / F.lit(100 + percent)).cast("long")
+
+
+def _alike(met: DataFrame, nodes: DataFrame, percent: int, meetings: int) -> DataFrame:
+    """The pairs of nodes (a, na, b, nb) that met often enough and whose bitmaps allow the overlap, each once, with the nodes' numbers."""
     x = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), *(F.col(m).alias("a" + m) for m in _MARKS))
     y = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), *(F.col(m).alias("b" + m) for m in _MARKS))
     differ = F.bit_count(F.col("am0").bitwiseXOR(F.col("bm0")))
     for m in _MARKS[1:]:
         differ = differ + F.bit_count(F.col("a" + m).bitwiseXOR(F.col("b" + m)))
-    total = (_size("na") + _size("nb")) * percent
-    need = (total + F.lit(99 + percent) - F.pmod(total + F.lit(99 + percent), F.lit(100 + percent))) / F.lit(100 + percent)
-    return met.distinct().join(x, ["a", "na"]).join(y, ["b", "nb"]).where(differ <= _size("na") + _size("nb") - 2 * need).select(*_PAIR_NAMES)
+    need = _needed(_size("na"), _size("nb"), percent)
+    often = met.groupBy("a", "na", "b", "nb").agg(F.sum("times").alias("times")).where(F.col("times") >= F.least(F.lit(meetings).cast("long"), need)).drop("times")
+    return often.join(x, ["a", "na"]).join(y, ["b", "nb"]).where(differ <= _size("na") + _size("nb") - 2 * need).select(*_PAIR_NAMES)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -436,15 +455,21 @@ def _links(texts: DataFrame, pairs: DataFrame, percent: int, portion: int = PORT
         return pairs.select(F.col("va").alias("a"), F.col("vb").alias("b"))
     # pairs of one node stand together, as far as they make up one portion
     load = pairs.groupBy("va").agg((F.lit(1) + F.floor(F.sum(bytes_) / portion)).cast("long").alias("parts"))
+    load = load.where("parts > 1")  # of some nodes alone
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // portion) + 1)
-    block = F.pmod(F.xxhash64("va", F.pmod(F.xxhash64("vb"), F.col("parts"))), F.lit(many))
-    pairs = written(pairs.join(load, "va").select(*_PAIR_NAMES, block.alias("block")), "portions")
+    block = F.pmod(F.xxhash64("va", F.pmod(F.xxhash64("vb"), F.coalesce("parts", F.lit(1).cast("long")))), F.lit(many))
+    pairs = written(join_skewed(pairs, load, ["va"], "left").select(*_PAIR_NAMES, block.alias("block")), "portions")
     needed_ = pairs.select(F.col("block").alias("portion"), F.col("a").alias("sig"), F.col("na").alias("n"), F.col("va").alias("v")).union(pairs.select("block", "b", "nb", "vb")).distinct()
+    needed_ = written(needed_, "needed")
+    # a node that many portions need brings several copies of its text, so none of them meets more than COPIES rows
+    copies = needed_.groupBy("sig", "n").agg(F.floor(F.count(F.lit(1)) / COPIES).alias("more")).where("more > 0")
+    needed_ = join_skewed(needed_, copies, ["sig", "n"], "left").withColumn("copy", F.pmod(F.xxhash64("portion"), F.coalesce("more", F.lit(0)) + 1)).drop("more")
     bitmap = spark.sparkContext.broadcast(bitmap_of(needed_.select("sig").distinct(), "sig"))
     found = texts.mapInArrow(_texts_of(bitmap), "sig long, n long, text string")
     # equal nodes have equal sets: any copy will do
     found = found.groupBy("sig", "n").agg(F.first("text").alias("text"))
-    found = needed_.join(found, ["sig", "n"]).select("portion", "v", "text")
+    found = found.join(copies, ["sig", "n"], "left").select("sig", "n", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("more", F.lit(0).cast("long")))).alias("copy"))
+    found = needed_.join(found, ["sig", "n", "copy"]).select("portion", "v", "text")
     links = pairs.select("block", "va", "vb").groupBy("block").cogroup(found.groupBy("portion")).applyInArrow(_verify(percent), "a long, b long")
     return written(links, "verified")
 
@@ -461,7 +486,7 @@ def _scattered(marked: DataFrame, block: int) -> DataFrame:
     return left.union(rows.select("*", F.lit(1).alias("side"), each[0].alias("p"), place[1].alias("q")))
 
 
-def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK, meetings: int = MEETINGS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least id that links lead to), sig and n (its node), component (of nodes)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -474,9 +499,9 @@ def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int
     nodes = members.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"), *(F.max(m).alias(m) for m in _MARKS))
     nodes = written(nodes.withColumn("v", F.monotonically_increasing_id()), "distinct")  # a number for each node, once written
 
-    entries = texts.mapInArrow(_entries(bits, frequent, block, percent), schema(4))
-    met = written(dealt(entries, bits).mapInArrow(gathered((np.uint64, np.int64, np.uint32, np.uint64), _meetings(short, block, percent)), _MEETING), "met")
-    pairs = _alike(met.where("token is null").select("a", "na", "b", "nb"), nodes, percent)
+    entries = texts.mapInArrow(_entries(bits, frequent, block, percent, meetings), schema(4))
+    met = written(dealt(entries, bits).mapInArrow(gathered((np.uint64, np.int64, np.uint32, np.uint64), _meetings(short, block, percent, meetings)), _MEETING), "met")
+    pairs = _alike(met.where("token is null").select("a", "na", "b", "nb", F.col("block").alias("times")), nodes, percent, meetings)
     long_ = met.where("token is not null").select("token", "a", F.col("na").alias("n"), "block")
     hot = bool(long_.limit(1).count())
     if hot:
@@ -487,7 +512,7 @@ def join(docs: DataFrame, percent: int = PERCENT, short: int = SHORT, block: int
     labels = components(links)
     if hot:
         labels = written(labels, "labels")
-        marked = marked.join(labels.select(F.col("vertex").alias("v"), "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+        marked = join_skewed(marked, labels.select(F.col("vertex").alias("v"), "label"), ["v"], "left").withColumn("label", F.coalesce("label", "v"))
         rest = _scattered(marked, block).groupBy("token", "p", "q").applyInArrow(_across(percent), _PAIR)
         rest = written(_ordered(rest).join(alike, list(_PAIR_NAMES), "left_anti"), "rest")
         if rest.limit(1).count():

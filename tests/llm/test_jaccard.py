@@ -64,6 +64,58 @@ def test_components_of_texts(make, seed, short, block):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("meetings", [1, 2, 3, 5])
+@pytest.mark.parametrize("short, block", [(64, 4096), (3, 5)])
+def test_partners_stand_on_several_short_lists(make, meetings, short, block):
+    """Whatever T - L is, no link is lost: also of sets with fewer shingles than that, and of those that meet on a long list."""
+    rows = corpus(10 + meetings, groups=7)
+    got = jaccard.join(make(rows), short=short, block=block, meetings=meetings).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_more_meetings_leave_fewer_candidates(spark, make):
+    """Texts that share a passage of six words meet on one or two short lists: with three meetings they are no candidates."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(6)]
+    texts = [" ".join([*(word() for _ in range(30)), *passage, *(word() for _ in range(30))]) for _ in range(12)]
+    seen = []
+    real = jaccard._ordered
+    try:
+        jaccard._ordered = lambda pairs: seen.append(pairs.count()) or real(pairs)
+        for meetings in (1, 3):
+            assert jaccard.join(make(list(enumerate(texts))), meetings=meetings).where("component_id <> doc_id").count() == 0
+    finally:
+        jaccard._ordered = real
+    assert seen[-1] <= seen[0]
+
+
+def test_heap_counts():
+    rng = random.Random(9)
+    for _ in range(100):
+        lists = [sorted(rng.sample(range(30), rng.randrange(1, 20))) for _ in range(rng.randrange(1, 6))]
+        assert jaccard.heap_counted(lists) == [(x, sum(x in m for m in lists)) for x in sorted({x for m in lists for x in m})]
+
+
+@pytest.mark.parametrize("copies", [1, 64])
+def test_hub_texts_are_copied(make, monkeypatch, copies):
+    """A text that many portions need comes in several copies; a portion holds a few bytes here."""
+    monkeypatch.setattr(jaccard, "COPIES", copies)
+    monkeypatch.setattr(jaccard, "PORTION", 200)
+    real = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda texts, pairs, percent: real(texts, pairs, percent, 200))
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows.append((99, " ".join(base)))
+    got = jaccard.join(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
 def test_keep_one(make):
     rows = corpus(4, groups=4)
     docs = make(rows, ["sig"])

@@ -52,6 +52,9 @@ WORDS_A_LINE = 2
 #: A hot chunk with a longer text is not told to all tasks.
 HOT_BYTES = 4096
 
+_SENTENCE_END = np.zeros(256, bool)
+_SENTENCE_END[list(b".!?")] = True
+
 REPORT = "doc_id long, n_words long, n_chunks long, n_removed_words long, n_removed_chunks long, text_sha256 string"
 
 
@@ -75,12 +78,11 @@ def cut(w: Words) -> Chunks:
     if not n:
         e = np.zeros(0, np.int64)
         return Chunks(np.zeros(1, np.int64), e, e.astype(np.uint64), e, e.astype(bool), np.zeros(1, np.int64), e.astype(bool))
-    broken = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(w.data == 10, out=broken[1:])
-    last = np.zeros(n, bool)  # the last word of a physical line
-    last[:-1] = broken[w.start[1:]] > broken[w.end[:-1]]
+    last = np.zeros(n, bool)  # the last word of a physical line: the one before a line break
+    before = np.searchsorted(w.start, np.flatnonzero(w.data == 10)) - 1
+    last[before[before >= 0]] = True
     last[w.first[1:][np.diff(w.first) > 0] - 1] = True
-    ends = np.isin(w.data[w.end - 1], np.frombuffer(b".!?", np.uint8)) | (w.hash % np.uint64(WORDS_A_LINE) == 0) | last
+    ends = _SENTENCE_END[w.data[w.end - 1]] | (w.hash % np.uint64(WORDS_A_LINE) == 0) | last
     physical_end = np.flatnonzero(last) + 1
     physical_start = np.concatenate([[0], physical_end[:-1]])
     # a physical line that nothing cuts is cut after its first word

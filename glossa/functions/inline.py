@@ -422,6 +422,18 @@ def legacy_bio(text: str, labels: tuple[str, ...] = ("PER", "LOC", "ORG", "MISC"
     return out
 
 
+def tag_counts_of(text: Column, pattern: int = 1) -> tuple[Column, Column]:
+    """Numbers of well-formed tags, and of runs of `<` outside of them, by built-in functions alone."""
+    tags = "(?s)" + COMPLIANT[pattern - 1].pattern
+    # a well-formed tag follows no `<` and ends with `>`: a blank in its place joins no runs
+    return F.regexp_count(text, F.lit(tags)).cast("long"), F.regexp_count(F.regexp_replace(text, tags, " "), F.lit(_OPENINGS.pattern)).cast("long")
+
+
+def without_tags(text: Column) -> Column:
+    """untagged() of a column."""
+    return F.regexp_replace(text, _TAG.pattern, "")
+
+
 def compliance_counts(df: DataFrame, keys: list[str], text: str = "text", pattern: int = 1) -> DataFrame:
     """keys, correct, wrong, contexts a document."""
     return rows_from(df, [text], keys, lambda t: [(n, len(w), [c for _, c in w]) for n, w in [compliance(t, pattern)]], "correct long, wrong long, contexts array<string>")

@@ -386,7 +386,8 @@ def inline_bio(spark, sf_dir):
 @query()
 def html_tag_quality(spark, sf_dir):
     """Well-formed upper-case tags and stray brackets of pages (needs back-references)."""
-    rows = inline.compliance_counts(table(spark, sf_dir, "pages"), ["page_id"], "html", 2)
+    correct, wrong = inline.tag_counts_of(F.coalesce("html", F.lit("")), 2)
+    rows = table(spark, sf_dir, "pages").select("page_id", correct.alias("correct"), wrong.alias("wrong"))
     return rows.select("page_id", "correct", "wrong", F.round(analysis.tag_quality(F.col("correct"), F.col("wrong")), 6).alias("quality"))
 
 

@@ -169,8 +169,9 @@ SELECT *, round(CASE WHEN correct + wrong = 0 THEN 1 ELSE correct / (correct + w
 def paragraph_tag_quality(spark, sf_dir):
     """Paragraphs as the only well-formed tags of whole pages."""
     html = F.replace(F.replace("html", F.lit("<p>"), F.lit("<P>")), F.lit("</p>"), F.lit("</P>"))
-    rows = inline.compliance_counts(table(spark, sf_dir, "pages").withColumn("html", html), ["page_id"], "html", 2)
-    return rows.select("page_id", "correct", "wrong", F.round(analysis.tag_quality(F.col("correct"), F.col("wrong")), 6).alias("quality"))
+    correct, wrong = inline.tag_counts_of(F.coalesce(html, F.lit("")), 2)
+    rows = table(spark, sf_dir, "pages").select("page_id", correct.alias("correct"), wrong.alias("wrong"))
+    return rows.select("*", F.round(analysis.tag_quality(F.col("correct"), F.col("wrong")), 6).alias("quality"))
 
 
 @query(r"""WITH p AS (SELECT page_id, unnest(string_split(html, '<')) AS piece, generate_subscripts(string_split(html, '<'), 1) AS i FROM pages),
@@ -184,8 +185,8 @@ def stray_brackets(spark, sf_dir):
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain, CAST(len(regexp_extract_all(html, '<[^>]*>')) AS INTEGER) AS n_tags FROM pages", spans=False)
 def pages_untagged(spark, sf_dir):
-    make = lambda html: [(inline.untagged(html), len(inline._TAG.findall(html)))]
-    return inline.rows_from(table(spark, sf_dir, "pages"), ["html"], ["page_id"], make, "plain string, n_tags int")
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", inline.without_tags(html).alias("plain"), F.regexp_count(html, F.lit(inline._TAG.pattern)).alias("n_tags"))
 
 
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents", spans=False)

@@ -6,6 +6,8 @@ import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from glossa.functions import inline
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -119,3 +121,17 @@ def test_packing_by_tokens():
         got = inline.pack_lines(text, length, limit, template)
         assert sum(read) < 8 * (len(text) + len(got) * len(template))
         assert got == plain_pack(text, length, limit, template)
+
+
+@pytest.mark.parametrize("pattern", [1, 2, 3, 4])
+def test_tag_counts_by_built_in_functions(spark, pattern):
+    """The same numbers as the walk over matches, on random runs of brackets and tags."""
+    rng = random.Random(pattern)
+    parts = ["<", "<<<A>>>", "<<</A>>>", "<A>", "</A>", "<*A>", "<*/A>", "<*A*>", "<*/A*>", "<B_C>", "</B_C>", "x", "\n", " y", ">", "<<", "<b>"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 25))) for _ in range(500)] + ["<A>" + "x" * 50_000 + "</A><" * 3, ""]
+    correct, wrong = inline.tag_counts_of(F.col("t"), pattern)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", correct.alias("c"), wrong.alias("w"), inline.without_tags(F.col("t")).alias("plain"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        n, bad = inline.compliance(texts[r.i], pattern)
+        assert (r.c, r.w) == (n, len(bad)) and r.plain == inline.untagged(texts[r.i])

@@ -17,10 +17,12 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm.scatter import bitmap_of, maybe_in
 from glossa.llm.shared import shared_folder, table, written
 from glossa.llm.skew import join_skewed
 
@@ -123,6 +125,24 @@ def _encode(path: str, version: str):
     return run
 
 
+def _misses(rows: DataFrame, digests: DataFrame, stored: DataFrame) -> DataFrame:
+    """digest and text of the texts that the cache lacks.
+
+    Digests alone, each once, are held against the cache.  Texts whose digest may be lacking,
+    told by a bitmap of bounded size, are sent once a batch; those of hits stay where they are.
+    """
+    lacking = written(digests.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti").withColumn("key", F.xxhash64("digest")), "lacking")
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(lacking.select("key"), "key"))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(bitmap.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    found = rows.select("digest", "text", F.xxhash64("digest").alias("key")).mapInArrow(maybe, "digest binary, text string, key long")
+    found = found.select("digest", "text").mapInArrow(_distinct_in_batch, "digest binary, text string")
+    return found.join(lacking.select("digest"), "digest", "left_semi")
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document; what was encoded is appended to the Parquet table `cache`."""
     spark, version = docs.sparkSession, version_of(path)
@@ -130,14 +150,11 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-    misses = rows.select("digest", "text")
-    if stored.limit(1).count():
-        misses = misses.join(stored.select("digest"), "digest", "left_anti")
-    misses = misses.mapInArrow(_distinct_in_batch, "digest binary, text string")
+    digests = written(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    misses = _misses(rows, digests, stored) if stored.limit(1).count() else rows.select("digest", "text").mapInArrow(_distinct_in_batch, "digest binary, text string")
     misses.repartition("digest").mapInArrow(_encode(path, version), CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # a text that many documents share does not make one task's work
-    digests = written(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     return join_skewed(digests, counts, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

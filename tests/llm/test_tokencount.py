@@ -49,3 +49,19 @@ def test_cache(spark, make, tmp_path):
     other = public_tokenizers.path("word_bpe_49k.json")
     tokencount.count_tokens(make([(1, "new")]), other, cache).collect()
     assert spark.read.parquet(cache).count() == 6  # another tokenizer has its own entries
+
+
+def test_hits_stay_where_they_are(spark, make, tmp_path):
+    """With a full cache and a hot text among the hits and one among the misses, only misses are encoded, each once."""
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    known = [(i, f"known text {i % 5}") for i in range(60)]
+    tokencount.count_tokens(make(known), path, cache).collect()
+    before = spark.read.parquet(cache).count()
+    rows = [*known, *((100 + i, "a hot miss") for i in range(50)), (200, "one more"), (None, None), (None, "")]
+    out = tokencount.count_tokens(make(rows, ["key", "digest"]), path, cache)
+    want = library_counts(path, [t or "" for _, t in rows])
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out.collect()) == sorted((str(i), n) for (i, _), n in zip(rows, want, strict=True))
+    added = spark.read.parquet(cache)
+    assert before == 5 and added.count() == 8 == added.select("digest").distinct().count()
+    tokencount.count_tokens(make(rows), path, cache).collect()
+    assert spark.read.parquet(cache).count() == 8

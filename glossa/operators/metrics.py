@@ -92,7 +92,6 @@ def overlap_histogram(rows: DataFrame) -> DataFrame:
 def tag_counts(spans: DataFrame) -> DataFrame:
     """Counts by category and type, by each, and of all, in one pass; `level` is the grouping id."""
     spans = spans.select("category", F.coalesce("type", F.lit("SIN_TIPO")).alias("type"))
-    spans.createOrReplaceTempView("_tag_counts")
-    rows = spans.sparkSession.sql("SELECT category, type, grouping_id(category, type) AS level, count(*) AS n FROM _tag_counts GROUP BY GROUPING SETS ((category, type), (category), (type), ())")
+    rows = spans.sparkSession.sql("SELECT category, type, grouping_id(category, type) AS level, count(*) AS n FROM {spans} GROUP BY GROUPING SETS ((category, type), (category), (type), ())", spans=spans)
     total = F.max(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())  # one row a label
     return rows.select("category", "type", "level", "n", ratio(100.0 * F.col("n"), total).alias("percent"))

@@ -417,8 +417,7 @@ _BLOCKS = "SELECT 'm' || (user_id % 4) AS model, 'prompt' || (event_id % 6) AS p
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return spark.sql(_BLOCKS.replace("FROM events", "FROM _events"))
+    return spark.sql(_BLOCKS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 @query(f"""WITH b AS ({_BLOCKS}) SELECT model, prompt, count(*) AS total, count(*) FILTER (WHERE has_error) AS failed, {", ".join(f"count(*) FILTER (WHERE has_error AND error_kind = '{k}') AS {k}" for k in ("no_delimiters", "delimiters", "malformed"))},
@@ -448,8 +447,8 @@ _MARKS = "SELECT CAST(user_id AS VARCHAR) AS run, event_type AS name, ts, event_
 @query(f"""WITH m AS (SELECT *, lead(ts) OVER (PARTITION BY run ORDER BY line_no) AS nx, row_number() OVER (PARTITION BY run, name ORDER BY line_no) AS k FROM ({_MARKS})),
 s AS (SELECT run, name, (epoch_us(nx) - epoch_us(ts)) / 1000000.0e0 / 235 AS seconds FROM m WHERE k = 1) SELECT run, name, round(CASE WHEN seconds > 0 THEN seconds END, 6) AS seconds FROM s""", spans=False)
 def period_seconds(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return analysis.periods(spark.sql(_MARKS.replace("VARCHAR", "STRING").replace("FROM events", "FROM _events"))).withColumn("seconds", F.round("seconds", 6))
+    marks = spark.sql(_MARKS.replace("VARCHAR", "STRING").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return analysis.periods(marks).withColumn("seconds", F.round("seconds", 6))
 
 
 @query("SELECT CAST(quality AS VARCHAR) AS gold_tag, CAST(toxic AS VARCHAR) AS pred_tag, count(*) AS n FROM labels GROUP BY ALL", spans=False)

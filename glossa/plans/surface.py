@@ -245,3 +245,34 @@ def named_spans(spark, sf_dir):
     reply = F.lit("NOMBRE_PACIENTE: None\nAPELLIDOS_PACIENTE: 12\nMEDICO: Dr. the.")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace(reply, "None", "").alias("reply"))
     return name_spans(docs, ["doc_id"])
+
+
+@query(r"""WITH f AS (SELECT doc_id, translate(text, '<>', '()') AS text FROM documents),
+p AS (SELECT doc_id, unnest(string_split(text, 'the')) AS piece, generate_subscripts(string_split(text, 'the'), 1) AS i, len(string_split(text, 'the')) AS z FROM f),
+s AS (SELECT *, sum(length(piece) + 3) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p)
+SELECT doc_id, CAST(i AS INTEGER) AS ord, CAST(e - 3 AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", 'THE' AS tag, 'the' AS text FROM s WHERE i < z""", spans=False)
+def tagged_spans(spark, sf_dir):
+    """Inline tags of stored replies placed in the whole original texts: each at its own place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "<>", "()").alias("text"))
+    none = F.create_map().cast("map<string,array<string>>").alias("entities")
+    replies = docs.select(F.lit("sys").alias("system"), "doc_id", F.replace("text", F.lit("the"), F.lit("<THE>the</THE>")).alias("tagged_text"), none)
+    return reply_spans(replies, docs).where("mode = 'tagged'").select("doc_id", "ord", "start", "end", "tag", "text")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN false ELSE json_valid(props) END AS parsed, CASE WHEN event_id % 4 < 3 AND json_valid(props) THEN CAST(len(json_keys(props)) AS INTEGER) END AS n_names FROM events""", spans=False)
+def salvaged_replies(spark, sf_dir):
+    """Objects of replies: as they are, amid other text, behind a fence, and cut off."""
+    props = F.col("props")
+    reply = F.when(F.col("event_id") % 4 == 0, props).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here: "), props, F.lit(" Bye."))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).otherwise(F.substring(props, 2, 1 << 20))
+    make = lambda text: [(found is not None, None if found is None else len(found)) for found in [inline.parse_reply(text)]]
+    return inline.rows_from(table(spark, sf_dir, "events").select("event_id", reply.alias("reply")), ["reply"], ["event_id"], make, "parsed boolean, n_names int")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS stamp, upper(event_type) AS level, 'user ' || user_id AS message FROM events", spans=False)
+def log_stamps(spark, sf_dir):
+    """Events written as log lines, and read back."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
+    line = F.concat(stamp, F.lit(" - "), F.upper("event_type"), F.lit(" - user "), F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line")).where(readers.is_log_line(F.col("line")))
+    read = rows.select("event_id", *readers.log_fields(F.col("line")))
+    return read.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("stamp"), "level", "message")

@@ -176,12 +176,21 @@ STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}"
 BLOCK = STAMP + r" - INFO - Procesando archivo:"
 
 
+def is_log_line(line: Column) -> Column:
+    return F.rlike(line, F.lit(f"^{STAMP} - "))
+
+
+def log_fields(line: Column) -> list[Column]:
+    """ts, level and message of a log line; milliseconds follow a comma."""
+    part = lambda i: F.regexp_extract(line, rf"^({STAMP}) - (\w+) - (.*)$", i)
+    return [F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), part(2).alias("level"), part(3).alias("message")]
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """run, line_no, ts, level, message of logs of any size."""
-    lines = numbered(file_lines(spark, path).withColumn("line", bare(F.col("line"))))
-    part = lambda i: F.regexp_extract("line", rf"^({STAMP}) - (\w+) - (.*)$", i)
-    rows = lines.where(F.rlike("line", F.lit(f"^{STAMP} - ")))
-    return rows.select(stem(F.col("path")).alias("run"), "line_no", F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), part(2).alias("level"), part(3).alias("message"))
+    line = F.col("line")
+    rows = numbered(file_lines(spark, path).withColumn("line", bare(line))).where(is_log_line(line))
+    return rows.select(stem(F.col("path")).alias("run"), "line_no", *log_fields(line))
 
 
 #: The names of a block without a prompt's folder, and without a file.

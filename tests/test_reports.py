@@ -89,3 +89,20 @@ def test_a_model_under_a_grammar(spark, tmp_path):
     free = lambda prompts: ["{}"] * len(prompts)
     annotate.annotate_batch(docs, str(tmp_path / "done"), free, "m", "prompt2", ["doc_id"], annotate.Settings(), constrained=model, wait=0)
     assert spark.read.parquet(str(tmp_path / "done")).first().tagged_text == 'name ::= "A" | "B"'
+
+
+def test_functions_for_sql(spark):
+    from glossa.functions import tables
+
+    assert {"reply_values", "span_elements", "error_text", "token_count"} <= set(tables.register(spark))
+    one = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    reply = '''x {"entidades": {"A": ["Ana", "Gil"], "B": "Rex"}} y'''
+    assert one(f"select * from reply_values('{reply}') order by value") == [("A", "Ana"), ("A", "Gil"), ("B", "Rex")] and one("select * from reply_values('no')") == []
+    xml = '<M><TEXT>Ana Gil</TEXT><TAGS><NAME start="5" end="8" TYPE="X"/></TAGS></M>'
+    assert one(f"select * from span_elements('{xml}', 1)") == [(1, "NAME", "X", 4, 7, "Gil")] and one("select * from span_elements('<M>', 0)") == []
+    for t in ("  ¡José, (34)! ", "ÑÜ\u00a0x", "ſß"):
+        df = spark.createDataFrame([(t,), (None,)], "t string")
+        df.createOrReplaceTempView("error_texts")
+        assert one("select error_text(t) from error_texts") == [tuple(r) for r in df.select(text.error_text(F.col("t"))).collect()]
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    assert one(f"select token_count('hello world', '{path}'), token_count(null, '{path}')") == [(annotate.token_length(path)("hello world"), None)]

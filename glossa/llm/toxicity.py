@@ -2,7 +2,7 @@
 
 Folding undoes disguises: small letters without accents, look-alikes of other scripts and
 digits or signs that stand for letters become the letter that they look like; i, l and 1
-are one letter.  What is no letter or digit then parts words.
+are one letter, and so is ! or | between two others.  What is no letter or digit then parts words.
 
 Terms are beginnings of folded words (so "idiot" finds "idiots"), learned with their
 weights from labels: for each beginning the different contexts (word before, word, word
@@ -95,8 +95,14 @@ def folding() -> dict[int, str | None]:
 _BLANKS = re.compile(" +")
 
 
+#: Signs that stand for a letter only between two.
+_INNER = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
+
+
 def fold(text: str) -> str:
     """The folded text; words are what blanks part."""
+    if "!" in text or "|" in text:
+        text = _INNER.sub("i", text)
     return text.translate(folding())
 
 

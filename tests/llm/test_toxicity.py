@@ -59,6 +59,7 @@ def by_hand(lexicon, text):
 def test_fold():
     assert toxicity.fold("1D10T") == toxicity.fold("idiot") == toxicity.fold("іdіоt") == toxicity.fold("Ìdíöt") == toxicity.fold("i​diot") == toxicity.fold("ｉｄｉｏｔ")
     assert toxicity.fold("$tup1d") == toxicity.fold("stupid") and toxicity.fold("a-b,c") == "a b c"
+    assert toxicity.fold("id!ot|c") == toxicity.fold("idiotic") and toxicity.fold("THE!! A | B!") == toxicity.fold("THE   A   B ")
     assert toxicity.fold("") == "" and toxicity.fold("힣") != " "
 
 

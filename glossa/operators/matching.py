@@ -122,13 +122,21 @@ def two_phase(gold: DataFrame, system: DataFrame, texts: DataFrame, significant,
         keys = [*keys, "ignore_tags"]
     else:
         docs = document_matches(gold, system, keys, on if by_tag else on[:-1], by_tag)
-    # the span's own text is enough to look at what its gold spans leave of it
-    piece = lambda text, x: F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
-    extra = lambda h: F.coalesce(F.exists(h["uncovered"], lambda x: significant(piece(h["sys_text"], x))), F.lit(False))
-    n_held, n_extra = F.size("held"), F.size(F.filter("held", extra))
-    counts = docs.select(*keys, (F.col("n_both") + F.col("n_inside")).alias("tp"), (F.col("n_sys") - F.col("n_both") - n_held + n_extra).alias("fp"), (F.col("n_gold") - F.col("n_both") - F.col("n_inside")).alias("fn"))
     held = docs.select(*keys, F.explode("held").alias("h"))
-    return counts, held.select(*keys, *(F.col(f"h.{c}") for c in ("sys_ord", "sys_start", "sys_end", "sys_tag", "n_gold", "uncovered")), extra(F.col("h")).alias("extra"))
+    extra = _extra(F.col("h"), significant).alias("extra")
+    return phase_counts(docs, keys, significant), held.select(*keys, *(F.col(f"h.{c}") for c in ("sys_ord", "sys_start", "sys_end", "sys_tag", "n_gold", "uncovered")), extra)
+
+
+def _extra(held: Column, significant) -> Column:
+    """Does a system span hold text beside its gold spans that matters?  Its own text is enough to tell."""
+    piece = lambda x: F.substring(held["sys_text"], x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
+    return F.coalesce(F.exists(held["uncovered"], lambda x: significant(piece(x))), F.lit(False))
+
+
+def phase_counts(docs: DataFrame, keys: list[str], significant) -> DataFrame:
+    """keys, tp, fp, fn of document_matches' rows."""
+    n_held, n_extra = F.size("held"), F.size(F.filter("held", lambda h: _extra(h, significant)))
+    return docs.select(*keys, (F.col("n_both") + F.col("n_inside")).alias("tp"), (F.col("n_sys") - F.col("n_both") - n_held + n_extra).alias("fp"), (F.col("n_gold") - F.col("n_both") - F.col("n_inside")).alias("fn"))
 
 
 def lost_spans(gold: DataFrame, system: DataFrame, on: list[str], by_tag: bool = True, inclusion: bool = True, keys: list[str] = KEYS) -> DataFrame:

@@ -171,14 +171,15 @@ def _listed(owner: np.ndarray, documents: int, columns: dict[str, pa.Array]) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
-def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: list[str], by_tag: bool = True, inclusion: bool = True, overlaps: bool = False, modes: list[tuple[list[str], bool]] | None = None) -> DataFrame:
+def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: list[str], by_tag: bool = True, inclusion: bool = True, overlaps: bool = False, modes: list[tuple[list[str], bool]] | None = None, lists: bool = False) -> DataFrame:
     """One row a document (and mode, if there are several: pairs of on and by_tag), from one pass over its spans (ord, start, end, tag, and text if there):
 
     n_gold, n_sys; n_both: spans equal in `on`, one to one; n_inside: gold spans left that
     lie within a system span left; held: those system spans, with the number of gold
     spans and what these leave of them (places from the span's start); lost: gold spans that
     neither finds, with the largest share that a system span covers, and the first of
-    those; and, if asked for, all that overlap.  by_tag: inclusions and overlaps are
+    those; and, if asked for, all that overlap.  lists: also exact, the gold spans that have
+    an equal one, and surplus, the system spans that neither phase uses.  by_tag: inclusions and overlaps are
     of equal tags, which are not null.
     """
     texts = "text" in system.columns
@@ -191,6 +192,8 @@ def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: li
     several = modes is not None
     modes = modes or [(on, by_tag)]
     schema = ", ".join([*kinds(gold, keys), *(["mode int"] if several else []), "n_gold long", "n_sys long", "n_both long", "n_inside long", f"held array<struct<{held_kind}>>", f"lost array<struct<{lost_kind}>>"])
+    if lists:
+        schema += "".join(f", {c} array<struct<{','.join(f'{n}:{t}' for n, t in k.items())}>>" for c, k in (("exact", own), ("surplus", sys_)))
 
     def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
         for mode, (on, by_tag) in enumerate(modes):
@@ -217,7 +220,7 @@ def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: li
             inside[g[found]] = True
         lost = left[~inside[left]]
         all_sys = theirs[usable[theirs]]
-        share, which, more = _covered((group[lost], start[lost], end[lost]), (group[all_sys], start[all_sys], end[all_sys], order[all_sys]), usable[lost], overlaps)
+        share, which, every = _covered((group[lost], start[lost], end[lost]), (group[all_sys], start[all_sys], end[all_sys], order[all_sys]), usable[lost], overlaps)
         take = lambda name, rows: table.column(name).take(pa.array(rows)).combine_chunks()
         flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
         none = np.zeros(len(held_rows) + 1, np.int32)
@@ -229,13 +232,19 @@ def document_matches(gold: DataFrame, system: DataFrame, keys: list[str], on: li
         sys_ord = pa.array(np.append(all_sys, 0)[which], mask=which < 0)
         extra = {}
         if overlaps:
-            i, j, percent = more
+            i, j, percent = every
             extra["overlaps"] = _listed(i, len(lost), {"sys_ord": flat(take("ord", all_sys[j])), "percent": pa.array(percent)})
         missed = _listed(document[lost], n, {**{c: flat(take(c, lost)) for c in own}, "percent": pa.array(share), "sys_ord": flat(table.column("ord").take(sys_ord)), **extra})
         first = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]]))
         counts = [pa.array(count(rows)) for rows in (ours, theirs, ours[equal[ours]], np.flatnonzero(inside))]
         told = [pa.array([mode] * n, pa.int32())] if several else []
-        return pa.table([*(table.column(k).take(pa.array(first)) for k in keys), *told, *counts, held, missed], names=[*keys, *(["mode"] if several else []), "n_gold", "n_sys", "n_both", "n_inside", "held", "lost"])
+        more = []
+        if lists:
+            used = np.zeros(len(side), bool)
+            used[held_rows] = True
+            spare = theirs[~equal[theirs] & ~used[theirs]]
+            more = [_listed(document[rows], n, {c: flat(take(c, rows)) for c in names_}) for rows, names_ in ((ours[equal[ours]], own), (spare, sys_))]
+        return pa.table([*(table.column(k).take(pa.array(first)) for k in keys), *told, *counts, held, missed, *more], names=[*keys, *(["mode"] if several else []), "n_gold", "n_sys", "n_both", "n_inside", "held", "lost", *(["exact", "surplus"] if lists else [])])
 
     pick = lambda df: df.select(*keys, *(c for c in names if c in df.columns))
     return swept(pick(gold), pick(system), keys, work, schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import STOP_WORDS, sentence_marks, significant
@@ -72,28 +72,26 @@ def error_report(gold: DataFrame, systems: DataFrame, texts: DataFrame, ignore_t
     keys = ["system", "doc_id"]
     g, s = _per_system(gold, systems)
     on = ["start", "end", "text"] + ([] if ignore_tags else ["tag"])
-    by_tag = not ignore_tags
-    both = matching.paired(g, s, on, keys)
-    rest = both.where("not matched")
-    left_g, left_s = rest.where("side = 'gold'"), rest.where("side = 'sys'")
-    pairs = matching.inclusions(left_g, left_s, keys, by_tag)
-    held_s = pairs.select(*keys, F.col("sys_ord").alias("ord")).distinct()
-    held_g = pairs.select(*keys, F.col("gold_ord").alias("ord")).distinct()
-    span = F.format_string("[%d-%d] '%s' (%s)", "start", "end", F.coalesce("text", F.lit("")), F.coalesce("tag", F.lit("")))
-    exact = both.where("matched and side = 'gold'").select(*keys, F.lit(1).alias("part"), "ord", span.alias("line"))
-    inside = pairs.groupBy(*keys, "sys_ord", "sys_start", "sys_end", "sys_text").agg(F.count(F.lit(1)).alias("n"))
-    inside = inside.select(*keys, F.lit(2).alias("part"), F.col("sys_ord").alias("ord"), F.format_string("[%d-%d] '%s' holds %d", "sys_start", "sys_end", "sys_text", "n").alias("line"))
-    false = left_s.join(held_s, [*keys, "ord"], "left_anti").select(*keys, F.lit(3).alias("part"), "ord", span.alias("line"))
-    lost = left_g.join(held_g, [*keys, "ord"], "left_anti")
-    share = F.when(F.col("percent") > 0, F.format_string(" - %.1f%% covered", "percent")).otherwise(F.lit(" - not covered"))
-    lost = lost.join(matching.best_missed(lost, s, keys, by_tag).select(*keys, "ord", "percent"), [*keys, "ord"]).select(*keys, F.lit(4).alias("part"), "ord", F.concat(span, share).alias("line"))
-    lines = exact.union(inside).union(false).union(lost)
-    section = lines.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: F.concat(F.lit("  "), x["line"])), "\n").alias("body"))
-    title = F.element_at(F.array(*map(F.lit, ("Exact matches", "Inclusions", "False positives", "False negatives"))), F.col("part"))
-    section = section.select(*keys, "part", F.concat(title, F.lit(" ("), F.col("n").cast("string"), F.lit("):\n"), "body").alias("body"))
-    parts = section.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "\n").alias("body"))
-    head = score_report(relaxed(gold, systems, texts, ignore_tags), more=["system"])
-    return head.join(parts, keys, "left").select(*keys, F.concat("value", F.coalesce("body", F.lit(""))).alias("value"))
+    docs = matching.document_matches(g, s, keys, on, not ignore_tags, lists=True)
+    span = lambda x: F.format_string("[%d-%d] '%s' (%s)", x["start"], x["end"], F.coalesce(x["text"], F.lit("")), F.coalesce(x["tag"], F.lit("")))
+    share = lambda x: F.when(x["percent"] > 0, F.format_string(" - %.1f%% covered", x["percent"])).otherwise(F.lit(" - not covered"))
+    lines = {
+        "Exact matches": ("exact", span),
+        "Inclusions": ("held", lambda x: F.format_string("[%d-%d] '%s' holds %d", x["sys_start"], x["sys_end"], x["sys_text"], x["n_gold"])),
+        "False positives": ("surplus", span),
+        "False negatives": ("lost", lambda x: F.concat(span(x), share(x))),
+    }
+
+    def section(title: str, column: str, line) -> Column:
+        """The lines of a list in the order of its spans; null without one."""
+        # structs are in order by their first field, which is the span's own number
+        body = F.array_join(F.transform(F.array_sort(column), lambda x: F.concat(F.lit("  "), line(x))), "\n")
+        return F.when(F.size(column) > 0, F.concat(F.lit(title + " ("), F.size(column).cast("string"), F.lit("):\n"), body))
+
+    # one pass: the counts and all lines are in a document's row
+    parts = F.concat_ws("\n", *(section(title, *how) for title, how in lines.items())).alias("body")
+    counted = matching.phase_counts(docs.select("*", parts), [*keys, "body"], significant)
+    return score_report(metrics.with_scores(counted), more=["system", "body"]).select(*keys, F.concat("value", "body").alias("value"))
 
 
 def both_tag_modes(gold: DataFrame, systems: DataFrame, texts: DataFrame) -> DataFrame:

@@ -261,3 +261,14 @@ def test_generalised_terms_get_broader_ones(make, most):
     rows += [(10, "some bird animal"), (11, "other bird animal"), (14, "blue bird animal"), (15, "red bird animal"), (12, "an animal"), (13, "animal farm")]
     got = {r.doc_id: r.text for r in pii.sanitise(make(rows), most_in_plan=most).collect()}
     assert got[3] == "one [bird] bird animal flew" and got[10] == "some bird animal"
+
+
+def test_broader_terms_of_nulls_and_ties(make):
+    """Of two broader terms with equally many lines the first in order; null, empty and repeated rows change nothing; no terms give no rows."""
+    rows = [(1, "the egret bird animal boss@x.org wrote"), (2, "that egret bird animal boss@x.org called")]
+    rows += [(3 + i, f"one egret bird animal {w}") for i, w in enumerate(("flew", "slept", "ate"))]
+    rows += [(10 + i, f"{w} bird animal") for i, w in enumerate(("some", "other", "blue", "red"))]
+    docs = make([*rows, *rows, (None, None), (50, ""), (None, "one egret bird animal flew")])
+    terms = docs.sparkSession.createDataFrame([("egret", 1.3)], "term string, bits double")
+    assert [tuple(r) for r in pii.broader_terms(docs, terms).collect()] == [("egret", "animal")]
+    assert pii.broader_terms(docs, terms.limit(0)).count() == 0 and pii.broader_terms(make([]), terms).count() == 0

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from glossa.functions import inline
 from glossa.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +44,17 @@ def test_query_without_sql(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_html_tag_quality(spark):
+    """The query without SQL, page by page: well-formed tags need back-references."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    want = {}
+    for p in pages:
+        n, wrong = inline.compliance(p.html or "", 2)
+        want[p.page_id] = (n, len(wrong), round(1.0 if n + len(wrong) == 0 else n / (n + len(wrong) / 2), 6))
+    assert {r.page_id: (r.correct, r.wrong, r.quality) for r in catalogue.QUERIES["html_tag_quality"](spark, DATA).collect()} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_entry(spark):
     import __spark_entry__

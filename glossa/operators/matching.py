@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.intervals import contained, interval_join, merged_spans, uncovered
+from glossa.operators.intervals import contained, interval_join, uncovered
+from glossa.operators.official import merged_rows
 from glossa.operators.sweep import best_of, codes, document_matches, kinds, meeting, numbers, swept
 
 KEYS = ["doc_id"]
@@ -51,17 +52,7 @@ def merged(gold: DataFrame, system: DataFrame, texts: DataFrame, key: str = "doc
     The intersection holds strict and merged spans alike; a span of one side alone is
     an error unless a span of the intersection contains it.
     """
-    sets = strict(gold, system, ["start", "end"], [key])
-    both = sets.select(key, "start", "end", F.explode(F.array_compact(F.array(F.when(F.col("in_gold"), 0), F.when(F.col("in_sys"), 1)))).alias("side"))
-    joined = merged_spans(both, texts, key, "side").groupBy(key, "start", "end").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    rows = sets.withColumn("own", F.lit(True)).unionByName(joined.select(key, "start", "end", F.lit(True).alias("in_gold"), F.lit(True).alias("in_sys"), F.lit(False).alias("own")))
-    alone = F.col("own") & (F.col("in_gold") != F.col("in_sys"))
-    rows = rows.groupBy(key, "start", "end").agg(F.max(F.col("in_gold") & F.col("in_sys")).alias("both"), F.max(alone & F.col("in_sys")).alias("fp"), F.max(alone & F.col("in_gold")).alias("fn"))
-    # a span is contained if one of the intersection that starts no later ends no earlier
-    before = Window.partitionBy(key).orderBy("start", F.desc("both")).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.coalesce(F.max(F.when(F.col("both"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
-    kind = F.when(F.col("both"), F.lit("tp")).when(~F.col("held") & F.col("fp"), F.lit("fp")).when(~F.col("held") & F.col("fn"), F.lit("fn"))
-    return rows.withColumn("held", held).withColumn("kind", kind).where("kind is not null").select(key, "start", "end", "kind")
+    return merged_rows(gold, system, texts, key)
 
 
 def _nth(df: DataFrame, on: list[str], keys: list[str], order: str) -> DataFrame:

@@ -19,6 +19,7 @@ from glossa.operators.sweep import by_document, codes, kinds, numbers
 
 #: The three subtracks.
 SUBTRACKS = ("ner", "spans", "merged")
+KINDS = ("tp", "fp", "fn")
 _GOLD, _SYSTEM, _FALLBACK, _TEXT = range(4)
 
 
@@ -54,7 +55,11 @@ class _Texts:
 
 
 def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, in_gold: np.ndarray, in_sys: np.ndarray, runs: int, texts: _Texts) -> tuple[np.ndarray, ...]:
-    """Groups of true positives, false positives and false negatives of matching.merged."""
+    """group, start, end and kind (a place in KINDS) of what matches and of the errors.
+
+    The intersection holds strict and merged spans alike; a span of one side alone is
+    an error unless a span of the intersection contains it.
+    """
     # islands of each side: a gap without a letter or digit joins spans
     rows = np.concatenate([np.flatnonzero(in_gold), np.flatnonzero(in_sys)])
     side = np.repeat([0, 1], [int(in_gold.sum()), int(in_sys.sum())])
@@ -78,7 +83,7 @@ def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, in_gold: np.n
     order = np.lexsort((b, a, g))
     g, a, b, own, mine, theirs = (x[order] for x in (g, a, b, own, mine, theirs))
     if not len(g):
-        return g, g, g
+        return g, a, b, g
     first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     most = lambda x: np.maximum.reduceat(x, first)
     both, fp, fn = most(mine & theirs), most((own > 0) & theirs & ~mine), most((own > 0) & mine & ~theirs)
@@ -89,7 +94,35 @@ def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, in_gold: np.n
     rank, big = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]])), int(b.max()) + 2
     reached = np.maximum.accumulate(np.where(both, b, -1) + rank * big) - rank * big
     held = reached >= b
-    return g[both], g[~both & ~held & fp], g[~both & ~held & ~fp & fn]
+    kind = np.where(both, 0, np.where(held, -1, np.where(fp, 1, np.where(fn, 2, -1))))
+    told = kind >= 0
+    return g[told], a[told], b[told], kind[told]
+
+
+def _texts_of(table: pa.Table, document: np.ndarray, side: np.ndarray) -> _Texts:
+    rows = np.flatnonzero(side == _TEXT)
+    texts = table.column("text").take(pa.array(rows)).to_pylist()
+    return _Texts({d: t for d, t in zip(document[rows].tolist(), texts, strict=True) if t is not None}, int(document[-1]) + 1)
+
+
+def merged_rows(gold: DataFrame, system: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Matches of spans or of merged spans, and the errors: key, start, end, kind (tp, fp, fn); one pass over each document."""
+    none = F.lit(None).cast("string").alias("text")
+    rows = lambda df, side: df.select(key, F.lit(side).alias("_side"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), none)
+    place = F.lit(None).cast("long")
+    words = texts.select(key, F.lit(_TEXT).alias("_side"), place.alias("start"), place.alias("end"), F.col("text").cast("string").alias("text"))
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        side = table.column("_side").to_numpy()
+        start, end = numbers(table, "start", "end")
+        at = np.flatnonzero(side != _TEXT)
+        group, (a, b), in_gold, in_sys = _sets(document[at], side[at], [start[at], end[at]])
+        g, a, b, kind = _merged(group, a, b, in_gold, in_sys, 1, _texts_of(table, document, side))
+        first = pa.array(np.searchsorted(document, g))
+        yield pa.table([table.column(key).take(first), a, b, pa.array(KINDS).take(pa.array(kind))], names=[key, "start", "end", "kind"])
+
+    every = rows(gold, _GOLD).unionByName(rows(system, _SYSTEM)).unionByName(words)
+    return by_document(every.where(F.col(key).isNotNull()), [key], work, f"{kinds(gold, [key])[0]}, start long, end long, kind string")
 
 
 def official_counts(gold: DataFrame, systems: DataFrame, subtracks: tuple[str, ...] = SUBTRACKS, texts: DataFrame | None = None, by: tuple[str, ...] = ("system",), fallback: DataFrame | None = None) -> DataFrame:
@@ -151,9 +184,8 @@ def official_counts(gold: DataFrame, systems: DataFrame, subtracks: tuple[str, .
             else:
                 where, (a, b), in_gold, in_sys = _sets(place, of, [start[both], end[both]])
             if subtrack == "merged":
-                held = np.flatnonzero(side == _TEXT)
-                pieces = table.column("text").take(pa.array(held)).to_pylist()
-                counts = [tally(x) for x in _merged(groups[where], a, b, in_gold, in_sys, runs, _Texts({d: t for d, t in zip(document[held].tolist(), pieces, strict=True) if t is not None}, n))]
+                found, _, _, what = _merged(groups[where], a, b, in_gold, in_sys, runs, _texts_of(table, document, side))
+                counts = [tally(found[what == i]) for i in range(len(KINDS))]
             else:
                 counts = [tally(groups[where[x]]) for x in (in_gold & in_sys, in_sys & ~in_gold, in_gold & ~in_sys)]
             yield pa.table([pa.array([subtrack] * len(groups)), table.column("doc_id").take(first), pa.array(names, pa.string()).take(pa.array(groups % runs)), *counts], names=["subtrack", "doc_id", "_run", "tp", "fp", "fn"])

@@ -83,3 +83,30 @@ def test_nothing_to_match(spark, tables):
     assert official_counts(g, configs.limit(0), texts=texts, by=by, fallback=back).count() == 0
     with pytest.raises(ValueError, match="subtracks are"):
         official_counts(g, configs, ("other",))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merged_rows(spark, seed):
+    """The rule step by step: islands of each side, the intersection, and what it contains."""
+    rng = random.Random(100 + seed)
+    docs = {f"d{i}": "".join(rng.choice("ab .,é") for _ in range(70)) if i else None for i in range(12)}
+    gold, system = (some(rng, docs, 9) for _ in range(2))
+    got = {(r.doc_id, r.start, r.end, r.kind) for r in matching.merged(*(spark.createDataFrame(x, SPANS) for x in (gold, system)), spark.createDataFrame(list(docs.items()), "doc_id string, text string")).collect()}
+    want = set()
+    for d, text in docs.items():
+        sides = [sorted({(r[2], r[3]) for r in x if r[0] == d}) for x in (gold, system)]
+        islands = []
+        for spans in sides:
+            out = []
+            for a, b in spans if text is not None else []:
+                gap = None if not out else text[min(out[-1][1], len(text)) : min(a, len(text))]
+                if out and not any(c.isalnum() for c in gap):
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+            islands.append(set(out))
+        both = (set(sides[0]) & set(sides[1])) | (islands[0] & islands[1])
+        want |= {(d, a, b, "tp") for a, b in both}
+        for spans, other, kind in ((sides[1], sides[0], "fp"), (sides[0], sides[1], "fn")):
+            want |= {(d, a, b, kind) for a, b in set(spans) - set(other) - both if not any(x <= a and b <= y for x, y in both)}
+    assert got == want

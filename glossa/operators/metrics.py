@@ -58,11 +58,17 @@ def by_tag(events: DataFrame, by: list[str] | None = None, digits: int = 4) -> D
     return with_scores(counts, digits).withColumn("mark", F.when(F.col("tp") + F.col("fn") == 0, F.concat("tag", F.lit(" *"))).otherwise(F.col("tag")))
 
 
+#: Labels of a dense confusion table at most: it has a row for each two of them.
+MOST_LABELS = 1000
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
-    """gold_tag, pred_tag, n of all pairs of labels that occur on either side, zeros included."""
+    """gold_tag, pred_tag, n of all pairs of labels that occur on either side, zeros included; more than MOST_LABELS labels are an error."""
     counts = pairs.groupBy("gold_tag", "pred_tag").agg(F.count(F.lit(1)).alias("n"))
-    labels = pairs.select(F.explode(F.array("gold_tag", "pred_tag")).alias("label")).distinct()
-    grid = labels.select(F.col("label").alias("gold_tag")).crossJoin(labels.select(F.col("label").alias("pred_tag")))  # labels squared: a few hundred
+    # structs, so that a null label stays
+    labels = counts.select(F.explode(F.array("gold_tag", "pred_tag")).alias("x")).distinct().agg(F.collect_list(F.struct("x")).alias("l"))
+    known = F.when(F.size("l") > MOST_LABELS, F.raise_error(F.lit(f"more than {MOST_LABELS} labels")).cast(labels.schema["l"].dataType)).otherwise(F.col("l"))
+    grid = labels.select(known.alias("l")).select(F.explode("l").alias("g"), "l").select(F.col("g.x").alias("gold_tag"), F.explode("l").alias("p")).select("gold_tag", F.col("p.x").alias("pred_tag"))
     return grid.join(counts, ["gold_tag", "pred_tag"], "left").na.fill(0, ["n"])
 
 

@@ -106,3 +106,17 @@ def test_functions_for_sql(spark):
         assert one("select error_text(t) from error_texts") == [tuple(r) for r in df.select(text.error_text(F.col("t"))).collect()]
     path = "/opt/tokenizers/byte_bpe_50k.json"
     assert one(f"select token_count('hello world', '{path}'), token_count(null, '{path}')") == [(annotate.token_length(path)("hello world"), None)]
+
+
+def test_dense_confusion(spark, monkeypatch):
+    import pytest
+
+    from glossa.operators import metrics
+
+    pairs = spark.createDataFrame([("A", "A"), ("A", "B"), ("C", "B")], "gold_tag string, pred_tag string")
+    got = {(r.gold_tag, r.pred_tag): r.n for r in metrics.confusion(pairs).collect()}
+    assert got == {(g, p): int((g, p) in {("A", "A"), ("A", "B"), ("C", "B")}) for g in "ABC" for p in "ABC"}
+    assert metrics.confusion(pairs.limit(0)).count() == 0
+    monkeypatch.setattr(metrics, "MOST_LABELS", 2)
+    with pytest.raises(Exception, match="more than 2 labels"):
+        metrics.confusion(pairs).collect()

@@ -4,7 +4,7 @@ The normalised n-grams of the test items form a hash set that is broadcast to ev
 A task slides windows over the words of its documents, looks their hashes up, and
 compares the words of each hit byte by byte.
 
-Up to MAX_WINDOWS n-grams the set has their words too, and no document moves: there is no
+Up to MAX_WINDOWS n-grams of items of MAX_ITEM_BYTES the set has their words too, and no document moves: there is no
 shuffle.  A larger benchmark becomes a table of n-grams; what is broadcast are bare
 hashes, MAX_HASHES at a time, and documents are scanned once for each such portion for
 windows that may be hits.  Those alone, with their words, are joined to the table, and
@@ -34,6 +34,8 @@ from glossa.llm.wordhash import Words, alphanumeric_words, find_words, hash_wind
 WINDOW = 10
 #: n-grams that are broadcast with their words (about 300 bytes each).
 MAX_WINDOWS = 200_000
+#: Bytes of items whose n-grams are broadcast with their words: a word may be as long as its item.
+MAX_ITEM_BYTES = 8 << 20
 #: Hashes of n-grams that are broadcast at once (8 bytes each).
 MAX_HASHES = 8_000_000
 
@@ -118,10 +120,11 @@ def _scan(ngrams):
     return run
 
 
-def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """The different items, and how many n-grams they have at most."""
+def _items(benchmark: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """The different items, and whether their n-grams are few and short enough to be broadcast with their words."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    return rows, rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    words, size = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.sum(F.octet_length("text"))).first()
+    return rows, (words or 0) <= limit and (size or 0) <= MAX_ITEM_BYTES
 
 
 def _windows(window: int):
@@ -197,8 +200,8 @@ def _hits_by_table(rows: DataFrame, items: DataFrame, window: int, most: int) ->
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_WINDOWS, hashes: int = MAX_HASHES) -> DataFrame:
     """doc_id, text, hit (a bit for each word up to the last hit, null without hits) and items of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items, n = _items(benchmark)
-    if n <= limit:
+    items, few = _items(benchmark, limit)
+    if few:
         ngrams = docs.sparkSession.sparkContext.broadcast(NgramSet([(r.item_id, r.text) for r in items.collect()], window))
         return rows.mapInArrow(_scan(ngrams), "doc_id long, text string, hit binary, items array<long>")
     rows = rows.withColumn("key", F.xxhash64("text"))
@@ -252,8 +255,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_WINDOWS, hashes: int = MAX_HASHES) -> DataFrame:
     """The rows of docs, all their columns as they were, whose text has no test n-gram."""
-    items, n = _items(benchmark)
-    if n <= limit:
+    items, few = _items(benchmark, limit)
+    if few:
         ngrams = docs.sparkSession.sparkContext.broadcast(NgramSet([(r.item_id, r.text) for r in items.collect()], window))
         return docs.mapInArrow(_clean_rows(ngrams), docs.schema)
     own = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))

@@ -43,6 +43,20 @@ def _sizes(docs: DataFrame) -> list[Column]:
     ]
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """Adds rank, from 0, by code point, null last: sources are sorted over all tasks, and each task's are counted, so no task has them all."""
+    order = F.col("source").isNull(), F.encode("source", "utf-8")
+    own = written(by_source.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    before, rows = 0, []
+    for r in own.groupBy(part).count().orderBy("_part").collect():  # one row a task
+        rows.append((r["_part"], before))
+        before += r["count"]
+    first = F.broadcast(own.sparkSession.createDataFrame(rows, "_part long, _before long"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return own.select("*", part).join(first, "_part").withColumn("rank", place).drop("_part", "_at", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """source, source_size, weight and target, one row a source.
 
@@ -50,8 +64,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     The budget (share of all sizes) is dealt by weight; what exceeds a source's most is
     dealt again among the others, round by round, until no target is above its most.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))) - 1
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", rank)
+    by_source = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     state = written(by_source.select("source", "source_size", weight.alias("weight"), F.lit(False).alias("full")), "sources")
     total = state.agg(F.sum("source_size")).first()[0] or 0

@@ -51,6 +51,18 @@ def test_report(spark, make, seed, limit, hashes):
     assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in found.collect()) == brute(docs, items)
 
 
+def test_few_but_long_items_are_a_table(spark, make, monkeypatch):
+    """Items of a few very long words: their number would do, their bytes would not."""
+    word = "字" * 5000
+    bench = spark.createDataFrame([(1, word), (2, word + " b")], "item_id long, text string")
+    docs = make([(1, f"x {word} y"), (2, "x"), (3, f"{word} b"), (4, None)])
+    want = sorted((str(r.doc_id), *tuple(r)[1:]) for r in d.report(docs, bench).collect())
+    monkeypatch.setattr(d, "MAX_ITEM_BYTES", 1000)
+    monkeypatch.setattr(d, "NgramSet", None)  # not to be built on the driver
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in d.report(docs, bench).collect()) == want
+    assert {r.doc_id for r in d.remove_documents(docs, bench).collect()} == {2, 4}
+
+
 @pytest.mark.parametrize("limit", [d.MAX_WINDOWS, 3])
 def test_removal(spark, make, limit):
     passage = " ".join(f"w{i}" for i in range(12))

@@ -69,3 +69,16 @@ def test_a_document_s_own_columns_stay(make):
 def test_empty(make):
     assert mixture.mix(make([])).count() == 0
     assert [(r.size, r.taken) for r in mixture.mix(make([(1, None), (2, "")])).collect()] == [(0, 0)] * 2
+
+
+def test_ranks_over_many_tasks(spark):
+    """Sources in the order of their code points, null last, however many tasks sort them."""
+    names = [None, "", "é", "z", "Z", "\U0001F600", "\uffee", *(f"s{i}" for i in range(300))]
+    df = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.source: r["rank"] for r in mixture._ranked(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda s: (s is None, (s or "").encode())))}
+    assert mixture._ranked(df.limit(0)).count() == 0

@@ -93,8 +93,7 @@ def most_entropy(s: Column, window: int = WINDOW) -> Column:
 
     def numbered(chars: Column) -> Column:
         """Each character as its number among the different ones."""
-        own = F.array_distinct(chars)
-        return F.struct(F.transform(chars, lambda c: F.array_position(own, c).cast("int")).alias("codes"), F.size(own).alias("kinds"))
+        return once(F.array_distinct(chars), lambda own: F.struct(F.transform(chars, lambda c: F.array_position(own, c).cast("int")).alias("codes"), F.size(own).alias("kinds")))
 
     return F.when(F.length(s) >= window, F.round(once(once(F.split(s, ""), numbered), slide), 9))
 

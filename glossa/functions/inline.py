@@ -349,6 +349,24 @@ def json_kind_column(reply: Column) -> Column:
     )
 
 
+#: Rows that a table function gives back at once: bounds what it holds beside its input.
+ROWS = 1 << 14
+
+
+def _made(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str], names: list[str], make: Callable[..., list[tuple]]) -> Iterator[pd.DataFrame]:
+    """The keys and what make(*columns) gives for each row, in frames of ROWS rows."""
+    for frame in frames:
+        out: list[tuple] = []
+        for k, args in zip(frame[keys].itertuples(index=False, name=None), frame[columns].itertuples(index=False, name=None), strict=True):
+            out += [(*k, *row) for row in make(*(("" if a is None else a) for a in args))]
+            full = len(out) - len(out) % ROWS
+            for at in range(0, full, ROWS):
+                yield pd.DataFrame(out[at : at + ROWS], columns=[*keys, *names])
+            out = out[full:] if full else out
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, *names])
+
+
 def rows_from(df: DataFrame, columns: list[str], keys: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """A table function: for each row, make(*columns) gives rows of `schema`, and the keys stand before them.
 
@@ -357,12 +375,7 @@ def rows_from(df: DataFrame, columns: list[str], keys: list[str], make: Callable
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
     keys = [f.name for f in df.schema.fields if f.name in keys]
     names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(*k, *row) for k, args in zip(frame[keys].itertuples(index=False, name=None), frame[columns].itertuples(index=False, name=None), strict=True) for row in make(*(("" if a is None else a) for a in args))]
-            yield pd.DataFrame(out, columns=[*keys, *names])
-
+    run = functools.partial(_made, keys=keys, columns=columns, names=names, make=make)
     return df.select(*keys, *(c for c in columns if c not in keys)).mapInPandas(run, f"{types}, {schema}")
 
 

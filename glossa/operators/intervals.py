@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.sweep import met_pairs
+from glossa.operators.sweep import met_pairs, pieces
 
 def contained(inner: tuple[Column, Column], outer: tuple[Column, Column]) -> Column:
     """Closed: outer.start <= inner.start and inner.end <= outer.end."""
@@ -82,7 +82,7 @@ def _alphanumeric() -> np.ndarray:
 
 def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins each document's sorted spans; gaps are looked up in running counts of letters and digits, so a text is walked once."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole)):
         out = []
         for i, text in enumerate(batch.column(1).to_pylist()):
             side, start, end = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))

@@ -1,8 +1,10 @@
 """What Python makes of a batch comes in small batches, whatever the batch's size."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+from glossa.functions import inline
 from glossa.operators.sweep import PIECE, pieces
 from glossa.plans import derived
 
@@ -30,3 +32,14 @@ def test_pieces_keep_rows():
         assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
         assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("text").to_pylist()) <= size for b in got)
     assert not list(pieces(batch.slice(0, 0)))
+
+
+def test_rows_in_pieces(monkeypatch):
+    monkeypatch.setattr(inline, "ROWS", 10, raising=False)
+    texts = ["a b c", None, "", "d " * 25, "e <X>f g</X>"] * 20
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "tagged_text": texts})
+    rows = lambda t: [(i, w, x) for i, (w, x) in enumerate(inline.inline_to_bio(t))]
+    got = list(inline._made(iter([frame, frame[:0]]), ["doc_id"], ["tagged_text"], ["pos", "token", "label"], rows))
+    assert max(map(len, got)) <= 10
+    want = [(d, *r) for d, t in enumerate(texts) for r in rows(t or "")]
+    assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.metrics import precision, ratio, recall
-from glossa.operators.sweep import best_of, by_document, kinds, meeting, numbers, swept
+from glossa.operators.sweep import best_of, by_document, codes, kinds, meeting, numbers, swept
 
 
 def with_offsets(tokens: DataFrame, base: int = 0) -> DataFrame:
@@ -66,7 +66,7 @@ def labels_of(tokens: DataFrame, spans: DataFrame) -> DataFrame:
         yield pa.table([*(table.column(c).take(pa.array(t)) for c in columns), label], names=[*columns, "label"])
 
     right = spans.dropna(subset=["doc_id", "tag"]).select("doc_id", F.col("start").alias("_from"), F.col("end").alias("_to"), F.col("tag").alias("_tag"))
-    return swept(tokens, right, ["doc_id"], work, ", ".join([*kinds(tokens, columns), "label string"]))
+    return swept(tokens, right, ["doc_id"], work, ", ".join([*kinds(tokens, columns), "label string"]), together=True)
 
 
 #: Marks of chunk labels; what else stands before a hyphen counts as another mark.
@@ -194,11 +194,30 @@ def overall_and_last(scores: DataFrame) -> DataFrame:
 
 
 def aligned_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Position by position: doc_id, pos, gold, pred.  Different tokens count as agreement on O, missing ones as O."""
-    g = gold.select("doc_id", "pos", F.col("token").alias("gt"), F.col("label").alias("gl"))
-    p = pred.select("doc_id", "pos", F.col("token").alias("pt"), F.col("label").alias("pl"))
-    same = F.col("gt").eqNullSafe(F.col("pt"))
-    return g.join(p, ["doc_id", "pos"], "full_outer").select("doc_id", "pos", F.when(same, F.col("gl")).otherwise(F.lit("O")).alias("gold"), F.when(same, F.col("pl")).otherwise(F.lit("O")).alias("pred"))
+    """Position by position: doc_id, pos, gold, pred.  Different tokens count as agreement on O, missing ones as O.
+
+    Both sides meet by document, so what is made of a document's pairs next is in one place.
+    """
+    kind = gold.schema["pos"].dataType
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        side, pos, token = table.column("_side").to_numpy(), codes(table.column("pos")), codes(table.column("token"))
+        key = np.where(pc.is_valid(table.column("doc_id")).to_numpy(), document * (int(pos.max(initial=0)) + 1) + pos, -1)
+        key[pos < 0] = -1  # without a place, or a document, nothing has a partner
+        g, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        p = p[np.argsort(key[p], kind="stable")]
+        first = np.searchsorted(key[p], key[g], "left")
+        n = np.where(key[g] < 0, 0, np.searchsorted(key[p], key[g], "right") - first)
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        lone, other = g[n == 0], np.delete(p, at)
+        i, j = np.concatenate([np.repeat(g, n), lone, other]), np.concatenate([p[at], lone, other])
+        met = np.arange(len(i)) < len(at)
+        same = np.where(met, token[i] == token[j], token[i] < 0)
+        label = lambda name, rows: pc.if_else(pa.array(same), table.column(name).combine_chunks().take(pa.array(rows)), "O")
+        yield pa.table([table.column("doc_id").take(pa.array(i)), table.column("pos").take(pa.array(i)), label("gold", i), label("pred", j)], names=["doc_id", "pos", "gold", "pred"])
+
+    side = lambda df, name: df.select("doc_id", F.col("pos").cast(kind).alias("pos"), "token", F.col("label").alias(name))
+    return swept(side(gold, "gold"), side(pred, "pred"), ["doc_id"], work, ", ".join([*kinds(gold, ["doc_id", "pos"]), "gold string", "pred string"]), together=True)
 
 
 def paired_lines(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,14 @@
 """What Python makes of a batch comes in small batches, whatever the batch's size."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from glossa.functions import inline
+from glossa.operators import bio, sweep
 from glossa.operators.sweep import PIECE, pieces
 from glossa.plans import derived
 
@@ -43,3 +47,30 @@ def test_rows_in_pieces(monkeypatch):
     assert max(map(len, got)) <= 10
     want = [(d, *r) for d, t in enumerate(texts) for r in rows(t or "")]
     assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want
+
+
+def test_runs_travel_as_one():
+    rng = np.random.default_rng(2)
+    lengths = [int(n) for n in rng.integers(1, 60, 200)]
+    doc = [None if i % 50 == 7 else i for i, n in enumerate(lengths) for _ in range(n)]
+    n = len(doc)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "pos": range(n), "token": [None if i % 9 == 0 else f"w{i % 40}" for i in range(n)]})
+    out = list(sweep._bundled(iter([batch.slice(0, 777), batch.slice(777), batch.slice(0, 0)]), ["doc_id"]))
+    long = sum(k >= sweep.RUN for k in lengths)
+    assert long <= sum(b.column("_rows").drop_null().__len__() for b in out) <= long + 1
+    rows = sorted((r for b in sweep._unbundled(iter(out), ["doc_id"]) for r in b.to_pylist()), key=lambda r: r["pos"])
+    assert rows == batch.to_pylist()
+
+
+def test_aligned_pairs_in_one_shuffle_by_document(spark):
+    rng = np.random.default_rng(3)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    side = lambda n: [(pick([1, 2, 3, None]), pick([*range(30), None]), pick(["a", "b", None]), pick(["O", "B-X", None])) for _ in range(n)]
+    g, p = (spark.createDataFrame(side(n), "doc_id long, pos int, token string, label string") for n in (150, 170))
+    same = F.col("gt").eqNullSafe(F.col("pt"))
+    one = g.select("doc_id", "pos", F.col("token").alias("gt"), F.col("label").alias("gl"))
+    two = p.select("doc_id", "pos", F.col("token").alias("pt"), F.col("label").alias("pl"))
+    want = one.join(two, ["doc_id", "pos"], "full_outer").select("doc_id", "pos", F.when(same, F.col("gl")).otherwise("O").alias("gold"), F.when(same, F.col("pl")).otherwise("O").alias("pred"))
+    got = bio.aligned_pairs(g, p)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

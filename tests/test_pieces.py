@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossa.functions import inline
-from glossa.operators import bio, sweep
+from glossa.operators import bio, matching, sweep
 from glossa.operators.sweep import PIECE, pieces
 from glossa.plans import derived
 
@@ -74,3 +74,15 @@ def test_aligned_pairs_in_one_shuffle_by_document(spark):
     got = bio.aligned_pairs(g, p)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_pairs_in_one_shuffle(spark):
+    rng = np.random.default_rng(4)
+    side = lambda n: [(int(rng.integers(4)), int(i), [1, 2, None][int(rng.integers(3))], "ab"[int(rng.integers(2))]) for i in rng.permutation(n)]
+    a, b = side(90), side(110)
+    g, s = (spark.createDataFrame(x, "doc_id long, ord int, start long, tag string") for x in (a, b))
+    got = matching.exact_pairs(g, s, ["start", "tag"])
+    listed = lambda rows, k: sorted(r[1] for r in rows if (r[0], *r[2:]) == k)
+    want = [(*k, i, j) for k in {(r[0], *r[2:]) for r in a} if None not in k for i, j in zip(listed(a, k), listed(b, k), strict=False)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1

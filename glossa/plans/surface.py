@@ -82,7 +82,7 @@ g AS (SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM labels)), gn AS (SEL
 
 def _lines(spark, sf_dir):
     """Gold lines of labelled documents; predictions for all, each fifth document without its last line."""
-    rows = tokens(spark, sf_dir).select("doc_id", "pos", "token", derived._tag().alias("label"), F.col("n_token").isNull().alias("last"))
+    rows = tokens(spark, sf_dir, following=True).select("doc_id", "pos", "token", derived._tag().alias("label"), F.col("n_token").isNull().alias("last"))
     pred = rows.where("not (doc_id % 5 = 0 and last)")
     return bio.paired_lines(rows.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), pred)
 

@@ -27,6 +27,20 @@ def test_tokens_in_pieces():
     assert pa.Table.from_batches(out).equals(pa.Table.from_batches(alone))
 
 
+def test_tokens_at_places():
+    texts = ["one  two three " * 40, None, "", " ", "  x", "a b", *(" ".join(f"w{i}" for i in range(n)) for n in range(30))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    every = pa.Table.from_batches(placed(batch)).to_pylist()
+    for places in (derived.GOLD, derived.SYSTEM, (13,)):
+        got = pa.Table.from_batches(derived._placed(iter([batch]), places)).to_pylist()
+        assert got == [r for r in every if r["pos"] % derived.CYCLE in places]
+    # spans are picked where tokens are made: no others, and no next ones, leave Python
+    alone = pa.Table.from_batches(derived._placed(iter([batch]), derived.GOLD, following=False))
+    assert alone.to_pylist() == [{k: r[k] for k in ("doc_id", "pos", "token", "start", "end")} for r in every if r["pos"] % 7 in (0, 1)]
+    system = pa.Table.from_batches(derived._placed(iter([batch]), derived.SYSTEM))
+    assert sorted({r["pos"] for r in system.to_pylist()}) == sorted({r["pos"] for r in every if r["pos"] % 7 in (0, 1, 3) and r["pos"] % 14 != 8})
+
+
 def test_pieces_keep_rows():
     rng = np.random.default_rng(1)
     texts = [None if n == 3 else "é" * int(n) for n in rng.integers(0, 60, 500)]

@@ -100,3 +100,39 @@ def test_exact_pairs_in_one_shuffle(spark):
     want = [(*k, i, j) for k in {(r[0], *r[2:]) for r in a} if None not in k for i, j in zip(listed(a, k), listed(b, k), strict=False)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def shuffles(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_sides_in_one_pass(spark, tmp_path):
+    texts = [None, "", " ", "  x", "a b", *(" ".join(f"w{'x' * (i % 3)}{i}" for i in range(n)) for n in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["ord", "start", "end", "tag", "text"]
+    both = derived.sides(spark, str(tmp_path), columns)
+    for side, own in (("g", derived.gold), ("s", derived.system)):
+        got = both.where(f"{side} = 1").select("doc_id", *columns)
+        want = own(spark, str(tmp_path)).select("doc_id", *columns)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert shuffles(both).count("MapInArrow") == 1
+
+
+def test_strict_runs_in_one_shuffle_by_document(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    rows = [(pick(1, 2, None), pick(1, 2, 3, None), pick("a", "b", None), *pick((1, 0, 0), (0, 1, 0), (0, 1, 1))) for _ in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, start long, tag string, g int, s int, p int")
+    got = matching.strict_runs(frame, ["start", "tag"], {"one": "s", "two": "p"})
+    want = Counter()
+    for name, at in (("one", 4), ("two", 5)):
+        ours, theirs = {r[:3] for r in rows if r[3]}, {r[:3] for r in rows if r[at]}
+        want.update((name, *k, k in ours, k in theirs) for k in ours | theirs)
+    assert Counter(map(tuple, got.collect())) == want
+    assert shuffles(got).count("Exchange hashpartitioning") == 1
+    # counts a document need no second shuffle
+    both = matching.strict_sides(frame, ["start", "tag"]).groupBy("doc_id").agg(*matching.flag_counts())
+    assert shuffles(both).count("Exchange hashpartitioning") == 1
+    kinds = matching.analyzer_sides(frame.withColumn("end", frame["start"])).groupBy("doc_id").count()
+    assert shuffles(kinds).count("Exchange hashpartitioning") == 1

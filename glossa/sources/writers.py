@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glossa.functions.categories import category_of
+from glossa.operators.sweep import by_document, kinds
 
 
 def with_categories(spans: DataFrame) -> DataFrame:
@@ -40,9 +44,17 @@ def write_texts(df: DataFrame, path: str, column: str, key: str = "doc_id") -> N
 
 
 def bio_text(tokens: DataFrame, label: str = "label", key: str = "doc_id") -> DataFrame:
-    """key, value: `token label` lines in token order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "token", label).alias("line")))), lambda x: x["line"])
-    return tokens.groupBy(key).agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+    """key, value: `token label` lines in token order.  A document's lines cross the shuffle as one compressed row."""
+    rows = tokens.select(key, "pos", F.concat_ws(" ", "token", label).alias("line"))
+
+    def work(table: pa.Table, document: np.ndarray) -> Iterator[pa.Table]:
+        order = pc.sort_indices(table.append_column("_", pa.array(document)), [("_", "ascending"), ("pos", "ascending"), ("line", "ascending")], null_placement="at_start")
+        first = np.flatnonzero(np.diff(document, prepend=-1))
+        lines = pa.ListArray.from_arrays(pa.array(np.append(first, len(document)), pa.int32()), table.column("line").take(order).combine_chunks())
+        text = pc.binary_join_element_wise(pc.binary_join(lines, "\n"), "", "\n")
+        yield pa.table([table.column(key).take(pa.array(first)), text], names=[key, "value"])
+
+    return by_document(rows, [key], work, f"{kinds(rows, [key])[0]}, value string", together=True)
 
 
 def reply_json(df: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,6 +11,7 @@ from glossa.functions import inline
 from glossa.operators import bio, matching, sweep
 from glossa.operators.sweep import PIECE, pieces
 from glossa.plans import derived
+from glossa.sources import writers
 
 
 def placed(batch):
@@ -136,3 +137,17 @@ def test_strict_runs_in_one_shuffle_by_document(spark):
     assert shuffles(both).count("Exchange hashpartitioning") == 1
     kinds = matching.analyzer_sides(frame.withColumn("end", frame["start"])).groupBy("doc_id").count()
     assert shuffles(kinds).count("Exchange hashpartitioning") == 1
+
+
+def test_bio_text_by_document(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    rows = [(d, pick(*range(30), None), pick("a", "é b", None), pick("O", "B-X", None)) for d in (1, 2, 3, None) for _ in range(5 + 20 * (d or 0))]
+    frame = spark.createDataFrame(rows, "doc_id long, pos int, token string, label string")
+    line = lambda r: " ".join(x for x in r[2:] if x is not None)
+    ordered = lambda d: sorted((r[1] is not None, r[1] or 0, line(r).encode()) for r in rows if r[0] == d)
+    got = writers.bio_text(frame)
+    assert Counter(map(tuple, got.collect())) == Counter((d, "".join(f"{x[2].decode()}\n" for x in ordered(d))) for d in (1, 2, 3, None))
+    # no list of all tokens of a document in the heap: one compressed row each crosses the shuffle
+    assert "collect_list" not in shuffles(got) and shuffles(got).count("Exchange hashpartitioning") == 1
+    assert not writers.bio_text(frame.limit(0)).collect()

@@ -1,16 +1,18 @@
 """What Python makes of a batch comes in small batches, whatever the batch's size."""
 
+import os
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions import inline
 from glossa.operators import bio, matching, sweep
 from glossa.operators.sweep import PIECE, pieces
-from glossa.plans import derived
+from glossa.plans import catalogue, derived
 from glossa.sources import writers
 
 
@@ -151,3 +153,10 @@ def test_bio_text_by_document(spark):
     # no list of all tokens of a document in the heap: one compressed row each crosses the shuffle
     assert "collect_list" not in shuffles(got) and shuffles(got).count("Exchange hashpartitioning") == 1
     assert not writers.bio_text(frame.limit(0)).collect()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name,passes", [("leak_micro", 2), ("leak_by_doc", 2), ("analyzer_tag_metrics", 1), ("mean_by_run", 1), ("f1_pivot", 1), ("ner_macro", 1), ("ner_strict_by_tag", 1), ("ner_strict_by_doc", 1)])
+def test_passes_over_the_texts(spark, name, passes):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == passes

@@ -96,4 +96,4 @@ def errors_in_context(rows: DataFrame, texts: DataFrame, keys: list[str] = KEYS,
                 yield pa.table([*map(take, keys), take("tag"), _KINDS.take(pa.array(side[own[part]])), take("start"), take("end"), context], names=[*keys, "tag", "kind", "start", "end", "context"])
 
     schema = ", ".join([*kinds(every, [*keys, "tag"]), "kind string", *kinds(every, ["start", "end"]), "context string"])
-    return by_document(every, keys, work, schema, together=True)
+    return by_document(every, keys, work, schema)
